@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, pii, quality, tokenbin
+from . import bpe, packing, pii, quality, simhash, suffix, tokenbin
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -18,7 +18,10 @@ def _over(table: str, operator: Callable[[DataFrame], DataFrame]) -> Query:
 def queries() -> dict[str, Query]:
     return {
         "op1_tokenizer_fertility": _over("documents", quality.op1),
+        "op2_byte_bpe": _over("documents", bpe.op2),
+        "op4_sparse_suffix_array": _over("documents", suffix.op4),
         "op5_personal_data": _over("documents", pii.op5),
+        "op6_simhash_pivots": _over("documents", simhash.op6),
         "op9_best_fit_packing": _over("documents", packing.op9),
         "op10_packed_token_rows": _over("documents", tokenbin.op10),
     }
