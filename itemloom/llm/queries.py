@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, packing, pii, quality, simhash, suffix, tokenbin
+from . import bpe, covertree, packing, pii, quality, simhash, suffix, tokenbin, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -22,10 +22,15 @@ def queries() -> dict[str, Query]:
         "op4_sparse_suffix_array": _over("documents", suffix.op4),
         "op5_personal_data": _over("documents", pii.op5),
         "op6_simhash_pivots": _over("documents", simhash.op6),
+        "op7_redirect_equivalence": _over("pages", urls.op7),
+        "op8_dual_cover_trees": _over("embeddings", covertree.op8),
         "op9_best_fit_packing": _over("documents", packing.op9),
         "op10_packed_token_rows": _over("documents", tokenbin.op10),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op7_redirect_equivalence": urls.op7_sql(),
+        "op8_dual_cover_trees": covertree.op8_sql(),
+    }

@@ -216,7 +216,8 @@ def _extensions(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[dic
                     candidate[starts[k] + first : starts[k] + last + 1] = True
         near = candidate[anchor]
         start, anchor = start[near], anchor[near]
-        held.append((grams(words, MIN_WORDS)[start], rank[anchor], ids[doc[start]], start - starts[doc[start]]))
+        spread = _mix(rank[anchor], rank[anchor])  # least ranks are small numbers; ranges need even ones
+        held.append((grams(words, MIN_WORDS)[start], spread, ids[doc[start]], start - starts[doc[start]]))
         n += len(start)
         if n >= CHUNK_ENTRIES:
             yield _deal(*map(np.concatenate, zip(*held, strict=True)), buckets)
