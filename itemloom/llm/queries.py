@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, covertree, packing, pii, quality, simhash, suffix, tokenbin, urls
+from . import bpe, covertree, license, packing, pii, quality, simhash, suffix, tokenbin, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,6 +19,7 @@ def queries() -> dict[str, Query]:
     return {
         "op1_tokenizer_fertility": _over("documents", quality.op1),
         "op2_byte_bpe": _over("documents", bpe.op2),
+        "op3_license_scan": _over("documents", license.op3),
         "op4_sparse_suffix_array": _over("documents", suffix.op4),
         "op5_personal_data": _over("documents", pii.op5),
         "op6_simhash_pivots": _over("documents", simhash.op6),
@@ -31,6 +32,7 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op3_license_scan": license.op3_sql(),
         "op7_redirect_equivalence": urls.op7_sql(),
         "op8_dual_cover_trees": covertree.op8_sql(),
     }
