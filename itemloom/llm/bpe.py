@@ -10,6 +10,10 @@
 A word comes once from each chunk, however often the chunk holds it, so frequent words make no hot key. The number of
 buckets follows the input's size; chunks are bounded by CHUNK_CHARS and one document.
 
+The documents are split twice, once for the words and once for the sequences, which costs less than to store the
+sequences and to shuffle them as well. Both reads must see the same rows in the same order, as scans of files do; a
+checksum of each chunk's words tells if they did not.
+
 Defined results: a null text counts as empty: no tokens, digests of no bytes; strings of special tokens are ordinary text;
 repeated rows give equal rows; null ids stay null; an empty table gives no rows; further columns are ignored.
 """
@@ -27,7 +31,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucket_count, map_arrow, materialize, pack, rank_encoder, read_ranks, tokenizer_path, unpack
+from .common import bucket_count, map_arrow, pack, rank_encoder, read_ranks, tokenizer_path, unpack
 
 #: Characters of a chunk (besides one document).
 CHUNK_CHARS = 8 << 20
@@ -52,7 +56,8 @@ class Numbers(dict):
         return n
 
 
-def _split(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[dict]:
+def _split(batches: Iterator[pa.RecordBatch], buckets: int, want: str) -> Iterator[dict]:
+    """Step 1. want: words (a row for each chunk and bucket) or documents (a row for each chunk)."""
     from pyspark import TaskContext
 
     part, made = TaskContext.get().partitionId() << 24, 0
@@ -66,16 +71,24 @@ def _split(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[dict]:
         local = np.empty(len(numbers), np.uint32)
         local[by_use] = np.arange(len(numbers), dtype=np.uint32)
         words = [w.encode() for w in numbers]
-        bucket = np.fromiter(map(zlib.crc32, words), np.int64, len(words)) % buckets
-        rows: dict[str, list] = {k: [] for k in ("chunk", "bucket", "n", "doc_ids", "lengths", "numbers", "words")}
+        check = zlib.crc32(b"\0".join(words))
+        rows: dict[str, list] = {k: [] for k in ("chunk", "check", "bucket", "n", "doc_ids", "lengths", "numbers", "words")}
         add = lambda *row: [rows[k].append(v) for k, v in zip(rows, row, strict=True)]
-        add(part + made, None, len(words), list(doc_ids), pack(np.array([len(s) for s in sequences], np.uint32)), pack(local[flat]), None)
+        if want == "documents":
+            add(part + made, check, None, len(words), list(doc_ids), pack(np.array([len(s) for s in sequences], np.uint32)), pack(local[flat]), None)
+            made += 1
+            numbers, chars = Numbers(), 0
+            doc_ids.clear()
+            sequences.clear()
+            yield rows
+            return
+        bucket = np.fromiter(map(zlib.crc32, words), np.int64, len(words)) % buckets
         order = np.lexsort((local, bucket))  # by bucket, in it by local number
         ends = np.flatnonzero(np.diff(bucket[order], append=-1)) + 1
         for s, e in zip([0, *ends], ends, strict=False):
             own = order[s:e]
             spelled = [words[i] for i in own]
-            add(part + made, int(bucket[own[0]]), len(own), None, pack(np.array(list(map(len, spelled)), np.uint32)), pack(np.diff(local[own], prepend=np.uint32(0))), zstandard.ZstdCompressor(level=3).compress(b"".join(spelled)))
+            add(part + made, check, int(bucket[own[0]]), len(own), None, pack(np.array(list(map(len, spelled)), np.uint32)), pack(np.diff(local[own], prepend=np.uint32(0))), zstandard.ZstdCompressor(level=3).compress(b"".join(spelled)))
         made += 1
         numbers, chars = Numbers(), 0
         doc_ids.clear()
@@ -108,7 +121,7 @@ def _encode_bucket(ranks_path: str):
         flat = np.array([i for x in ids for i in x], np.uint32)
         start = np.cumsum(count) - count
         rows = [(pack(count[u].astype(np.uint32)), pack(flat[ragged(start[u], count[u])])) for u in uses]
-        return pa.table({"chunk": bucket["chunk"], "n": bucket["n"], "numbers": bucket["numbers"], "lengths": pa.array([r[0] for r in rows], pa.binary()), "ids": pa.array([r[1] for r in rows], pa.binary())})
+        return pa.table({"chunk": bucket["chunk"], "check": bucket["check"], "n": bucket["n"], "numbers": bucket["numbers"], "lengths": pa.array([r[0] for r in rows], pa.binary()), "ids": pa.array([r[1] for r in rows], pa.binary())})
 
     return run
 
@@ -135,8 +148,8 @@ def _assemble(ranks_path: str, with_ids: bool):
                 flat.append(ids)
                 at += len(ids)
                 seen += len(own)
-        if seen != total:
-            raise ValueError(f"{seen} of {total} words of a chunk came back")
+        if seen != total or len(set(chunk["check"].to_pylist())) > 1:
+            raise ValueError(f"{seen} of {total} words of a chunk came back, or not the same ones: the input's rows changed between two reads")
         flat = np.concatenate([np.empty(0, np.uint32), *flat])
         words = unpack(chunk["numbers"][d].as_py(), "<u4")
         out: dict[str, list] = {k: [] for k in ("doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids")}
@@ -171,9 +184,10 @@ def encode_documents(documents: DataFrame, ranks_path: str, *, with_ids: bool =
     """doc_id, n_tokens, ids_sha256, decoded_sha256 and, if asked for, the ids as little-endian unsigned 32-bit integers."""
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     buckets = bucket_count(docs)
-    chunks = materialize(map_arrow(docs, lambda b: _split(b, buckets), "chunk long, bucket int, n int, doc_ids array<long>, lengths binary, numbers binary, words binary"))
-    encoded = chunks.where("bucket is not null").select("bucket", "chunk", "n", "lengths", "numbers", "words").groupBy("bucket").applyInArrow(_encode_bucket(ranks_path), "chunk long, n int, numbers binary, lengths binary, ids binary")
-    own = chunks.where("bucket is null").select("chunk", "n", "numbers", "lengths", F.lit(None).cast("binary").alias("ids"), "doc_ids")
+    fields = "chunk long, check long, bucket int, n int, doc_ids array<long>, lengths binary, numbers binary, words binary"
+    words = map_arrow(docs, lambda b: _split(b, buckets, "words"), fields).select("bucket", "chunk", "check", "n", "lengths", "numbers", "words")
+    encoded = words.groupBy("bucket").applyInArrow(_encode_bucket(ranks_path), "chunk long, check long, n int, numbers binary, lengths binary, ids binary")
+    own = map_arrow(docs, lambda b: _split(b, buckets, "documents"), fields).select("chunk", "check", "n", "numbers", "lengths", F.lit(None).cast("binary").alias("ids"), "doc_ids")
     parts = own.unionByName(encoded.withColumn("doc_ids", F.lit(None).cast("array<bigint>")))
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * with_ids
     return parts.groupBy("chunk").applyInArrow(_assemble(ranks_path, with_ids), schema)
