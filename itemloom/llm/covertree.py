@@ -2,7 +2,7 @@
 
 Rows are dealt into candidate blocks of bounded size by id. Queries are put into groups of bounded size; each group meets
 each block (a stated query set against all rows, in blocks). In a block, a cover tree holds the distinct
-vectors: a node's centre and a radius that covers all below it; each level halves the radius. The queries of a group
+vectors: a node's centre and a radius that covers all below it; each level halves the radius where the data allow. The queries of a group
 form a cover tree too. The search goes down both trees together. For query node Q (centre q, radius s) and node R (centre r,
 radius t) no pair below them scores more than q.r + |q|t + |r|s + st; the pair of nodes is pruned when this bound is below
 the least kth score of the queries below Q. Blocks' best k per query are merged at the end, k rows from each block.
@@ -28,15 +28,20 @@ SCALE = 1024
 K = 10
 EVERY = 100
 BLOCK_ROWS = 8192
-GROUP_ROWS = 512
-LEAF = 32
+GROUP_ROWS = 2048
+LEAF = 256
+FAN = 32
 
 
 class CoverTree:
-    """Nodes in arrays: centre (a row of the points), radius, children or points. Levels halve the radius that a centre covers."""
+    """Nodes in arrays: centre (a row of the points), radius that covers all below, children or points.
 
-    def __init__(self, points: np.ndarray, leaf: int = LEAF):
-        self.points = points
+    A node's children are chosen farthest first, until half the radius covers all points or there are FAN of them;
+    each point goes to the nearest. The node's own centre is a child's too, as in every cover tree.
+    """
+
+    def __init__(self, points: np.ndarray, leaf: int = LEAF, fan: int = FAN):
+        self.points, self.fan = points, fan
         self.norms = np.sqrt((points * points).sum(1))
         self.centre: list[int] = []
         self.radius: list[float] = []
@@ -67,27 +72,25 @@ class CoverTree:
                 self.children[parent].append(n)
             if len(own) <= self.leaf or radius == 0:
                 continue
-            left, cover, gap = own, radius / 2, d
-            parts = []
-            near = c  # the node's own centre is also a child's, as in every cover tree
-            while len(left):
-                inside = gap <= cover
-                parts.append((left[inside], near))
-                left = left[~inside]
-                if len(left):
-                    near = int(left[0])
-                    gap = self._distances(left, near)
-            if len(parts) > max(8, len(own) // 4):  # no structure at this radius: halves by order of distance, still covered
-                order = own[np.argsort(d, kind="stable")]
-                half = len(order) // 2
-                parts = [(order[:half], int(order[0])), (order[half:], int(order[half]))]
+            centres, nearest, gap = [c], np.zeros(len(own), np.int64), d
+            while len(centres) < self.fan and gap.max() > radius / 2:  # the farthest point becomes the next centre
+                far = int(own[int(np.argmax(gap))])
+                to_far = self._distances(own, far)
+                closer = to_far < gap
+                nearest[closer] = len(centres)
+                gap = np.where(closer, to_far, gap)
+                centres.append(far)
+            parts = [(own[nearest == k], x) for k, x in enumerate(centres)]
+            parts = [(p, x) for p, x in parts if len(p)]
             todo += [(p, x, n) for p, x in parts]
         return root
 
 
 def search(queries: np.ndarray, points: np.ndarray, ids: list[np.ndarray], own: np.ndarray, k: int) -> list[list[tuple[int, int]]]:
     """The best (score, id) of each query. ids: for each point its ids, least first; own: the queries' ids."""
-    q_tree, r_tree = CoverTree(queries.astype(float), 64), CoverTree(points.astype(float))
+    q_tree, r_tree = CoverTree(queries.astype(float), 128), CoverTree(points.astype(float))
+    exact = len(queries) and float(q_tree.norms.max()) * float(r_tree.norms.max()) < 2**52  # then products of floats are whole numbers
+    left, right = (q_tree.points, r_tree.points) if exact else (queries, points)
     heaps: list[list[tuple[int, int]]] = [[] for _ in range(len(queries))]
     worst = np.full(len(queries), -np.inf)
 
@@ -98,10 +101,12 @@ def search(queries: np.ndarray, points: np.ndarray, ids: list[np.ndarray], own:
         return (at + q_tree.norms[a] * t + r_tree.norms[b] * s + s * t) * (1 + 1e-12 if at > 0 else 1) + 1e-3
 
     def compare(qs: np.ndarray, rs: np.ndarray) -> None:
-        scores = queries[qs] @ points[rs].T
-        for row, q in zip(scores, qs.tolist(), strict=True):
-            heap = heaps[q]
-            for x in np.flatnonzero(row >= worst[q])[np.argsort(-row[row >= worst[q]], kind="stable")].tolist():
+        scores = left[qs] @ right[rs].T
+        hit = scores >= worst[qs][:, None]
+        for j in np.flatnonzero(hit.any(axis=1)).tolist():
+            q, row = int(qs[j]), scores[j]
+            heap, at = heaps[q], np.flatnonzero(hit[j])
+            for x in at[np.argsort(-row[at], kind="stable")].tolist():
                 score = int(row[x])
                 if len(heap) == k and score < heap[0][0]:
                     break
