@@ -1,0 +1,252 @@
+import hashlib
+import re
+from collections import Counter
+
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from itemloom.llm import pii, quality, simhash, suffix
+from itemloom.llm.common import words_of
+
+from .cases import documents, prose, texts
+
+
+def test_words_split_at_ascii_space_only():
+    assert words_of("a\x1cb\x85c\xa0d e\x0bf") == ["a\x1cb\x85c\xa0d", "e", "f"]
+    assert words_of(None) == words_of(" \t") == []
+
+
+# ---------------------------------------------------------------- quality
+
+
+def base_counts(text):
+    text = text or ""
+    words = re.findall("[^\x20\x09-\x0d]+", text)
+    grams = [tuple(words[i : i + 5]) for i in range(len(words) - 4)]
+    c, marked = Counter(grams), set()
+    for i, g in enumerate(grams):
+        if c[g] > 1:
+            marked |= set(range(i, i + 5))
+    seen, dup = set(), 0
+    for line in text.split("\n"):
+        if re.search("[^\x20\x09-\x0d]", line):
+            dup += line in seen
+            seen.add(line)
+    failed = len(words) < 10 or 100 * len(marked) > 20 * len(words)
+    return len(words), sum(map(len, words)), len(re.findall("[#*$%&|<>]", text)), dup, len(marked), failed
+
+
+def test_quality_base_counts(spark):
+    got = quality.op1(documents(spark)).collect()
+    assert sorted(repr((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed)) for r in got) == sorted(repr((i, *base_counts(t))) for i, t in texts())
+    assert all(not r.kept for r in got if r.base_failed)
+    assert quality.op1(documents(spark, [])).count() == 0
+
+
+def test_quality_bands(spark):
+    blob = " ".join("\x01".join(hashlib.sha256(bytes([k])).hexdigest()) for k in range(20))
+    rows = [(1, prose(1, 300)), (2, blob), (3, " ".join(chr(0xE000 + k % 90) * 4 for k in range(200))), (4, " ".join(f"x{k}" for k in range(12)))]
+    got = {r.doc_id: r for r in quality.op1(documents(spark, rows)).collect()}
+    assert got[1].kept and got[1].script == "latin" and got[4].kept
+    assert not got[2].kept and got[2].reason == "chars_per_token"
+    assert got[3].script == "other" and got[3].byte_share > 0.7
+    kept = quality.keep_good(documents(spark, rows))
+    assert kept.columns == documents(spark).columns and sorted(r.doc_id for r in kept.collect()) == sorted(i for i, r in got.items() if r.kept)
+
+
+def test_entropy():
+    import numpy as np
+
+    assert quality.entropy(np.array([1, 1, 2, 2])) == 1.0 and quality.entropy(np.array([], int)) == 0.0
+
+
+# ---------------------------------------------------------------- personal data
+
+PLAIN = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def luhn(s):
+    d = [int(c) for c in s if c.isdigit()][::-1]
+    return sum(x if k % 2 == 0 else sum(divmod(2 * x, 10)) for k, x in enumerate(d)) % 10 == 0
+
+
+def plain_spans(text):
+    out = []
+    for k, p in PLAIN.items():
+        for m in re.finditer(p, text):
+            digits = re.sub("[^0-9]", "", m[0])
+            ok = {"email": True, "ip": all(int(x) <= 255 for x in m[0].split(".")) if k == "ip" else True, "card": 14 <= len(digits) <= 19 and luhn(digits), "phone": 10 <= len(digits) <= 15}[k]
+            if ok:
+                out.append((m.start(), list(PLAIN).index(k), f"{k}:{m.start()}:{m.end()}"))
+    return ",".join(x[2] for x in sorted(out))
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.text(alphabet="ab1.2@-+ ()5%é0\n", max_size=40))
+def test_base_spans_equal_the_plain_patterns(text):
+    assert pii.spell([x for x in pii.find_spans(text) if x[2] in pii.BASE]) == plain_spans(text)
+
+
+@pytest.mark.parametrize(
+    "text,kinds",
+    [
+        ("mail a.b+c@x-y.co.uk now", ["email"]),
+        ("card 4111 1111 1111 1111 ok", ["card"]),
+        ("call +49 (30) 123-4567 89", ["phone"]),
+        ("at 10.0.0.256 and 10.0.0.25", ["ip"]),
+        ("see https://user:pw@host.example/x", ["url_user", "email"]),
+        ("Account no. AB-123456 is his", ["account"]),
+        ("IBAN: DE89 3704 0044 0532 0130 00", ["iban"]),
+        ("accounting 1234567", []),
+    ],
+)
+def test_kinds(text, kinds):
+    assert [k for k in pii.KINDS if k in {x[2] for x in pii.find_spans(text)}] == [k for k in pii.KINDS if k in kinds]
+
+
+def test_masking_and_rows(spark):
+    assert pii.mask("a@b.cd or 10.1.1.1, x") == "[email] or [ip], x" and pii.mask(None) is None and pii.mask("") == ""
+    rows = [(1, "mail me: joe@mail.example.com"), (2, None), (3, "")]
+    got = {r.doc_id: r for r in pii.op5(documents(spark, rows)).collect()}
+    assert got[1].n_email == 1 and got[1].spans == "email:9:29" and got[2].base_sha256 == hashlib.sha256(b"").hexdigest()
+    masked = {r.doc_id: r for r in pii.mask_documents(documents(spark, rows)).collect()}
+    assert masked[1].text == "mail me: [email]" and masked[1].n_chars == 16 and masked[2].text is None
+    assert pii.op5(documents(spark)).count() == len(texts()) and pii.op5(documents(spark, [])).count() == 0
+
+
+def test_long_runs_stay_linear():
+    for text in ("1" * 200_000, "a" * 200_000 + "@", "1." * 100_000, "+1" * 100_000, "@" * 100_000, "1 " * 100_000):
+        pii.find_spans(text)
+
+
+# ---------------------------------------------------------------- near-duplicates
+
+
+def plain_fingerprint(text):
+    import xxhash
+
+    w = re.findall(b"[^\x20\x09-\x0d]+", (text or "").encode().lower())
+    grams = [b" ".join(w[i : i + 3]) for i in range(len(w) - 2)] or ([b" ".join(w)] if w else [])
+    h = [xxhash.xxh64_intdigest(g, 42) for g in grams]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def plain_components(prints, ids, most=3):
+    up = list(range(len(prints)))
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i in range(len(prints)):
+        for j in range(i):
+            if (prints[i] ^ prints[j]).bit_count() <= most:
+                up[find(i)] = find(j)
+    return [min((ids[j] for j in range(len(ids)) if find(j) == find(i) and ids[j] is not None), default=None) for i in range(len(ids))]
+
+
+def test_fingerprints_and_components(spark):
+    rows = texts() + [(50 + k, prose(30, 400).replace("the", "of", k)) for k in range(6)]
+    got = simhash.op6(documents(spark, rows)).collect()
+    prints = [plain_fingerprint(t) for _, t in rows]
+    want = [(i, f"{p:016x}", c) for (i, _), p, c in zip(rows, prints, plain_components(prints, [i for i, _ in rows]), strict=True)]
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
+    assert simhash.op6(documents(spark, [])).count() == 0
+
+
+def test_links_through_wide_meetings(spark):
+    """A ball of fingerprints that all meet: split again, and still whole."""
+    import random
+
+    r = random.Random(4)
+    prints = {0, (1 << 63) | 5}
+    for _ in range(150):
+        x = 0
+        for b in r.sample(range(64), r.randrange(1, 6)):
+            x |= 1 << b
+        prints.add(x)
+    prints = sorted(prints)
+    from itemloom.llm.components import components
+
+    df = spark.createDataFrame([(simhash.signed(p),) for p in prints], "fp long")
+    labels = {row.node: row.label for row in components(simhash.links(df, len(prints), wide=8)).collect()}
+    want = plain_components(prints, [simhash.signed(p) for p in prints])
+    assert [labels.get(simhash.signed(p), simhash.signed(p)) for p in prints] == want
+
+
+def test_keep_one(spark):
+    kept = sorted((r.doc_id for r in simhash.keep_one(documents(spark)).collect()), key=repr)
+    assert kept.count(14) == 1 and kept.count(15) <= 1 and 0 in kept and 1 not in kept and None in kept
+
+
+# ---------------------------------------------------------------- repeated passages
+
+
+def plain_repeats(rows, n=50):
+    docs = {i: t.encode().split() for i, t in rows if i is not None and t}
+    where = {}
+    for i in sorted(docs):
+        for s in range(len(docs[i]) - n + 1):
+            where.setdefault(tuple(docs[i][s : s + n]), []).append((i, s))
+    spell = lambda starts: ",".join(f"{a}:{b}" for a, b in _merged(sorted(starts), n))
+    every, later = {}, {}
+    for places in where.values():
+        if len(places) > 1:
+            for k, (i, s) in enumerate(places):
+                every.setdefault(i, set()).add(s)
+                if k:
+                    later.setdefault(i, set()).add(s)
+    return sorted((i, spell(every[i]), spell(later.get(i, ()))) for i in every)
+
+
+def _merged(starts, n):
+    out = []
+    for s in starts:
+        if out and s <= out[-1][1]:
+            out[-1][1] = s + n
+        else:
+            out.append([s, s + n])
+    return out
+
+
+def test_repeats_equal_brute_force(spark):
+    rows = texts()
+    took_part = [(i, t) for i, t in rows if i != 15]
+    took_part = [x for k, x in enumerate(took_part) if x not in took_part[:k]]
+    got = sorted((r.doc_id, r.repeated, r.removed) for r in suffix.op4(documents(spark, rows)).collect())
+    assert got == plain_repeats(took_part)
+    assert {7, 8, 9} <= {g[0] for g in got}
+    assert suffix.op4(documents(spark, [])).count() == 0
+
+
+def test_repeats_across_small_chunks(spark, monkeypatch):
+    """A chunk holds few entries, so that most keys meet in their ranges."""
+    rows = [(k, prose(200 + k % 7, 80) + " " + prose(300 + k % 3, 75) + " " + prose(400 + k, 30)) for k in range(40)]
+    monkeypatch.setattr(suffix, "CHUNK_ENTRIES", 50)
+    assert sorted((r.doc_id, r.repeated, r.removed) for r in suffix.op4(documents(spark, rows).repartition(7)).collect()) == plain_repeats(rows)
+
+
+def test_removal(spark):
+    got = {r.doc_id: r for r in suffix.remove_repeats(documents(spark, [r for r in texts() if r[0] in (7, 8, 9)])).collect()}
+    rows = dict(texts())
+    assert got[7].text == rows[7] and got[9].text == "" and got[9].n_chars == 0
+    assert got[8].text == prose(4, 90) + " " + prose(5, 20) and got[8].n_chars == len(got[8].text)
+    assert suffix.cut_spans("a b c", "1:2") == "a c"
+
+
+def test_grams_and_windows():
+    import numpy as np
+
+    w = np.arange(100, dtype=np.uint64) % np.uint64(7)
+    for n in (1, 2, 3, 5, 8, 20, 50):
+        g = suffix.grams(w, n)
+        assert len(g) == 101 - n and len(set(g.tolist())) == min(7, 101 - n)
+    rank = np.array([5, 3, 3, 9, 1, 7], np.uint64)
+    assert suffix.least_in_window(rank, 3).tolist() == [1, 1, 4, 4]
