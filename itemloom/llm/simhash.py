@@ -8,7 +8,9 @@ two linked fingerprints to one reference differ by MAX_BITS at most, so a pair w
 coordinate is dropped; survivors are verified bit by bit. The search is exact.
 
 The number of blocks follows the number of fingerprints, so that a meeting stays small. A meeting that is still wider than
-WIDE is split again by blocks of its remaining bits, which is exact for the same reason.
+WIDE is split once more by blocks of its remaining bits, which is exact for the same reason. What still meets then agrees
+on some 28 bits and is compared row by row; how many different fingerprints can do so near one text is bounded by their
+64 bits, however many documents there are.
 Links (a spanning forest of each meeting) go to connected components.
 
 Defined results: a null or empty text has the fingerprint zero, which links like any other; repeated rows and equal texts
@@ -90,7 +92,13 @@ def _links(batches: Iterator[pa.RecordBatch], max_bits: int) -> Iterator[dict]:
 
     def search(mask: np.ndarray, bits: np.ndarray, fp: np.ndarray) -> dict:
         table = np.bitwise_count(fp[:, None] ^ refs)  # distances to the references, once for each row
-        first, second = [], []
+        root, kept = np.arange(len(fp)), []  # root: of each row, kept flat between offsets
+
+        def find(x: int) -> int:
+            while root[x] != x:
+                x = root[x] = root[root[x]]
+            return x
+
         at, d = np.arange(len(fp)), 1
         while True:
             at = at[at + d < len(fp)]
@@ -101,23 +109,15 @@ def _links(batches: Iterator[pa.RecordBatch], max_bits: int) -> Iterator[dict]:
             for c in range(len(refs)):  # a coordinate at a time: most pairs go at the first few
                 near = np.abs(table[i, c].astype(np.int8) - table[j, c].astype(np.int8)) <= max_bits
                 i, j = i[near], j[near]
-            near = np.bitwise_count(fp[i] ^ fp[j]) <= max_bits
-            first.append(i[near])
-            second.append(j[near])
+            near = (np.bitwise_count(fp[i] ^ fp[j]) <= max_bits) & (root[i] != root[j])
+            for x, y in zip(i[near].tolist(), j[near].tolist(), strict=True):
+                a, b = find(x), find(y)
+                if a != b:
+                    root[max(a, b)] = min(a, b)
+                    kept.append((x, y))
+            while near.any() and (root != (up := root[root])).any():
+                root = up
             d += 1
-        root: dict[int, int] = {}
-
-        def find(x: int) -> int:
-            while (up := root.get(x, x)) != x:
-                root[x] = x = root.get(up, up)
-            return x
-
-        kept = []
-        for i, j in zip(np.concatenate([[], *first]).astype(int).tolist(), np.concatenate([[], *second]).astype(int).tolist(), strict=True):
-            a, b = find(i), find(j)
-            if a != b:
-                root[b] = a
-                kept.append((i, j))
         pairs = np.array(kept, np.int64).reshape(-1, 2)
         return {"a": fp[pairs[:, 0]].view(np.int64), "b": fp[pairs[:, 1]].view(np.int64)}
 
@@ -141,27 +141,17 @@ def links(distinct: DataFrame, n: int, max_bits: int = MAX_BITS, wide: int = WID
     r = max_bits + 1
     while r < 8 and n > SHARE << (64 * (r - max_bits) // r):
         r += 1
-    rows = _meet(distinct.withColumn("mask", F.lit(0).cast("long")), {0: block_masks((1 << 64) - 1, r, max_bits)})
-    found = None
-    masks = {m for m in block_masks((1 << 64) - 1, r, max_bits)}
-    while True:
-        sizes = rows.groupBy("mask", "bits").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > wide)
-        again = {m for m in masks if m.bit_count() < 64 - max_bits}
-        over = [row["mask"] for row in sizes.select("mask").distinct().collect()] if again else []  # at most one row for each choice of blocks
-        over = {m for m in again if signed(m) in over}
-        if over:
-            wide_keys = materialize(sizes.where(F.col("mask").isin([signed(m) for m in over])).select("mask", "bits"))
-            narrow = rows.join(wide_keys, ["mask", "bits"], "left_anti")
-        else:
-            narrow = rows
-        sorted_ = narrow.repartition("mask", "bits").sortWithinPartitions("mask", "bits", "fp")
-        pairs = map_arrow(sorted_.select("mask", "bits", "fp"), lambda b: _links(b, max_bits), "a long, b long")
-        found = pairs if found is None else found.unionByName(pairs)
-        if not over:
-            return found
-        deeper = {m: [m | x for x in block_masks(((1 << 64) - 1) & ~m, max_bits + 1, max_bits)] for m in over}
-        rows = materialize(_meet(rows.join(wide_keys, ["mask", "bits"], "left_semi").select("fp", "mask"), deeper))
-        masks = {x for xs in deeper.values() for x in xs}
+    masks = block_masks((1 << 64) - 1, r, max_bits)
+    rows = _meet(distinct.withColumn("mask", F.lit(0).cast("long")), {0: masks})
+    sizes = rows.groupBy("mask", "bits").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > wide)
+    over = {row["mask"] for row in sizes.select("mask").distinct().collect()}  # at most one row for each choice of blocks
+    if over:
+        wide_keys = materialize(sizes.select("mask", "bits"))
+        deeper = {m: [m | x for x in block_masks(((1 << 64) - 1) & ~m, max_bits + 1, max_bits)] for m in masks if signed(m) in over}
+        again = _meet(rows.join(wide_keys, ["mask", "bits"], "left_semi").select("fp", "mask"), deeper)
+        rows = rows.join(wide_keys, ["mask", "bits"], "left_anti").select("fp", "mask", "bits").unionByName(again).distinct()
+    sorted_ = rows.repartition("mask", "bits").sortWithinPartitions("mask", "bits", "fp")
+    return map_arrow(sorted_.select("mask", "bits", "fp"), lambda b: _links(b, max_bits), "a long, b long")
 
 
 def _meet(rows: DataFrame, choices: dict[int, list[int]]) -> DataFrame:
