@@ -51,7 +51,7 @@ def normalize_math_text(text: Column | str) -> Column:
 
 def answer_choices(text: Column | str) -> Column:
     """Map from letter to content; of repeated letters the last one counts."""
-    pattern = rf"(?dms)([A-E])(?:[.)]|{S})+(.+?)(?=[A-E](?:[.)]|{S})|$)"
+    pattern = rf"(?dms)([A-E])[.){S_IN}]+(.+?)(?=[A-E][.){S_IN}]|$)"
     pairs = F.arrays_zip(all_of(text, pattern, 1).alias("k"), all_of(text, pattern, 2).alias("v"))
     entries = F.transform(pairs, lambda x: F.struct(x["k"].alias("k"), strip(x["v"]).alias("v")))
     keys = F.array_distinct(F.transform(entries, lambda x: x["k"]))

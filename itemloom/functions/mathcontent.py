@@ -12,24 +12,27 @@ from . import extract
 from .charclass import D, S, W, col, count, is_blank
 from .vocab import DOMAINS, PHRASES, SINGLE_TERMS, SYMBOLS, domain_vocabulary
 
-# Pattern names and what they count. Equation and inequality are anchored at the start of a run, which keeps
-# them linear; the counts are those of the plain forms.
+#: A whole run of digits. A pattern that fails from a run's start fails from its later digits too, so only starts are tried.
+RUN = f"(?<!{D}){D}++"
+
+# Pattern names and what they count. They are anchored at the start of a run wherever that keeps them linear;
+# the counts are those of the plain forms.
 PATTERNS: dict[str, str] = {
-    "addition": rf"{D}+{S}*\+{S}*{D}+",
-    "subtraction": rf"{D}+{S}*[-−]{S}*{D}+",
-    "multiplication": rf"{D}+{S}*[×*·]{S}*{D}+",
-    "division": rf"{D}+{S}*[÷/]{S}*{D}+",
+    "addition": rf"{RUN}{S}*+\+{S}*+{D}+",
+    "subtraction": rf"{RUN}{S}*+[-−]{S}*+{D}+",
+    "multiplication": rf"{RUN}{S}*+[×*·]{S}*+{D}+",
+    "division": rf"{RUN}{S}*+[÷/]{S}*+{D}+",
     "variable": extract.VARIABLE,
     "equation": r"(?<![^=])[^=]++=[^=]++",
     "inequality": r"(?<![^<>=])[^<>=]+[<>≤≥][^<>=]+",
     "exponent": rf"(?<!{W}){W}++(?:\^|\*\*)[\p{{L}}\p{{N}}_{{}}]+",
     "function": rf"(?<!{W})[a-zA-Z]++\([^)]++\)",
     "polynomial": rf"[a-z]\^?{D}*{S}*[+\-]{S}*[a-z]\^?{D}*",
-    "fraction": rf"{D}+/{D}+|\\frac\{{{D}+\}}\{{{D}+\}}",
-    "decimal": rf"{D}+\.{D}+",
-    "percentage": rf"{D}+\.?{D}*%",
-    "ratio": rf"{D}+:{D}+",
-    "scientific_notation": rf"{D}+\.?{D}*{S}*[×x]{S}*10\^-?{D}+",
+    "fraction": rf"{RUN}/{D}+|\\frac\{{{D}+\}}\{{{D}+\}}",
+    "decimal": rf"{RUN}\.{D}+",
+    "percentage": rf"{RUN}(?:\.{D}*+)?+%",
+    "ratio": rf"{RUN}:{D}+",
+    "scientific_notation": rf"{RUN}(?:\.{D}*+)?+{S}*+[×x]{S}*+10\^-?{D}+",
     "derivative": r"d/dx|f'|\\frac\{d\}\{dx\}",
     "integral": r"∫|\\int",
     "limit": r"\\lim|lim_",

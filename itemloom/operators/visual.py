@@ -64,6 +64,13 @@ def sobel(gray: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return across[:-2] + 2 * across[1:-1] + across[2:], down[:, :-2] + 2 * down[:, 1:-1] + down[:, 2:]
 
 
+def smooth(values: np.ndarray) -> np.ndarray:
+    """Means of 3 x 3."""
+    p = np.pad(values, 1, "edge")
+    rows = p[:-2] + p[1:-1] + p[2:]
+    return (rows[:, :-2] + rows[:, 1:-1] + rows[:, 2:]) / 9
+
+
 def laplacian(gray: np.ndarray) -> np.ndarray:
     p = _padded(gray)
     return p[:-2, 1:-1] + p[2:, 1:-1] + p[1:-1, :-2] + p[1:-1, 2:] - 4 * p[1:-1, 1:-1]
@@ -152,7 +159,7 @@ def circle_count(gray: np.ndarray, distance: int = 20, strong: int = 50, votes:
     ys, xs = np.nonzero(edges)
     if not len(ys):
         return 0
-    gx, gy = sobel(gray)
+    gx, gy = (smooth(smooth(g)) for g in sobel(gray))  # a pixel's own direction is too coarse on a sharp edge
     vx, vy = gx[ys, xs], gy[ys, xs]
     norm = np.hypot(vx, vy)
     ok = norm > 0
