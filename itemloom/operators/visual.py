@@ -110,19 +110,25 @@ def line_count(edges: np.ndarray, votes: int = 100, least: int = 50, gap: int =
     angles = np.arange(180) * np.pi / 180
     cos, sin = np.cos(angles), np.sin(angles)
     shift = rows + cols
-    heap = np.zeros((180, 2 * shift + 1), np.int32)
+    width = 2 * shift + 1
+    heap = np.zeros(180 * width, np.int32)
     left, voted = edges.copy(), np.zeros(edges.shape, bool)
-    found, each = 0, np.arange(180)
-    bins = lambda x, y: np.rint(x * cos + y * sin).astype(int) + shift
-    for i in np.random.default_rng(seed).permutation(len(ys)):
+    found, base = 0, np.arange(180) * width + shift
+    bins = lambda x, y: np.rint(np.multiply.outer(x, cos) + np.multiply.outer(y, sin)).astype(np.int64) + base
+    order = np.random.default_rng(seed).permutation(len(ys))
+    for at, i in enumerate(order.tolist()):
+        if at % 4096 == 0:  # the bins of so many points at a time
+            chunk = order[at : at + 4096]
+            table = bins(xs[chunk], ys[chunk])
         x, y = int(xs[i]), int(ys[i])
         if not left[y, x]:
             continue
-        own = bins(x, y)
-        heap[each, own] += 1
+        own = table[at % 4096]
+        now = heap[own] + 1
+        heap[own] = now
         voted[y, x] = True
-        k = int(np.argmax(heap[each, own]))
-        if heap[k, own[k]] < votes:
+        k = int(now.argmax())
+        if now[k] < votes:
             continue
         dx, dy = -sin[k], cos[k]
         scale = max(abs(dx), abs(dy))
@@ -147,7 +153,7 @@ def line_count(edges: np.ndarray, votes: int = 100, least: int = 50, gap: int =
         for px, py in walked:
             if left[py, px]:
                 if good and voted[py, px]:
-                    heap[each, bins(px, py)] -= 1
+                    heap[bins(px, py)] -= 1
                 left[py, px] = False
         found += good
     return int(found)
@@ -166,11 +172,12 @@ def circle_count(gray: np.ndarray, distance: int = 20, strong: int = 50, votes:
     ys, xs, vx, vy = ys[ok], xs[ok], vx[ok] / norm[ok], vy[ok] / norm[ok]
     rows, cols = gray.shape
     heap = np.zeros(rows * cols, np.int64)
-    for r in range(least, most + 1):
-        for sign in (1, -1):
-            cx, cy = np.rint(xs + sign * r * vx).astype(int), np.rint(ys + sign * r * vy).astype(int)
-            inside = (cx >= 0) & (cx < cols) & (cy >= 0) & (cy < rows)
-            heap += np.bincount(cy[inside] * cols + cx[inside], minlength=rows * cols)
+    ways = np.concatenate([np.arange(least, most + 1), -np.arange(least, most + 1)])
+    for k in range(0, len(ys), 1 << 14):  # so many edge points at a time, at every radius to either side
+        part = slice(k, k + (1 << 14))
+        cx, cy = np.rint(xs[part] + np.outer(ways, vx[part])).astype(int), np.rint(ys[part] + np.outer(ways, vy[part])).astype(int)
+        inside = (cx >= 0) & (cx < cols) & (cy >= 0) & (cy < rows)
+        heap += np.bincount(cy[inside] * cols + cx[inside], minlength=rows * cols)
     p = np.pad(heap.reshape(rows, cols), 1)
     own = p[1:-1, 1:-1]
     peak = (own > votes) & (own > p[1:-1, :-2]) & (own >= p[1:-1, 2:]) & (own > p[:-2, 1:-1]) & (own >= p[2:, 1:-1])

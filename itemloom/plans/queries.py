@@ -392,7 +392,8 @@ def _image_rows(s: SparkSession, d: str) -> DataFrame:
     bad = F.col("vec_id") % 10 == 9
     side = F.when(bad, -1).otherwise(64)
     image = F.struct(F.lit("memory").alias("origin"), side.alias("height"), side.alias("width"), F.lit(1).alias("nChannels"), F.lit(0).alias("mode"), F.when(~bad, data).alias("data"))
-    return table(s, d, "embeddings").where(F.size(e) == 64).select("vec_id", "label", image.alias("image"))
+    rows = table(s, d, "embeddings").where(F.size(e) == 64).select("vec_id", "label", "embedding")
+    return rows.repartition(4 * s.sparkContext.defaultParallelism).select("vec_id", "label", image.alias("image"))  # small rows, much work for each
 
 
 register("image_features", lambda s, d: visual.image_features(_image_rows(s, d), "vec_id").select("vec_id", *visual.flat("visual"), F.col("visual.structural_elements.contour_count").alias("contours"), F.col("visual.edge_metrics.sobel_mean").alias("sobel_mean")))
