@@ -16,6 +16,7 @@ from ..operators import agreement, parse, visual
 from ..sources import documents
 from . import oracle as sql
 from .item import collapse, text_features
+from .spread import spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -26,12 +27,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """item_id, txt: the synthetic item corpus, a text for each order."""
-    parts = table(spark, sf_dir, "orders").selectExpr(*sql.ITEM_PARTS)
+    parts = spread(table(spark, sf_dir, "orders").selectExpr(*sql.ITEM_PARTS))
     return parts.selectExpr("o_orderkey as item_id", f"{sql.ITEM_TEXT} as txt")
 
 
 def responses(text: str) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, sf_dir: table(spark, sf_dir, "orders").selectExpr(*sql.RESPONSE_PARTS).selectExpr("o_orderkey as item_id", f"{text} as raw")
+    return lambda spark, sf_dir: spread(table(spark, sf_dir, "orders").selectExpr(*sql.RESPONSE_PARTS)).selectExpr("o_orderkey as item_id", f"{text} as raw")
 
 
 def texts(name: str) -> Callable[[SparkSession, str], DataFrame]:
@@ -39,7 +40,7 @@ def texts(name: str) -> Callable[[SparkSession, str], DataFrame]:
     if name == "items":
         return lambda s, d: items(s, d).select(F.col("item_id").alias("id"), "txt")
     key, text = {"documents": ("doc_id", "text"), "pages": ("page_id", "html"), "benchmark": ("item_id", "text")}[name]
-    return lambda s, d: table(s, d, name).select(F.col(key).alias("id"), F.col(text).alias("txt"))
+    return lambda s, d: spread(table(s, d, name).select(F.col(key).alias("id"), F.col(text).alias("txt")))
 
 
 def source_sql(name: str) -> str:
@@ -258,7 +259,7 @@ def item_features_text(s: SparkSession, d: str) -> DataFrame:
 
 
 register("item_features_text", item_features_text, sql.item_row())
-register("item_features_documents", lambda s, d: text_features(table(s, d, "documents").select(F.col("doc_id").alias("item_id"), "text")))
+register("item_features_documents", lambda s, d: text_features(spread(table(s, d, "documents").select(F.col("doc_id").alias("item_id"), "text"))))
 
 # ---------------------------------------------------------------- aggregates
 
@@ -393,7 +394,7 @@ def _image_rows(s: SparkSession, d: str) -> DataFrame:
     side = F.when(bad, -1).otherwise(64)
     image = F.struct(F.lit("memory").alias("origin"), side.alias("height"), side.alias("width"), F.lit(1).alias("nChannels"), F.lit(0).alias("mode"), F.when(~bad, data).alias("data"))
     rows = table(s, d, "embeddings").where(F.size(e) == 64).select("vec_id", "label", "embedding")
-    return rows.repartition(4 * s.sparkContext.defaultParallelism).select("vec_id", "label", image.alias("image"))  # small rows, much work for each
+    return spread(rows).select("vec_id", "label", image.alias("image"))
 
 
 register("image_features", lambda s, d: visual.image_features(_image_rows(s, d), "vec_id").select("vec_id", *visual.flat("visual"), F.col("visual.structural_elements.contour_count").alias("contours"), F.col("visual.edge_metrics.sobel_mean").alias("sobel_mean")))
