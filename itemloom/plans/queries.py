@@ -298,7 +298,7 @@ def _rollup(s: SparkSession, d: str) -> DataFrame:
 register(
     "visual_rollup_by_label",
     _rollup,
-    "select label as item_id, sum(vec_id % 5) as visual_total_shapes, sum(vec_id % 7) as visual_line_count, sum(0) as visual_circle_count, max(vec_id % 11 + 1) as visual_width, max(len(embedding)) as visual_height, round(avg(case when vec_id % 3 > 0 then cast(list_max(embedding) - list_min(embedding) as double) end), 5) as visual_contrast, round(avg(cast(embedding[1] as double)), 5) as visual_mean, cast(null as double) as visual_edge_ratio, cast(null as double) as visual_aspect_ratio, cast(null as double) as visual_high_freq_ratio, cast(null as double) as visual_low_freq_ratio from embeddings group by label",
+    "select label as item_id, cast(sum(vec_id % 5) as bigint) as visual_total_shapes, cast(sum(vec_id % 7) as bigint) as visual_line_count, cast(sum(0) as bigint) as visual_circle_count, max(vec_id % 11 + 1) as visual_width, max(len(embedding)) as visual_height, round(avg(case when vec_id % 3 > 0 then cast(list_max(embedding) - list_min(embedding) as double) end), 5) as visual_contrast, round(avg(cast(embedding[1] as double)), 5) as visual_mean, cast(null as double) as visual_edge_ratio, cast(null as double) as visual_aspect_ratio, cast(null as double) as visual_high_freq_ratio, cast(null as double) as visual_low_freq_ratio from embeddings group by label",
 )
 
 
@@ -346,7 +346,7 @@ register("visual_model_dim", lambda s, d: visual_model_dim(s), f"with {sql.MODEL
 register(
     "visual_group_counts",
     lambda s, d: _classified(s, d).groupBy(F.col("primary_model").alias("model")).agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(visual_model_dim(s)), "model").groupBy("grp").agg(F.sum("n").alias("n")),
-    f"with {sql.MODELS}, c as (select primary_model as model, count(*) as n from ({sql.classification()}) group by 1) select grp, sum(n) as n from c join models using (model) group by grp",
+    f"with {sql.MODELS}, c as (select primary_model as model, count(*) as n from ({sql.classification()}) group by 1) select grp, cast(sum(n) as bigint) as n from c join models using (model) group by grp",
 )
 register("model_count_totals", lambda s, d: _classified(s, d).groupBy("model_count").agg(F.count(F.lit(1)).alias("n")), f"select model_count, count(*) as n from ({sql.classification()}) group by model_count")
 
