@@ -39,19 +39,16 @@ def _rest(url: Column) -> Column:
     return F.when(F.instr(url, "://") > 0, F.regexp_extract(url, r"(?s)^.*?://(.*)$", 1)).otherwise("")
 
 
-def host_of(url: Column) -> Column:
-    return F.coalesce(F.translate(F.regexp_extract(_rest(url), r"^([^/?#]*)", 1), _UPPER, _LOWER), F.lit(""))
+def with_parts(df: DataFrame, url: str, prefix: str = "") -> DataFrame:
+    """The frame with {prefix}host, {prefix}path and {prefix}node of a URL column, in stages, so that no part is spelled out twice.
 
-
-def path_of(url: Column) -> Column:
-    return F.coalesce(F.regexp_extract(_rest(url), r"^[^/?#]*([^?#]*)", 1), F.lit(""))
-
-
-def normal_url(url: Column) -> Column:
-    """Host, path and query: what names a page. Null where there is no host."""
-    query = F.regexp_extract(_rest(url), r"^[^/?#]*[^?#]*(\?[^#]*)?", 1)
-    path = F.when(path_of(url) == "", "/").otherwise(path_of(url))
-    return F.when(host_of(url) != "", F.concat(host_of(url), path, query))
+    node names a page: host, path and query; null where there is no host.
+    """
+    p = prefix
+    df = df.withColumn(f"{p}rest", F.coalesce(_rest(F.col(url)), F.lit("")))
+    df = df.withColumns({f"{p}host": F.translate(F.regexp_extract(f"{p}rest", r"^([^/?#]*)", 1), _UPPER, _LOWER), f"{p}path": F.regexp_extract(f"{p}rest", r"^[^/?#]*([^?#]*)", 1), f"{p}query": F.regexp_extract(f"{p}rest", r"^[^/?#]*[^?#]*(\?[^#]*)?", 1)})
+    node = F.when(F.col(f"{p}host") != "", F.concat(f"{p}host", F.when(F.col(f"{p}path") == "", "/").otherwise(F.col(f"{p}path")), f"{p}query"))
+    return df.withColumn(f"{p}node", node)
 
 
 def rule_of(host: Column, path: Column, rules: list[tuple[str, str, str]], what: int | None = None) -> Column:
@@ -67,11 +64,11 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str, str]], what:
     return F.lit(None).cast("string") if out is None else out
 
 
-def _absolute(target: Column, url: Column) -> Column:
-    """A link's URL, seen from its page."""
+def _absolute(target: Column, url: Column, rest: Column) -> Column:
+    """A link's URL, seen from its page. rest: what follows "://" in the page's URL."""
     scheme = F.regexp_extract(url, r"^([^:/?#]+)://", 1)
-    site = F.concat(scheme, F.lit("://"), F.regexp_extract(_rest(url), r"^([^/?#]*)", 1))
-    folder = F.regexp_extract(_rest(url), r"^[^/?#]*((?:/[^/?#]*)*/)?", 1)
+    site = F.concat(scheme, F.lit("://"), F.regexp_extract(rest, r"^([^/?#]*)", 1))
+    folder = F.regexp_extract(rest, r"^[^/?#]*((?:/[^/?#]*)*/)?", 1)
     return (
         F.when(F.instr(target, "://") > 0, target)
         .when(target.startswith("//"), F.concat(scheme, F.lit(":"), target))
@@ -90,7 +87,9 @@ def alias_edges(pages: DataFrame) -> DataFrame:
     canonical = F.transform(F.regexp_extract_all("html", F.lit(_CANONICAL), F.lit(0)), lambda tag: entities(href(tag)))
     refresh = F.transform(F.regexp_extract_all("html", F.lit(_REFRESH), F.lit(0)), lambda tag: entities(F.regexp_extract(tag, _TARGET, 1)))
     targets = linked.select("url", F.explode(F.concat(canonical, refresh)).alias("target")).where("target <> ''")
-    edges = targets.select(normal_url(F.col("url")).alias("a"), normal_url(_absolute(F.trim("target"), F.col("url"))).alias("b"))
+    targets = with_parts(targets.withColumn("target", F.trim("target")), "url", "a_")
+    targets = with_parts(targets.withColumn("there", _absolute(F.col("target"), F.col("url"), F.col("a_rest"))), "there", "b_")
+    edges = targets.select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
     return edges.where("a is not null and b is not null and a <> b").distinct()
 
 
@@ -98,17 +97,18 @@ def judged_pages(pages: DataFrame, rules: list[tuple[str, str, str]] | None = No
     """page_id, host, path, rule, verdict. redirects: further edges as URLs (source, target), e.g. from a crawl's log."""
     rules = RULES if rules is None else rules
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
-    url = F.col("url")
-    judged = pages.select("page_id", host_of(url).alias("host"), path_of(url).alias("path"), normal_url(url).alias("node")).select("*", rule_of(F.col("host"), F.col("path"), rules).alias("rule"), rule_of(F.col("host"), F.col("path"), rules, 2).alias("own"))
+    parts = with_parts(pages.select("page_id", "url"), "url").select("page_id", "host", "path", "node")
+    judged = parts.select("*", rule_of(F.col("host"), F.col("path"), rules).alias("rule"), rule_of(F.col("host"), F.col("path"), rules, 2).alias("own"))
     edges = alias_edges(pages)
     if redirects is not None:
-        edges = edges.unionByName(redirects.select(normal_url(F.col("source")).alias("a"), normal_url(F.col("target")).alias("b"))).distinct()
+        logged = with_parts(with_parts(redirects.select("source", "target"), "source", "a_"), "target", "b_")
+        edges = edges.unionByName(logged.select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))).distinct()
     edges = materialize(edges)
     if edges.isEmpty():  # each URL is alone: its own spellings all fit the same rules
         return judged.select("page_id", "host", "path", "rule", F.coalesce("own", F.lit("allow")).alias("verdict"))
     labels = materialize(components(edges))
-    split = F.regexp_extract("node", r"^([^/]*)", 1), F.regexp_extract("node", r"^[^/]*([^?]*)", 1)
-    votes = labels.select("label", rule_of(*split, rules, 2).alias("own")).groupBy("label").agg(F.max((F.col("own") == "allow").cast("int")).alias("allows"), F.max((F.col("own") == "block").cast("int")).alias("blocks"))
+    split = labels.withColumns({"host": F.regexp_extract("node", r"^([^/]*)", 1), "path": F.regexp_extract("node", r"^[^/]*([^?]*)", 1)})
+    votes = split.select("label", rule_of(F.col("host"), F.col("path"), rules, 2).alias("own")).groupBy("label").agg(F.max((F.col("own") == "allow").cast("int")).alias("allows"), F.max((F.col("own") == "block").cast("int")).alias("blocks"))
     passed_on = labels.join(votes, "label").select("node", F.when((F.col("blocks") == 1) & F.coalesce(F.col("allows") == 0, F.lit(True)), "block").alias("passed_on")).where("passed_on is not null")
     return judged.join(passed_on, "node", "left").select("page_id", "host", "path", "rule", F.coalesce("own", "passed_on", F.lit("allow")).alias("verdict"))
 
