@@ -158,7 +158,7 @@ for _s in ("items", "documents"):
         _s,
         {
             "n": (lambda: F.size(_numbers()), "len(nums)"),
-            "number_range": (lambda: r6(mathcontent.number_range(_numbers())), "round(coalesce(list_max(nums) - list_min(nums), 0), 6)"),
+            "number_range": (lambda: mathcontent.number_range(_numbers()), "coalesce(list_max(nums) - list_min(nums), 0)"),
             "has_negative": (lambda: mathcontent.has_negative(_numbers()), "len(list_filter(nums, lambda x: x < 0)) > 0"),
             "has_decimal": (lambda: mathcontent.has_decimal(_numbers()), "len(list_filter(nums, lambda x: x <> floor(x))) > 0"),
             "kept": (lambda: F.size(F.slice(_numbers(), 1, 20)), "least(20, len(nums))"),
