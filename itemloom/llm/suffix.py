@@ -309,14 +309,14 @@ def cut_spans(text: str, spans: str) -> str:
 
 def remove_repeats(documents: DataFrame) -> DataFrame:
     """The documents without repeats that occur earlier; n_chars follows the text."""
-    found = repeated_passages(documents).where("removed <> ''").select(F.col("doc_id").alias("cut_id"), F.col("removed").alias("cut_spans"))
-    joined = documents.join(found, documents["doc_id"] == found["cut_id"], "left").drop("cut_id")
+    found = repeated_passages(documents).where("removed <> ''").select(F.col("doc_id").alias("__cut_id"), F.col("removed").alias("__cut_spans"))
+    joined = documents.join(found, documents["doc_id"] == found["__cut_id"], "left").drop("__cut_id")
     schema = documents.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            spans = batch.column("cut_spans").to_pylist()
-            batch = batch.drop_columns(["cut_spans"])
+            spans = batch.column("__cut_spans").to_pylist()
+            batch = batch.drop_columns(["__cut_spans"])
             texts = batch.column("text").to_pylist()
             new = [t if s is None or t is None else cut_spans(t, s) for t, s in zip(texts, spans, strict=True)]
             columns = dict(zip(batch.schema.names, batch.columns, strict=True)) | {"text": pa.array(new, batch.schema.field("text").type)}
