@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import map_arrow, materialize
 from .components import components
+from .nearcopies import near_copies
 
 WORDS = 3
 MAX_BITS = 3
@@ -180,11 +181,11 @@ def op6(documents: DataFrame) -> DataFrame:
 
 
 def keep_one(documents: DataFrame) -> DataFrame:
-    """The documents, one of each group: the one with the least doc_id (of repeated rows of that id, one).
+    """The documents, one of each group of near copies (see nearcopies): the one with the least doc_id (of repeated rows of that id, one).
 
     Documents without an id stay, since no group can be told by them.
     """
-    groups = near_groups(documents)
+    groups = materialize(near_copies(documents).select("doc_id", "component_id"))
     kept = groups.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("kept_id")).distinct()
     columns = documents.columns
     with_id = documents.where("doc_id is not null").join(kept, documents["doc_id"] == kept["kept_id"], "left_semi")

@@ -186,6 +186,36 @@ def test_keep_one(spark):
     assert kept.count(14) == 1 and kept.count(15) <= 1 and 0 in kept and 1 not in kept and None in kept
 
 
+def test_keep_one_at_jaccard(spark):
+    """Pairs on both sides of similarity 0.8 on five-word shingles, and a group that hangs together by its middle only."""
+    import random
+
+    from itemloom.llm.nearcopies import near_copies, shingles
+
+    r, rows = random.Random(6), []
+    for k in range(60):
+        words = prose(100 + k, 150 + 5 * k).split()
+        rows.append((2 * k, " ".join(words)))
+        for p in r.sample(range(len(words)), 1 + k % 8):
+            words[p] = f"changed{p}"
+        rows.append((2 * k + 1, " ".join(words)))
+    chain = prose(500, 300).split()
+    for k in range(12):
+        chain[10 + 20 * k] = f"other{k}"
+        rows.append((200 + k, " ".join(chain)))
+    sets = [set(shingles(t).tolist()) for _, t in rows]
+    up = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                old, new = up[i], up[j]
+                up = [new if x == old else x for x in up]
+    want = {i: min(rows[q][0] for q in range(len(rows)) if up[q] == up[k]) for k, (i, _) in enumerate(rows)}
+    assert {x.doc_id: x.component_id for x in near_copies(documents(spark, rows)).collect()} == want
+    kept = sorted(x.doc_id for x in simhash.keep_one(documents(spark, rows)).collect())
+    assert kept == sorted(set(want.values())) and 60 < len(kept) < 120
+
+
 # ---------------------------------------------------------------- repeated passages
 
 
