@@ -33,14 +33,18 @@ MIN_TOKENS = 64
 # For each script the least and the largest characters per token, the largest share of byte tokens and
 # the least entropy in bits. They are wide: prose in any language of the script passes, encoded data, mojibake and
 # single-token loops don't. Scripts that the byte-level vocabulary spells out in bytes have low characters per token.
+# So have languages whose Latin letters carry stacked or rare marks, as Vietnamese and Yoruba: 'latin_marked'. Letters of
+# further scripts may be unknown to the piece model, which then spells them all in bytes: 'other_letters'.
 BANDS = {
     "latin": (1.3, 9.0, 0.25, 3.0),
+    "latin_marked": (0.8, 9.0, 0.40, 3.0),
     "cyrillic": (0.5, 6.0, 0.25, 3.0),
     "greek": (0.4, 5.0, 0.30, 3.0),
     "arabic": (0.4, 5.0, 0.40, 3.0),
     "hebrew": (0.4, 5.0, 0.40, 3.0),
     "cjk": (0.25, 3.0, 0.70, 3.0),
     "other": (0.2, 9.0, 0.90, 2.0),
+    "other_letters": (0.2, 9.0, 1.00, 2.0),
 }
 _SCRIPTS = {
     "latin": re.compile("[A-Za-z\xc0-\u024f\u1e00-\u1eff]"),
@@ -50,18 +54,34 @@ _SCRIPTS = {
     "hebrew": re.compile("[\u0590-\u05ff]"),
     "cjk": re.compile("[\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af]"),
 }
-_NOT_LATIN = re.compile("[\u0370-\u1dff\u1f00-\u1fff\u3040-\ud7af]")
+_NOT_LATIN = re.compile("[\u0370-\u1dff\u1f00-\u1fff\u2c00-\u2dff\u3040-\ud7ff\uf900-\U0010ffff]")
+#: Latin letters beyond Latin-1, which UTF-8 that was read as Latin-1 doesn't hold, and combining marks.
+_MARKED = re.compile("[\u0100-\u024f\u0300-\u036f\u1e00-\u1eff]")
+MARKED_PERCENT = 5
+LETTERS_PERCENT = 30
 
 
 def script_of(text: str) -> str:
-    """The script with the most letters; ties go to the one listed first."""
+    """The script with the most letters; letters of any further script count as 'other'; ties go to the one listed first."""
     if not _NOT_LATIN.search(text):
         return "latin" if _SCRIPTS["latin"].search(text) else "other"
     counts = {k: sum(1 for _ in p.finditer(text)) for k, p in _SCRIPTS.items()}
+    known = sum(sum(map(str.isalpha, p.findall(text))) for p in _SCRIPTS.values())
+    counts["other"] = sum(map(str.isalpha, text)) - known
     best = max(counts, key=counts.get)
     return best if counts[best] else "other"
 
 
+def band_of(text: str, script: str) -> str:
+    """The script; latin_marked where MARKED_PERCENT of a Latin text's letters have rare marks, other_letters where LETTERS_PERCENT of another text are letters."""
+    if script == "other" and text and 100 * sum(map(str.isalpha, text)) >= LETTERS_PERCENT * len(text):
+        return "other_letters"
+    if script == "latin" and (marked := sum(1 for _ in _MARKED.finditer(text))):
+        if 100 * marked >= MARKED_PERCENT * sum(1 for _ in _SCRIPTS["latin"].finditer(text)):
+            return "latin_marked"
+    return script
+
+
 def repeated_words(words: list[str], window: int = WINDOW) -> int:
     """Words inside windows that the text holds twice or more, the first one included."""
     n = len(words) - window + 1
@@ -115,7 +135,7 @@ def _measure(batches: Iterator[pa.RecordBatch], ranks_path: str, piece_path: str
             per_token = len(text) / len(ids) if len(ids) else 0.0
             share = float(is_byte[parts].mean()) if len(parts) else 0.0
             bits = entropy(ids)
-            least, most, bytes_most, bits_least = bands[script]
+            least, most, bytes_most, bits_least = bands.get(band_of(text, script)) or bands[script]
             reason = None
             if failed:
                 reason = "base"

@@ -55,6 +55,41 @@ def test_quality_bands(spark):
     assert kept.columns == documents(spark).columns and sorted(r.doc_id for r in kept.collect()) == sorted(i for i, r in got.items() if r.kept)
 
 
+CLEAN = [
+    ("latin", "Tất cả mọi người sinh ra đều được tự do và bình đẳng về nhân phẩm và quyền lợi. Mọi con người đều được tạo hóa ban cho lý trí và lương tâm và cần phải đối xử với nhau trong tình anh em. Ai cũng được hưởng những quyền tự do ghi trong bản tuyên ngôn này không phân biệt đối xử vì bất cứ lý do nào."),
+    ("other", "มนุษย์ ทั้งหลาย เกิดมา มีอิสระ และ เสมอภาค กัน ใน เกียรติศักดิ์ และ สิทธิ ต่าง มีเหตุผล และ มโนธรรม และควร ปฏิบัติ ต่อกัน ด้วย เจตนารมณ์ แห่ง ภราดรภาพ"),
+    ("other", "सभी मनुष्यों को गौरव और अधिकारों के मामले में जन्मजात स्वतन्त्रता और समानता प्राप्त है। उन्हें बुद्धि और अन्तरात्मा की देन प्राप्त है और परस्पर उन्हें भाईचारे के भाव से बर्ताव करना चाहिए।"),
+    ("other", "மனிதப் பிறிவியினர் சகலரும் சுதந்திரமாகவே பிறக்கின்றனர்; அவர்கள் மதிப்பிலும், உரிமைகளிலும் சமமானவர்கள், அவர்கள் நியாயத்தையும் மனச்சாட்சியையும் இயற்பண்பாகப் பெற்றவர்கள்."),
+    ("other", "ყველა ადამიანი იბადება თავისუფალი და თანასწორი თავისი ღირსებითა და უფლებებით. მათ მინიჭებული აქვთ გონება და სინდისი და ერთმანეთის მიმართ უნდა იქცეოდნენ ძმობის სულისკვეთებით."),
+    ("other", "Բոլոր մարդիկ ծնվում են ազատ ու հավասար իրենց արժանապատվությամբ ու իրավունքներով։ Նրանք ունեն բանականություն ու խիղճ և միմյանց պետք է եղբայրաբար վերաբերվեն։"),
+    ("other", "የሰው ልጅ ሁሉ ሲወለድ ነጻና በክብርና በመብትም እኩልነት ያለው ነው። የተፈጥሮ ማስተዋልና ሕሊና ስላለው አንዱ ሌላውን በወንድማማችነት መንፈስ መመልከት ይገባዋል።"),
+    ("other", "પ્રતિષ્ઠા અને અધિકારોની દૃષ્ટિએ સર્વ માનવો જન્મથી સ્વતંત્ર અને સમાન હોય છે. તેમનામાં વિચારશક્તિ અને અંતઃકરણ હોય છે અને તેમણે પરસ્પર બંધુત્વની ભાવનાથી વર્તવું જોઇએ."),
+    ("latin", "Gbogbo ènìyàn ni a bí ní òmìnira; iyì àti ẹ̀tọ́ kọ̀ọ̀kan sì dọ́gba. Wọ́n ní ẹ̀bùn ti làákàyè àti ti ẹ̀rí-ọkàn, ó sì yẹ kí wọn ó máa hùwà sí ara wọn gẹ́gẹ́ bí ọmọ ìyá."),
+    ("cyrillic", "Все люди рождаются свободными и равными в своем достоинстве и правах. Они наделены разумом и совестью и должны поступать в отношении друг друга в духе братства."),
+    ("greek", "Όλοι οι άνθρωποι γεννιούνται ελεύθεροι και ίσοι στην αξιοπρέπεια και τα δικαιώματα. Είναι προικισμένοι με λογική και συνείδηση, και οφείλουν να συμπεριφέρονται μεταξύ τους με πνεύμα αδελφοσύνης."),
+    ("arabic", "يولد جميع الناس أحرارًا متساوين في الكرامة والحقوق. وقد وهبوا عقلاً وضميرًا وعليهم أن يعامل بعضهم بعضًا بروح الإخاء."),
+    ("hebrew", "כל בני אדם נולדו בני חורין ושווים בערכם ובזכויותיהם. כולם חוננו בתבונה ובמצפון, לפיכך חובה עליהם לנהוג איש ברעהו ברוח של אחווה."),
+    ("cjk", "すべての 人間は、 生まれながらにして 自由であり、 かつ、 尊厳と 権利とについて 平等である。 人間は、 理性と 良心とを 授けられており、 互いに 同胞の 精神をもって 行動しなければならない。"),
+    ("cjk", "모든 인간은 태어날 때부터 자유로우며 그 존엄과 권리에 있어 동등하다. 인간은 천부적으로 이성과 양심을 부여받았으며 서로 형제애의 정신으로 행동하여야 한다."),
+]
+
+
+def test_quality_keeps_clean_text_of_each_script(spark):
+    """Alone, with a word in Latin letters beside it, and with its marks as separate characters."""
+    import unicodedata
+
+    rows = [(3 * k + j, t) for k, (_, own) in enumerate(CLEAN) for j, t in enumerate((own, own + " Wikipedia", unicodedata.normalize("NFD", own)))]
+    got = {r.doc_id: r for r in quality.op1(documents(spark, rows)).collect()}
+    assert [(i, r.chars_per_token, r.reason) for i, r in sorted(got.items()) if not r.kept] == []
+    assert [got[3 * k + j].script for k in range(len(CLEAN)) for j in (0, 1)] == [s for s, _ in CLEAN for _ in range(2)]
+    assert len(quality.keep_good(documents(spark, rows)).collect()) == len(rows)
+
+
+def test_quality_rejects_mojibake(spark):
+    rows = [(k, t.encode().decode("latin-1")) for k, (_, t) in enumerate(CLEAN)]
+    assert [r.doc_id for r in quality.op1(documents(spark, rows)).collect() if r.kept] == []
+
+
 def test_entropy():
     import numpy as np
 
