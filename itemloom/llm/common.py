@@ -85,6 +85,11 @@ def input_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
+def dealt(df: DataFrame, buckets: int):
+    """df grouped by its bucket column, a task for each few buckets: their number follows the input, not a fixed setting."""
+    return df.repartition(buckets, "bucket").groupBy("bucket")
+
+
 def bucket_count(df: DataFrame, bytes_each: int = 8 << 20) -> int:
     """Into how many buckets to deal what comes from df. It grows with the input, so that a bucket doesn't."""
     spark = df.sparkSession
@@ -152,21 +157,23 @@ _PLAIN = re.compile("[^\\x00-\\x1b\\x20-\\x84\\x86-\\u024f\\u2010-\\u2027\\u2030
 class JsonEncoder:
     """Ids of a tokenizers file that has a twin of ranks: plain texts go to the faster twin, any other to the file itself.
 
-    The two agree on texts of plain characters (tests compare them); Unicode tables of the two libraries differ elsewhere.
-    Strings of special tokens in a text are ordinary text.
+    The two agree on texts of plain characters without the string of a special token (tests compare them); Unicode
+    tables of the two libraries differ elsewhere. The file decides about such strings: as it is read, "<|endoftext|>" in a
+    text is one token.
     """
 
     def __init__(self, json_path: str, ranks_path: str | None = None):
         from tokenizers import Tokenizer
 
         self.slow = Tokenizer.from_file(json_path)
-        self.slow.encode_special_tokens = True
         self.fast = rank_encoder(ranks_path) if ranks_path else None
+        added = [re.escape(t.content) for t in self.slow.get_added_tokens_decoder().values()]
+        self.not_plain = re.compile("|".join([_PLAIN.pattern, *added]))
 
     def __call__(self, text: str | None) -> np.ndarray:
         if not text:
             return np.empty(0, np.uint32)
-        if self.fast and not _PLAIN.search(text):
+        if self.fast and not self.not_plain.search(text):
             return self.fast.encode_to_numpy(text, disallowed_special=())
         return np.array(self.slow.encode(text, add_special_tokens=False).ids, np.uint32)
 

@@ -6,7 +6,8 @@ nodes left over, again best-fit, until one node is left. A node passes on at mos
 fuller ones are final there, so that no task's input grows with the corpus. No token is lost or moved between documents.
 
 Defined results: a null or empty text is a document of the one end id; texts of any length are cut, none is dropped;
-repeated rows and null ids are packed like any other; an empty table gives no rows; further columns are ignored.
+repeated rows and null ids are packed like any other, pieces of one length in the order of their rows; the string of a
+special token in a text is that token, as in the vocabulary file; an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations

@@ -2,13 +2,15 @@
 
 An Aho-Corasick automaton finds at-signs, schemes, dial signs and identifier cues in one pass over a text; local parsers
 expand each anchor to the left and right and validate what they find. Digit groups (IP addresses, card numbers) have
-no fixed anchor string; runs of digits are theirs. All parsers are linear in the text.
+no fixed anchor string; runs of digits are theirs, and two capitals with two digits that of an IBAN. A cue is a whole word.
+All parsers are linear in the text, however long it is, and none has a bound on what it finds.
 
 Kinds, in the order in which ties are listed: email, ip, card, phone (the base kinds), then url_user (name and password
 in a URL), account (a number behind a cue such as "account no."), iban (valid by its check digits).
 
 Defined results: a null text counts as empty; spans are in code points, ends exclusive; spans of different kinds may
-overlap and are all reported; repeated rows give equal rows; an empty table gives no rows; further columns are ignored.
+overlap and are all reported, those of one start and kind by their ends; texts of any length are read whole; repeated rows
+give equal rows; an empty table gives no rows; further columns are ignored.
 Masking merges overlapping spans and names the first one's kind.
 """
 
@@ -30,16 +32,19 @@ KINDS = ("email", "ip", "card", "phone", "url_user", "account", "iban")
 BASE = KINDS[:4]
 CUES = ("account number", "account no", "account", "acct no", "acct", "a/c no", "konto", "kontonummer", "compte", "cuenta", "iban", "passport no", "passport", "ssn", "tax id", "user id", "customer id")
 
+CUE_WORDS = frozenset(CUES)
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 # A digit run that fails from its start fails from each later digit too, so only starts of runs are tried.
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_USERINFO = re.compile(r"[A-Za-z0-9._~%!$&'()*+,;=:-]{1,256}@")
+_USERINFO = re.compile(r"[A-Za-z0-9._~%!$&'()*+,;=:-]++@")
 _SEPARATOR = re.compile(r"[ \t]*(?:number|no\.?|nr\.?|id)?[ \t]*[:#=]?[ \t]*", re.I)
 _ACCOUNT = re.compile(r"[A-Za-z0-9][A-Za-z0-9-]{4,33}(?![A-Za-z0-9-])")
-_IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?(?![A-Za-z0-9])")
+_IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
+#: Two capitals and two digits at the start of a word anchor an IBAN that no cue announces.
+_IBAN_HEAD = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?= ?[A-Z0-9]{4})")
 _DIGIT = re.compile("[0-9]")
 
 
@@ -87,6 +92,20 @@ def _phones(text: str, pluses: list[int]) -> Iterator[tuple[int, int]]:
                 yield at, end
 
 
+def _ibans(text: str) -> Iterator[tuple[int, int]]:
+    """Valid IBANs. Of a run of groups, the longest start whose check digits hold; what follows may be a word in capitals."""
+    end = 0
+    for m in _IBAN_HEAD.finditer(text):
+        if m.start() < end or not (full := _IBAN.match(text, m.start())):
+            continue
+        stops = [full.end(), *(k for k in range(full.end() - 1, m.start() + 14, -1) if text[k] == " ")]
+        for stop in stops:
+            if iban_valid(text[m.start() : stop]):
+                end = stop
+                yield m.start(), stop
+                break
+
+
 def find_spans(text: str | None) -> list[tuple[int, int, str]]:
     """All spans as (start, end, kind), by start, then by kind."""
     if not text:
@@ -96,7 +115,10 @@ def find_spans(text: str | None) -> list[tuple[int, int, str]]:
     if len(folded) != len(text):  # some characters change length; A-Z suffice for the cues
         folded = "".join(c.lower() if c < "\x80" else c for c in text)
     for last, (n, w) in automaton().iter(folded):
-        (ats if w == "@" else pluses if w == "+" else schemes if w == "://" else cues).append(last + 1 if n > 1 else last)
+        if w in CUE_WORDS:
+            cues.append((last + 1, n))
+        else:
+            (ats if w == "@" else pluses if w == "+" else schemes).append(last + 1 if n > 1 else last)
     found = [(s, e, "email") for s, e in _emails(text, ats)]
     found += [(s, e, "phone") for s, e in _phones(text, pluses)]
     if _DIGIT.search(text):
@@ -105,16 +127,16 @@ def find_spans(text: str | None) -> list[tuple[int, int, str]]:
             digits = m[0].replace(" ", "").replace("-", "")
             if 14 <= len(digits) <= 19 and luhn(digits):
                 found.append((m.start(), m.end(), "card"))
-        done = 0
-        for at in sorted(cues):
-            if at < done or at < len(text) and text[at - 1].isalnum() and text[at].isalpha():
-                continue  # inside a found one, or the cue is the head of a longer word
+        ibans = list(_ibans(text))
+        found += [(s, e, "iban") for s, e in ibans]
+        taken, done = {s: e for s, e in ibans}, 0
+        for at, n in sorted(cues):
+            if at < done or at < len(text) and text[at - 1].isalnum() and text[at].isalpha() or at > n and text[at - n - 1].isalnum():
+                continue  # inside a found one, or the cue is the head or the tail of a longer word
             s = _SEPARATOR.match(text, at).end()
-            if m := _IBAN.match(text, s):
-                if iban_valid(m[0]):
-                    found.append((m.start(), m.end(), "iban"))
-                    done = m.end()
-                    continue
+            if s in taken:
+                done = taken[s]
+                continue
             if s > at and (m := _ACCOUNT.match(text, s)) and len(_DIGIT.findall(m[0])) >= 5:
                 found.append((m.start(), m.end(), "account"))
                 done = m.end()
@@ -166,7 +188,10 @@ def mask(text: str | None) -> str | None:
 
 
 def mask_documents(documents: DataFrame) -> DataFrame:
-    """The documents with personal data masked; n_chars follows the text."""
+    """The documents with personal data masked; n_chars follows the text.
+
+    Null and empty texts stay as they are, as do rows with null ids, repeated rows and further columns; an empty table stays empty.
+    """
     schema = documents.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -5,7 +5,8 @@ bounded window of pieces at a time; pieces of bins that are not nearly full go o
 row of the packed id matrix with its cumulative segment lengths and positions that start again at each segment.
 
 Defined results: a null or empty text is a document of the one end id; a text of any length is cut, never shortened;
-repeated rows, ties in length and null ids are packed like any other; an empty table gives no rows; further columns
+repeated rows, ties in length and null ids are packed like any other; the string of a special token in a text is that
+token, as in the vocabulary file; an empty table gives no rows; further columns
 are ignored. Ids of a window and the order of its rows follow from the partition alone, so a task that runs again
 gives the same rows.
 """
@@ -23,6 +24,8 @@ from .common import json_encoder, map_arrow, tokenizer_path
 from .packing import cuts
 
 CAPACITY = 2048
+# The vocabulary's end-of-text id behind each document. Rows are padded with it too, as the vocabulary has
+# no id to spare; n_tokens and the last of cu_seqlens tell where the padding starts.
 END_ID = 50256
 PAD_ID = 50256
 SLACK = 16
@@ -132,9 +135,9 @@ def write_packed(sequences: DataFrame, path: str) -> None:
 
 
 def op10(documents: DataFrame) -> DataFrame:
-    """A row for each sequence, the matrix rows as checksums."""
+    """A row for each sequence: its row of the id matrix and of the positions, segments, and checksums of both rows."""
     rows = packed_sequences(documents, tokenizer_path("byte_bpe_50k.json"), tokenizer_path("byte_bpe_50k.tiktoken"))
-    return rows.select("sequence_id", "n_tokens", F.size("doc_ids").alias("n_segments"), "doc_ids", "pieces", "starts", "cu_seqlens", F.crc32("ids").alias("ids_crc32"), F.crc32("position_ids").alias("positions_crc32"))
+    return rows.select("sequence_id", "n_tokens", F.size("doc_ids").alias("n_segments"), "doc_ids", "pieces", "starts", "cu_seqlens", "ids", "position_ids", F.crc32("ids").alias("ids_crc32"), F.crc32("position_ids").alias("positions_crc32"))
 
 
 def unpack_sequences(rows: list[dict]) -> dict[tuple, np.ndarray]:

@@ -1,5 +1,6 @@
 import math
 import random
+import re
 
 import pytest
 
@@ -91,6 +92,76 @@ def test_redirect_log(spark):
     assert urls.judged_pages(pages, redirects=log).first().verdict == "block"
 
 
+def plain_node(url):
+    """A page's name: host, path without dot segments, query; and its host and path as the contract reads them."""
+    rest = url.split("://", 1)[1] if url and "://" in url else ""
+    host = re.split("[/?#]", rest)[0]
+    low = "".join(c.lower() if "A" <= c <= "Z" else c for c in host)
+    path = re.split("[?#]", rest[len(host) :])[0]
+    query = rest[len(host) + len(path) :].split("#")[0]
+    steps, out = path.split("/")[1:], []
+    for x in steps:
+        if x == "..":
+            out = out[:-1]
+        elif x != ".":
+            out.append(x)
+    normal = "/" + "/".join(out) + ("/" if steps and steps[-1] in (".", "..") and out else "")
+    return low, path, (low + normal + query if low else None)
+
+
+def plain_verdicts(pages, rules, log):
+    def rule(host, path):
+        fit = [(-len(h + p), h, p, v) for h, p, v in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        return min(fit)[1:] if fit and host else None
+
+    near = {}
+    for a, b in log:
+        a, b = (plain_node(x)[2] if x else None for x in (a, b))
+        if a and b:
+            near.setdefault(a, set()).add(b)
+            near.setdefault(b, set()).add(a)
+    out = []
+    for i, url in pages:
+        host, path, node = plain_node(url)
+        own, seen, todo = rule(host, path), {node}, [node] if node else []
+        while todo:
+            for m in near.get(todo.pop(), set()) - seen:
+                seen.add(m)
+                todo.append(m)
+        votes = [r[2] for n in seen if n and (r := rule(n.split("/")[0], "/" + n.split("/", 1)[1].split("?")[0]))]
+        normal = rule(host, "/" + node.split("/", 1)[1].split("?")[0]) if node else None
+        passed = "block" if "block" in votes and "allow" not in votes else "allow"
+        out.append((i, host, path, own[0] + own[1] if own else None, (own or normal or (0, 0, passed))[2]))
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_redirects_against_brute_force(spark, seed):
+    """Random pages, rules and a log with a huge component, nulls and repeats; the rules are a table of 1500."""
+    r = random.Random(seed)
+    hosts = [f"{a}.{b}" for a in ("x", "y.x", "Z", "w.Z") for b in ("net", "com", "org")]
+    url = lambda: r.choice(["http", "https"]) + "://" + r.choice(hosts) + r.choice(["", "/", "/a", "/a/b", "/a/../c", "/./a/", "/c?q=1", "/a/b#f", "/b/.."])
+    rules = list({(r.choice(["net", "x.net", "com", "z.com", "y.x.org"]).lower(), r.choice(["/", "/a", "/a/b", "/c", "/b/"]), r.choice(["block", "allow"])) for _ in range(14)}) + [(f"h{k}.example", f"/{k}", "block") for k in range(1500)]
+    pages = [(k, url()) for k in range(150)] + [(900, None), (901, "no scheme"), (902, "http://"), (3, "http://q.h7.example/7/8")]
+    hub = url()
+    log = [(url(), url()) for _ in range(12)] + [(f"http://x.net/p{k}", hub) for k in range(60)] + [(None, hub), (hub, None), ("bad", hub)]
+    log += log[:5]
+    pages += [(1000 + k, f"https://x.net/p{k}") for k in range(60)]
+    df = spark.createDataFrame([(i, u, None) for i, u in pages], "page_id long, url string, html string")
+    table = spark.createDataFrame([*rules, *rules[:3], (None, "/", "block")], "host string, path string, verdict string")
+    got = urls.judged_pages(df, table, spark.createDataFrame(log, "source string, target string"))
+    assert sorted(map(tuple, got.collect()), key=repr) == plain_verdicts(pages, rules, log)
+
+
+def test_relative_links(spark):
+    pages = [(1, "https://c.org/d/p?x", LINK.format("?y")), (2, "https://c.org/d/e/q", LINK.format("../p?y")), (3, "https://c.org/d/r", LINK.format("./../../../z")), (4, "https://b.net/d/p?y", LINK.format("//c.org/d/p?y")), (5, "http://c.org/z", LINK.format("#top"))]
+    got = {x.page_id: x.verdict for x in urls.op7(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got == {1: "block", 2: "block", 3: "allow", 4: "block", 5: "allow"}
+    bare = [(1, "http://x.net", None), (2, "http://x.net/", None), (3, "http://x.net?q", None)]
+    got = {x.page_id: (x.rule, x.verdict) for x in urls.op7(spark.createDataFrame(bare, "page_id long, url string, html string")).collect()}
+    assert got == {1: (None, "block"), 2: ("net/", "block"), 3: (None, "block")}
+
+
 # ---------------------------------------------------------------- search
 
 

@@ -139,6 +139,12 @@ def test_base_spans_equal_the_plain_patterns(text):
         ("Account no. AB-123456 is his", ["account"]),
         ("IBAN: DE89 3704 0044 0532 0130 00", ["iban"]),
         ("accounting 1234567", []),
+        ("klassn 1234567 and subaccount 1234567", []),
+        ("my ssn: 123-45-6789", ["account"]),
+        ("pay to DE89370400440532013000 BANK OF X", ["iban"]),
+        ("IBAN is GB82 WEST 1234 5698 7654 32 of", ["iban"]),
+        ("GB82 WEST 1234 5698 7654 33", []),
+        ("see https://" + "u" * 5000 + ":secret=@host/x", ["url_user"]),
     ],
 )
 def test_kinds(text, kinds):

@@ -45,10 +45,14 @@ def test_twin_vocabularies_agree_on_plain_texts():
 
     both = json_encoder(JSON, RANKS)
     r = random.Random(6)
+    from tokenizers import Tokenizer
+
+    untouched = Tokenizer.from_file(JSON)
     plain = [chr(c) for c in range(0x250) if not _PLAIN.search(chr(c))]
     for _ in range(300):
         s = "".join(r.choices(plain + [" ", "\n", "e", "1", "'s", "<|endoftext|>"] * 20, k=40))
-        assert both(s).tolist() == both.slow.encode(s, add_special_tokens=False).ids
+        assert both(s).tolist() == untouched.encode(s, add_special_tokens=False).ids
+    assert both("hello <|endoftext|> world").tolist() == [31373, 220, 50256, 995]
 
 
 def pieces_of(encode, rows, end_id, capacity):
