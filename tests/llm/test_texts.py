@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from itemloom.llm import pii, quality, simhash, suffix
 from itemloom.llm.common import words_of
 
-from .cases import documents, prose, texts
+from .cases import WORDS, documents, prose, texts
 
 
 def test_words_split_at_ascii_space_only():
@@ -46,7 +46,7 @@ def test_quality_base_counts(spark):
 
 def test_quality_bands(spark):
     blob = " ".join("\x01".join(hashlib.sha256(bytes([k])).hexdigest()) for k in range(20))
-    rows = [(1, prose(1, 300)), (2, blob), (3, " ".join(chr(0xE000 + k % 90) * 4 for k in range(200))), (4, " ".join(f"x{k}" for k in range(12)))]
+    rows = [(1, prose(1, 300)), (2, blob), (3, " ".join(chr(0xE000 + k % 90) * 4 for k in range(200))), (4, " ".join(WORDS[:12]))]
     got = {r.doc_id: r for r in quality.op1(documents(spark, rows)).collect()}
     assert got[1].kept and got[1].script == "latin" and got[4].kept
     assert not got[2].kept and got[2].reason == "chars_per_token"
@@ -55,6 +55,101 @@ def test_quality_bands(spark):
     assert kept.columns == documents(spark).columns and sorted(r.doc_id for r in kept.collect()) == sorted(i for i, r in got.items() if r.kept)
 
 
+def plain_measures(text):
+    """Characters per token, share of byte tokens, entropy in bits: straight from the libraries."""
+    import math
+
+    import public_tokenizers
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    t.encode_special_tokens = True
+    ids = t.encode(text, add_special_tokens=False).ids
+    pieces = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model")).encode(text, out_type=str)
+    spelled = [bool(re.fullmatch("<0x[0-9A-F]{2}>", p)) for p in pieces]
+    bits = -sum(n / len(ids) * math.log2(n / len(ids)) for n in Counter(ids).values()) if ids else 0.0
+    return len(ids), len(text) / len(ids) if ids else 0.0, sum(spelled) / len(pieces) if pieces else 0.0, bits
+
+
+def encoded(kind, n=60):
+    """Random data as text in n words."""
+    import base64
+    import random
+
+    r = random.Random(kind)
+    raw = [bytes(r.randrange(256) for _ in range(24)) for _ in range(n)]
+    return " ".join({"base64": lambda x: base64.b64encode(x).decode(), "hex": bytes.hex, "base85": lambda x: base64.b85encode(x).decode(), "letters": lambda x: "".join(chr(97 + c % 26) for c in x[:9])}[kind](x) for x in raw)
+
+
+def numbered(word, n=100):
+    """No window of five words twice, but few different tokens."""
+    import itertools
+
+    return " ".join(word * (1 + k) for pair in itertools.product(range(3), repeat=5) for k in pair)[: n * 10]
+
+
+def test_quality_measures_equal_the_libraries(spark):
+    import math
+
+    rows = [*[(100 + k, t) for k, (_, t) in enumerate(CLEAN)], *[(200 + k, encoded(kind)) for k, kind in enumerate(("base64", "hex", "base85", "letters"))], *[r for r in texts() if r[0] not in (15, None)]]
+    of = dict(rows)
+    for r in quality.op1(documents(spark, rows)).collect():
+        n, per_token, share, bits = plain_measures(of[r.doc_id] or "")
+        assert (r.n_tokens, r.chars_per_token, r.byte_share) == (n, round(per_token, 6), round(share, 6)) and abs(r.token_entropy - bits) < 2e-6
+        least, most, bytes_most, bits_least = quality.BANDS[r.band]
+        inside = n and least <= per_token <= most and share <= bytes_most and bits >= bits_least * min(1, math.log2(n) / 6) - 1e-9
+        assert r.kept == bool(inside and not r.base_failed)
+
+
+@pytest.mark.parametrize("kind", ["base64", "hex", "base85", "letters"])
+def test_quality_rejects_encoded_data(spark, kind):
+    rows = [(1, encoded(kind)), (2, encoded(kind, 12))]
+    assert {r.reason for r in quality.op1(documents(spark, rows)).collect()} == {"chars_per_token"}
+
+
+def test_quality_rejects_by_each_measure(spark):
+    """In each band: too few or too many characters a token, too many bytes, too little entropy; and the measure is named."""
+    import random
+
+    r = random.Random(3)
+    alphabet = {"cyrillic": "абвгдежзиклмн", "greek": "αβγδεζηθικλμν", "arabic": "ابتثجحخدذرزسش", "hebrew": "אבגדהוזחטיכלמ", "cjk": "日本語文字漢中国東京人大"}
+    rare = "𝔄𝔅𝔇𝔈𝔉𝔊𝔍𝔎𝔏𝔐"  # letters that the piece model spells in bytes
+    word = lambda letters, n: "".join(r.choice(letters) for _ in range(n))
+    rows, want = [], {}
+    for script, letters in alphabet.items():
+        # its own letters with more rare ones between them than prose has
+        rows.append((len(rows), " ".join(word(letters, 5) + word(rare, 4 if script == "cjk" else 3) for _ in range(60))))
+        want[len(rows) - 1] = (script, {"byte_share", "chars_per_token"})
+        rows.append((len(rows), " ".join(x * 2 for x in (numbered(letters[0]).split()))))
+        want[len(rows) - 1] = (script, {"token_entropy", "base"})
+    rows.append((len(rows), " ".join(word("etaoin", 4) + " " + word(rare, 2) for _ in range(20)) + " " + prose(5, 120)))
+    want[len(rows) - 1] = ("latin", {"byte_share"})
+    rows.append((len(rows), " ".join("=" * (64 + k) for k in range(80)) + " " + " ".join("-" * (64 + k) for k in range(80))))
+    want[len(rows) - 1] = ("other", {"chars_per_token"})
+    got = {x.doc_id: x for x in quality.op1(documents(spark, rows)).collect()}
+    for i, (script, reasons) in want.items():
+        assert got[i].script == script and not got[i].kept and got[i].reason in reasons, (i, got[i])
+    assert {"byte_share", "chars_per_token"} <= {x.reason for x in got.values()}
+
+
+def test_quality_entropy_of_short_and_long_texts(spark):
+    """Words without end out of two tokens: no window of five words need repeat for a text to be a loop."""
+    loop = " ".join("a" if c == "0" else "the" for k in range(32) for c in f"{k:05b}")
+    rows = [(1, loop[:60]), (2, " ".join(sorted(set(prose(4, 40).split()))[:14]))]
+    got = {r.doc_id: r for r in quality.fertility_rules(documents(spark, rows), quality.tokenizer_path("byte_bpe_50k.tiktoken"), quality.tokenizer_path("piece_bpe_32k.model")).collect()}
+    assert got[1].n_tokens < 64 and got[1].reason in ("token_entropy", "base") and got[2].kept
+
+
+def test_quality_bands_follow_the_language(spark):
+    """The same text is judged by its language's band, by its script's where the language is unknown or of another script."""
+    text = " ".join(f"q{k}x" for k in range(100, 180)) + " " + encoded("letters", 30)
+    rows = spark.createDataFrame([(k, text, lang) for k, lang in enumerate(["en", "fi", None, "ru"])] + [(9, CLEAN[9][1], "en")], "doc_id long, text string, lang string")
+    got = {r.doc_id: (r.band, r.kept) for r in quality.op1(rows).collect()}
+    assert [got[k][0] for k in (0, 1, 2, 3, 9)] == ["en", "latin", "latin", "latin", "cyrillic"] and got[1] == got[2] == got[3] and got[9][1]
+    assert quality.op1(rows.drop("lang")).count() == 5
+
+
 CLEAN = [
     ("latin", "Tất cả mọi người sinh ra đều được tự do và bình đẳng về nhân phẩm và quyền lợi. Mọi con người đều được tạo hóa ban cho lý trí và lương tâm và cần phải đối xử với nhau trong tình anh em. Ai cũng được hưởng những quyền tự do ghi trong bản tuyên ngôn này không phân biệt đối xử vì bất cứ lý do nào."),
     ("other", "มนุษย์ ทั้งหลาย เกิดมา มีอิสระ และ เสมอภาค กัน ใน เกียรติศักดิ์ และ สิทธิ ต่าง มีเหตุผล และ มโนธรรม และควร ปฏิบัติ ต่อกัน ด้วย เจตนารมณ์ แห่ง ภราดรภาพ"),
@@ -79,10 +174,10 @@ def test_quality_keeps_clean_text_of_each_script(spark):
     import unicodedata
 
     rows = [(3 * k + j, t) for k, (_, own) in enumerate(CLEAN) for j, t in enumerate((own, own + " Wikipedia", unicodedata.normalize("NFD", own)))]
-    got = {r.doc_id: r for r in quality.op1(documents(spark, rows)).collect()}
+    got = {r.doc_id: r for r in quality.op1(documents(spark, rows).drop("lang")).collect()}
     assert [(i, r.chars_per_token, r.reason) for i, r in sorted(got.items()) if not r.kept] == []
     assert [got[3 * k + j].script for k in range(len(CLEAN)) for j in (0, 1)] == [s for s, _ in CLEAN for _ in range(2)]
-    assert len(quality.keep_good(documents(spark, rows)).collect()) == len(rows)
+    assert len(quality.keep_good(documents(spark, rows).drop("lang")).collect()) == len(rows)
 
 
 def test_quality_rejects_mojibake(spark):
