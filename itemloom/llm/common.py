@@ -85,16 +85,25 @@ def input_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
+#: Tasks of one stage, at most; further buckets share them. Estimates from here on say that Catalyst knows no size.
+MOST_TASKS = 100_000
+UNKNOWN_BYTES = 1 << 50
+
+
 def dealt(df: DataFrame, buckets: int):
-    """df grouped by its bucket column, a task for each few buckets: their number follows the input, not a fixed setting."""
-    return df.repartition(buckets, "bucket").groupBy("bucket")
+    """df grouped by its bucket column, with as many tasks as buckets: both follow the input, not a fixed setting."""
+    return df.repartition(min(buckets, MOST_TASKS), "bucket").groupBy("bucket")
 
 
 def bucket_count(df: DataFrame, bytes_each: int = 8 << 20) -> int:
-    """Into how many buckets to deal what comes from df. It grows with the input, so that a bucket doesn't."""
+    """Into how many buckets to deal what comes from df. It grows with the input, so that a bucket doesn't.
+
+    Where Catalyst knows no size, as for rows from the driver or behind some joins, it is the session's number of shuffle partitions.
+    """
     spark = df.sparkSession
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return max(least, min(1 << 30, -(-input_bytes(df) // bytes_each)))
+    size = input_bytes(df)
+    return max(least, -(-size // bytes_each)) if size < UNKNOWN_BYTES else least
 
 
 def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterable[dict]], schema: str) -> DataFrame:

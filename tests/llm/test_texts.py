@@ -356,20 +356,28 @@ def test_keep_one_at_jaccard(spark):
 
 
 def plain_repeats(rows, n=50):
-    docs = {i: t.encode().split() for i, t in rows if i is not None and t}
+    """Distinct (id, text) rows, those without an id last; equal windows of n words meet, the first one is the least."""
+    from pyspark.sql import SparkSession
+    from pyspark.sql import functions as F
+
+    own = sorted({(i is None, i or 0, t) for i, t in rows if t}, key=repr)
+    spark = SparkSession.getActiveSession()
+    hashed = {r.t: r.h for r in spark.createDataFrame([(t,) for _, _, t in own], "t string").select("t", F.xxhash64("t").alias("h")).collect()}
+    order = sorted(own, key=lambda x: (x[0], x[1], hashed[x[2]]))
     where = {}
-    for i in sorted(docs):
-        for s in range(len(docs[i]) - n + 1):
-            where.setdefault(tuple(docs[i][s : s + n]), []).append((i, s))
+    for k, (_, _, t) in enumerate(order):
+        words = t.encode().split()
+        for s in range(len(words) - n + 1):
+            where.setdefault(tuple(words[s : s + n]), []).append((k, s))
     spell = lambda starts: ",".join(f"{a}:{b}" for a, b in _merged(sorted(starts), n))
     every, later = {}, {}
     for places in where.values():
         if len(places) > 1:
-            for k, (i, s) in enumerate(places):
-                every.setdefault(i, set()).add(s)
-                if k:
-                    later.setdefault(i, set()).add(s)
-    return sorted((i, spell(every[i]), spell(later.get(i, ()))) for i in every)
+            for j, (k, s) in enumerate(places):
+                every.setdefault(k, set()).add(s)
+                if j:
+                    later.setdefault(k, set()).add(s)
+    return sorted(((None if order[k][0] else order[k][1], spell(every[k]), spell(later.get(k, ()))) for k in every), key=repr)
 
 
 def _merged(starts, n):
@@ -382,21 +390,35 @@ def _merged(starts, n):
     return out
 
 
-def test_repeats_equal_brute_force(spark):
-    rows = texts()
-    took_part = [(i, t) for i, t in rows if i != 15]
-    took_part = [x for k, x in enumerate(took_part) if x not in took_part[:k]]
-    got = sorted((r.doc_id, r.repeated, r.removed) for r in suffix.op4(documents(spark, rows)).collect())
-    assert got == plain_repeats(took_part)
-    assert {7, 8, 9} <= {g[0] for g in got}
+def repeats(df, **sizes):
+    return sorted(((r.doc_id, r.repeated, r.removed) for r in suffix.repeated_passages(df, **sizes).collect()), key=repr)
+
+
+def odd_rows():
+    """The odd cases and repeats among rows without an id and texts of one id."""
+    shared = prose(70, 66)
+    return [*texts(), (None, prose(71, 30) + " " + shared), (None, shared + " " + prose(72, 30)), (15, shared + " " + prose(73, 9)), (None, "no id " + prose(7, 80))]
+
+
+@pytest.mark.parametrize("sizes", [{}, {"hash_bits": 2}, {"hash_bits": 4, "chunk_entries": 60, "chunk_contexts": 9}])
+def test_repeats_equal_brute_force(spark, sizes):
+    """With the filters' hashes cut to a few bits too: nothing is reported on the strength of a hash, and nothing is lost."""
+    rows = odd_rows()
+    got = repeats(documents(spark, rows), **sizes)
+    assert got == plain_repeats(rows)
+    assert {7, 8, 9, 15, None} <= {g[0] for g in got}
     assert suffix.op4(documents(spark, [])).count() == 0
 
 
-def test_repeats_across_small_chunks(spark, monkeypatch):
-    """A chunk holds few entries, so that most keys meet in their ranges."""
-    rows = [(k, prose(200 + k % 7, 80) + " " + prose(300 + k % 3, 75) + " " + prose(400 + k, 30)) for k in range(40)]
-    monkeypatch.setattr(suffix, "CHUNK_ENTRIES", 50)
-    assert sorted((r.doc_id, r.repeated, r.removed) for r in suffix.op4(documents(spark, rows).repartition(7)).collect()) == plain_repeats(rows)
+@pytest.mark.parametrize("seed", range(3))
+def test_repeats_across_small_chunks(spark, seed):
+    """A chunk holds few entries, so that most keys meet in their ranges; passages lie in one another and share parts."""
+    import random
+
+    r = random.Random(seed)
+    parts = [prose(200 + k, r.randrange(10, 90)) for k in range(6)]
+    rows = [(k, " ".join(r.choice(parts) if r.random() < 0.6 else prose(1000 + 10 * k + j, r.randrange(1, 40)) for j in range(5))) for k in range(60)]
+    assert repeats(documents(spark, rows).repartition(7), chunk_entries=50, chunk_contexts=7) == plain_repeats(rows)
 
 
 def test_removal(spark):
@@ -407,6 +429,22 @@ def test_removal(spark):
     assert suffix.cut_spans("a b c", "1:2") == "a c"
 
 
+def test_removal_of_odd_rows(spark):
+    """Every row stays, in every column; repeated rows stay alike; texts of one id and rows without one are cut for themselves."""
+    rows = odd_rows()
+    spans = {}
+    for i, _, removed in plain_repeats(rows):
+        spans.setdefault(i, []).append(removed)
+    got = suffix.remove_repeats(documents(spark, rows)).collect()
+    assert sorted(repr(r.doc_id) for r in got) == sorted(repr(i) for i, _ in rows)
+    assert all(r.fp == "x" and r.n_chars == (None if r.text is None else len(r.text)) for r in got)
+    of = lambda i: sorted(r.text for r in got if r.doc_id == i)
+    texts_of = lambda i: [t for j, t in rows if j == i]
+    assert of(14) == texts_of(14) and len(set(of(None)) - set(texts_of(None))) == 2 and of(15) == sorted(texts_of(15))
+    assert sum(prose(70, 66) in r.text for r in got if r.text) == 1
+    assert suffix.remove_repeats(documents(spark, [])).count() == 0
+
+
 def test_grams_and_windows():
     import numpy as np
 
