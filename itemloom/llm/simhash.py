@@ -181,14 +181,15 @@ def op6(documents: DataFrame) -> DataFrame:
 
 
 def keep_one(documents: DataFrame) -> DataFrame:
-    """The documents, one of each group of near copies (see nearcopies): the one with the least doc_id (of repeated rows of that id, one).
+    """The documents, one of each group of near copies (see nearcopies): the one with the least doc_id, then the least hash of its text.
 
-    Documents without an id stay, since no group can be told by them.
+    All columns stay. Null and empty texts are copies of each other; of repeated rows (same id, same text) one stays;
+    different texts of one id are told apart; rows without an id take part, behind all others; an empty table stays empty.
     """
-    groups = materialize(near_copies(documents).select("doc_id", "component_id"))
-    kept = groups.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("kept_id")).distinct()
-    columns = documents.columns
-    with_id = documents.where("doc_id is not null").join(kept, documents["doc_id"] == kept["kept_id"], "left_semi")
-    if not groups.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
-        with_id = with_id.dropDuplicates(["doc_id"])
-    return with_id.unionByName(documents.where("doc_id is null")).select(*columns)
+    groups = materialize(near_copies(documents))
+    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("th") == F.col("component_th")))
+    repeated = not kept.groupBy("doc_id", "th").count().where("count > 1").isEmpty()
+    kept = kept.select(F.col("doc_id").alias("__kept_id"), F.col("th").alias("__kept_th")).distinct()
+    same = documents["doc_id"].cast("long").eqNullSafe(kept["__kept_id"]) & (F.xxhash64(documents["text"]) == kept["__kept_th"])
+    out = documents.join(kept, same, "left_semi")
+    return out.dropDuplicates(["doc_id", "text"]) if repeated else out

@@ -318,8 +318,40 @@ def test_links_through_wide_meetings(spark):
 
 
 def test_keep_one(spark):
-    kept = sorted((r.doc_id for r in simhash.keep_one(documents(spark)).collect()), key=repr)
-    assert kept.count(14) == 1 and kept.count(15) <= 1 and 0 in kept and 1 not in kept and None in kept
+    """One of null and empty texts, of copies and of repeated rows; both texts of one id; a row without an id."""
+    rows = [*texts(), (None, dict(texts())[11]), (None, "no id " + prose(7, 80))]
+    got = simhash.keep_one(documents(spark, rows))
+    assert got.columns == documents(spark, rows).columns
+    kept = sorted((r.doc_id for r in got.collect()), key=repr)
+    assert kept == sorted([0, 3, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15, 15, None], key=repr)
+    assert simhash.keep_one(documents(spark, [])).count() == 0
+
+
+@pytest.mark.parametrize("wide", [4096, 5])
+def test_near_copies_in_blocks(spark, monkeypatch, wide):
+    """Groups of texts that are alike on both sides of 0.8, compared in blocks of a few rows."""
+    import random
+
+    from itemloom.llm import nearcopies
+
+    monkeypatch.setattr(nearcopies, "WIDE", wide)
+    r, rows = random.Random(8), []
+    base = prose(900, 400).split()
+    for k in range(70):
+        words = list(base)
+        for p in r.sample(range(400), r.randrange(1, 12)):
+            words[p] = f"w{k}x{p}"
+        rows.append((k, " ".join(words)))
+    sets = [set(nearcopies.shingles(t).tolist()) for _, t in rows]
+    up = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                old, new = up[i], up[j]
+                up = [new if x == old else x for x in up]
+    want = {i: min(j for j in range(len(rows)) if up[j] == up[i]) for i in range(len(rows))}
+    assert 1 < len(set(want.values())) < 60
+    assert {x.doc_id: x.component_id for x in nearcopies.near_copies(documents(spark, rows)).collect()} == want
 
 
 def test_keep_one_at_jaccard(spark):
