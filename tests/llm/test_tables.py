@@ -191,15 +191,55 @@ def test_top_k_is_exact(spark, block_rows, group_rows):
     assert covertree.op8(df.where("false")).count() == 0
 
 
-def test_cover_tree_covers():
+def clustered(n=3000, seed=3):
     import numpy as np
 
-    p = np.random.default_rng(1).normal(size=(600, 4))
-    t = covertree.CoverTree(p, leaf=10, fan=4)
-    for n, below in enumerate(t.below):
-        assert np.sqrt(((p[below] - p[t.centre[n]]) ** 2).sum(1)).max() <= t.radius[n] + 1e-9
-        if t.children[n]:
-            assert sorted(np.concatenate([t.below[c] for c in t.children[n]]).tolist()) == sorted(below.tolist())
+    g = np.random.default_rng(seed)
+    return np.floor(1024 * (g.normal(size=(30, 16))[g.integers(0, 30, n)] * 3 + 0.05 * g.normal(size=(n, 16))))
+
+
+@pytest.mark.parametrize("which", ["random", "clustered", "equal", "one", "line"])
+def test_cover_tree_is_one(which):
+    """Nesting, covering and separation of each level; nodes hold their children's points within their radius."""
+    import numpy as np
+
+    p = {"random": np.random.default_rng(1).normal(size=(600, 4)), "clustered": clustered(), "equal": np.ones((50, 3)), "one": np.ones((1, 3)), "line": np.arange(400.0)[:, None] ** 2}[which]
+    t = covertree.CoverTree(p, leaf=4)
+    for (scale, net), (_, above) in zip(t.nets[1:], t.nets, strict=False):
+        assert net[: len(above)].tolist() == above.tolist()
+        apart = np.sqrt(((p[net][:, None] - p[net][None]) ** 2).sum(2)) + np.diag([np.inf] * len(net))
+        assert apart.min() > scale
+        assert np.sqrt(((p[:, None] - p[net][None]) ** 2).sum(2)).min(1).max() <= scale + 1e-9
+    assert sorted(t.place.tolist()) == list(range(len(p))) and (t.points == p[t.place]).all()
+    for n, kids in enumerate(t.children):
+        own = t.points[t.start[n] : t.end[n]]
+        assert len(own) and np.sqrt(((own - t.centres[n]) ** 2).sum(1)).max() <= t.radius[n] + 1e-9
+        if len(kids):
+            assert len(kids) > 1 and t.start[kids].min() == t.start[n] and t.end[kids].max() == t.end[n] and (t.end[kids] - t.start[kids]).sum() == t.end[n] - t.start[n]
+    assert len(t.nets) > 3 or which in ("random", "equal", "one")
+
+
+def test_clustered_vectors_are_pruned(spark):
+    """Pairs of groups and blocks that are left, and scores that a dual search computes, stay far below all."""
+    import numpy as np
+
+    p = clustered()
+    tree, asked = covertree.CoverTree(p), covertree.CoverTree(p[::100])
+    s = covertree.Searcher(asked, asked.points.astype(int), np.arange(len(asked.points)) + 10**6, 10)
+    s.meet(tree, tree.points.astype(int), [np.array([i]) for i in tree.place])
+    assert s.compared < 0.2 * len(p) * len(asked.points)
+    df = spark.createDataFrame([(k, (x / 1024).tolist()) for k, x in enumerate(p)], "vec_id long, embedding array<double>")
+    blocks, groups, _, left = covertree.search_plan(df, block_rows=100, group_rows=3)
+    assert left.count() < 0.2 * blocks.count() * groups.count()
+    assert sorted(map(tuple, covertree.top_k(df, block_rows=100, group_rows=3).collect())) == brute(df)
+
+
+def test_large_components_never_wrap(spark):
+    df = spark.createDataFrame([(k, [float((-1) ** k * (k + 1) * 2**19), 3.0]) for k in range(0, 5)], "vec_id long, embedding array<double>")
+    assert sorted(map(tuple, covertree.op8(df).collect())) == brute(df)
+    far = spark.createDataFrame([(k, [2.0**30 * (k + 1)]) for k in range(3)], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="does not fit a long"):
+        covertree.op8(far).collect()
 
 
 # ---------------------------------------------------------------- licences
