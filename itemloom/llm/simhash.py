@@ -1,26 +1,28 @@
 """SimHash near-duplicates by pivot distance tables.
 
 A document's fingerprint has 64 bits; fingerprints link at MAX_BITS or fewer differing bits. Equal fingerprints become one
-row first, so copies cost nothing further. Fingerprints meet where they agree on all but MAX_BITS of some blocks of bits:
-of r blocks, MAX_BITS differing bits leave r - MAX_BITS untouched, so each linked pair meets under at least one choice of
-blocks. Among those that meet, a table of Hamming distances to reference fingerprints discards pairs: distances of
-two linked fingerprints to one reference differ by MAX_BITS at most, so a pair with a larger difference in any
-coordinate is dropped; survivors are verified bit by bit. The search is exact.
-
-The number of blocks follows the number of fingerprints, so that a meeting stays small. A meeting that is still wider than
-WIDE is split once more by blocks of its remaining bits, which is exact for the same reason. What still meets then agrees
-on some 28 bits and is compared row by row; how many different fingerprints can do so near one text is bounded by their
-64 bits, however many documents there are.
+row first, so copies cost nothing further. Each different fingerprint gets its row of the pivot table once: its Hamming
+distances to N_PIVOTS reference fingerprints, which it carries along.
+
+Fingerprints meet where they agree on all but MAX_BITS of some blocks of bits: of r blocks, MAX_BITS differing bits leave
+r - MAX_BITS untouched, so each linked pair meets under at least one choice of blocks. Among those that meet, the pivot table
+discards pairs: distances of two linked fingerprints to one reference differ by MAX_BITS at most, so a pair with a larger
+difference in any coordinate is dropped; survivors are verified bit by bit. The search is exact.
+
+The number of blocks follows the number of fingerprints, so that a meeting stays small. A meeting that is wider than WIDE is
+split by blocks of its remaining bits, which is exact for the same reason, up to DEPTH times. What is still wide is compared in
+blocks of rows, a task for each pair of blocks, so no task holds a whole wide meeting.
 Links (a spanning forest of each meeting) go to connected components.
 
-Defined results: a null or empty text has the fingerprint zero, which links like any other; repeated rows and equal texts
-share their component; null ids never name a component (one whose ids are all null has a null id); an empty table
-gives no rows; further columns are ignored.
+Defined results: a null or empty text has the fingerprint zero, which links like any other; texts of any length are read
+whole; repeated rows and equal texts share their component; null ids never name a component (one whose ids are all null has
+a null id); an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
@@ -37,6 +39,7 @@ MAX_BITS = 3
 SEED = 42
 N_PIVOTS = 16
 WIDE = 4096
+DEPTH = 1
 #: Fingerprints that share a meeting on the average, at most.
 SHARE = 4
 
@@ -86,13 +89,41 @@ def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+def _with_pivots(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """The pivot table: each fingerprint with its distances to the references, a byte each."""
+    refs = pivots()
+    for batch in batches:
+        fp = batch.column("fp").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+        table = np.bitwise_count(fp[:, None] ^ refs).astype(np.uint8)
+        yield {"fp": batch.column("fp"), "table": [x.tobytes() for x in table]}
+
+
+@lru_cache(maxsize=1 << 16)
+def _deeper(mask: int, max_bits: int) -> list[int]:
+    """A mask with each of max_bits + 1 blocks of its other bits."""
+    return [mask | x for x in block_masks(((1 << 64) - 1) & ~mask, max_bits + 1, max_bits)]
+
+
+def _split(batches: Iterator[pa.RecordBatch], max_bits: int, masks: list[int] | None = None) -> Iterator[dict]:
+    """A row of mask and bits for each choice of blocks: these masks, or those below the row's own."""
+    for batch in batches:
+        fp = batch.column("fp").to_numpy(zero_copy_only=False).astype(np.int64)
+        own = batch.column("mask").to_numpy(zero_copy_only=False).astype(np.int64) if masks is None else np.zeros(len(fp), np.int64)
+        at, new = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for m in np.unique(own).tolist():
+            rows = np.flatnonzero(own == m)
+            for x in _deeper(m & ((1 << 64) - 1), max_bits) if masks is None else masks:
+                at.append(rows)
+                new.append(np.full(len(rows), signed(x)))
+        at, new = np.concatenate(at), np.concatenate(new)
+        yield {"fp": fp[at], "table": batch.column("table").take(pa.array(at)), "mask": new, "bits": fp[at] & new}
+
+
 def _links(batches: Iterator[pa.RecordBatch], max_bits: int) -> Iterator[dict]:
     """Rows are sorted by meeting. Emits a spanning forest of each meeting's linked pairs."""
-    refs = pivots()
     held = None
 
-    def search(mask: np.ndarray, bits: np.ndarray, fp: np.ndarray) -> dict:
-        table = np.bitwise_count(fp[:, None] ^ refs)  # distances to the references, once for each row
+    def search(mask: np.ndarray, bits: np.ndarray, cell: np.ndarray, fp: np.ndarray, table: np.ndarray) -> dict:
         root, kept = np.arange(len(fp)), []  # root: of each row, kept flat between offsets
 
         def find(x: int) -> int:
@@ -103,12 +134,12 @@ def _links(batches: Iterator[pa.RecordBatch], max_bits: int) -> Iterator[dict]:
         at, d = np.arange(len(fp)), 1
         while True:
             at = at[at + d < len(fp)]
-            at = at[(mask[at] == mask[at + d]) & (bits[at] == bits[at + d])]
+            at = at[(mask[at] == mask[at + d]) & (bits[at] == bits[at + d]) & (cell[at] == cell[at + d])]
             if not len(at):
                 break
             i, j = at, at + d
-            for c in range(len(refs)):  # a coordinate at a time: most pairs go at the first few
-                near = np.abs(table[i, c].astype(np.int8) - table[j, c].astype(np.int8)) <= max_bits
+            for c in range(table.shape[1]):  # a coordinate at a time: most pairs go at the first few
+                near = np.abs(table[i, c] - table[j, c]) <= max_bits
                 i, j = i[near], j[near]
             near = (np.bitwise_count(fp[i] ^ fp[j]) <= max_bits) & (root[i] != root[j])
             for x, y in zip(i[near].tolist(), j[near].tolist(), strict=True):
@@ -123,18 +154,22 @@ def _links(batches: Iterator[pa.RecordBatch], max_bits: int) -> Iterator[dict]:
         return {"a": fp[pairs[:, 0]].view(np.int64), "b": fp[pairs[:, 1]].view(np.int64)}
 
     for batch in batches:
-        own = [batch.column(k).to_numpy(zero_copy_only=False) for k in ("mask", "bits", "fp")]
-        held = own if held is None else [np.concatenate(x) for x in zip(held, own, strict=True)]
-        mask, bits, fp = held
-        if not len(fp):
+        own = [batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("mask", "bits", "cell", "fp")]
+        own[3] = own[3].view(np.uint64)
+        own.append(np.frombuffer(b"".join(batch.column("table").to_pylist()), np.uint8).astype(np.int8).reshape(len(own[0]), -1))
+        if not len(own[0]):
             continue
-        open_ = np.flatnonzero((mask != mask[-1]) | (bits != bits[-1]))
+        held = own if held is None else [np.concatenate(x) for x in zip(held, own, strict=True)]
+        open_ = np.flatnonzero(np.any([k != k[-1] for k in held[:3]], axis=0))
         cut = open_[-1] + 1 if len(open_) else 0  # the last meeting may go on in the next batch
         if cut:
-            yield search(mask[:cut], bits[:cut], fp[:cut].astype(np.int64).view(np.uint64))
+            yield search(*(x[:cut] for x in held))
             held = [x[cut:] for x in held]
     if held is not None and len(held[0]):
-        yield search(held[0], held[1], held[2].astype(np.int64).view(np.uint64))
+        yield search(*held)
+
+
+_MET = "fp long, table binary, mask long, bits long"
 
 
 def links(distinct: DataFrame, n: int, max_bits: int = MAX_BITS, wide: int = WIDE) -> DataFrame:
@@ -143,25 +178,27 @@ def links(distinct: DataFrame, n: int, max_bits: int = MAX_BITS, wide: int = WID
     while r < 8 and n > SHARE << (64 * (r - max_bits) // r):
         r += 1
     masks = block_masks((1 << 64) - 1, r, max_bits)
-    rows = _meet(distinct.withColumn("mask", F.lit(0).cast("long")), {0: masks})
-    sizes = rows.groupBy("mask", "bits").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > wide)
-    over = {row["mask"] for row in sizes.select("mask").distinct().collect()}  # at most one row for each choice of blocks
-    if over:
-        wide_keys = materialize(sizes.select("mask", "bits"))
-        deeper = {m: [m | x for x in block_masks(((1 << 64) - 1) & ~m, max_bits + 1, max_bits)] for m in masks if signed(m) in over}
-        again = _meet(rows.join(wide_keys, ["mask", "bits"], "left_semi").select("fp", "mask"), deeper)
-        rows = rows.join(wide_keys, ["mask", "bits"], "left_anti").select("fp", "mask", "bits").unionByName(again).distinct()
-    sorted_ = rows.repartition("mask", "bits").sortWithinPartitions("mask", "bits", "fp")
-    return map_arrow(sorted_.select("mask", "bits", "fp"), lambda b: _links(b, max_bits), "a long, b long")
-
-
-def _meet(rows: DataFrame, choices: dict[int, list[int]]) -> DataFrame:
-    """A row of fp, mask, bits for each choice of blocks below the row's mask."""
-    of = None
-    for m, masks in choices.items():
-        each = F.array(*[F.lit(signed(x)).cast("long") for x in masks])
-        of = F.when(F.col("mask") == F.lit(signed(m)), each) if of is None else of.when(F.col("mask") == F.lit(signed(m)), each)
-    return rows.select("fp", F.explode(of).alias("mask")).select("fp", "mask", F.col("fp").bitwiseAND(F.col("mask")).alias("bits"))
+    table = map_arrow(distinct.select("fp"), _with_pivots, "fp long, table binary")
+    rows = map_arrow(table, lambda b: _split(b, max_bits, masks), _MET)
+    narrow, keys = None, ["mask", "bits"]
+    for depth in range(DEPTH + 1):
+        sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > wide)
+        wide_keys = materialize(sizes)
+        done = rows.join(wide_keys, keys, "left_anti").select(*keys, F.lit(0).cast("long").alias("cell"), "fp", "table")
+        narrow = done if narrow is None else narrow.unionByName(done)
+        if wide_keys.isEmpty():
+            break
+        rows = rows.join(wide_keys, keys)
+        if depth < DEPTH:
+            # a fingerprint may reach one meeting by several ways
+            rows = materialize(map_arrow(rows.select("fp", "table", "mask"), lambda b: _split(b, max_bits), _MET).distinct())
+        else:
+            blocks = F.ceil(F.col("size") / (wide / 2)).cast("long")
+            rows = rows.withColumn("block", F.pmod(F.xxhash64("fp"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+            cell = F.least("block", "other") * blocks + F.greatest("block", "other")
+            narrow = narrow.unionByName(rows.select(*keys, cell.alias("cell"), "fp", "table"))
+    sorted_ = narrow.repartition(*keys, "cell").sortWithinPartitions(*keys, "cell", "fp")
+    return map_arrow(sorted_, lambda b: _links(b, max_bits), "a long, b long")
 
 
 def near_groups(documents: DataFrame, *, words: int = WORDS, max_bits: int = MAX_BITS, seed: int = SEED) -> DataFrame:

@@ -297,8 +297,9 @@ def test_fingerprints_and_components(spark):
     assert simhash.op6(documents(spark, [])).count() == 0
 
 
-def test_links_through_wide_meetings(spark):
-    """A ball of fingerprints that all meet: split again, and still whole."""
+@pytest.mark.parametrize("wide", [8, 30])
+def test_links_through_wide_meetings(spark, wide):
+    """A ball of fingerprints that all meet: split by bits, then compared in blocks, and still whole."""
     import random
 
     r = random.Random(4)
@@ -312,7 +313,7 @@ def test_links_through_wide_meetings(spark):
     from itemloom.llm.components import components
 
     df = spark.createDataFrame([(simhash.signed(p),) for p in prints], "fp long")
-    labels = {row.node: row.label for row in components(simhash.links(df, len(prints), wide=8)).collect()}
+    labels = {row.node: row.label for row in components(simhash.links(df, len(prints), wide=wide)).collect()}
     want = plain_components(prints, [simhash.signed(p) for p in prints])
     assert [labels.get(simhash.signed(p), simhash.signed(p)) for p in prints] == want
 
