@@ -1,21 +1,22 @@
 """Byte-level BPE encoding and decoding by a global distinct-word shuffle.
 
-1. Each partition splits its documents into pre-tokens, a chunk of documents at a time. A chunk's distinct words get local
-   numbers, the most frequent first; its documents become sequences of these numbers (position order).
-2. A chunk's words are dealt out by a hash of the word, a row for each chunk and bucket. A bucket holds every chunk's copy
-   of a word, so each distinct word of the whole corpus is encoded once.
-3. The ids go back to their chunks, where the documents are put together by position. The token-byte table, as large as
-   the vocabulary file, decodes the ids.
+1. Documents are put together in chunks, compressed texts with their ids, which are written once; all that follows reads them,
+   so it doesn't matter how often, or in which order, the input's rows could be read again.
+2. Each chunk is split into pre-tokens. Its distinct words get local numbers, the most frequent first, and are dealt out by a
+   hash of the word, a row for each chunk and bucket. A bucket holds every chunk's copy of a word, so each distinct word of
+   the whole corpus is encoded once.
+3. The ids go back to their chunks, which are split again (their words get the same numbers) and put together by position.
+   Decoding joins the ids with the token-byte table, as large as the vocabulary file: ids are dense, so a chunk's join is a
+   gather from the table's column. decode_documents joins tables of ids.
 
 A word comes once from each chunk, however often the chunk holds it, so frequent words make no hot key. The number of
-buckets follows the input's size; chunks are bounded by CHUNK_CHARS and one document.
+buckets, and of tasks for them, follows the input's size; chunks are bounded by CHUNK_CHARS and one document.
 
-The documents are split twice, once for the words and once for the sequences, which costs less than to store the
-sequences and to shuffle them as well. Both reads must see the same rows in the same order, as scans of files do; a
-checksum of each chunk's words tells if they did not.
+To split twice costs less disk than to store sequences of word numbers, which take more room than compressed texts.
 
-Defined results: a null text counts as empty: no tokens, digests of no bytes; strings of special tokens are ordinary text;
-repeated rows give equal rows; null ids stay null; an empty table gives no rows; further columns are ignored.
+Defined results: a null text counts as empty: no tokens, digests of no bytes; texts of any length are encoded whole; strings of
+special tokens are ordinary text; repeated rows give equal rows; null ids stay null; an empty table gives no rows; further
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,10 +32,11 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucket_count, map_arrow, pack, rank_encoder, read_ranks, tokenizer_path, unpack
+from .common import MOST_TASKS, bucket_count, dealt, map_arrow, materialize, pack, rank_encoder, read_ranks, tokenizer_path, unpack
 
-#: Characters of a chunk (besides one document).
+#: Characters of a chunk (besides one document), and documents.
 CHUNK_CHARS = 8 << 20
+CHUNK_DOCUMENTS = 1 << 17
 
 
 @lru_cache(maxsize=1)
@@ -56,55 +58,62 @@ class Numbers(dict):
         return n
 
 
-def _split(batches: Iterator[pa.RecordBatch], buckets: int, want: str) -> Iterator[dict]:
-    """Step 1. want: words (a row for each chunk and bucket) or documents (a row for each chunk)."""
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """Step 1."""
     from pyspark import TaskContext
 
     part, made = TaskContext.get().partitionId() << 24, 0
-    split = splitter().findall
-    numbers, doc_ids, sequences, chars = Numbers(), [], [], 0
-
-    def flush() -> Iterator[dict]:
-        nonlocal numbers, made, chars
-        flat = np.concatenate([np.empty(0, np.uint32), *sequences])
-        by_use = np.argsort(-np.bincount(flat, minlength=len(numbers)), kind="stable")
-        local = np.empty(len(numbers), np.uint32)
-        local[by_use] = np.arange(len(numbers), dtype=np.uint32)
-        words = [w.encode() for w in numbers]
-        check = zlib.crc32(b"\0".join(words))
-        rows: dict[str, list] = {k: [] for k in ("chunk", "check", "bucket", "n", "doc_ids", "lengths", "numbers", "words")}
-        add = lambda *row: [rows[k].append(v) for k, v in zip(rows, row, strict=True)]
-        if want == "documents":
-            add(part + made, check, None, len(words), list(doc_ids), pack(np.array([len(s) for s in sequences], np.uint32)), pack(local[flat]), None)
-            made += 1
-            numbers, chars = Numbers(), 0
-            doc_ids.clear()
-            sequences.clear()
-            yield rows
-            return
-        bucket = np.fromiter(map(zlib.crc32, words), np.int64, len(words)) % buckets
-        order = np.lexsort((local, bucket))  # by bucket, in it by local number
-        ends = np.flatnonzero(np.diff(bucket[order], append=-1)) + 1
-        for s, e in zip([0, *ends], ends, strict=False):
-            own = order[s:e]
-            spelled = [words[i] for i in own]
-            add(part + made, check, int(bucket[own[0]]), len(own), None, pack(np.array(list(map(len, spelled)), np.uint32)), pack(np.diff(local[own], prepend=np.uint32(0))), zstandard.ZstdCompressor(level=3).compress(b"".join(spelled)))
-        made += 1
-        numbers, chars = Numbers(), 0
-        doc_ids.clear()
-        sequences.clear()
-        yield rows
+    ids, texts, chars = [], [], 0
+
+    def flush() -> dict:
+        raw = [t.encode() for t in texts]
+        return {"chunk": [part + made], "doc_ids": [list(ids)], "lengths": [pack(np.array(list(map(len, raw)), np.uint64))], "texts": [zstandard.ZstdCompressor(level=3).compress(b"".join(raw))]}
 
     for batch in batches:
         for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            text = text or ""
-            doc_ids.append(doc_id)
-            sequences.append(np.fromiter(map(numbers.__getitem__, split(text)), np.uint32))
-            chars += len(text)
-            if chars >= CHUNK_CHARS:
-                yield from flush()
-    if doc_ids:
-        yield from flush()
+            ids.append(doc_id)
+            texts.append(text or "")
+            chars += len(texts[-1])
+            if chars >= CHUNK_CHARS or len(ids) >= CHUNK_DOCUMENTS:
+                yield flush()
+                made, chars = made + 1, 0
+                ids.clear()
+                texts.clear()
+    if ids:
+        yield flush()
+
+
+def _numbered(lengths: bytes, texts: bytes) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """A chunk's distinct words, the most frequent first, its documents as numbers one after the other, and their lengths."""
+    split, numbers, sequences, at = splitter().findall, Numbers(), [], 0
+    raw = zstandard.ZstdDecompressor().decompress(texts)
+    for n in unpack(lengths, "<u8").tolist():
+        sequences.append(np.fromiter(map(numbers.__getitem__, split(raw[at : at + n].decode())), np.uint32))
+        at += n
+    flat = np.concatenate([np.empty(0, np.uint32), *sequences])
+    by_use = np.argsort(-np.bincount(flat, minlength=len(numbers)), kind="stable")
+    local = np.empty(len(numbers), np.uint32)
+    local[by_use] = np.arange(len(numbers), dtype=np.uint32)
+    words = list(numbers)
+    return [words[i].encode() for i in by_use.tolist()], local[flat], np.array(list(map(len, sequences)), np.int64)
+
+
+def _words(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[dict]:
+    """Step 2: a row for each chunk and bucket; words in the order of their numbers."""
+    for batch in batches:
+        for chunk, lengths, texts in zip(*(batch.column(k).to_pylist() for k in ("chunk", "lengths", "texts")), strict=True):
+            words, _, _ = _numbered(lengths, texts)
+            bucket = np.fromiter(map(zlib.crc32, words), np.int64, len(words)) % buckets
+            order = np.argsort(bucket, kind="stable")
+            ends = np.flatnonzero(np.diff(bucket[order], append=-1)) + 1
+            rows: dict[str, list] = {k: [] for k in ("bucket", "chunk", "numbers", "lengths", "words")}
+            for s, e in zip([0, *ends], ends, strict=False):
+                own = order[s:e]
+                spelled = [words[i] for i in own]
+                row = (int(bucket[own[0]]), chunk, pack(np.diff(own.astype(np.uint32), prepend=np.uint32(0))), pack(np.array(list(map(len, spelled)), np.uint32)), zstandard.ZstdCompressor(level=3).compress(b"".join(spelled)))
+                for k, v in zip(rows, row, strict=True):
+                    rows[k].append(v)
+            yield rows
 
 
 def _encode_bucket(ranks_path: str):
@@ -121,7 +130,7 @@ def _encode_bucket(ranks_path: str):
         flat = np.array([i for x in ids for i in x], np.uint32)
         start = np.cumsum(count) - count
         rows = [(pack(count[u].astype(np.uint32)), pack(flat[ragged(start[u], count[u])])) for u in uses]
-        return pa.table({"chunk": bucket["chunk"], "check": bucket["check"], "n": bucket["n"], "numbers": bucket["numbers"], "lengths": pa.array([r[0] for r in rows], pa.binary()), "ids": pa.array([r[1] for r in rows], pa.binary())})
+        return pa.table({"chunk": bucket["chunk"], "numbers": bucket["numbers"], "lengths": pa.array([r[0] for r in rows], pa.binary()), "ids": pa.array([r[1] for r in rows], pa.binary())})
 
     return run
 
@@ -135,26 +144,20 @@ def ragged(start: np.ndarray, count: np.ndarray) -> np.ndarray:
 def _assemble(ranks_path: str, with_ids: bool):
     def run(chunk: pa.Table) -> pa.Table:
         table = token_bytes(ranks_path)
-        doc_rows = [i for i, x in enumerate(chunk["doc_ids"].to_pylist()) if x is not None]
-        (d,) = doc_rows
-        total = chunk["n"][d].as_py()
-        start, count, flat, at, seen = np.zeros(total, np.int64), np.zeros(total, np.int64), [], 0, 0
+        (d,) = (i for i, x in enumerate(chunk["texts"].to_pylist()) if x is not None)
+        distinct, words, lengths = _numbered(chunk["lengths"][d].as_py(), chunk["texts"][d].as_py())
+        start, count, flat, at = np.zeros(len(distinct), np.int64), np.zeros(len(distinct), np.int64), [np.empty(0, np.uint32)], 0
         for i in range(chunk.num_rows):
             if i != d:
                 own = np.cumsum(unpack(chunk["numbers"][i].as_py(), "<u4"), dtype=np.int64)
                 n = unpack(chunk["lengths"][i].as_py(), "<u4").astype(np.int64)
-                ids = unpack(chunk["ids"][i].as_py(), "<u4")
+                flat.append(unpack(chunk["ids"][i].as_py(), "<u4"))
                 start[own], count[own] = at + np.cumsum(n) - n, n
-                flat.append(ids)
-                at += len(ids)
-                seen += len(own)
-        if seen != total or len(set(chunk["check"].to_pylist())) > 1:
-            raise ValueError(f"{seen} of {total} words of a chunk came back, or not the same ones: the input's rows changed between two reads")
-        flat = np.concatenate([np.empty(0, np.uint32), *flat])
-        words = unpack(chunk["numbers"][d].as_py(), "<u4")
+                at += len(flat[-1])
+        flat = np.concatenate(flat)
         out: dict[str, list] = {k: [] for k in ("doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids")}
         at = 0
-        for doc_id, n in zip(chunk["doc_ids"][d].as_py(), unpack(chunk["lengths"][d].as_py(), "<u4").tolist(), strict=True):
+        for doc_id, n in zip(chunk["doc_ids"][d].as_py(), lengths.tolist(), strict=True):
             own = words[at : at + n]
             at += n
             ids = flat[ragged(start[own], count[own])]
@@ -167,47 +170,62 @@ def _assemble(ranks_path: str, with_ids: bool):
 
 
 @lru_cache(maxsize=2)
-def token_bytes(ranks_path: str) -> list[bytes]:
-    """The token-byte table: bytes of each id."""
+def token_bytes(ranks_path: str) -> pa.Array:
+    """The token-byte table as a column: the bytes of each id."""
     ranks = read_ranks(ranks_path)
-    table = [b""] * (max(ranks.values()) + 1)
-    for raw, i in ranks.items():
-        table[i] = raw
-    return table
+    by_id = {i: raw for raw, i in ranks.items()}
+    return pa.array([by_id.get(i) for i in range(max(by_id) + 1)], pa.large_binary())
 
 
-def decode(ids: np.ndarray, table: list[bytes]) -> bytes:
-    return b"".join(map(table.__getitem__, ids.tolist()))
+def decode(ids: np.ndarray, table: pa.Array) -> memoryview | bytes:
+    """Joins the ids with the table; the bytes that are met lie one after the other."""
+    if not len(ids):
+        return b""
+    met = table.take(pa.array(ids))
+    ends = np.frombuffer(met.buffers()[1], np.int64)[[met.offset, met.offset + len(met)]]
+    return memoryview(met.buffers()[2])[ends[0] : ends[1]]
 
 
 def encode_documents(documents: DataFrame, ranks_path: str, *, with_ids: bool = True) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 and, if asked for, the ids as little-endian unsigned 32-bit integers."""
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     buckets = bucket_count(docs)
-    fields = "chunk long, check long, bucket int, n int, doc_ids array<long>, lengths binary, numbers binary, words binary"
-    words = map_arrow(docs, lambda b: _split(b, buckets, "words"), fields).select("bucket", "chunk", "check", "n", "lengths", "numbers", "words")
-    encoded = words.groupBy("bucket").applyInArrow(_encode_bucket(ranks_path), "chunk long, check long, n int, numbers binary, lengths binary, ids binary")
-    own = map_arrow(docs, lambda b: _split(b, buckets, "documents"), fields).select("chunk", "check", "n", "numbers", "lengths", F.lit(None).cast("binary").alias("ids"), "doc_ids")
-    parts = own.unionByName(encoded.withColumn("doc_ids", F.lit(None).cast("array<bigint>")))
+    chunks = materialize(map_arrow(docs, _chunks, "chunk long, doc_ids array<long>, lengths binary, texts binary"))
+    words = map_arrow(chunks.select("chunk", "lengths", "texts"), lambda b: _words(b, buckets), "bucket int, chunk long, numbers binary, lengths binary, words binary")
+    encoded = dealt(words, buckets).applyInArrow(_encode_bucket(ranks_path), "chunk long, numbers binary, lengths binary, ids binary")
+    own = chunks.select("chunk", F.lit(None).cast("binary").alias("numbers"), "lengths", F.lit(None).cast("binary").alias("ids"), "doc_ids", "texts")
+    parts = own.unionByName(encoded.withColumns({"doc_ids": F.lit(None).cast("array<bigint>"), "texts": F.lit(None).cast("binary")}))
+    tasks = max(1, min(chunks.count(), MOST_TASKS))
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * with_ids
-    return parts.groupBy("chunk").applyInArrow(_assemble(ranks_path, with_ids), schema)
+    return parts.repartition(tasks, "chunk").groupBy("chunk").applyInArrow(_assemble(ranks_path, with_ids), schema)
 
 
-def decode_documents(encoded: DataFrame, ranks_path: str) -> DataFrame:
-    """doc_id and the decoded text (null where the bytes are no UTF-8), from rows with ids."""
+def _positions(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    for batch in batches:
+        for key, raw in zip(batch.column("key").to_pylist(), batch.column("ids").to_pylist(), strict=True):
+            ids = np.frombuffer(raw, "<u4")
+            for s in range(0, len(ids), 1 << 16):
+                part = ids[s : s + (1 << 16)]
+                yield {"key": [key] * len(part), "at": np.arange(s, s + len(part)), "id": part.astype(np.int64)}
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        table = token_bytes(ranks_path)
-        for batch in batches:
-            texts = []
-            for raw in batch.column("ids").to_pylist():
-                try:
-                    texts.append(None if raw is None else decode(np.frombuffer(raw, "<u4"), table).decode())
-                except UnicodeDecodeError:
-                    texts.append(None)
-            yield {"doc_id": batch.column("doc_id"), "text": texts}
-
-    return map_arrow(encoded.select("doc_id", "ids"), rows, "doc_id long, text string")
+
+def decode_documents(encoded: DataFrame, ranks_path: str) -> DataFrame:
+    """doc_id and the decoded text (null where the bytes are no UTF-8, or an id is unknown), from rows with doc_id and ids.
+
+    Each distinct sequence of ids is taken apart by position, joined with the token-byte table (broadcast: it has one row for each
+    entry of the vocabulary file) and put together again. Null ids of a row give a null text.
+    """
+    spark = encoded.sparkSession
+    rows = encoded.select("doc_id", "ids", F.sha2("ids", 256).alias("key"))
+    table = spark.createDataFrame([(i, raw.hex()) for raw, i in read_ranks(ranks_path).items()], "id long, hex string")
+    apart = map_arrow(rows.where("ids is not null").dropDuplicates(["key"]).select("key", "ids"), _positions, "key string, at long, id long")
+    met = apart.join(F.broadcast(table), "id", "left")
+    whole = met.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("at", "hex"))).alias("tokens"), F.bool_or(F.col("hex").isNull()).alias("unknown"))
+    raw = F.unhex(F.array_join(F.transform("tokens", lambda x: x["hex"]), ""))
+    text = F.when(F.col("unknown"), None).otherwise(F.expr("try_validate_utf8(cast(raw as string))"))
+    decoded = whole.select("key", "unknown", raw.alias("raw")).select("key", text.alias("text"))
+    nothing = F.when(F.octet_length("ids") == 0, "")
+    return rows.join(decoded, "key", "left").select("doc_id", F.coalesce("text", nothing).alias("text"))
 
 
 def op2(documents: DataFrame) -> DataFrame:

@@ -32,6 +32,22 @@ def test_bpe_equals_the_library_and_decodes(spark):
     assert sorted(map(repr, map(tuple, decoded))) == sorted(repr((i, t or "")) for i, t in texts())
 
 
+def test_bpe_of_a_shuffled_input(spark):
+    """Whatever the input's plan, the splits and their order: the rows are read once."""
+    from pyspark.sql import functions as F
+
+    want = sorted(map(repr, map(tuple, bpe.op2(documents(spark)).collect())))
+    for df in (documents(spark).repartition(7), documents(spark).withColumn("r", F.rand()).orderBy("r"), documents(spark).coalesce(1), documents(spark).join(documents(spark).select("doc_id").distinct(), "doc_id", "left")):
+        assert sorted(map(repr, map(tuple, bpe.op2(df).collect()))) == want
+
+
+def test_decoding_joins_odd_ids(spark):
+    rows = [(1, np.array([31373], "<u4").tobytes()), (2, b""), (3, None), (4, np.array([10**6], "<u4").tobytes()), (5, np.array([187], "<u4").tobytes()), (1, np.array([31373], "<u4").tobytes())]
+    got = bpe.decode_documents(spark.createDataFrame([(i, None if x is None else bytearray(x)) for i, x in rows], "doc_id long, ids binary"), RANKS).collect()
+    assert sorted((r.doc_id, r.text or "") for r in got if r.doc_id != 5) == [(1, "hello"), (1, "hello"), (2, ""), (3, ""), (4, "")] and len(got) == 6
+    assert {r.doc_id: r.text for r in got}[3] is None is {r.doc_id: r.text for r in got}[4] is {r.doc_id: r.text for r in got}[5]
+
+
 def test_splitter_agrees_on_every_character():
     enc, split = rank_encoder(RANKS), bpe.splitter().findall
     r = random.Random(5)
