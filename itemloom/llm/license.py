@@ -1,17 +1,22 @@
 """License scans: sparse TF-IDF cosine to templates, then inheritance from the nearest ancestor directory.
 
-Every line of a whole text that holds a cue word is compared with the templates. Lines are compared once for each distinct
-line: its words and the templates' words form sparse vectors of term frequency times inverse document frequency (over the
-templates), kept as integers so that sums are exact. A file's licence is that of its best line at MIN_COSINE or more.
-A licence file (by its name, or by a statement that closes it) also licenses its directory. A file without a licence of its own
+Of each text, these units are compared with the templates (public identifiers, titles, statements, headers and whole short
+licences): every line that holds a cue word; every block, a run of lines without a blank one, that holds a cue word, such as a
+header comment or a paragraph; and all such blocks of the text together, which is what a licence file comes down to.
+Units are compared once for each distinct one: its words and the templates' words form sparse vectors of term frequency
+times inverse document frequency (over the templates), kept as integers so that sums are exact. A file's licence is that
+of its best unit at MIN_COSINE or more.
+A licence file (by its name, or by a line that closes it) also licenses its directory. A file without a licence of its own
 takes that of its nearest ancestor directory; paths are joined a distinct directory at a time.
 
-Native: DataFrame expressions only. What is broadcast is the templates' table, fixed in size.
+Texts are read once; units go by a digest from there on. What is broadcast is the templates' tables, fixed in size.
 
-Defined results: null or empty texts have no licence of their own; lines end at \\n only, a line of any length is compared
-whole; of equal cosines the licence first in the alphabet wins, then the earlier line; a directory with several licence files
-takes the best, then the first in the alphabet; rows of one id share the licence found in any of them; rows with a null id or path
-have none; an empty table gives no rows; further columns are ignored.
+Native: DataFrame expressions only.
+
+Defined results: null or empty texts have no licence of their own; lines end at \\n only, lines and blocks of any length are
+compared whole; of equal cosines the licence first in the alphabet wins, then the earlier line; a directory with several licence
+files takes the best, then the first in the alphabet; rows of one id share the licence found in any of them; rows with a null id or
+path have none; an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,31 +27,18 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize
+from .licence_texts import templates as public_templates
+
 MIN_COSINE = 0.7
 SCALE = 1000
-CUE = r"(?i)licen[cs]e|copyright|all rights reserved|public domain"
+CUE = r"(?i)licen[cs]e|copyright|all rights reserved|public domain|permission (?:is|to)|redistribution|warrant(?:y|ies)|creative commons|cc0"
+#: What lies between blocks: lines of white space.
+BLANK = r"\n[ \t-\r]*\n"
 FILE_NAME = r"(?i)(^|/)(licen[cs]e|copying|unlicense)([.-][^/]*)?$"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-# Licence and statement.
-TEMPLATES = [
-    ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("BSD-2-Clause", "Licensed under the BSD 2-Clause License."),
-    ("BSD-3-Clause", "Licensed under the BSD 3-Clause License."),
-    ("CC-BY-4.0", "Licensed under CC BY 4.0."),
-    ("CC-BY-4.0", "This work is licensed under the Creative Commons Attribution 4.0 International License."),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
-    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
-    ("CC0-1.0", "Released into the public domain under CC0 1.0."),
-    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("ISC", "Released under the ISC License."),
-    ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3."),
-    ("MIT", "Released under the MIT License."),
-    ("MPL-2.0", "Licensed under the Mozilla Public License, Version 2.0."),
-    ("Proprietary", "Copyright. All rights reserved."),
-]
+TEMPLATES = public_templates()
 
 
 def term_weights(templates: list[tuple[str, str]]) -> tuple[dict[str, int], int, list[tuple[int, str, dict[str, int]]]]:
@@ -58,22 +50,22 @@ def term_weights(templates: list[tuple[str, str]]) -> tuple[dict[str, int], int,
     return weights, idf(0), vectors
 
 
-def line_licences(lines: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, least: float = MIN_COSINE) -> DataFrame:
-    """line, licence, cosine: for each distinct line that is near enough to a template."""
+def unit_licences(units: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, least: float = MIN_COSINE) -> DataFrame:
+    """key, licence, cosine: for each distinct unit that is near enough to a template. units: key (a digest) and unit."""
     weights, unknown, vectors = term_weights(templates)
-    table = lambda rows, columns: lines.sparkSession.sql(f"select * from values {', '.join(map(str, rows))} as t({columns})")
+    table = lambda rows, columns: units.sparkSession.sql(f"select * from values {', '.join(map(str, rows))} as t({columns})")
     terms = table(weights.items(), "term, idf")
     parts = table([(t, k, w) for k, _, v in vectors for t, w in v.items()], "term, k, tw")
     norms = table([(k, licence, sum(w * w for w in v.values())) for k, licence, v in vectors], "k, licence, tnorm")
-    words = F.regexp_extract_all(F.translate("line", _UPPER, _LOWER), F.lit("[a-z0-9]+"), F.lit(0))
-    counts = lines.select("line").distinct().select("line", F.explode(words).alias("term")).groupBy("line", "term").agg(F.count(F.lit(1)).alias("tf"))
-    weighted = counts.join(F.broadcast(terms), "term", "left").select("line", "term", (F.col("tf") * F.coalesce("idf", F.lit(unknown))).alias("w"))
-    norm = weighted.groupBy("line").agg(F.sum(F.col("w") * F.col("w")).alias("norm"))
-    dot = weighted.join(F.broadcast(parts), "term").groupBy("line", "k").agg(F.sum(F.col("w") * F.col("tw")).alias("dot"))
-    cosine = F.col("dot").cast("double") / F.sqrt(F.col("norm").cast("double") * F.col("tnorm").cast("double"))
-    scored = dot.join(norm, "line").join(F.broadcast(norms), "k").select("line", "licence", cosine.alias("cosine")).where(F.col("cosine") >= least)
-    best = scored.groupBy("line").agg(F.min(F.struct((-F.col("cosine")).alias("minus"), "licence")).alias("best"))
-    return best.select("line", F.col("best.licence").alias("licence"), (-F.col("best.minus")).alias("cosine"))
+    words = F.regexp_extract_all(F.translate("unit", _UPPER, _LOWER), F.lit("[a-z0-9]+"), F.lit(0))
+    counts = units.dropDuplicates(["key"]).select("key", F.explode(words).alias("term")).groupBy("key", "term").agg(F.count(F.lit(1)).alias("tf"))
+    weighted = counts.join(F.broadcast(terms), "term", "left").select("key", "term", (F.col("tf") * F.coalesce("idf", F.lit(unknown))).cast("decimal(38,0)").alias("w"))
+    norm = weighted.groupBy("key").agg(F.sum(F.col("w") * F.col("w")).cast("double").alias("norm"))
+    dot = weighted.join(F.broadcast(parts), "term").groupBy("key", "k").agg(F.sum(F.col("w") * F.col("tw")).cast("double").alias("dot"))
+    cosine = F.col("dot") / F.sqrt(F.col("norm") * F.col("tnorm").cast("double"))
+    scored = dot.join(norm, "key").join(F.broadcast(norms), "k").select("key", "licence", cosine.alias("cosine")).where(F.col("cosine") >= least)
+    best = scored.groupBy("key").agg(F.min(F.struct((-F.col("cosine")).alias("minus"), "licence")).alias("best"))
+    return best.select("key", F.col("best.licence").alias("licence"), (-F.col("best.minus")).alias("cosine"))
 
 
 def directory_of(path: Column) -> Column:
@@ -84,16 +76,22 @@ def scan(files: DataFrame, *, closing_line_governs: bool = False, templates: lis
     """file_id, path, licence, cosine, origin (own, inherited or null), from_directory.
 
     files: file_id, path, text. Licence files go by their names; closing_line_governs: those whose last line that
-    isn't blank states a licence count too.
+    isn't blank states a licence count too. Cosines are exact up to the rounding of their last operation.
     """
     files = files.select(F.col("file_id").cast("long").alias("file_id"), "path", "text")
     cued = files.where(F.col("text").rlike(CUE) & F.col("file_id").isNotNull() & F.col("path").isNotNull())
-    closing = F.regexp_replace("text", r"[ \t-\r]+$", "")
-    lines = cued.select("file_id", "path", F.size(F.split(closing, "\n", -1)).alias("last"), F.posexplode(F.split("text", "\n", -1)).alias("at", "line")).where(F.col("line").rlike(CUE))
-    found = lines.join(line_licences(lines, templates), "line")
+    last = F.size(F.split(F.regexp_replace("text", r"[ \t-\r]+$", ""), "\n", -1)) - 1
+    lines = F.filter(F.transform(F.split("text", "\n", -1), lambda x, at: F.struct(at.alias("at"), x.alias("unit"))), lambda x: x["unit"].rlike(CUE))
+    cued_blocks = F.filter(F.split("text", BLANK, -1), lambda x: x.rlike(CUE))
+    whole = F.when(F.size("blocks") > 1, F.array(F.array_join("blocks", "\n"))).otherwise(F.array())
+    others = F.transform(F.concat("blocks", whole), lambda x: F.struct(F.lit(-1).alias("at"), x.alias("unit")))
+    units = cued.select("file_id", "path", last.alias("last"), lines.alias("lines"), cued_blocks.alias("blocks"))
+    units = units.select("file_id", "path", "last", F.explode(F.concat("lines", others)).alias("u")).select("file_id", "path", "last", "u.at", F.md5("u.unit").alias("key"), "u.unit")
+    units = materialize(units)
+    found = materialize(units.drop("unit").join(unit_licences(units.select("key", "unit"), templates), "key"))
     governs = F.col("path").rlike(FILE_NAME)
     if closing_line_governs:
-        governs = governs | (F.col("at") + 1 == F.col("last"))
+        governs = governs | (F.col("at") == F.col("last"))
     own = found.groupBy("file_id").agg(F.min(F.struct((-F.col("cosine")).alias("minus"), "licence", "at")).alias("own"))
     own = own.select("file_id", F.col("own.licence").alias("own_licence"), (-F.col("own.minus")).alias("own_cosine"))
     of_directory = found.where(governs).groupBy(directory_of(F.col("path")).alias("from_directory")).agg(F.min(F.struct((-F.col("cosine")).alias("minus"), "licence")).alias("d"))
@@ -139,20 +137,22 @@ def op3_sql() -> str:
 with terms(term, idf) as (values {terms}), parts(term, k, tw) as (values {parts}), norms(k, licence, tnorm) as (values {norms}),
 files as (select doc_id, text, coalesce(source, '-') || '/' || coalesce(lang, '-') || '/' || cast(floor(doc_id / {IDS_EACH}) as bigint) as directory from documents),
 named as (select *, directory || '/' || doc_id || '.txt' as path from files),
-lines as (
-  select doc_id, directory, path, len(string_split(regexp_replace(text, '[ \\t-\\r]+$', ''), chr(10))) as last_line,
-         unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as line_no
-  from named where regexp_matches(text, '{cue}', 'i')),
-cued as (select * from lines where regexp_matches(line, '{cue}', 'i')),
+cued as (select *, len(string_split(regexp_replace(text, '[ \\t-\\r]+$', ''), chr(10))) as last_line from named where regexp_matches(text, '{cue}', 'i')),
+blocks as (select *, list_filter(string_split_regex(text, '\\n[ \\t-\\r]*\\n'), lambda x: regexp_matches(x, '{cue}', 'i')) as blocks from cued),
+units as (
+  select doc_id, directory, last_line, generate_subscripts(string_split(text, chr(10)), 1) as line_no, unnest(string_split(text, chr(10))) as line from cued
+  union all select doc_id, directory, last_line, 0, unnest(blocks) from blocks
+  union all select doc_id, directory, last_line, 0, array_to_string(blocks, chr(10)) from blocks where len(blocks) > 1),
+picked as (select * from units where regexp_matches(line, '{cue}', 'i')),
 counts as (
   select line, term, count(*) as tf
-  from (select line, unnest(regexp_extract_all(translate(line, '{_UPPER}', '{_LOWER}'), '[a-z0-9]+')) as term from (select distinct line from cued)) group by line, term),
+  from (select line, unnest(regexp_extract_all(translate(line, '{_UPPER}', '{_LOWER}'), '[a-z0-9]+')) as term from (select distinct line from picked)) group by line, term),
 weighted as (select line, term, tf * coalesce(idf, {unknown}) as w from counts left join terms using (term)),
 norm as (select line, sum(w * w) as norm from weighted group by line),
 dot as (select line, k, sum(w * tw) as dot from weighted join parts using (term) group by line, k),
 scored as (select line, licence, cast(dot as double) / sqrt(cast(norm as double) * cast(tnorm as double)) as cosine from dot join norm using (line) join norms using (k)),
 best as (select line, licence, cosine from scored where cosine >= {MIN_COSINE} qualify row_number() over (partition by line order by cosine desc, licence) = 1),
-found as (select * from cued join best using (line)),
+found as (select * from picked join best using (line)),
 own as (select doc_id, licence, cosine from found qualify row_number() over (partition by doc_id order by cosine desc, licence, line_no) = 1),
 dirs as (select directory as from_directory, licence, cosine from found where line_no = last_line qualify row_number() over (partition by directory order by cosine desc, licence) = 1),
 up as (

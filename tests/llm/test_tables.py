@@ -275,7 +275,40 @@ def test_license_scan(spark):
     assert license.scan(df.where("false")).count() == 0
 
 
+COMMON = "/usr/share/common-licenses/"
+COMMENTED = lambda text: "\n".join(" * " + x for x in text.split("\n"))
+
+
+def wrapped(text, width=70):
+    import textwrap
+
+    return "\n".join(textwrap.wrap(text, width))
+
+
+def test_real_licences_are_found(spark):
+    """Headers in comments, whole files, identifiers, and files of the system's own licence texts where it has them."""
+    import os
+
+    from itemloom.llm.licence_texts import HEADERS, TEXTS
+
+    cases = [(f"// SPDX-License-Identifier: {x}", want) for x, want in (("MIT", "MIT"), ("Apache-2.0", "Apache-2.0"), ("GPL-2.0-or-later", "GPL-2.0"), ("BSD-3-Clause", "BSD-3-Clause"))]
+    cases += [("/*\n" + COMMENTED("Copyright (C) 2020 Jane Doe <jane@doe.example>\n\n" + wrapped(text)) + "\n */\n\nint main() { return 0; }\n", licence) for licence, text in HEADERS]
+    cases += [("Copyright 2019 The Authors\n\n" + "\n\n".join(wrapped(x + ".") for x in text.split(". ", 1)), licence) for licence, text in TEXTS if len(text) > 500]
+    cases += [("MIT License\n\nCopyright (c) 2020 Jane", "MIT"), ("Copyright (c) 2020 Jane Doe. All rights reserved.", "Proprietary"), ("                 Apache License\n           Version 2.0, January 2004\n        http://www.apache.org/licenses/\n\nterms", "Apache-2.0")]
+    cases += [("This text speaks of a license, of copyright and of permission to read, at some length, as novels do.", None), ("We like the public domain very much and would tell more about it", None)]
+    for name, want in (("GPL-2", "GPL-2.0"), ("GPL-3", "GPL-3.0"), ("LGPL-2.1", "LGPL-2.1"), ("LGPL-3", "LGPL-3.0"), ("Apache-2.0", "Apache-2.0"), ("MPL-2.0", "MPL-2.0"), ("CC0-1.0", "CC0-1.0")):
+        if os.path.exists(COMMON + name):
+            with open(COMMON + name) as f:
+                cases.append((f.read(), want))
+    df = spark.createDataFrame([(k, f"d{k}/f", t) for k, (t, _) in enumerate(cases)], "file_id long, path string, text string")
+    got = {x.file_id: x.licence for x in license.scan(df).collect()}
+    assert [(k, got[k], want, t[:60]) for k, (t, want) in enumerate(cases) if got[k] != want] == []
+
+
 def test_license_query_against_sql(spark):
-    texts = ["x\nReleased under the MIT License.", "Licensed under CC BY-NC 4.0.\ny", "plain", "Copyright. All rights reserved.\n \n", "a license", ""]
-    df = spark.createDataFrame([(k, texts[k % 6] if k % 50 else None, ["en", "fr"][k % 2], "s" if k < 300 else None) for k in range(500)], "doc_id long, text string, lang string, source string")
+    from itemloom.llm.licence_texts import TEXTS
+
+    bsd = "x\n\n" + "\n \n".join(wrapped(x) for x in TEXTS[1][1].split(": "))
+    texts = ["x\nReleased under the MIT License.", "Licensed under CC BY-NC 4.0.\ny", "plain", "Copyright. All rights reserved.\n \n", "a license", "", bsd, "a\n\n# Released under the MIT\n# License.\n\nb"]
+    df = spark.createDataFrame([(k, texts[k % 8] if k % 50 else None, ["en", "fr"][k % 2], "s" if k < 300 else None) for k in range(500)], "doc_id long, text string, lang string, source string")
     assert rows_of(license.op3(df)) == duck({"documents": df.toArrow()}, license.op3_sql())
