@@ -47,6 +47,8 @@ RANK_WORDS = 5
 SLICE_WORDS = 1 << 19
 CHUNK_ENTRIES = 1 << 21
 CHUNK_CONTEXTS = 1 << 17
+#: Bits of the filters' hashes: more are longer to carry, fewer let more through.
+HASH_BITS = 48
 #: The id of rows without one: behind all others.
 NO_ID = (1 << 63) - 1
 
@@ -183,15 +185,15 @@ def _found_table(rows: list[tuple]) -> pa.Table:
     return pa.table({name: pa.array([r[k] for r in rows], t) for k, (name, t) in enumerate(types)})
 
 
-def _deal(key: np.ndarray, doc: np.ndarray, th: np.ndarray, at: np.ndarray, buckets: int) -> dict:
-    """A chunk's hashed entries, sorted. Those that it holds more than once have met here; one of them goes to its range too,
+def _deal(key: np.ndarray, spread: np.ndarray, doc: np.ndarray, th: np.ndarray, at: np.ndarray, buckets: int) -> dict:
+    """A chunk's hashed entries. spread: hashes that choose the ranges. Those that it holds more than once have met here; one of them goes to its range too,
     marked, so that other chunks meet it."""
-    bucket = _ranges(key, buckets)
-    order = np.lexsort((at, th, doc, key))
+    bucket = _ranges(spread, buckets)
+    order = np.lexsort((at, th, doc, bucket, key))
     key, doc, th, at, bucket = key[order], doc[order], th[order], at[order], bucket[order]
-    copy = np.append(False, (key[1:] == key[:-1]) & (doc[1:] == doc[:-1]) & (th[1:] == th[:-1]) & (at[1:] == at[:-1])) if len(key) else np.zeros(0, bool)
+    copy = np.append(False, (key[1:] == key[:-1]) & (bucket[1:] == bucket[:-1]) & (doc[1:] == doc[:-1]) & (th[1:] == th[:-1]) & (at[1:] == at[:-1])) if len(key) else np.zeros(0, bool)
     key, doc, th, at, bucket = key[~copy], doc[~copy], th[~copy], at[~copy], bucket[~copy]
-    same = np.append(False, key[1:] == key[:-1]) if len(key) else np.zeros(0, bool)
+    same = np.append(False, (key[1:] == key[:-1]) & (bucket[1:] == bucket[:-1])) if len(key) else np.zeros(0, bool)
     many = np.append(same[1:], False) & ~same if len(key) else same
     rows: dict[str, list] = {k: [] for k in _FIELDS}
 
@@ -202,21 +204,21 @@ def _deal(key: np.ndarray, doc: np.ndarray, th: np.ndarray, at: np.ndarray, buck
     for d, t, later, runs in _rows_of_runs(doc[same | many], th[same | many], at[same | many], False):
         add(doc_id=d, th=t, later=later, runs=runs)
     key, doc, th, at, bucket, many = key[~same], doc[~same], th[~same], at[~same], bucket[~same], many[~same]
-    order = np.argsort(bucket, kind="stable")
+    order = np.lexsort((at, th, doc, bucket))  # by place: neighbours compress best
     ends = np.append(np.flatnonzero(np.diff(bucket[order])) + 1, len(order)) if len(order) else []
     s = 0
     for e in ends:
         own = order[s:e]
         place = (at[own].astype(np.uint64) << np.uint64(1)) | many[own].astype(np.uint64)
-        add(bucket=int(bucket[own[0]]), keys=pack(np.diff(key[own], prepend=np.uint64(0))), docs=pack(doc[own]), ths=pack(th[own]), places=pack(place))
+        add(bucket=int(bucket[own[0]]), keys=pack(key[own]), docs=pack(doc[own]), ths=pack(th[own]), places=pack(place))
         s = e
     return rows
 
 
 def _in_chunks(entries: Iterator[tuple], buckets: int, bits: int, chunk: int) -> Iterator[dict]:
     held, n = [], 0
-    for key, *places in entries:
-        held.append((key & np.uint64((1 << bits) - 1), *places))
+    for key, *others in entries:
+        held.append((key & np.uint64((1 << bits) - 1), *others))
         n += len(key)
         if n >= chunk:
             yield _deal(*map(np.concatenate, zip(*held, strict=True)), buckets)
@@ -230,20 +232,22 @@ def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
     for x in slices(batches):
         _, anchor = windows(x)
         at = np.unique(anchor)
-        yield grams(x.words, PREFIX)[at], x.ids[x.doc[at]], x.th[x.doc[at]], at - x.starts[x.doc[at]]
+        key = grams(x.words, PREFIX)[at]
+        yield key, _mix(key, np.uint64(1)), x.ids[x.doc[at]], x.th[x.doc[at]], at - x.starts[x.doc[at]]
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-    """The windows around the suffixes that met another, by their hashes."""
+    """The windows around the suffixes that met another, by their hashes; those of one suffix go to one range, which its prefix chooses."""
     for x in slices(batches):
         start, anchor = windows(x)
-        start = start[x.marked()[anchor]]
-        yield grams(x.words, MIN_WORDS)[start], x.ids[x.doc[start]], x.th[x.doc[start]], start - x.starts[x.doc[start]]
+        near = x.marked()[anchor]
+        start, anchor = start[near], anchor[near]
+        yield grams(x.words, MIN_WORDS)[start], _mix(grams(x.words, PREFIX)[anchor], np.uint64(1)), x.ids[x.doc[start]], x.th[x.doc[start]], start - x.starts[x.doc[start]]
 
 
 def _meet(table: pa.Table) -> pa.Table:
     """Sorts what all chunks sent to a range; entries that share their hash with another have met."""
-    key = np.concatenate([np.empty(0, np.uint64), *(np.cumsum(unpack(x, "<u8"), dtype=np.uint64) for x in table["keys"].to_pylist())])
+    key = np.concatenate([np.empty(0, np.uint64), *(unpack(x, "<u8") for x in table["keys"].to_pylist())])
     doc, th = (np.concatenate([np.empty(0, np.int64), *(unpack(x, "<i8") for x in table[k].to_pylist())]) for k in ("docs", "ths"))
     place = np.concatenate([np.empty(0, np.uint64), *(unpack(x, "<u8") for x in table["places"].to_pylist())])
     at, many = (place >> np.uint64(1)).astype(np.int64), (place & np.uint64(1)).astype(bool)
@@ -332,7 +336,7 @@ def _deal_contexts(matrix: np.ndarray, bucket: np.ndarray, doc: np.ndarray, th:
     for d, t, later, runs in _window_rows(matrix, doc, th, at, equal, True):
         add(doc_id=d, th=t, later=later, runs=runs)
     matrix, bucket, doc, th, at, many = (v[~equal] for v in (matrix, bucket, doc, th, at, many))
-    order = np.argsort(bucket, kind="stable")
+    order = np.lexsort((at, th, doc, bucket))  # contexts of one text overlap, so they compress well side by side
     ends = np.append(np.flatnonzero(np.diff(bucket[order])) + 1, len(order))
     s = 0
     for e in ends:
@@ -340,7 +344,7 @@ def _deal_contexts(matrix: np.ndarray, bucket: np.ndarray, doc: np.ndarray, th:
         used, local = np.unique(matrix[own], return_inverse=True)
         spelled = b" ".join(words[k - 1] for k in used.tolist() if k)
         local = (local + (0 if used[0] == 0 else 1)).astype(np.uint32)
-        add(bucket=int(bucket[own[0]]), n=len(own), words=zstandard.ZstdCompressor(level=3).compress(spelled), texts=pack(local.reshape(-1)), docs=pack(doc[own]), ths=pack(th[own]), places=pack(at[own].astype(np.int64)), many=pack(many[own].astype(np.uint8)))
+        add(bucket=int(bucket[own[0]]), n=len(own), words=zstandard.ZstdCompressor(level=3).compress(spelled), texts=zstandard.ZstdCompressor(level=3).compress(local.astype("<u4").tobytes()), docs=pack(doc[own]), ths=pack(th[own]), places=pack(at[own].astype(np.int64)), many=pack(many[own].astype(np.uint8)))
         s = e
     return rows
 
@@ -376,7 +380,7 @@ def _sort_suffixes(table: pa.Table) -> pa.Table:
     parts = []
     for own, raw in zip(spelled, table["texts"].to_pylist(), strict=True):
         of = np.array([0, *(number[w] for w in own)], np.int64)
-        parts.append(of[unpack(raw, "<u4")].reshape(-1, WIDTH))
+        parts.append(of[np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), "<u4")].reshape(-1, WIDTH))
     matrix = np.concatenate(parts)
     doc, th, at = (np.concatenate([unpack(x, "<i8") for x in table[k].to_pylist()]) for k in ("docs", "ths", "places"))
     many = np.concatenate([unpack(x, "|u1") for x in table["many"].to_pylist()]).astype(bool)
@@ -435,7 +439,7 @@ def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         yield out
 
 
-def found_repeats(documents: DataFrame, *, hash_bits: int = 64, chunk_entries: int = CHUNK_ENTRIES, chunk_contexts: int = CHUNK_CONTEXTS) -> DataFrame:
+def found_repeats(documents: DataFrame, *, hash_bits: int = HASH_BITS, chunk_entries: int = CHUNK_ENTRIES, chunk_contexts: int = CHUNK_CONTEXTS) -> DataFrame:
     """As repeated_passages, with th, the hash that tells texts of one id apart.
 
     hash_bits: bits of the filters' hashes; with fewer, more is carried to the suffix array, and the result is the same.
