@@ -87,18 +87,10 @@ def canny(gray: np.ndarray, low: float, high: float) -> np.ndarray:
     same = (gx * gy) >= 0
     peak = np.where(flat, (size > at(0, -1)) & (size >= at(0, 1)), np.where(steep, (size > at(-1, 0)) & (size >= at(1, 0)), np.where(same, (size > at(-1, -1)) & (size > at(1, 1)), (size > at(-1, 1)) & (size > at(1, -1)))))
     weak = peak & (size > low)
-    edges = weak & (size > high)
-    while True:
-        q = np.pad(edges, 1)
-        rows, cols = edges.shape
-        grown = np.zeros_like(edges)
-        for dy in range(3):
-            for dx in range(3):
-                grown |= q[dy : dy + rows, dx : dx + cols]
-        grown &= weak
-        if (grown == edges).all():
-            return edges
-        edges = grown
+    label = regions(weak)
+    strong = np.zeros(weak.size + 1, bool)
+    strong[label[weak & (size > high)]] = True
+    return weak & strong[label]
 
 
 def line_count(edges: np.ndarray, votes: int = 100, least: int = 50, gap: int = 10, seed: int = 7) -> int:
@@ -197,20 +189,40 @@ def circle_count(gray: np.ndarray, distance: int = 20, strong: int = 50, votes:
 # ---------------------------------------------------------------- contours
 
 
-def regions(mask: np.ndarray) -> np.ndarray:
-    """8-connected regions by number, 0 outside, by spreading the least label."""
+def regions(mask: np.ndarray, diagonal: bool = True) -> np.ndarray:
+    """Connected regions (8 neighbours, or 4) by number, 0 outside; the first pixel in reading order gives the number.
+
+    Runs of each row are joined with the runs below that they touch; joined runs take the least number, halving the way each round.
+    """
     rows, cols = mask.shape
-    label = np.where(mask, np.arange(1, mask.size + 1).reshape(mask.shape), 0)
-    big = mask.size + 1
-    while True:
-        p = np.pad(np.where(mask, label, big), 1, constant_values=big)
-        low = np.minimum.reduce([p[y : y + rows, x : x + cols] for y in range(3) for x in range(3)])
-        new = np.where(mask, low, 0)
-        flat = new.ravel()
-        new = np.where(mask, np.append(0, flat)[new], 0)  # a label's own label: halves the way
-        if (new == label).all():
-            return label
-        label = new
+    edge = np.diff(np.pad(mask, ((0, 0), (1, 1))).astype(np.int8), axis=1)
+    row, start = np.nonzero(edge == 1)
+    end = np.nonzero(edge == -1)[1]  # exclusive
+    if not len(row):
+        return np.zeros(mask.shape, np.int64)
+    # a run meets the runs of the next row that start before its end and end behind its start
+    wide = cols + 3
+    reach = 1 if diagonal else 0
+    low = np.searchsorted((row * wide + end), (row + 1) * wide + start - reach, "right")
+    high = np.searchsorted((row * wide + start), (row + 1) * wide + end + reach, "left")
+    count = np.maximum(high - low, 0)
+    above = np.repeat(np.arange(len(row)), count)
+    below = np.repeat(low - (np.cumsum(count) - count), count) + np.arange(count.sum())
+    root = np.arange(len(row))
+    while len(above):
+        a, b = root[above], root[below]
+        least = np.minimum(a, b)
+        np.minimum.at(root, a, least)
+        np.minimum.at(root, b, least)
+        while (root != (up := root[root])).any():
+            root = up
+        left = root[above] != root[below]
+        above, below = above[left], below[left]
+    number = (row * cols + start + 1)[root]
+    out = np.zeros(mask.size + 1, np.int64)
+    out[row * cols + start] += number
+    out[row * cols + end] -= number  # the runs of a row never touch, but one may end where the next row's starts
+    return np.cumsum(out[:-1]).reshape(mask.shape)
 
 
 # The eight neighbours clockwise from the left, as row and column steps.
@@ -277,15 +289,15 @@ def structure(gray: np.ndarray) -> dict:
     mask = gray > 127
     label = regions(mask)
     shapes = {"triangles": 0, "rectangles": 0, "circles": 0, "polygons": 0}
-    numbers, places = np.unique(label, return_index=True)
     outer = outside(mask)
     count = 0
-    for n, at in zip(numbers.tolist(), places.tolist(), strict=True):
-        y, x = divmod(at, gray.shape[1])
-        if not n or not outer[y + 1, x]:  # what lies in the hole of another region is no external contour
+    for n, y, x, box in boxes(label):
+        if not outer[y + 1, x]:  # what lies in the hole of another region is no external contour
             continue
         count += 1
-        p = border(label == n, y, x)
+        if (box[0].stop - box[0].start - 1) * (box[1].stop - box[1].start - 1) <= 100:
+            continue  # so is its area
+        p = border(label[box] == n, y - box[0].start, x - box[1].start) + (box[1].start, box[0].start)
         area = polygon_area(p)
         if area <= 100:
             continue
@@ -296,21 +308,24 @@ def structure(gray: np.ndarray) -> dict:
     return {"line_count": line_count(canny(gray, 50, 150)), "circle_count": circle_count(gray), "contour_count": count, "shapes": shapes, "total_shapes": sum(shapes.values())}
 
 
+def boxes(label: np.ndarray) -> Iterator[tuple[int, int, int, tuple[slice, slice]]]:
+    """Each region's number, its topmost, leftmost pixel, and the rows and columns that it spans."""
+    at = np.flatnonzero(label)
+    at = at[np.argsort(label.ravel()[at], kind="stable")]
+    numbers = label.ravel()[at]
+    cuts = np.flatnonzero(np.diff(numbers, prepend=0))
+    if not len(cuts):
+        return
+    y, x = np.divmod(at, label.shape[1])
+    spans = [f.reduceat(v, cuts).tolist() for v in (y, x) for f in (np.minimum, np.maximum)]
+    for k, (top, bottom, left, right) in zip(cuts.tolist(), zip(*spans, strict=True), strict=True):
+        yield int(numbers[k]), int(y[k]), int(x[k]), (slice(top, bottom + 1), slice(left, right + 1))
+
+
 def outside(mask: np.ndarray) -> np.ndarray:
     """The background that reaches the frame (4-connected), on a frame one pixel wider."""
-    free = np.pad(~mask, 1, constant_values=True)
-    seen = np.zeros_like(free)
-    seen[0], seen[-1], seen[:, 0], seen[:, -1] = True, True, True, True
-    while True:
-        new = seen.copy()
-        new[1:] |= seen[:-1]
-        new[:-1] |= seen[1:]
-        new[:, 1:] |= seen[:, :-1]
-        new[:, :-1] |= seen[:, 1:]
-        new &= free
-        if (new == seen).all():
-            return seen
-        seen = new
+    label = regions(np.pad(~mask, 1, constant_values=True), diagonal=False)
+    return label == label[0, 0]
 
 
 # ---------------------------------------------------------------- records
@@ -367,7 +382,8 @@ def image_features(images: DataFrame, key: str, image: str = "image", to: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [empty_features() if (x := decode(r)) is None else features(x) for r in batch.column(1).to_pylist()]
+            # an image at a time, so that a batch is never held twice
+            found = [empty_features() if (x := decode(r.as_py())) is None else features(x) for r in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(arrow.field(0).type), pa.array(found, arrow.field(1).type)], schema=arrow)
 
     return images.select(key, F.col(image).alias("image")).mapInArrow(run, schema)

@@ -161,8 +161,12 @@ r2 as (select *, {per('rw', 'rs')} as asl, {per('ry', 'rw')} as asw, {per('rc',
 r3 as (select *, greatest(1.0, least(16.0, awl * 1.5 + asl * 0.3 - 3.0)) as grade, greatest(0.0, least(100.0, 206.835 - 1.015 * asl - 84.6 * asw)) as ease from r2)"""
 
 
+#: Added before rounding, since engines break decimal ties of doubles differently.
+NUDGE = 1e-9
+
+
 def rounded(expr: str, digits: int = 6) -> str:
-    return f"round({expr}, {digits})"
+    return f"round({expr} + {NUDGE}, {digits})"
 
 
 READABILITY_COLUMNS = {
@@ -177,18 +181,22 @@ READABILITY_COLUMNS = {
 }
 
 
-def item_row() -> str:
+DOCUMENT_ITEMS = "items as (select doc_id as item_id, text as txt from documents)"
+
+
+def item_row(items: str = ITEMS) -> str:
+    """The 34 text columns of a source of items: item_id and txt, ids once."""
     read = ", ".join(f"{rounded(f'case when s.blank then {50.0 if v == 'ease' else 8.0} else {v} end')} as {k}" for k, v in READABILITY_COLUMNS.items())
     all_patterns = " + ".join(f"pat_{p}" for p in PLAIN)
     pats = ", ".join(f"pat_{p} as math_pat_{p}" for p in ("equation", "fraction", "variable", "percentage", "ratio", "exponent"))
     return f"""
-with {ITEMS}, src as (select item_id as id, txt from items), {content('src')}, {readability()},
+with {items}, src as (select item_id as id, txt from items), {content('src')}, {readability()},
 c as (select *, len({variables()}) as vars, length(t) - length(translate(t, '+-*/^=<>', '')) as ops, case when blank then 0 else {sentences()} end as sc,
   len(list_distinct(hits)) + phrase_kinds as uniq from s3)
 select s.id as item_id, {read}, cast(s.blank or rw < 20 as integer) as readability_low_confidence,
   {rounded(per(all_patterns, 'wc'))} as math_density, {' + '.join(f'sym_{x}' for x in SYMBOLS)} as math_total_symbols,
   {' + '.join(f'(case when sym_{x} > 0 then 1 else 0 end)' for x in SYMBOLS)} as math_unique_symbol_types,
-  len(nums) as math_numbers_count, {rounded('coalesce(list_max(nums) - list_min(nums), 0)')} as math_numbers_range,
+  len(nums) as math_numbers_count, coalesce(list_max(nums) - list_min(nums), 0) as math_numbers_range,
   cast(len(list_filter(nums, lambda x: x < 0)) > 0 as integer) as math_has_negative, cast(len(list_filter(nums, lambda x: x <> floor(x))) > 0 as integer) as math_has_decimal,
   uniq as math_vocab_unique_terms, len(hits) + phrase_hits as math_vocab_term_count,
   case when s.blank then 'unknown' else ranked[1] end as math_domain_primary, {rounded(per('best', 'greatest(total, 1)'))} as math_domain_confidence, {pats},
@@ -254,6 +262,22 @@ def expressions() -> str:
     return f"with {ITEMS} select item_id, array_to_string(list_sort(list_distinct(flatten([{', '.join(parts)}]))), '|') as expressions from items"
 
 
+def vocabulary() -> str:
+    """How often each term occurs in each item: words by a join, each phrase by its own pattern."""
+    words_ = f"select item_id, unnest({tokens('lower(txt)')}) as term from items"
+    phrases = " union all ".join(f"select item_id, '{p}' as term, {phrase(p, 'lower(txt)')} as n from items" for p in PHRASES)
+    return f"with {ITEMS}, {VOCABULARY}, terms as (select distinct term from vocab), w as ({words_}), p as ({phrases}) select item_id, term, count(*) as n from w join terms using (term) group by item_id, term union all select item_id, term, n from p where n > 0"
+
+
+#: Vectors of 64 numbers as gray images of 8 x 8 cells, 8 pixels wide and high; every tenth unreadable. The cells have the pixels' statistics.
+PIXELS = """with e as (select vec_id, embedding, list_min(embedding) as low, list_max(embedding) as high from embeddings where len(embedding) = 64),
+p as (select vec_id, list_transform(embedding, lambda x: cast(floor((x - low) / greatest(high - low, cast(1e-9 as double)) * 255) as double)) as px from e),
+u as (select vec_id, unnest(px) as x from p where vec_id % 10 <> 9),
+s as (select vec_id, round(avg(x), 5) as mean, round(stddev_pop(x), 5) as std, min(x) as low, max(x) as high, round(median(x), 5) as middle, max(x) - min(x) as contrast from u group by vec_id)
+select p.vec_id, case when p.vec_id % 10 <> 9 then 64 end as width, case when p.vec_id % 10 <> 9 then 64 end as height, case when p.vec_id % 10 <> 9 then cast(1.0 as double) end as aspect_ratio, mean, std, low, high, middle, contrast
+from p left join s on p.vec_id = s.vec_id"""
+
+
 VOCABULARY = f"vocab(domain, ord, term) as (values {vocabulary_sql()})"
 MODELS = f"models(ord, model, grp, ccss_domains, grade_band) as (values {models_sql()})"
 KEYWORD_SQL = f"len(list_distinct({among('tok', KEYWORDS)}))"

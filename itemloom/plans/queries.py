@@ -173,10 +173,7 @@ content("vocabulary_totals", "items", {"term_count": (lambda: F.size(_m("hits"))
 register(
     "vocabulary_matches",
     lambda s, d: mathcontent.vocabulary_matches(items(s, d), "item_id", "txt"),
-    f"""with {sql.ITEMS}, {sql.VOCABULARY}, terms as (select distinct term from vocab),
-w as (select item_id, unnest({sql_all('lower(txt)', f'{sql.W}+')}) as term from items),
-p as (select item_id, term, len(regexp_extract_all(regexp_replace(lower(txt), {quoted(f'({sql.NOT_W})')}, '\\1\\1', 'g'), '(?:^|[^\\p{{L}}\\p{{N}}_])(' || replace(term, ' ', '  ') || ')(?:[^\\p{{L}}\\p{{N}}_]|$)')) as n from items cross join terms where contains(term, ' '))
-select item_id, term, count(*) as n from w join terms using (term) group by item_id, term union all select item_id, term, n from p where n > 0""",
+    sql.vocabulary(),
 )
 content("vocabulary_by_row", "items", {"terms": (lambda: joined(F.array_sort(F.array_distinct(F.filter(_m("hits"), lambda t: ~t.contains(" "))))), "array_to_string(list_sort(list_distinct(hits)), '|')")})
 
@@ -253,13 +250,18 @@ register("collapse_texts", lambda s, d: collapse(table(s, d, "conversations"), "
 _RATIOS = ("density", "range", "confidence", "length", "grade", "level", "ease", "fog", "index", "liau", "ari", "chall")
 
 
+def _rounded(rows: DataFrame) -> DataFrame:
+    """Doubles to six digits, as the twin has them; ranges of numbers as they are, since large doubles round differently."""
+    plain = lambda c: dict(rows.dtypes)[c] != "double" or c == "math_numbers_range"
+    return rows.select("item_id", *[F.col(c) if plain(c) else F.round(F.col(c) + sql.NUDGE, 6).alias(c) for c in rows.columns[1:]])
+
+
 def item_features_text(s: SparkSession, d: str) -> DataFrame:
-    rows = text_features(items(s, d), "txt")
-    return rows.select("item_id", *[(r6(F.col(c)) if dict(rows.dtypes)[c] == "double" else F.col(c)).alias(c) for c in rows.columns[1:]])
+    return _rounded(text_features(items(s, d), "txt"))
 
 
 register("item_features_text", item_features_text, sql.item_row())
-register("item_features_documents", lambda s, d: text_features(spread(table(s, d, "documents").select(F.col("doc_id").alias("item_id"), "text"))))
+register("item_features_documents", lambda s, d: _rounded(text_features(spread(table(s, d, "documents").select(F.col("doc_id").alias("item_id"), "text")))), sql.item_row(sql.DOCUMENT_ITEMS))
 
 # ---------------------------------------------------------------- aggregates
 
@@ -271,14 +273,6 @@ register(
 )
 
 
-def _pixels(s: SparkSession, d: str) -> DataFrame:
-    x = table(s, d, "embeddings").select("vec_id", F.explode("embedding").alias("x")).select("vec_id", F.col("x").cast("double").alias("x"))
-    return x.groupBy("vec_id").agg(*[F.round(f, 5).alias(n) for n, f in {"mean": F.avg("x"), "std": F.stddev_pop("x"), "low": F.min("x"), "high": F.max("x"), "middle": F.median("x"), "contrast": F.max("x") - F.min("x")}.items()])
-
-
-register("vector_pixel_stats", _pixels, "select vec_id, round(avg(x), 5) as mean, round(stddev_pop(x), 5) as std, round(min(x), 5) as low, round(max(x), 5) as high, round(median(x), 5) as middle, round(max(x) - min(x), 5) as contrast from (select vec_id, cast(unnest(embedding) as double) as x from embeddings) group by vec_id")
-
-
 def _rollup(s: SparkSession, d: str) -> DataFrame:
     e = F.col("embedding")
     contrast = (F.array_max(e) - F.array_min(e)).cast("double")
@@ -397,6 +391,14 @@ def _image_rows(s: SparkSession, d: str) -> DataFrame:
     return spread(rows).select("vec_id", "label", image.alias("image"))
 
 
+def _pixels(s: SparkSession, d: str) -> DataFrame:
+    """Sizes and pixel statistics of the images, as the image operator finds them."""
+    v = F.col("visual")
+    stats = {"mean": "mean", "std": "std", "low": "min", "high": "max", "middle": "median", "contrast": "contrast"}
+    return visual.image_features(_image_rows(s, d), "vec_id").select("vec_id", *[v["dimensions"][n].alias(n) for n in ("width", "height", "aspect_ratio")], *[F.round(v["pixel_statistics"][n], 5).alias(k) for k, n in stats.items()])
+
+
+register("vector_pixel_stats", _pixels, sql.PIXELS)
 register("image_features", lambda s, d: visual.image_features(_image_rows(s, d), "vec_id").select("vec_id", *visual.flat("visual"), F.col("visual.structural_elements.contour_count").alias("contours"), F.col("visual.edge_metrics.sobel_mean").alias("sobel_mean")))
 
 

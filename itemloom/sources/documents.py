@@ -83,6 +83,17 @@ def text_record(text: Column | str) -> Column:
     )
 
 
+def existing(spark: SparkSession, paths: str | list[str]) -> list[str]:
+    """Those of some paths or patterns under which there is a file; the others are left out, as they would end a read."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    out = []
+    for p in [paths] if isinstance(paths, str) else paths:
+        path = jvm.org.apache.hadoop.fs.Path(p)
+        if found := path.getFileSystem(conf).globStatus(path):
+            out += [p] * (len(found) > 0)
+    return out
+
+
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
     """path, ocr: whole UTF-8 files of any size."""
     return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), text_record("value").alias("ocr"))
@@ -205,11 +216,17 @@ def embedded_images(documents: DataFrame) -> DataFrame:
 
 
 def extract_sources(spark: SparkSession, paths: list[str], mode: str = "full") -> DataFrame:
-    """path, ocr, error of files of any kind that needs no remote model; images and URLs are for sources.remote."""
+    """path, ocr, error of files of any kind that needs no remote model; images and URLs are for sources.remote.
+
+    Paths that do not exist are left out.
+    """
     if mode not in MODES:
         raise ValueError(f"mode is one of {', '.join(MODES)}")
     kinds: dict[str, list[str]] = {}
+    local = set(existing(spark, [p for p in paths if not re.match("https?://", p)]))
     for p in paths:
+        if not re.match("https?://", p) and p not in local:
+            continue
         kind = "url" if p.startswith("https://") else "rejected" if p.startswith("http://") else (re.search(r"\.(txt|docx|pdf)$", p.lower()) or ["image"])[0].lstrip(".")
         kinds.setdefault(kind, []).append(p)
     if bad := set(kinds) & {"url", "rejected", "image"}:
@@ -219,6 +236,8 @@ def extract_sources(spark: SparkSession, paths: list[str], mode: str = "full") -
         if kind in kinds:
             files = spark.read.format("binaryFile").load(kinds[kind]).select("path", F.when(F.col("length") <= MAX_BYTES, F.col("content")).alias("content"))
             parts.append(document_record(document_parts(files, parse)).select("path", "ocr", "error"))
+    if not parts:
+        return spark.createDataFrame([], "path string").select("path", text_record(F.lit("")).alias("ocr"), F.lit(None).cast("string").alias("error"))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

@@ -239,3 +239,44 @@ def test_image_rollup_stream(spark, tmp_path):
     q.awaitTermination(120)
     r = spark.sql("select * from rolled").collect()
     assert len(r) == 1 and r[0].visual_line_count == 4 and r[0].visual_width == 3 and r[0].visual_contrast == 2
+
+
+def test_regions_equal_a_flood():
+    """8 and 4 neighbours, on noise, spirals and frames; the first pixel in reading order numbers a region."""
+    r = np.random.default_rng(5)
+    spiral = np.zeros((21, 21), bool)
+    for k in range(0, 10, 2):
+        spiral[k, k : 21 - k] = spiral[20 - k, k : 21 - k] = spiral[k : 21 - k, 20 - k] = spiral[k + 2 : 21 - k, k] = True
+        spiral[k + 2, k : k + 2] = True
+    for mask in (r.random((23, 31)) < 0.5, r.random((40, 7)) < 0.7, spiral, np.ones((3, 4), bool), np.zeros((3, 4), bool), np.eye(9, dtype=bool)):
+        for diagonal in (True, False):
+            want = np.zeros(mask.shape, int)
+            for y, x in zip(*np.nonzero(mask), strict=True):
+                if want[y, x]:
+                    continue
+                todo, n = [(y, x)], y * mask.shape[1] + x + 1
+                while todo:
+                    a, b = todo.pop()
+                    if not (0 <= a < mask.shape[0] and 0 <= b < mask.shape[1]) or not mask[a, b] or want[a, b]:
+                        continue
+                    want[a, b] = n
+                    todo += [(a + c, b + d) for c in (-1, 0, 1) for d in (-1, 0, 1) if diagonal or not c or not d]
+            assert (visual.regions(mask, diagonal) == want).all()
+
+
+def test_large_noise_takes_seconds():
+    import time
+
+    noise = np.random.default_rng(1).integers(0, 256, (2048, 2048)).astype(np.uint8)
+    start = time.perf_counter()
+    mask = noise > 127
+    label = visual.regions(mask)
+    assert sum(1 for _ in visual.boxes(label)) == len(np.unique(label)) - 1
+    visual.outside(mask)
+    assert time.perf_counter() - start < 20
+
+
+def test_missing_paths_are_left_out(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("What is 2 + 2?")
+    got = documents.extract_sources(spark, [str(tmp_path / "a.txt"), str(tmp_path / "none.txt"), str(tmp_path / "none.docx")]).collect()
+    assert [r.path.rsplit("/", 1)[1] for r in got] == ["a.txt"] and documents.extract_sources(spark, [str(tmp_path / "none.txt")]).count() == 0
