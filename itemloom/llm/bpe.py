@@ -1,7 +1,8 @@
 """Byte-level BPE encoding and decoding by a global distinct-word shuffle.
 
-1. Documents are put together in chunks, compressed texts with their ids, which are written once; all that follows reads them,
-   so it doesn't matter how often, or in which order, the input's rows could be read again.
+1. Documents are dealt out in chunks by a hash of their content (and of the partition they come from, so that repeated rows don't
+   make a chunk hot). Both later reads take the same shuffled rows, and a chunk's words are numbered in the same way in
+   whatever order its rows come, so it doesn't matter how the input could be read again.
 2. Each chunk is split into pre-tokens. Its distinct words get local numbers, the most frequent first, and are dealt out by a
    hash of the word, a row for each chunk and bucket. A bucket holds every chunk's copy of a word, so each distinct word of
    the whole corpus is encoded once.
@@ -12,7 +13,7 @@
 A word comes once from each chunk, however often the chunk holds it, so frequent words make no hot key. The number of
 buckets, and of tasks for them, follows the input's size; chunks are bounded by CHUNK_CHARS and one document.
 
-To split twice costs less disk than to store sequences of word numbers, which take more room than compressed texts.
+To split twice costs less disk than to store sequences of word numbers.
 
 Defined results: a null text counts as empty: no tokens, digests of no bytes; texts of any length are encoded whole; strings of
 special tokens are ordinary text; repeated rows give equal rows; null ids stay null; an empty table gives no rows; further
@@ -32,9 +33,9 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MOST_TASKS, bucket_count, dealt, map_arrow, materialize, pack, rank_encoder, read_ranks, tokenizer_path, unpack
+from .common import MOST_TASKS, bucket_count, dealt, map_arrow, pack, rank_encoder, read_ranks, tokenizer_path, unpack
 
-#: Characters of a chunk (besides one document), and documents.
+#: Characters and documents that a chunk is meant for; hashes deal them out evenly.
 CHUNK_CHARS = 8 << 20
 CHUNK_DOCUMENTS = 1 << 17
 
@@ -58,62 +59,36 @@ class Numbers(dict):
         return n
 
 
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-    """Step 1."""
-    from pyspark import TaskContext
-
-    part, made = TaskContext.get().partitionId() << 24, 0
-    ids, texts, chars = [], [], 0
-
-    def flush() -> dict:
-        raw = [t.encode() for t in texts]
-        return {"chunk": [part + made], "doc_ids": [list(ids)], "lengths": [pack(np.array(list(map(len, raw)), np.uint64))], "texts": [zstandard.ZstdCompressor(level=3).compress(b"".join(raw))]}
-
-    for batch in batches:
-        for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            ids.append(doc_id)
-            texts.append(text or "")
-            chars += len(texts[-1])
-            if chars >= CHUNK_CHARS or len(ids) >= CHUNK_DOCUMENTS:
-                yield flush()
-                made, chars = made + 1, 0
-                ids.clear()
-                texts.clear()
-    if ids:
-        yield flush()
-
-
-def _numbered(lengths: bytes, texts: bytes) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+def _numbered(texts: list[str | None]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     """A chunk's distinct words, the most frequent first, its documents as numbers one after the other, and their lengths."""
-    split, numbers, sequences, at = splitter().findall, Numbers(), [], 0
-    raw = zstandard.ZstdDecompressor().decompress(texts)
-    for n in unpack(lengths, "<u8").tolist():
-        sequences.append(np.fromiter(map(numbers.__getitem__, split(raw[at : at + n].decode())), np.uint32))
-        at += n
+    split, numbers = splitter().findall, Numbers()
+    sequences = [np.fromiter(map(numbers.__getitem__, split(t)), np.uint32) if t else np.empty(0, np.uint32) for t in texts]
     flat = np.concatenate([np.empty(0, np.uint32), *sequences])
-    by_use = np.argsort(-np.bincount(flat, minlength=len(numbers)), kind="stable")
-    local = np.empty(len(numbers), np.uint32)
-    local[by_use] = np.arange(len(numbers), dtype=np.uint32)
-    words = list(numbers)
-    return [words[i].encode() for i in by_use.tolist()], local[flat], np.array(list(map(len, sequences)), np.int64)
+    words = [w.encode() for w in numbers]
+    uses = np.bincount(flat, minlength=len(words)).tolist()
+    order = sorted(range(len(words)), key=lambda i: (-uses[i], words[i]))
+    local = np.empty(len(words), np.uint32)
+    local[order] = np.arange(len(words), dtype=np.uint32)
+    return [words[i] for i in order], local[flat], np.array(list(map(len, sequences)), np.int64)
+
+
+def _words(buckets: int):
+    """Step 2: of a chunk, a row for each bucket; words in the order of their numbers."""
+
+    def run(key: tuple, chunk: pa.Table) -> pa.Table:
+        words, _, _ = _numbered(chunk["text"].to_pylist())
+        bucket = np.fromiter(map(zlib.crc32, words), np.int64, len(words)) % buckets
+        order = np.argsort(bucket, kind="stable")
+        ends = np.flatnonzero(np.diff(bucket[order], append=-1)) + 1
+        rows = []
+        for s, e in zip([0, *ends], ends, strict=False):
+            own = order[s:e]
+            spelled = [words[i] for i in own]
+            rows.append((int(bucket[own[0]]), key[0].as_py(), pack(np.diff(own.astype(np.uint32), prepend=np.uint32(0))), pack(np.array(list(map(len, spelled)), np.uint32)), zstandard.ZstdCompressor(level=3).compress(b"".join(spelled))))
+        types = (("bucket", pa.int32()), ("chunk", pa.int64()), ("numbers", pa.binary()), ("lengths", pa.binary()), ("words", pa.binary()))
+        return pa.table({name: pa.array([x[k] for x in rows], t) for k, (name, t) in enumerate(types)})
 
-
-def _words(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[dict]:
-    """Step 2: a row for each chunk and bucket; words in the order of their numbers."""
-    for batch in batches:
-        for chunk, lengths, texts in zip(*(batch.column(k).to_pylist() for k in ("chunk", "lengths", "texts")), strict=True):
-            words, _, _ = _numbered(lengths, texts)
-            bucket = np.fromiter(map(zlib.crc32, words), np.int64, len(words)) % buckets
-            order = np.argsort(bucket, kind="stable")
-            ends = np.flatnonzero(np.diff(bucket[order], append=-1)) + 1
-            rows: dict[str, list] = {k: [] for k in ("bucket", "chunk", "numbers", "lengths", "words")}
-            for s, e in zip([0, *ends], ends, strict=False):
-                own = order[s:e]
-                spelled = [words[i] for i in own]
-                row = (int(bucket[own[0]]), chunk, pack(np.diff(own.astype(np.uint32), prepend=np.uint32(0))), pack(np.array(list(map(len, spelled)), np.uint32)), zstandard.ZstdCompressor(level=3).compress(b"".join(spelled)))
-                for k, v in zip(rows, row, strict=True):
-                    rows[k].append(v)
-            yield rows
+    return run
 
 
 def _encode_bucket(ranks_path: str):
@@ -142,22 +117,20 @@ def ragged(start: np.ndarray, count: np.ndarray) -> np.ndarray:
 
 
 def _assemble(ranks_path: str, with_ids: bool):
-    def run(chunk: pa.Table) -> pa.Table:
+    def run(chunk: pa.Table, encoded: pa.Table) -> pa.Table:
         table = token_bytes(ranks_path)
-        (d,) = (i for i, x in enumerate(chunk["texts"].to_pylist()) if x is not None)
-        distinct, words, lengths = _numbered(chunk["lengths"][d].as_py(), chunk["texts"][d].as_py())
+        distinct, words, lengths = _numbered(chunk["text"].to_pylist())
         start, count, flat, at = np.zeros(len(distinct), np.int64), np.zeros(len(distinct), np.int64), [np.empty(0, np.uint32)], 0
-        for i in range(chunk.num_rows):
-            if i != d:
-                own = np.cumsum(unpack(chunk["numbers"][i].as_py(), "<u4"), dtype=np.int64)
-                n = unpack(chunk["lengths"][i].as_py(), "<u4").astype(np.int64)
-                flat.append(unpack(chunk["ids"][i].as_py(), "<u4"))
-                start[own], count[own] = at + np.cumsum(n) - n, n
-                at += len(flat[-1])
+        for numbers, n, ids in zip(*(encoded[k].to_pylist() for k in ("numbers", "lengths", "ids")), strict=True):
+            own = np.cumsum(unpack(numbers, "<u4"), dtype=np.int64)
+            n = unpack(n, "<u4").astype(np.int64)
+            flat.append(unpack(ids, "<u4"))
+            start[own], count[own] = at + np.cumsum(n) - n, n
+            at += len(flat[-1])
         flat = np.concatenate(flat)
         out: dict[str, list] = {k: [] for k in ("doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids")}
         at = 0
-        for doc_id, n in zip(chunk["doc_ids"][d].as_py(), lengths.tolist(), strict=True):
+        for doc_id, n in zip(chunk["doc_id"].to_pylist(), lengths.tolist(), strict=True):
             own = words[at : at + n]
             at += n
             ids = flat[ragged(start[own], count[own])]
@@ -190,14 +163,15 @@ def encode_documents(documents: DataFrame, ranks_path: str, *, with_ids: bool =
     """doc_id, n_tokens, ids_sha256, decoded_sha256 and, if asked for, the ids as little-endian unsigned 32-bit integers."""
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     buckets = bucket_count(docs)
-    chunks = materialize(map_arrow(docs, _chunks, "chunk long, doc_ids array<long>, lengths binary, texts binary"))
-    words = map_arrow(chunks.select("chunk", "lengths", "texts"), lambda b: _words(b, buckets), "bucket int, chunk long, numbers binary, lengths binary, words binary")
+    rows, chars = docs.agg(F.count(F.lit(1)), F.sum(F.length("text"))).first()
+    cores = documents.sparkSession.sparkContext.defaultParallelism
+    chunks = max(1, min(cores, rows), -(-(chars or 0) // CHUNK_CHARS), -(-rows // CHUNK_DOCUMENTS))
+    chunk = F.pmod(F.xxhash64("doc_id", "text", F.spark_partition_id()), F.lit(chunks)).alias("chunk")
+    dealt_docs = docs.select("doc_id", "text", chunk).repartition(min(chunks, MOST_TASKS), "chunk")
+    words = dealt_docs.groupBy("chunk").applyInArrow(_words(buckets), "bucket int, chunk long, numbers binary, lengths binary, words binary")
     encoded = dealt(words, buckets).applyInArrow(_encode_bucket(ranks_path), "chunk long, numbers binary, lengths binary, ids binary")
-    own = chunks.select("chunk", F.lit(None).cast("binary").alias("numbers"), "lengths", F.lit(None).cast("binary").alias("ids"), "doc_ids", "texts")
-    parts = own.unionByName(encoded.withColumns({"doc_ids": F.lit(None).cast("array<bigint>"), "texts": F.lit(None).cast("binary")}))
-    tasks = max(1, min(chunks.count(), MOST_TASKS))
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * with_ids
-    return parts.repartition(tasks, "chunk").groupBy("chunk").applyInArrow(_assemble(ranks_path, with_ids), schema)
+    return dealt_docs.groupBy("chunk").cogroup(encoded.repartition(min(chunks, MOST_TASKS), "chunk").groupBy("chunk")).applyInArrow(_assemble(ranks_path, with_ids), schema)
 
 
 def _positions(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
