@@ -1,6 +1,6 @@
 """Byte-level BPE encoding and decoding by a global distinct-word shuffle.
 
-1. Documents are dealt out in chunks by a hash of their content (and of the partition they come from, so that repeated rows don't
+1. Documents are dealt out in chunks, as compressed texts, by a hash of their content (and of the partition they come from, so that repeated rows don't
    make a chunk hot). Both later reads take the same shuffled rows, and a chunk's words are numbered in the same way in
    whatever order its rows come, so it doesn't matter how the input could be read again.
 2. Each chunk is split into pre-tokens. Its distinct words get local numbers, the most frequent first, and are dealt out by a
@@ -38,6 +38,8 @@ from .common import MOST_TASKS, bucket_count, dealt, map_arrow, pack, rank_encod
 #: Characters and documents that a chunk is meant for; hashes deal them out evenly.
 CHUNK_CHARS = 8 << 20
 CHUNK_DOCUMENTS = 1 << 17
+#: Bytes of text that a task holds before it compresses them.
+HELD_BYTES = 64 << 20
 
 
 @lru_cache(maxsize=1)
@@ -59,6 +61,41 @@ class Numbers(dict):
         return n
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """Step 1: some documents of one chunk in a row, compressed."""
+    held: dict[int, tuple[list, list]] = {}
+    chars = 0
+
+    def flush() -> dict:
+        rows: dict[str, list] = {k: [] for k in ("chunk", "doc_ids", "sizes", "texts")}
+        for chunk, (ids, raw) in held.items():
+            for k, v in zip(rows, (chunk, ids, pack(np.array(list(map(len, raw)), np.uint64)), zstandard.ZstdCompressor(level=3).compress(b"".join(raw))), strict=True):
+                rows[k].append(v)
+        held.clear()
+        return rows
+
+    for batch in batches:
+        for chunk, doc_id, text in zip(*(batch.column(k).to_pylist() for k in ("chunk", "doc_id", "text")), strict=True):
+            ids, raw = held.setdefault(chunk, ([], []))
+            ids.append(doc_id)
+            raw.append((text or "").encode())
+            chars += len(raw[-1]) + 64
+            if chars >= HELD_BYTES:
+                yield flush()
+                chars = 0
+    if held:
+        yield flush()
+
+
+def _texts(chunk: pa.Table) -> list[str]:
+    out = []
+    for sizes, texts in zip(chunk["sizes"].to_pylist(), chunk["texts"].to_pylist(), strict=True):
+        raw = zstandard.ZstdDecompressor().decompress(texts)
+        ends = np.cumsum(unpack(sizes, "<u8"), dtype=np.int64).tolist()
+        out += [raw[s:e].decode() for s, e in zip([0, *ends], ends, strict=False)]
+    return out
+
+
 def _numbered(texts: list[str | None]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     """A chunk's distinct words, the most frequent first, its documents as numbers one after the other, and their lengths."""
     split, numbers = splitter().findall, Numbers()
@@ -76,7 +113,7 @@ def _words(buckets: int):
     """Step 2: of a chunk, a row for each bucket; words in the order of their numbers."""
 
     def run(key: tuple, chunk: pa.Table) -> pa.Table:
-        words, _, _ = _numbered(chunk["text"].to_pylist())
+        words, _, _ = _numbered(_texts(chunk))
         bucket = np.fromiter(map(zlib.crc32, words), np.int64, len(words)) % buckets
         order = np.argsort(bucket, kind="stable")
         ends = np.flatnonzero(np.diff(bucket[order], append=-1)) + 1
@@ -119,7 +156,7 @@ def ragged(start: np.ndarray, count: np.ndarray) -> np.ndarray:
 def _assemble(ranks_path: str, with_ids: bool):
     def run(chunk: pa.Table, encoded: pa.Table) -> pa.Table:
         table = token_bytes(ranks_path)
-        distinct, words, lengths = _numbered(chunk["text"].to_pylist())
+        distinct, words, lengths = _numbered(_texts(chunk))
         start, count, flat, at = np.zeros(len(distinct), np.int64), np.zeros(len(distinct), np.int64), [np.empty(0, np.uint32)], 0
         for numbers, n, ids in zip(*(encoded[k].to_pylist() for k in ("numbers", "lengths", "ids")), strict=True):
             own = np.cumsum(unpack(numbers, "<u4"), dtype=np.int64)
@@ -130,7 +167,7 @@ def _assemble(ranks_path: str, with_ids: bool):
         flat = np.concatenate(flat)
         out: dict[str, list] = {k: [] for k in ("doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids")}
         at = 0
-        for doc_id, n in zip(chunk["doc_id"].to_pylist(), lengths.tolist(), strict=True):
+        for doc_id, n in zip((i for ids in chunk["doc_ids"].to_pylist() for i in ids), lengths.tolist(), strict=True):
             own = words[at : at + n]
             at += n
             ids = flat[ragged(start[own], count[own])]
@@ -167,7 +204,8 @@ def encode_documents(documents: DataFrame, ranks_path: str, *, with_ids: bool =
     cores = documents.sparkSession.sparkContext.defaultParallelism
     chunks = max(1, min(cores, rows), -(-(chars or 0) // CHUNK_CHARS), -(-rows // CHUNK_DOCUMENTS))
     chunk = F.pmod(F.xxhash64("doc_id", "text", F.spark_partition_id()), F.lit(chunks)).alias("chunk")
-    dealt_docs = docs.select("doc_id", "text", chunk).repartition(min(chunks, MOST_TASKS), "chunk")
+    rows = map_arrow(docs.select(chunk, "doc_id", "text"), _packed, "chunk long, doc_ids array<long>, sizes binary, texts binary")
+    dealt_docs = rows.repartition(min(chunks, MOST_TASKS), "chunk")
     words = dealt_docs.groupBy("chunk").applyInArrow(_words(buckets), "bucket int, chunk long, numbers binary, lengths binary, words binary")
     encoded = dealt(words, buckets).applyInArrow(_encode_bucket(ranks_path), "chunk long, numbers binary, lengths binary, ids binary")
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * with_ids
