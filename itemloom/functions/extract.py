@@ -12,7 +12,7 @@ VARIABLE = f"(?<!{W})[A-HJ-Zb-z](?!{W})"
 WORD = f"{NOT_S}+"
 ASSIGNMENT = rf"(?<![^={S_IN}])[^={S_IN}]++{S}*={S}*[^={S_IN}]+"
 
-# The marks of LaTeX spans, opening and closing, shortest span first to close; commands; operators.
+# The marks of LaTeX spans, opening and closing, shortest span first to close; commands; operators; the shapes of keys.
 LATEX = [r"\$\$[\s\S]*?\$\$", r"\$[\s\S]*?\$", r"\\\([\s\S]*?\\\)", r"\\\[[\s\S]*?\\\]", r"\\frac\{[\s\S]*?\}\{[\s\S]*?\}", r"\\sqrt\{[\s\S]*?\}", r"\\begin\{equation\}[\s\S]*?\\end\{equation\}"]
 COMMANDS = r"\\(?:int|sum|lim|log|ln|sin|cos|tan)"
 OPERATORS = r"[+\-−×*·÷/=<>≤≥≈^]"

@@ -78,7 +78,7 @@ class HttpBackend:
         self.config, self.key = config, resolve_key(config.provider, key)
 
     def request(self, image: bytes, media_type: str, prompt: str) -> tuple[str, dict, dict]:
-        data, model = base64.b64encode(image).decode(), self.config.model_name
+        data, model = base64.b64encode(image).decode(), self.config.model_name.removeprefix("models/")
         if self.config.provider == "gemini":
             body = {"contents": [{"role": "user", "parts": [{"text": prompt}, {"inline_data": {"mime_type": media_type, "data": data}}]}], "generationConfig": {"temperature": TEMPERATURE, "maxOutputTokens": MAX_TOKENS}}
             return f"https://generativelanguage.googleapis.com/v1beta/models/{model}:generateContent", {"x-goog-api-key": self.key}, body
@@ -86,8 +86,11 @@ class HttpBackend:
         return "https://api.openai.com/v1/chat/completions", {"Authorization": f"Bearer {self.key}"}, body
 
     def answer(self, reply: dict) -> str:
+        """The text of a reply; one without candidates, as for a blocked image, is an error and no empty text."""
         if self.config.provider == "gemini":
-            return "".join(p.get("text", "") for c in reply.get("candidates", [])[:1] for p in c.get("content", {}).get("parts", []))
+            if not reply.get("candidates"):
+                raise ValueError("the reply holds no candidates")
+            return "".join(p.get("text", "") for p in reply["candidates"][0].get("content", {}).get("parts", []))
         return (reply.get("choices") or [{}])[0].get("message", {}).get("content") or ""
 
     def __call__(self, image: bytes, media_type: str, prompt: str) -> str:
@@ -109,9 +112,9 @@ def call_model(images: DataFrame, make_backend: Callable[[], VisionBackend], pro
         backend = make_backend()
         for batch in batches:
             answers, errors = [], []
-            for image, kind in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            for image, kind in zip(batch.column(1), batch.column(2).to_pylist(), strict=True):  # an image at a time
                 try:
-                    answers.append(backend(image, kind or "image/jpeg", prompt))
+                    answers.append(backend(image.as_py(), kind or "image/jpeg", prompt))
                     errors.append(None)
                 except Exception as x:
                     answers.append(None)
@@ -121,7 +124,7 @@ def call_model(images: DataFrame, make_backend: Callable[[], VisionBackend], pro
     return images.select(key, content, media_type).mapInArrow(run, schema)
 
 
-def read_images_by_model(images: DataFrame, make_backend: Callable[[], VisionBackend], mode: str = "full", max_words: int = 100, key: str = "path") -> DataFrame:
+def read_images_by_model(images: DataFrame, make_backend: Callable[[], VisionBackend], mode: str = "full", max_words: int = 30, key: str = "path") -> DataFrame:
     """key, ocr, error. Rows with an error have a null record; drop them with where("error is null")."""
     if mode not in MODES:
         raise ValueError(f"mode is one of {', '.join(MODES)}")

@@ -280,3 +280,11 @@ def test_missing_paths_are_left_out(spark, tmp_path):
     (tmp_path / "a.txt").write_text("What is 2 + 2?")
     got = documents.extract_sources(spark, [str(tmp_path / "a.txt"), str(tmp_path / "none.txt"), str(tmp_path / "none.docx")]).collect()
     assert [r.path.rsplit("/", 1)[1] for r in got] == ["a.txt"] and documents.extract_sources(spark, [str(tmp_path / "none.txt")]).count() == 0
+
+
+def test_replies_without_an_answer():
+    gemini = remote.HttpBackend(remote.ClientConfig(provider="gemini", model="models/some-model"), key="k")
+    assert "/models/some-model:" in gemini.request(b"x", "image/png", "p")[0]
+    assert gemini.answer({"candidates": [{"content": {"parts": [{"text": "a"}, {"text": "b"}]}}]}) == "ab"
+    with pytest.raises(ValueError):
+        gemini.answer({"promptFeedback": {"blockReason": "SAFETY"}})
