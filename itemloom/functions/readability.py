@@ -22,14 +22,17 @@ def _per(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0))
 
 
-def with_readability(df: DataFrame, text: str = "text", prefix: str = "r_", mode: str = "estimate", easy_words: list[str] | None = None) -> DataFrame:
-    """The frame with {prefix}{metric}, {prefix}low_confidence and {prefix}estimated."""
+def with_readability(df: DataFrame, text: str = "text", prefix: str = "r_", mode: str = "estimate", easy_words: list[str] | None = None, syllables: str | None = None) -> DataFrame:
+    """The frame with {prefix}{metric}, {prefix}low_confidence and {prefix}estimated.
+
+    syllables: a column with the text's number of syllables, as from with_syllables; by rule where it is null or not given.
+    """
     if mode not in ("estimate", "formula"):
         raise ValueError("mode is estimate or formula")
     p = prefix
     c = lambda n: F.col(p + n)
     df = df.withColumn(f"{p}norm", F.when(~is_blank(text), extract.normalize_math_text(text)))
-    df = df.withColumns({f"{p}words": extract.word_count(c("norm")), f"{p}sentences": extract.sentence_count(c("norm")), f"{p}chars": extract.word_chars(c("norm")), f"{p}syllables": extract.syllables(c("norm"))})
+    df = df.withColumns({f"{p}words": extract.word_count(c("norm")), f"{p}sentences": extract.sentence_count(c("norm")), f"{p}chars": extract.word_chars(c("norm")), f"{p}syllables": extract.syllables(c("norm")) if syllables is None else F.coalesce(syllables, extract.syllables(c("norm")))})
     df = df.withColumns({f"{p}asl": _per(c("words"), c("sentences")), f"{p}asw": _per(c("syllables"), c("words")), f"{p}awl": _per(c("chars"), c("words"))})
     if mode == "estimate":
         df = df.withColumn(f"{p}grade", F.greatest(F.lit(1.0), F.least(F.lit(16.0), c("awl") * 1.5 + c("asl") * 0.3 - 3.0)))
@@ -68,8 +71,22 @@ def with_readability(df: DataFrame, text: str = "text", prefix: str = "r_", mode
     return df.withColumns({p + n: F.when(blank, empty(n)).otherwise(found[n]) for n in METRICS} | {f"{p}low_confidence": blank | (c("words") < LOW_WORDS), f"{p}estimated": ~blank & F.lit(mode == "estimate")})
 
 
-def readability(df: DataFrame, text: str = "text", to: str = "readability", mode: str = "estimate", easy_words: list[str] | None = None) -> DataFrame:
+def with_syllables(df: DataFrame, table: DataFrame, key: str, text: str = "text", to: str = "syllables") -> DataFrame:
+    """The frame with the number of syllables of its normalised text: by a table of words where it has the word, else by rule.
+
+    table: word (any case) and syllables, as from a pronouncing dictionary; of a word that it lists twice the least number counts.
+    key: a column that names the row; rows with a null key or text have null, rows of one key share the count of all its words.
+    Words are counted for each key before the join; Spark broadcasts the table only if it is small.
+    """
+    listed = table.select(F.lower("word").alias("__w"), F.col("syllables").cast("int").alias("__n")).groupBy("__w").agg(F.min("__n").alias("__n"))
+    words = df.where(F.col(key).isNotNull()).select(F.col(key).alias("__k"), F.explode(all_of(F.lower(extract.normalize_math_text(text)), f"{NOT_S}+")).alias("__w"))
+    each = words.groupBy("__k", "__w").count().join(listed, "__w", "left")
+    sums = each.groupBy("__k").agg(F.sum(F.col("count") * F.coalesce("__n", extract.syllables_of_word("__w"))).alias(to))
+    return df.drop(to).join(sums, F.col(key) == F.col("__k"), "left").drop("__k")
+
+
+def readability(df: DataFrame, text: str = "text", to: str = "readability", mode: str = "estimate", easy_words: list[str] | None = None, syllables: str | None = None) -> DataFrame:
     """The frame with all metrics as a struct in column `to`."""
     p = "__r_"
-    staged = with_readability(df, text, p, mode, easy_words)
+    staged = with_readability(df, text, p, mode, easy_words, syllables)
     return staged.select(*[F.col(x) for x in df.columns], F.struct(*[F.col(p + n).alias(n) for n in (*METRICS, "low_confidence", "estimated")]).alias(to))

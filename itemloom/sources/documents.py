@@ -43,6 +43,13 @@ def media_type(path: Column | str) -> Column:
     return out.otherwise("image/jpeg")
 
 
+def media_type_of(content: Column | str) -> Column:
+    """By the first bytes; image/png where they are unknown."""
+    head = F.hex(F.substring(content, 1, 12))
+    out = F.when(head.startswith("FFD8"), "image/jpeg").when(head.startswith("47494638"), "image/gif").when(head.startswith("424D"), "image/bmp")
+    return out.when(head.startswith("52494646") & head.endswith("57454250"), "image/webp").otherwise("image/png")
+
+
 def source_kind(source: Column | str) -> Column:
     """url, rejected (plain http), text, docx, pdf or image."""
     s = F.col(source) if isinstance(source, str) else source
@@ -99,7 +106,7 @@ def read_texts(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), text_record("value").alias("ocr"))
 
 
-def read_binaries(spark: SparkSession, path: str, max_bytes: int = MAX_BYTES) -> DataFrame:
+def read_binaries(spark: SparkSession, path: str | list[str], max_bytes: int = MAX_BYTES) -> DataFrame:
     """path, length, content of files up to max_bytes; larger ones come with null content, so that none goes unseen."""
     files = spark.read.format("binaryFile").load(path)
     return files.select("path", "length", F.when(F.col("length") <= max_bytes, F.col("content")).alias("content"))
@@ -138,7 +145,9 @@ def docx_parts(content: bytes) -> tuple[list[str], list[str], list[bytes]]:
 
 
 def pdf_parts(content: bytes) -> tuple[list[str], list[str], list[bytes]]:
-    """Each page's text, by pdfplumber or pypdf, whichever there is."""
+    """The text of each page that has any, and images, by pdfplumber or pypdf, whichever there is."""
+    texts = lambda pages: [t for p in pages if (t := p.extract_text())]
+    images = []
     try:
         import pdfplumber
     except ImportError:
@@ -146,8 +155,13 @@ def pdf_parts(content: bytes) -> tuple[list[str], list[str], list[bytes]]:
             import pypdf
         except ImportError:
             raise RuntimeError("reading PDF files needs pdfplumber or pypdf, and neither is installed") from None
-        return [p.extract_text() or "" for p in pypdf.PdfReader(io.BytesIO(content)).pages], [], []
-    images = []
+        pages = list(pypdf.PdfReader(io.BytesIO(content)).pages)
+        for page in pages:
+            try:
+                images += [x.data for x in page.images]
+            except Exception:  # an odd encoding: the text still counts
+                continue
+        return texts(pages), [], images
     with pdfplumber.open(io.BytesIO(content)) as pdf:
         for page in pdf.pages:
             for box in page.images:
@@ -157,7 +171,7 @@ def pdf_parts(content: bytes) -> tuple[list[str], list[str], list[bytes]]:
                     images.append(out.getvalue())
                 except Exception:  # a box outside its page or an odd encoding: the text still counts
                     continue
-        return [p.extract_text() or "" for p in pdf.pages], [], images
+        return texts(pdf.pages), [], images
 
 
 def document_parts(files: DataFrame, parse) -> DataFrame:
@@ -183,15 +197,18 @@ def document_parts(files: DataFrame, parse) -> DataFrame:
     return files.select("path", "content").mapInArrow(run, _DOCUMENT_SCHEMA)
 
 
-def document_record(parts: DataFrame) -> DataFrame:
-    """path, ocr, images, error: the record of each parsed document, confidence 0.95."""
+def document_record(parts: DataFrame, paged: bool = False) -> DataFrame:
+    """path, ocr, images, error: the record of each parsed document, confidence 0.95.
+
+    The question is the first paragraph, or the first line where paragraphs are whole pages.
+    """
     text = F.array_join(F.concat("paragraphs", "rows"), "\n")
     staged = parts.withColumn("__t", text)
     ocr = record(
         empty_ocr(confidence=0.95)
         | {
             "full_text": F.col("__t"),
-            "question_text": F.coalesce(F.try_element_at("paragraphs", F.lit(1)), F.lit("")),
+            "question_text": extract.first_line("__t") if paged else F.coalesce(F.try_element_at("paragraphs", F.lit(1)), F.lit("")),
             "math_expressions": extract.math_expressions("__t"),
             "answer_choices": extract.answer_choices("__t"),
             "data_elements": F.col("rows"),
@@ -207,7 +224,7 @@ def read_docx(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_pdf(spark: SparkSession, path: str) -> DataFrame:
-    return document_record(document_parts(read_binaries(spark, path), pdf_parts))
+    return document_record(document_parts(read_binaries(spark, path), pdf_parts), paged=True)
 
 
 def embedded_images(documents: DataFrame) -> DataFrame:
@@ -215,30 +232,45 @@ def embedded_images(documents: DataFrame) -> DataFrame:
     return documents.select("path", F.posexplode("images").alias("seq", "content"))
 
 
-def extract_sources(spark: SparkSession, paths: list[str], mode: str = "full") -> DataFrame:
-    """path, ocr, error of files of any kind that needs no remote model; images and URLs are for sources.remote.
-
-    Paths that do not exist are left out.
-    """
-    if mode not in MODES:
-        raise ValueError(f"mode is one of {', '.join(MODES)}")
-    kinds: dict[str, list[str]] = {}
+def kinds_of(spark: SparkSession, paths: list[str]) -> dict[str, list[str]]:
+    """The paths by kind, as source_kind names them; paths under which there is no file are left out."""
     local = set(existing(spark, [p for p in paths if not re.match("https?://", p)]))
+    kinds: dict[str, list[str]] = {}
     for p in paths:
-        if not re.match("https?://", p) and p not in local:
-            continue
-        kind = "url" if p.startswith("https://") else "rejected" if p.startswith("http://") else (re.search(r"\.(txt|docx|pdf)$", p.lower()) or ["image"])[0].lstrip(".")
-        kinds.setdefault(kind, []).append(p)
-    if bad := set(kinds) & {"url", "rejected", "image"}:
-        raise ValueError(f"no local reader for {sorted(bad)}; use sources.remote for images and https URLs")
-    parts = [spark.read.text(kinds["txt"], wholetext=True).select(F.input_file_name().alias("path"), text_record("value").alias("ocr"), F.lit(None).cast("string").alias("error"))] if "txt" in kinds else []
+        if p.startswith(("https://", "http://")):
+            kinds.setdefault("url" if p.startswith("https://") else "rejected", []).append(p)
+        elif p in local:
+            found = re.search(r"\.(txt|docx|pdf)$", p.lower())
+            kinds.setdefault({"txt": "text"}.get(found[1], found[1]) if found else "image", []).append(p)
+    return kinds
+
+
+def local_records(spark: SparkSession, kinds: dict[str, list[str]]) -> DataFrame:
+    """path, ocr, images, error of text, DOCX and PDF files."""
+    none = F.array().cast("array<binary>")
+    parts = []
+    if "text" in kinds:
+        texts = spark.read.text(kinds["text"], wholetext=True).select(F.input_file_name().alias("path"), text_record("value").alias("ocr"))
+        parts.append(texts.select("path", "ocr", none.alias("images"), F.lit(None).cast("string").alias("error")))
     for kind, parse in (("docx", docx_parts), ("pdf", pdf_parts)):
         if kind in kinds:
-            files = spark.read.format("binaryFile").load(kinds[kind]).select("path", F.when(F.col("length") <= MAX_BYTES, F.col("content")).alias("content"))
-            parts.append(document_record(document_parts(files, parse)).select("path", "ocr", "error"))
+            parts.append(document_record(document_parts(read_binaries(spark, kinds[kind]), parse), paged=kind == "pdf"))
     if not parts:
-        return spark.createDataFrame([], "path string").select("path", text_record(F.lit("")).alias("ocr"), F.lit(None).cast("string").alias("error"))
+        parts.append(spark.createDataFrame([], "path string").select("path", text_record(F.lit("")).alias("ocr"), none.alias("images"), F.lit(None).cast("string").alias("error")))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
+
+
+def extract_sources(spark: SparkSession, paths: list[str], mode: str = "full") -> DataFrame:
+    """path, ocr, error of files of any kind that needs no remote model; remote.extract_any takes images and URLs too.
+
+    Paths that do not exist are left out.
+    """
+    if mode not in MODES:
+        raise ValueError(f"mode is one of {', '.join(MODES)}")
+    kinds = kinds_of(spark, paths)
+    if bad := set(kinds) & {"url", "rejected", "image"}:
+        raise ValueError(f"no local reader for {sorted(bad)}; use remote.extract_any for images and https URLs")
+    return local_records(spark, kinds).select("path", "ocr", "error")

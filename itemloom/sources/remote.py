@@ -7,28 +7,35 @@ that fails gives a row with an error, secrets cut out of its message.
 from __future__ import annotations
 
 import base64
+import http.client
 import ipaddress
 import json
 import os
 import re
 import socket
+import ssl
+import time
+import urllib.error
+import urllib.parse
 import urllib.request
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from typing import Protocol
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.extract import SECRETS
 from ..functions.vocab import MODEL_NAMES
-from ..operators.parse import with_classification, with_ocr
-from .documents import MAX_BYTES, MODES
+from ..operators.parse import merge_images, with_classification, with_ocr
+from .documents import MAX_BYTES, MODES, embedded_images, kinds_of, local_records, media_type, media_type_of, read_binaries
 
 TIMEOUT_S = 120
 MAX_TOKENS = 2048
 TEMPERATURE = 0.1
+#: Replies after which a call is made again: too many calls, or a server's passing trouble.
+PASSING = {429, 500, 502, 503, 504}
 
 # Providers, with default model and the environment variables of their keys.
 PROVIDERS = {"gemini": ("gemini-2.0-flash", ("GEMINI_API_KEY", "GOOGLE_API_KEY")), "openai": ("gpt-4o", ("OPENAI_API_KEY",))}
@@ -49,6 +56,8 @@ class ClientConfig:
     provider: str = "gemini"
     model: str | None = None
     timeout_s: int = TIMEOUT_S
+    attempts: int = 4
+    wait_s: float = 1.0  # before the second attempt, doubled before each further one
 
     def __post_init__(self) -> None:
         if self.provider not in PROVIDERS:
@@ -96,8 +105,15 @@ class HttpBackend:
     def __call__(self, image: bytes, media_type: str, prompt: str) -> str:
         url, headers, body = self.request(image, media_type, prompt)
         call = urllib.request.Request(url, json.dumps(body).encode(), headers | {"Content-Type": "application/json"})
-        with urllib.request.urlopen(call, timeout=self.config.timeout_s) as r:
-            return self.answer(json.loads(r.read()))
+        for k in range(self.config.attempts):
+            try:
+                with urllib.request.urlopen(call, timeout=self.config.timeout_s) as r:
+                    return self.answer(json.loads(r.read()))
+            except urllib.error.HTTPError as x:
+                if x.code not in PASSING or k + 1 == self.config.attempts:
+                    raise
+            time.sleep(self.config.wait_s * 2**k)
+        raise ValueError("attempts is at least 1")
 
 
 def call_model(images: DataFrame, make_backend: Callable[[], VisionBackend], prompt: str, key: str = "path", content: str = "content", media_type: str = "media_type") -> DataFrame:
@@ -114,6 +130,8 @@ def call_model(images: DataFrame, make_backend: Callable[[], VisionBackend], pro
             answers, errors = [], []
             for image, kind in zip(batch.column(1), batch.column(2).to_pylist(), strict=True):  # an image at a time
                 try:
+                    if not image.is_valid:
+                        raise ValueError("no content, or more than is sent")
                     answers.append(backend(image.as_py(), kind or "image/jpeg", prompt))
                     errors.append(None)
                 except Exception as x:
@@ -141,28 +159,42 @@ def classify_images(images: DataFrame, make_backend: Callable[[], VisionBackend]
 # ---------------------------------------------------------------- https images
 
 
-def resolve_public(host: str) -> None:
-    """Raises ValueError if a name stands for any address that isn't public."""
-    for *_, address in socket.getaddrinfo(host, None):
-        ip = ipaddress.ip_address(address[0].split("%")[0])
+def resolve_public(host: str, port: int = 443) -> str:
+    """An address of a name. ValueError if the name stands for any address that isn't public."""
+    found = [x[4][0].split("%")[0] for x in socket.getaddrinfo(host, port, type=socket.SOCK_STREAM)]
+    for ip in map(ipaddress.ip_address, found):
         if ip.is_private or ip.is_loopback or ip.is_link_local or ip.is_reserved or ip.is_multicast or ip.is_unspecified:
             raise ValueError(f"{host} resolves to {ip}, which is not public")
+    return found[0]
 
 
-class _NoRedirects(urllib.request.HTTPRedirectHandler):
-    def redirect_request(self, *args, **kwargs):
-        return None
+class Connection(http.client.HTTPSConnection):
+    """Connects to the address that was checked, whatever the name resolves to later; the certificate is the name's."""
+
+    def __init__(self, host: str, port: int, timeout_s: int):
+        super().__init__(host, port, timeout=timeout_s, context=ssl.create_default_context())
+        self.address = resolve_public(host, port)
+
+    def connect(self) -> None:
+        plain = socket.create_connection((self.address, self.port), self.timeout)
+        self.sock = self._context.wrap_socket(plain, server_hostname=self.host)
 
 
 def fetch_https(url: str, timeout_s: int = TIMEOUT_S) -> tuple[bytes, str]:
     """The bytes and media type of an https image: public hosts only, no redirects, 20 MB at most."""
-    m = re.match(r"https://(?:[^/?#@]*@)?(\[[^\]]*\]|[^/?#:]+)", url, re.I)
-    if not m:
+    parts = urllib.parse.urlsplit(url)
+    if parts.scheme != "https" or not parts.hostname:
         raise ValueError("only https URLs with a host are fetched")
-    resolve_public(m[1].strip("[]"))
-    with urllib.request.build_opener(_NoRedirects).open(url, timeout=timeout_s) as r:
+    connection = Connection(parts.hostname, parts.port or 443, timeout_s)
+    try:
+        connection.request("GET", (parts.path or "/") + (f"?{parts.query}" if parts.query else ""))
+        r = connection.getresponse()
+        if r.status != 200:
+            raise ValueError(f"status {r.status}")
         body = r.read(MAX_BYTES + 1)
         kind = (r.headers.get("content-type") or "").split(";")[0].strip()
+    finally:
+        connection.close()
     if len(body) > MAX_BYTES:
         raise ValueError(f"the image is larger than {MAX_BYTES} bytes")
     return body, kind if kind.startswith("image/") else "image/jpeg"
@@ -185,3 +217,42 @@ def fetch_images(urls: DataFrame, fetch: Callable[[str], tuple[bytes, str]], key
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.binary(), pa.string(), pa.string()), strict=True)], names=names)
 
     return urls.select(key).mapInArrow(run, schema)
+
+
+def fetching(make_backend: Callable[[], VisionBackend], fetch: Callable[[str], tuple[bytes, str]]) -> Callable[[], VisionBackend]:
+    """A backend whose images are URLs, fetched where they are asked about, so that no task holds more than one."""
+
+    def make() -> VisionBackend:
+        backend = make_backend()
+
+        def ask(url: bytes, _: str, prompt: str) -> str:
+            return backend(*fetch(url.decode()), prompt)
+
+        return ask
+
+    return make
+
+
+def extract_any(spark: SparkSession, paths: list[str], make_backend: Callable[[], VisionBackend], mode: str = "full", max_words: int = 30, fetch: Callable[[str], tuple[bytes, str]] = fetch_https) -> DataFrame:
+    """path, ocr, error of sources of any kind: text, DOCX, PDF and image files, https URLs of images.
+
+    Images inside documents are read by the model too and merged into their document's record; those that it can't read are
+    left out. Paths that do not exist are left out; plain http is an error. The model is asked when the result is read.
+    """
+    if mode not in MODES:
+        raise ValueError(f"mode is one of {', '.join(MODES)}")
+    kinds = kinds_of(spark, paths)
+    if "rejected" in kinds:
+        raise ValueError("only https URLs are fetched")
+    read = lambda images, key="path": read_images_by_model(images, make_backend, mode, max_words, key)
+    documents = local_records(spark, kinds)
+    own = embedded_images(documents).select(F.struct("path", "seq").alias("at"), "content", media_type_of("content").alias("media_type"))
+    seen = read(own, "at").where("error is null").select("at.path", "at.seq", "ocr")
+    out = merge_images(documents.select("path", "ocr", "error"), seen, "path").select("path", "ocr", "error")
+    if "image" in kinds:
+        files = read_binaries(spark, kinds["image"]).select("path", "content", media_type("path").alias("media_type"))
+        out = out.unionByName(read(files))
+    if "url" in kinds:
+        urls = spark.createDataFrame([(u,) for u in kinds["url"]], "path string").select("path", F.col("path").cast("binary").alias("content"), F.lit("").alias("media_type"))
+        out = out.unionByName(read_images_by_model(urls, fetching(make_backend, fetch), mode, max_words))
+    return out

@@ -103,6 +103,15 @@ def test_readability(spark):
         readability.readability(spark.createDataFrame([("x",)], "text string"), mode="other")
 
 
+def test_syllables_by_a_table(spark):
+    table = spark.createDataFrame([("area", 3), ("AREA", 4), ("equal", 2), ("gone", None)], "word string, syllables int")
+    rows = [(1, "The area area is equal"), (2, "no listed words here"), (3, None), (4, ""), (5, "gone area.")]
+    df = readability.with_syllables(spark.createDataFrame(rows, "id int, text string"), table, "id")
+    assert {r.id: r.syllables for r in df.collect()} == {1: 1 + 3 + 3 + 1 + 2, 2: 1 + 2 + 1 + 1, 3: None, 4: None, 5: 1 + 2}
+    got = {r.id: r.r for r in readability.readability(df, to="r", syllables="syllables").collect()}
+    assert got[1].flesch_reading_ease == pytest.approx(206.835 - 1.015 * 5 - 84.6 * 10 / 5) and got[2].flesch_reading_ease == pytest.approx(206.835 - 1.015 * 4 - 84.6 * 5 / 4) and got[3].flesch_reading_ease == 50
+
+
 def test_cognitive_load(spark):
     df = spark.createDataFrame([(T1, ["expression"]), (T2, None), ("", None), ("solve and Solve the area", [])], "text string, terms array<string>")
     a, b, c, d = (r["cognitive"] for r in cognitive.cognitive_load(df, terms="terms").collect())

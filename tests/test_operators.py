@@ -288,3 +288,144 @@ def test_replies_without_an_answer():
     assert gemini.answer({"candidates": [{"content": {"parts": [{"text": "a"}, {"text": "b"}]}}]}) == "ab"
     with pytest.raises(ValueError):
         gemini.answer({"promptFeedback": {"blockReason": "SAFETY"}})
+
+
+def png_like(text):
+    return b"\x89PNG" + text
+
+
+class Reader:
+    def __call__(self, image, media_type, prompt):
+        if b"bad" in image:
+            raise RuntimeError("unreadable")
+        return json.dumps({"full_text": image[4:].decode(), "image_description": media_type, "numbers_found": ["7.0"], "extraction_confidence": 0.5})
+
+
+def test_one_entry_point_for_any_source(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("What is 2 + 2?")
+    docx(tmp_path / "b.docx", png_like(b"inside"))
+    docx(tmp_path / "c.docx", png_like(b"bad"))
+    (tmp_path / "d.png").write_bytes(png_like(b"alone"))
+    (tmp_path / "e.jpg").write_bytes(png_like(b"bad"))
+
+    def fetch(url):
+        if "private" in url:
+            raise ValueError("not public")
+        return png_like(b"fetched"), "image/gif"
+
+    paths = [str(tmp_path / n) for n in ("a.txt", "b.docx", "c.docx", "d.png", "e.jpg", "none.png")] + ["https://x.org/i", "https://private/i"]
+    rows = remote.extract_any(spark, paths, Reader, fetch=fetch).collect()
+    got = {r.path.rsplit("/", 1)[1] if "https" not in r.path else r.path: r for r in rows}
+    assert len(rows) == len(got) == 7 and {k for k, r in got.items() if r.error} == {"e.jpg", "https://private/i"}
+    assert got["a.txt"].ocr.numbers_found == ["2.0", "2.0"] and got["d.png"].ocr.full_text == "alone" and got["https://x.org/i"].ocr.image_description == "image/gif"
+    assert got["b.docx"].ocr.content_type == "mixed" and got["b.docx"].ocr.image_description == "[Image 1] image/png" and "7.0" in got["b.docx"].ocr.numbers_found
+    assert got["c.docx"].ocr.content_type == "text_only" and got["c.docx"].error is None
+    assert remote.extract_any(spark, [], Reader).count() == 0
+    with pytest.raises(ValueError):
+        remote.extract_any(spark, ["http://x.org/i"], Reader)
+
+
+def test_pdf_by_either_library(monkeypatch):
+    """No PDF library is installed here: stand-ins with the calls that the two offer."""
+    import sys
+    import types
+
+    class Box:
+        data = b"raw"
+
+        def save(self, out, format):
+            out.write(b"drawn")
+
+    class Page:
+        def __init__(self, text, images):
+            self.text, self.images = text, images
+
+        def extract_text(self):
+            return self.text
+
+        def crop(self, box):
+            if box[0] < 0:
+                raise ValueError("outside")
+            return types.SimpleNamespace(to_image=lambda resolution: Box())
+
+    class Odd(Page):
+        images = property(lambda self: (_ for _ in ()).throw(KeyError("filter")), lambda self, x: None)
+
+    monkeypatch.setitem(sys.modules, "pdfplumber", None)
+    pages = [Page("one\ntwo", [Box(), Box()]), Page(None, []), Odd("three", [])]
+    monkeypatch.setitem(sys.modules, "pypdf", types.SimpleNamespace(PdfReader=lambda f: types.SimpleNamespace(pages=pages)))
+    assert documents.pdf_parts(b"") == (["one\ntwo", "three"], [], [b"raw", b"raw"])
+    boxes = [{"x0": x, "top": 0, "x1": 1, "bottom": 1} for x in (0, -1)]
+
+    class Open:
+        pages = [Page("one", boxes), Page("", [])]
+
+        def __enter__(self):
+            return self
+
+        def __exit__(self, *_):
+            return None
+
+    monkeypatch.setitem(sys.modules, "pdfplumber", types.SimpleNamespace(open=lambda f: Open()))
+    assert documents.pdf_parts(b"") == (["one"], [], [b"drawn"])
+
+
+def test_pages_give_their_first_line(spark):
+    parts = spark.createDataFrame([("p", ["\n What is 1?\nmore", "next"], [], [], None)], documents._DOCUMENT_SCHEMA)
+    r = documents.document_record(parts, paged=True).first().ocr
+    assert r.question_text == "What is 1?" and r.full_text.endswith("more\nnext")
+
+
+def test_fetches_go_to_the_checked_address(monkeypatch):
+    import socket
+
+    asked = []
+
+    def lookup(host, port, **_):
+        asked.append(host)
+        return [(socket.AF_INET, socket.SOCK_STREAM, 6, "", ("93.184.216.34" if len(asked) == 1 else "127.0.0.1", port))]
+
+    def connect(address, timeout):
+        asked.append(address)
+        raise OSError("stop here")
+
+    monkeypatch.setattr(socket, "getaddrinfo", lookup)
+    monkeypatch.setattr(socket, "create_connection", connect)
+    with pytest.raises(OSError, match="stop here"):
+        remote.fetch_https("https://u:p@x.org/i?q=1")
+    assert asked == ["x.org", ("93.184.216.34", 443)]
+    with pytest.raises(ValueError, match="not public"):
+        remote.fetch_https("https://x.org/i")
+
+
+def test_passing_trouble_is_tried_again(monkeypatch):
+    import urllib.error
+    import urllib.request
+
+    codes = [429, 503]
+
+    class Reply:
+        def __enter__(self):
+            return self
+
+        def __exit__(self, *_):
+            return None
+
+        def read(self):
+            return b'{"choices": [{"message": {"content": "c"}}]}'
+
+    def urlopen(call, timeout):
+        if codes:
+            raise urllib.error.HTTPError("u", codes.pop(0), "m", {}, None)
+        return Reply()
+
+    monkeypatch.setattr(urllib.request, "urlopen", urlopen)
+    b = remote.HttpBackend(remote.ClientConfig("openai", wait_s=0), "k")
+    assert b(b"x", "image/png", "p") == "c" and not codes
+    codes[:] = [400]
+    with pytest.raises(urllib.error.HTTPError):
+        b(b"x", "image/png", "p")
+    codes[:] = [500] * 9
+    with pytest.raises(urllib.error.HTTPError):
+        b(b"x", "image/png", "p")
+    assert len(codes) == 5
