@@ -1,8 +1,9 @@
 """Connected components of an edge table, by alternating large-star and small-star rounds.
 
 Every step is a grouped minimum (combined before its shuffle) and an equi-join (whose skew adaptive execution splits), so
-a node with very many neighbours costs no task more than others. Rounds end when the edges no longer change. Each round
-is written to the shared folder, which ends its lineage; nothing but a row of counts reaches the driver.
+a node with very many neighbours costs no task more than others. Rounds end when the edges no longer change; their number
+grows with the square of the nodes' logarithm at most. Each round is written to the shared folder, which ends its lineage;
+nothing but a row of counts reaches the driver.
 """
 
 from __future__ import annotations
@@ -32,21 +33,15 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.where("a <> b").distinct()
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """node, label: for each node that an edge touches, the least node of its component (the label's own row included).
 
     edges: columns a and b, of one type with an order; direction, repeats and loops don't matter; rows with nulls are dropped.
     """
     edges = edges.where("a is not null and b is not null and a <> b")
     edges = materialize(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    before = _digest(edges)
-    for _ in range(max_rounds if before[0] else 0):
+    before, after = None, _digest(edges)
+    while after[0] and after != before:
         edges = materialize(_star(_star(edges, True), False), drop=edges)
-        after = _digest(edges)
-        if after == before:
-            break
-        before = after
-    else:
-        if before[0]:
-            raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+        before, after = after, _digest(edges)
     return edges.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())

@@ -66,7 +66,7 @@ def cuts(length: int, capacity: int) -> list[tuple[int, int]]:
     return [(0, first), *((s, capacity) for s in range(first, length, capacity))]
 
 
-def _pieces(batches: Iterator[pa.RecordBatch], json_path: str, ranks_path: str | None, capacity: int, end_id: int) -> Iterator[dict]:
+def _pieces(batches: Iterator[pa.RecordBatch], json_path: str, ranks_path: str | None, capacity: int, end_id: int, window: int) -> Iterator[dict]:
     from pyspark import TaskContext
 
     encode = json_encoder(json_path, ranks_path)
@@ -88,7 +88,7 @@ def _pieces(batches: Iterator[pa.RecordBatch], json_path: str, ranks_path: str |
             for k, (start, length) in enumerate(cuts(len(ids), capacity)):
                 for name, value in zip(held, (doc_id, k, start, length, zlib.crc32(ids[start : start + length].data)), strict=True):
                     held[name].append(value)
-            if len(held["piece"]) >= WINDOW:
+            if len(held["piece"]) >= window:
                 yield flush()
     if held["piece"]:
         yield flush()
@@ -110,18 +110,18 @@ def _merge(level: int, fan_in: int, capacity: int, slack: int, pass_on: int, las
     return run
 
 
-def pack_documents(documents: DataFrame, json_path: str, ranks_path: str | None = None, *, capacity: int = CAPACITY, end_id: int = END_ID, slack: int = SLACK, fan_in: int = FAN_IN, pass_on: int = PASS_ON) -> DataFrame:
+def pack_documents(documents: DataFrame, json_path: str, ranks_path: str | None = None, *, capacity: int = CAPACITY, end_id: int = END_ID, slack: int = SLACK, fan_in: int = FAN_IN, pass_on: int = PASS_ON, window: int = WINDOW) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset: a row for each piece.
 
     documents: doc_id, text. json_path: a tokenizers file; ranks_path: the same vocabulary as ranks, if there is one.
     """
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    pieces = materialize(map_arrow(docs, lambda b: _pieces(b, json_path, ranks_path, capacity, end_id), "doc_id long, piece int, start long, length long, ids_crc32 long, bin long, offset long, fill long"))
+    pieces = materialize(map_arrow(docs, lambda b: _pieces(b, json_path, ranks_path, capacity, end_id, window), "doc_id long, piece int, start long, length long, ids_crc32 long, bin long, offset long, fill long"))
     open_ = pieces.where(F.col("fill") < capacity - slack)
     left = open_.groupBy(F.col("bin").alias("own")).agg(F.first("fill").alias("size")).withColumn("node", F.shiftright("own", 33))
-    nodes = (pieces.agg(F.max(F.shiftright("bin", 33))).first()[0] or 0) + 1
-    moved, level = None, 0
-    while nodes > 1:
+    most, count = pieces.agg(F.max(F.shiftright("bin", 33)), F.count(F.lit(1))).first()
+    nodes, moved, level = (most or 0) + 1, None, 0
+    while nodes > 1 or (not level and count >= window):  # one partition of several windows has bins to merge as well
         level += 1
         last = nodes <= fan_in
         step = left.select("own", "size", F.floor(F.col("node") / fan_in).cast("long").alias("group")).groupBy("group").applyInArrow(_merge(level, fan_in, capacity, slack, pass_on, last), "own long, now long, at long, size long, final boolean, node long")

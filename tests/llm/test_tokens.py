@@ -106,6 +106,14 @@ def test_packing_passes_on_a_bounded_number_of_bins(spark):
     assert len(got) == 60 and max(r.offset + r.length for r in got) <= 1000
 
 
+def test_windows_of_one_partition_are_merged(spark):
+    """Two documents fill a sequence; windows of three leave one document each, which only the merge puts together."""
+    docs = documents(spark, [(i, "a " * 300) for i in range(6)]).coalesce(1)
+    size = packing.pack_documents(docs, JSON, RANKS).first().length
+    got = packing.pack_documents(docs, JSON, RANKS, capacity=2 * size, window=3).collect()
+    assert len(got) == 6 and len({r.sequence_id for r in got}) == 3 and {r.offset for r in got} == {0, size}
+
+
 def test_best_fit_decreasing_by_hand():
     bins, offsets, fill = packing.best_fit_decreasing(np.array([5, 7, 3, 5, 10]), 10)
     assert fill.tolist() == [10, 10, 10] and offsets[4] == 0 and bins[1] == bins[2]
