@@ -18,7 +18,10 @@ def keyword_count(tokens: Column) -> Column:
 
 
 def with_cognitive_load(df: DataFrame, text: str = "text", prefix: str = "c_", terms: str | None = None) -> DataFrame:
-    """The frame with {prefix}{field}. terms: a column of found terms; where it is null or empty, keywords are counted."""
+    """The frame with {prefix}{field}. terms: a column of found terms; where it is null or empty, keywords are counted.
+
+    Columns of the frame that have these names are replaced.
+    """
     p = prefix
     c = lambda n: F.col(p + n)
     df = df.withColumns({f"{p}blank": is_blank(text)})

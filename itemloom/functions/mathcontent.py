@@ -103,6 +103,7 @@ def with_math_content(df: DataFrame, text: str = "text", prefix: str = "m_") ->
     """The frame with the content of its text as flat columns, in stages, so that each text scan is made once.
 
     Columns: {prefix}pat_*, sym_*, numbers, hits, score_*, ranked, total, blank, word_count. A blank text has none of anything.
+    Columns of the frame that have these names are replaced.
     """
     p = prefix
     clean = F.when(~is_blank(text), F.col(text)).otherwise(F.lit(""))

@@ -26,6 +26,7 @@ def with_readability(df: DataFrame, text: str = "text", prefix: str = "r_", mode
     """The frame with {prefix}{metric}, {prefix}low_confidence and {prefix}estimated.
 
     syllables: a column with the text's number of syllables, as from with_syllables; by rule where it is null or not given.
+    Columns of the frame that have these names are replaced.
     """
     if mode not in ("estimate", "formula"):
         raise ValueError("mode is estimate or formula")

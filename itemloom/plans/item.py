@@ -34,7 +34,7 @@ def collapse(parts: DataFrame, item: str, seq: str, text: str = "text", by: str
 
 
 def text_features(items: DataFrame, text: str = "text", keep: list[str] | None = None, mode: str = "estimate") -> DataFrame:
-    """The kept columns (all but the text by default) and 34 feature columns."""
+    """The kept columns (all but the text by default) and 34 feature columns, which replace kept ones of their names."""
     keep = [c for c in items.columns if c != text] if keep is None else keep
     df = items.select(*keep, F.col(text).alias("__t"))
     df = with_math_content(df, "__t", "__m_")
@@ -70,7 +70,8 @@ def text_features(items: DataFrame, text: str = "text", keep: list[str] | None =
         "cognitive_element_density": ratio(number_count + F.col("__vars"), m("word_count")),
         "cognitive_avg_sentence_length": ratio(m("word_count"), F.col("__sent")),
     }
-    return df.select(*keep, *[c.alias(n) for n, c in features.items()])
+    names = {n.lower() for n in features}
+    return df.select(*[k for k in keep if k.lower() not in names], *[c.alias(n) for n, c in features.items()])
 
 
 def item_features(items: DataFrame, images: DataFrame | None = None, item: str = "item_id", text: str = "text", mode: str = "estimate") -> DataFrame:

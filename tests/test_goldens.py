@@ -161,3 +161,5 @@ def test_null_and_odd_rows_do_not_crash(spark):
     df = spark.createDataFrame([(None,), ("",), ("😀" * 50,), ("\x00퟿",)], "text string")
     assert text_features(df.select(F.monotonically_increasing_id().alias("id"), "text")).count() == 4
     assert len(text_features(df).collect()) == 4
+    clash = text_features(df.select("text", F.lit("own").alias("Math_Density"), F.lit(1).alias("id")))
+    assert clash.columns[0] == "id" and len(clash.columns) == 35 and clash.select("math_density").dtypes[0][1] == "double"
