@@ -1,17 +1,24 @@
-"""Near copies: texts whose sets of WORDS-word shingles have a Jaccard similarity of 0.8 (NEAR / OUT_OF) or more.
+"""Near copies: texts whose sets of WORDS-word shingles have a Jaccard similarity of 0.8 (NEAR / OUT_OF) or more, by SimHash and pivot tables.
 
-Equal sets become one row first, so copies cost nothing further. Each other set has BANDS x ROWS min-hashes; sets meet where a
-whole band agrees. At similarity 0.8 two sets miss each other in all bands with probability 7e-10, at higher ones less.
-Among those that meet, sizes and the share of min-hashes that agree (their last bytes) discard pairs: a share below
-SHARE lies more than four standard deviations under 0.8. Whatever is left is compared exactly, so no other pair ever links.
+Equal sets become one row first, so copies cost nothing further. At similarity 0.8 fingerprints differ by 15 % of their bits on
+the average (sets of 14 or more shingles: 16.2 % at most), which no pivot bounds in one fingerprint of 64 bits. So each set has
+PRINTS independent fingerprints of BITS bits, and is searched in each as simhash does it: fingerprints meet where they agree on
+all but MAX_BITS of some blocks of bits, pivot distances discard pairs, survivors are verified bit by bit at MAX_BITS. A pair at
+0.8 links in one fingerprint with probability 0.27, in none with 4e-5 (2e-4 at 16.2 %; 7e-3 for five shingles with four of them,
+the one case beyond). CHECK further bits, at most CHECK_MAX of which may differ, leave unrelated sets out.
 
-Four rounds, each between the groups that the ones before have linked: a spanning forest of what meets in FIRST_BANDS bands; a
-spanning forest over all bands; of each text that is outside a meeting's largest group, the likeliest pair with each other
-group; every pair of different groups. In the last two, FINE further min-hashes of the texts that still meet another group
-discard pairs too, again at more than four standard deviations. So large groups of near copies cost few comparisons, pairs
-well below 0.8 cost none, and none that could join two groups is left out.
+The sets that links join in one meeting go on together. Of these, sizes and the bits that differ among all of the sketch
+discard pairs (a share above FAR, or in the last rounds above FINE_FAR of FINE further bits: over four standard deviations
+beyond 16.2 %; sets of fewer than SMALL shingles have SMALL_FAR). Whatever is left is compared exactly, so no other pair ever links.
 
-Meetings of more than WIDE rows are compared in blocks, a task for each pair of blocks, so that no task holds a whole one.
+Four rounds, each between the groups that the ones before have linked: a spanning forest of what meets in FIRST fingerprints; a
+spanning forest over all; of each text that is outside a meeting's largest group, the likeliest pair with each other group;
+every pair of different groups. So large groups of near copies cost few comparisons, pairs well below 0.8 cost none, and none
+that could join two groups is left out.
+
+Entries of meetings (fingerprint, check bits, number of the set) travel packed, 24 bytes each; a pivot table would take 16 more,
+so it is computed where they meet. Candidates in meetings of more than WIDE rows are compared in blocks, a task for each pair of
+blocks, so that no task holds a whole one.
 
 Defined results: a text shorter than WORDS words is one shingle; null and empty texts have the empty set, which is equal to
 itself only; words are split at ASCII white space, A-Z are lowered; rows without an id take part, behind all others; different
@@ -27,18 +34,26 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, materialize
+from .common import dealt, map_arrow, materialize
 from .components import components
+from .simhash import block_masks, majority, pivots
 
 WORDS = 5
 NEAR, OUT_OF = 4, 5
-BANDS, ROWS = 40, 4
-SHARE = 0.65
-FINE, FINE_SHARE = 1024, 0.74
-FIRST_BANDS = 2
+PRINTS, BITS, MAX_BITS = 32, 24, 2
+CHECK, CHECK_MAX = 128, 40
+FAR, FINE, FINE_FAR = 0.217, 4096, 0.185
+SMALL, SMALL_FAR = 6, 0.25
+FIRST = 2
 WIDE = 4096
+#: Meetings from here on are searched row by row, smaller ones all at once.
+LARGE = 256
+#: Entries that a task of the search holds, and sets that are dealt out at once.
+ENTRIES, SETS = 1 << 19, 2048
 SEED = 42
-_MULTIPLIERS = np.random.Generator(np.random.PCG64(SEED)).integers(0, 1 << 64, BANDS * ROWS + FINE, np.uint64) | np.uint64(1)
+SKETCH = (PRINTS * BITS + CHECK) // 64
+_SALTS = np.random.Generator(np.random.PCG64(SEED)).integers(0, 1 << 64, SKETCH + FINE // 64, np.uint64)
+_ENTRY = np.dtype([("check", "<u8", CHECK // 64), ("fp", "<u4"), ("local", "<u2"), ("slot", "<u2")])
 
 
 def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
@@ -53,16 +68,13 @@ def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
     return np.unique(np.fromiter((digest(g, SEED) for g in grams), np.uint64))
 
 
-def min_hashes(h: np.ndarray, fine: bool = False) -> np.ndarray:
-    of = _MULTIPLIERS[BANDS * ROWS :] if fine else _MULTIPLIERS[: BANDS * ROWS]
-    out, step = np.full(len(of), (1 << 64) - 1, np.uint64), (160 << 10) // len(of)
-    for s in range(0, len(h), step):
-        np.minimum(out, (of[:, None] * h[s : s + step]).min(axis=1), out=out)
-    return out
-
-
-def _last_bytes(m: np.ndarray) -> bytes:
-    return (m >> np.uint64(32)).astype(np.uint8).tobytes()
+def fingerprints(h: np.ndarray, fine: bool = False) -> np.ndarray:
+    """The set's SimHash bits, as words: PRINTS fingerprints and the check bits, or the fine ones. Each word has its own hash of the shingles (splitmix64)."""
+    salts = _SALTS[SKETCH:] if fine else _SALTS[:SKETCH]
+    z = h[:, None] + salts
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return majority(z ^ (z >> np.uint64(31)))
 
 
 def _key(h: np.ndarray) -> int:
@@ -71,54 +83,156 @@ def _key(h: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(h.tobytes(), SEED)
 
 
-def _bands(m: np.ndarray) -> np.ndarray:
-    import xxhash
-
-    return np.array([xxhash.xxh64_intdigest(x.tobytes(), k) for k, x in enumerate(m.reshape(BANDS, ROWS))], np.uint64).view(np.int64)
-
-
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
     for batch in batches:
-        keys, sizes, sketches, bands = [], [], [], []
+        keys, sizes, sketches = [], [], []
         for text in batch.column("text").to_pylist():
             h = shingles(text)
             keys.append(_key(h))
             sizes.append(len(h))
-            m = min_hashes(h)
-            sketches.append(_last_bytes(m))
-            bands.append(_bands(m) if len(h) else np.empty(0, np.int64))
-        flat = np.concatenate([np.empty(0, np.int64), *bands])
-        ends = np.concatenate([[0], np.cumsum([len(x) for x in bands])]).astype(np.int32)
-        yield {"doc_id": batch.column("doc_id"), "th": batch.column("th"), "key": np.array(keys, np.uint64).view(np.int64), "n": np.array(sizes, np.int64), "sketch": sketches, "bands": pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))}
+            sketches.append(fingerprints(h).tobytes())
+        yield {"doc_id": batch.column("doc_id"), "th": batch.column("th"), "key": np.array(keys, np.uint64).view(np.int64), "n": np.array(sizes, np.int64), "sketch": sketches}
+
+
+def _prints(sketch: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sketches (a row of bytes each) as fingerprints and check bits."""
+    parts = sketch[:, : PRINTS * BITS // 8].reshape(len(sketch), PRINTS, BITS // 8).astype(np.uint32)
+    return (parts << np.arange(0, BITS, 8, dtype=np.uint32)).sum(axis=2, dtype=np.uint32), np.ascontiguousarray(sketch[:, PRINTS * BITS // 8 :]).view("<u8")
+
+
+def _entries(batches: Iterator[pa.RecordBatch], masks: np.ndarray, buckets: int) -> Iterator[dict]:
+    """Packed entries by bucket: a set has one for each slot, that is a fingerprint and a choice of blocks. Numbers of sets are base << 16 | local."""
+    slot = np.arange(PRINTS * len(masks))
+    for batch in batches:
+        for s in range(0, batch.num_rows, SETS):
+            part = batch.slice(s, SETS)
+            num = part.column("num").to_numpy()
+            sketch = np.frombuffer(b"".join(part.column("sketch").to_pylist()), np.uint8).reshape(len(num), -1)
+            bucket, base, rows = [], [], []
+            for high in np.unique(num >> 16).tolist():
+                own = np.flatnonzero(num >> 16 == high)
+                fp, check = _prints(sketch[own])
+                entries = np.empty((len(own), len(slot)), _ENTRY)
+                entries["check"], entries["fp"], entries["slot"] = check[:, None], np.repeat(fp, len(masks), axis=1), slot
+                entries["local"] = (num[own] & 0xFFFF)[:, None]
+                meeting = (fp[:, :, None] & masks).reshape(len(own), -1).astype(np.uint64) << np.uint64(16) | slot.astype(np.uint64)
+                to = ((meeting * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32).reshape(-1)
+                order = np.argsort(to, kind="stable")
+                to, entries = to[order], entries.reshape(-1)[order]
+                edges = np.concatenate([[0], np.flatnonzero(to[1:] != to[:-1]) + 1, [len(to)]])
+                bucket.extend(to[edges[:-1]].tolist())
+                base.extend([high] * (len(edges) - 1))
+                rows.extend(entries[x:y].tobytes() for x, y in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True))
+            yield {"bucket": bucket, "base": base, "rows": rows}
+
+
+def _linked(fp: np.ndarray, check: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """For each row the first row of those that links join with it. Rows of a meeting are neighbours; ends: where each row's meeting ends."""
+    refs = pivots().astype(np.uint32) & np.uint32((1 << BITS) - 1)
+    table = np.bitwise_count(fp[:, None] ^ refs).astype(np.int8)
+    root = np.arange(len(fp))
+
+    def near(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Which of the pairs link; j holds one row or as many as i."""
+        at = np.arange(len(i))
+        j = np.broadcast_to(j, i.shape)
+        for c in range(table.shape[1]):  # a coordinate at a time: most pairs go at the first few
+            at = at[np.abs(table[i[at], c] - table[j[at], c]) <= MAX_BITS]
+        at = at[np.bitwise_count(fp[i[at]] ^ fp[j[at]]) <= MAX_BITS]
+        return at[np.bitwise_count(check[i[at]] ^ check[j[at]]).sum(axis=1) <= CHECK_MAX]
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    starts = np.flatnonzero(np.concatenate([[True], ends[1:] != ends[:-1]]))
+    large = ends[starts] - starts > LARGE
+    for s in starts[large].tolist():
+        left = np.arange(s, ends[s])
+        while len(left):
+            first, left = left[0], left[1:]
+            queue = [first]
+            while queue and len(left):
+                hit = near(left, np.array(queue.pop()))
+                root[left[hit]] = first
+                queue.extend(left[hit].tolist())
+                left = np.delete(left, hit)
+    small = np.repeat(~large, ends[starts] - starts)
+    at, d = np.flatnonzero(small), 1
+    while len(at := at[at + d < ends[at]]):
+        hit = near(at, at + d)
+        i = at[hit]
+        i = i[root[i] != root[i + d]]
+        for x in i.tolist():
+            a, b = find(x), find(x + d)
+            root[max(a, b)] = min(a, b)
+        if len(i):
+            rows = np.concatenate([i, i + d])
+            root[rows] = [find(x) for x in rows.tolist()]
+        d += 1
+    while (root != (up := root[root])).any():
+        root = up
+    return root
+
+
+def _searched(table: pa.Table, masks: np.ndarray) -> pa.Table:
+    """Of a bucket's meetings, the sets that links join: meet names their first set and the slot."""
+    blobs = table.column("rows").to_pylist()
+    entries = np.frombuffer(b"".join(blobs), _ENTRY)
+    num = np.repeat(table.column("base").to_numpy(), [len(x) // _ENTRY.itemsize for x in blobs]) << 16 | entries["local"]
+    slot = entries["slot"].astype(np.int64)
+    meeting = slot << BITS | entries["fp"] & masks[slot % len(masks)]
+    order = np.argsort(meeting, kind="stable")
+    meeting = meeting[order]
+    edges = np.flatnonzero(np.concatenate([[True], meeting[1:] != meeting[:-1], [True]]))
+    sizes = np.diff(edges)
+    order, sizes = order[np.repeat(sizes > 1, sizes)], sizes[sizes > 1]
+    root = _linked(entries["fp"][order], entries["check"][order], np.repeat(np.cumsum(sizes), sizes))
+    kept = np.bincount(root, minlength=len(root))[root] > 1
+    num, slot = num[order], slot[order]
+    return pa.table({"meet": (num[root] * (PRINTS * len(masks)) + slot)[kept], "num": num[kept], "slot": slot[kept]})
 
 
 class Meeting:
     """Rows that meet. block: rows of one block are not compared with each other where the meeting holds two blocks.
 
-    fine and bands, in the last rounds: further min-hashes; the bands' values, so that a pair is compared in its first common band only.
+    fine, in the last rounds: further bits; there a pair that links in an earlier slot is left to that one.
     """
 
-    def __init__(self, band: int, key: np.ndarray, n: np.ndarray, sketch: np.ndarray, group: np.ndarray, block: np.ndarray, fine: np.ndarray | None, bands: np.ndarray | None):
-        self.key, self.n, self.sketch, self.group, self.fine = key, n, sketch, group, fine
-        self.before = None if bands is None else bands[:, :band]
+    def __init__(self, slot: int, masks: np.ndarray, key: np.ndarray, n: np.ndarray, sketch: np.ndarray, group: np.ndarray, block: np.ndarray, fine: np.ndarray | None):
+        self.key, self.n, self.group = key, n, group
+        self.sketch, self.fine = (None if x is None else np.ascontiguousarray(x).view("<u8") for x in (sketch, fine))
+        self.print, self.before = slot // len(masks), masks[: slot % len(masks)]
+        self.prints = None if fine is None else _prints(sketch)
         self.block = block if len(block) and block.min() != block.max() else None
 
+    def earlier(self, x: int, of: np.ndarray) -> np.ndarray:
+        fp, check = self.prints
+        differ = fp[of, : self.print + 1] ^ fp[x, : self.print + 1]
+        link = np.bitwise_count(differ) <= MAX_BITS
+        own = link[:, -1] & ((differ[:, -1:] & self.before) == 0).any(axis=1)
+        return (link[:, :-1].any(axis=1) | own) & (np.bitwise_count(check[of] ^ check[x]).sum(axis=1) <= CHECK_MAX)
+
     def near(self, x: int, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Which of these rows may link with x, and the share of min-hashes that agree."""
+        """Which of these rows may link with x, and the share of bits that agree."""
         if self.block is not None:
             of = of[self.block[of] != self.block[x]]
         of = of[OUT_OF * np.minimum(self.n[of], self.n[x]) >= NEAR * np.maximum(self.n[of], self.n[x])]
         if not len(of):
             return of, np.empty(0)
-        share = (self.sketch[of] == self.sketch[x]).mean(axis=1)
-        of, share = of[share >= SHARE], share[share >= SHARE]
-        if self.before is not None and len(of):
-            first = ~(self.before[of] == self.before[x]).any(axis=1)
-            of, share = of[first], share[first]
+        far = np.bitwise_count(self.sketch[of] ^ self.sketch[x]).mean(axis=1) / 64
+        small = np.minimum(self.n[of], self.n[x]) < SMALL
+        ok = far <= np.where(small, SMALL_FAR, FAR)
+        of, far, small = of[ok], far[ok], small[ok]
         if self.fine is not None and len(of):
-            share = (self.fine[of] == self.fine[x]).mean(axis=1)
-            of, share = of[share >= FINE_SHARE], share[share >= FINE_SHARE]
-        return of, share
+            new = ~self.earlier(x, of)
+            of, small = of[new], small[new]
+            far = np.bitwise_count(self.fine[of] ^ self.fine[x]).mean(axis=1) / 64
+            ok = far <= np.where(small, SMALL_FAR, FINE_FAR)
+            of, far = of[ok], far[ok]
+        return of, 1 - far
 
     def best(self, x: int, of: np.ndarray) -> np.ndarray:
         """The likeliest of each group."""
@@ -153,7 +267,7 @@ class Meeting:
                 yield np.full(len(hit), self.key[x]), self.key[hit]
 
 
-def _candidates(batches: Iterator[pa.RecordBatch], how: str) -> Iterator[dict]:
+def _candidates(batches: Iterator[pa.RecordBatch], how: str, masks: np.ndarray) -> Iterator[dict]:
     """Rows are sorted by meeting."""
     held: list[pa.RecordBatch] = []
 
@@ -161,14 +275,12 @@ def _candidates(batches: Iterator[pa.RecordBatch], how: str) -> Iterator[dict]:
         if not table.num_rows:
             return {"a": [], "b": []}
         table = table.combine_chunks()
-        meet, band, key, n, group, block = (table.column(k).to_numpy() for k in ("meet", "band", "key", "n", "group", "block"))
+        meet, slot, key, n, group, block = (table.column(k).to_numpy() for k in ("meet", "slot", "key", "n", "group", "block"))
         rows = lambda k: np.frombuffer(b"".join(table.column(k).to_pylist()), np.uint8).reshape(len(key), -1)
-        sketch, fine, bands = rows("sketch"), None, None
-        if "fine" in table.column_names:
-            fine, bands = rows("fine"), np.ascontiguousarray(rows("bands")).view("<i8")
+        sketch, fine = rows("sketch"), rows("fine") if "fine" in table.column_names else None
         edges = np.concatenate([[0], np.flatnonzero(meet[1:] != meet[:-1]) + 1, [len(meet)]])
         part = lambda v, s, e: None if v is None else v[s:e]
-        cut = lambda s, e: Meeting(int(band[s]), *(part(v, s, e) for v in (key, n, sketch, group, block, fine, bands)))
+        cut = lambda s, e: Meeting(int(slot[s]), masks, *(part(v, s, e) for v in (key, n, sketch, group, block, fine)))
         found = [p for s, e in zip(edges, edges[1:], strict=False) if e - s > 1 for p in cut(s, e).pairs(how)]
         if not found:
             return {"a": [], "b": []}
@@ -202,7 +314,7 @@ def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
 def _fine(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
     for batch in batches:
         sets = [np.frombuffer(h, np.uint64) for h in batch.column("h").to_pylist()]
-        yield {"key": batch.column("key"), "fine": [_last_bytes(min_hashes(h, True)) for h in sets], "bands": [_bands(min_hashes(h)).tobytes() for h in sets]}
+        yield {"key": batch.column("key"), "fine": [fingerprints(h, True).tobytes() for h in sets]}
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -215,18 +327,35 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         yield {"a": batch.column("a").filter(pa.array(ok, pa.bool_())), "b": batch.column("b").filter(pa.array(ok, pa.bool_()))}
 
 
+def _masks(n: int) -> np.ndarray:
+    """The choices of blocks for n sets: as few blocks as keep a meeting of unrelated sets below WIDE."""
+    r = MAX_BITS + 2
+    while r < 6 and n > WIDE << (BITS * (r - MAX_BITS) // r):
+        r += 1
+    return np.array(block_masks((1 << BITS) - 1, r, MAX_BITS), np.uint32)
+
+
+def _met(numbered: DataFrame, n: int, masks: np.ndarray) -> DataFrame:
+    """key, slot, meet: the sets that links join in a meeting."""
+    buckets = max(int(numbered.sparkSession.conf.get("spark.sql.shuffle.partitions")), n * PRINTS * len(masks) // ENTRIES + 1)
+    entries = map_arrow(numbered.select("num", "sketch"), lambda b: _entries(b, masks, buckets), "bucket int, base long, rows binary")
+    searched = dealt(entries, buckets).applyInArrow(lambda t: _searched(t, masks), "meet long, num long, slot long")
+    return searched.join(numbered.select("num", "key"), "num").select("key", "slot", "meet")
+
+
 def near_copies(documents: DataFrame) -> DataFrame:
     """doc_id, th (the text's hash) and the first row that links reach: component_id, the least doc_id (null: all ids are null), and component_th."""
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
-    sets = materialize(map_arrow(docs, _sets, "doc_id long, th long, key long, n long, sketch binary, bands array<long>"))
+    sets = materialize(map_arrow(docs, _sets, "doc_id long, th long, key long, n long, sketch binary"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("first")
     distinct = materialize(sets.groupBy("key").agg(first).select("key", F.col("first.doc_id").alias("doc_id"), F.col("first.th").alias("th")))
     of_key = sets.join(distinct, (sets["key"] == distinct["key"]) & sets["doc_id"].eqNullSafe(distinct["doc_id"]) & (sets["th"] == distinct["th"]), "left_semi")
-    met = of_key.select("key", F.posexplode("bands").alias("band", "meet")).distinct()
-    shared = met.groupBy("meet").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("meet")
-    met = materialize(met.join(shared, "meet", "left_semi"))
+    numbered = materialize(of_key.where("n > 0").select("key", "n", "sketch").dropDuplicates(["key"]).withColumn("num", F.monotonically_increasing_id()))
+    n = numbered.count()
+    masks = _masks(n)
+    met = materialize(_met(numbered, n, masks))
     candidates = materialize(met.select("key").distinct())
-    sketches = materialize(of_key.join(candidates, "key", "left_semi").select("key", "n", "sketch").dropDuplicates(["key"]))
+    sketches = materialize(numbered.join(candidates, "key", "left_semi").select("key", "n", "sketch"))
     reps = distinct.join(candidates, "key", "left_semi").select("key", F.col("doc_id").alias("rep_id"), F.col("th").alias("rep_th"))
     texts = docs.join(reps, docs["doc_id"].eqNullSafe(reps["rep_id"]) & (docs["th"] == reps["rep_th"])).select("key", "text")
     hashes = materialize(map_arrow(texts, _hashes, "key long, h binary").dropDuplicates(["key"]))
@@ -235,7 +364,7 @@ def near_copies(documents: DataFrame) -> DataFrame:
         """Links between the groups so far."""
         of, rows = met, sketches.withColumn("group", F.col("key"))
         if links is None:
-            of = met.where(F.col("band") < FIRST_BANDS)
+            of = met.where(F.col("slot") < FIRST * len(masks))
         else:
             groups = components(links)
             rows = sketches.join(groups, sketches["key"] == groups["node"], "left").select("key", "n", "sketch", F.coalesce("label", "key").alias("group"))
@@ -245,15 +374,15 @@ def near_copies(documents: DataFrame) -> DataFrame:
         if how != "forest":
             of = materialize(of)
             open_ = hashes.join(of.select("key").distinct(), "key", "left_semi")
-            fine = materialize(map_arrow(open_, _fine, "key long, fine binary, bands binary"))
+            fine = materialize(map_arrow(open_, _fine, "key long, fine binary"))
         blocks = F.ceil(F.col("size") / WIDE).cast("long")
         of = of.withColumn("block", F.pmod(F.xxhash64("key"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
         of = of.withColumn("meet", F.when(F.col("size") <= WIDE, F.col("meet")).otherwise(F.xxhash64("meet", F.least("block", "other"), F.greatest("block", "other"))))
-        meetings = of.select("meet", "band", "key", "group", "block").join(sketches, "key")
+        meetings = of.select("meet", "slot", "key", "group", "block").join(sketches, "key")
         if how != "forest":
             meetings = meetings.join(fine, "key")
-        meetings = meetings.repartition("meet").sortWithinPartitions("meet", "band", "key")
-        pairs = materialize(map_arrow(meetings, lambda b: _candidates(b, how), "a long, b long").distinct())
+        meetings = meetings.repartition("meet").sortWithinPartitions("meet", "slot", "key")
+        pairs = materialize(map_arrow(meetings, lambda b: _candidates(b, how, masks), "a long, b long").distinct())
         a, b = (hashes.select(F.col("key").alias(f"k{x}"), F.col("h").alias(f"h{x}")) for x in "ab")
         both = pairs.join(a, pairs["a"] == a["ka"]).join(b, pairs["b"] == b["kb"]).select("a", "b", "ha", "hb")
         found = materialize(map_arrow(both, _verified, "a long, b long"))

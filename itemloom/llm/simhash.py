@@ -32,7 +32,6 @@ from pyspark.sql import functions as F
 
 from .common import map_arrow, materialize
 from .components import components
-from .nearcopies import near_copies
 
 WORDS = 3
 MAX_BITS = 3
@@ -60,6 +59,14 @@ def fingerprint(text: str | None, words: int = WORDS, seed: int = SEED) -> int:
     return int(np.packbits(2 * ones > len(h), bitorder="little").view("<u8")[0])
 
 
+def majority(h: np.ndarray) -> np.ndarray:
+    """The fingerprint of hashes of several words each (a row for each shingle): bits that are set in over half the rows."""
+    ones = np.zeros(64 * h.shape[1], np.int64)
+    for s in range(0, len(h), 255):  # a byte holds the count
+        ones += np.unpackbits(np.ascontiguousarray(h[s : s + 255], "<u8").view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint8)
+    return np.packbits(2 * ones > len(h), bitorder="little").view("<u8")
+
+
 def _fingerprints(batches: Iterator[pa.RecordBatch], words: int, seed: int) -> Iterator[dict]:
     for batch in batches:
         found = np.array([fingerprint(t, words, seed) for t in batch.column("text").to_pylist()], np.uint64)
@@ -218,11 +225,13 @@ def op6(documents: DataFrame) -> DataFrame:
 
 
 def keep_one(documents: DataFrame) -> DataFrame:
-    """The documents, one of each group of near copies (see nearcopies): the one with the least doc_id, then the least hash of its text.
+    """The documents, one of each group of near copies (SimHash and pivot tables, see nearcopies): the one with the least doc_id, then the least hash of its text.
 
     All columns stay. Null and empty texts are copies of each other; of repeated rows (same id, same text) one stays;
     different texts of one id are told apart; rows without an id take part, behind all others; an empty table stays empty.
     """
+    from .nearcopies import near_copies  # it takes this module's blocks, pivots and majority
+
     groups = materialize(near_copies(documents))
     kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("th") == F.col("component_th")))
     repeated = not kept.groupBy("doc_id", "th").count().where("count > 1").isEmpty()

@@ -2,6 +2,7 @@ import hashlib
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -355,6 +356,42 @@ def test_near_copies_in_blocks(spark, monkeypatch, wide):
     assert {x.doc_id: x.component_id for x in nearcopies.near_copies(documents(spark, rows)).collect()} == want
 
 
+@pytest.mark.parametrize("large", [256, 3])
+def test_near_copies_by_pivot_tables(monkeypatch, large):
+    """The search joins exactly what fingerprints that meet and lie MAX_BITS apart connect, in each fingerprint and choice of blocks."""
+    import pyarrow as pa
+
+    from itemloom.llm import nearcopies as nc
+
+    monkeypatch.setattr(nc, "LARGE", large)
+    base, rows = prose(700, 300).split(), []
+    for k in range(60):
+        words = list(base) if k < 45 else prose(700 + k, 80).split()
+        for p in range(k % 9):
+            words[(37 * k + 29 * p) % len(words)] = f"v{k}x{p}"
+        rows.append(nc.fingerprints(nc.shingles(" ".join(words))).tobytes())
+    num = [k + (k % 3 << 33) for k in range(len(rows))]
+    masks = nc._masks(len(rows))
+    entries = [x for b in pa.table({"num": num, "sketch": rows}).to_batches() for x in nc._entries([b], masks, 7)]
+    got = {}
+    for bucket in range(7):
+        own = [(base, r) for x in entries for b, base, r in zip(x["bucket"], x["base"], x["rows"], strict=True) if b == bucket]
+        found = nc._searched(pa.table({"base": [b for b, _ in own], "rows": [r for _, r in own]}), masks).to_pylist()
+        for x in found:
+            got.setdefault((x["slot"], x["meet"]), set()).add(x["num"])
+    fp, check = nc._prints(np.frombuffer(b"".join(rows), np.uint8).reshape(len(rows), -1))
+    want = set()
+    for slot in range(nc.PRINTS * len(masks)):
+        of, mask, up = fp[:, slot // len(masks)].tolist(), int(masks[slot % len(masks)]), list(range(len(rows)))
+        for i in range(len(rows)):
+            for j in range(i):
+                bits = of[i] ^ of[j]
+                if not bits & mask and bits.bit_count() <= nc.MAX_BITS and np.bitwise_count(check[i] ^ check[j]).sum() <= nc.CHECK_MAX:
+                    up = [up[j] if x == up[i] else x for x in up]
+        want |= {(slot, g) for u in set(up) if len(g := frozenset(num[k] for k in range(len(rows)) if up[k] == u)) > 1}
+    assert {(slot, frozenset(g)) for (slot, _), g in got.items()} == want and len(want) > nc.PRINTS
+
+
 def test_keep_one_at_jaccard(spark):
     """Pairs on both sides of similarity 0.8 on five-word shingles, and a group that hangs together by its middle only."""
     import random
