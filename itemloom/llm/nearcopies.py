@@ -7,18 +7,15 @@ all but MAX_BITS of some blocks of bits, pivot distances discard pairs, survivor
 0.8 links in one fingerprint with probability 0.27, in none with 4e-5 (2e-4 at 16.2 %; 7e-3 for five shingles with four of them,
 the one case beyond). CHECK further bits, at most CHECK_MAX of which may differ, leave unrelated sets out.
 
-The sets that links join in one meeting go on together. Of these, sizes and the bits that differ among all of the sketch
-discard pairs (a share above FAR, or in the last rounds above FINE_FAR of FINE further bits: over four standard deviations
-beyond 16.2 %; sets of fewer than SMALL shingles have SMALL_FAR). Whatever is left is compared exactly, so no other pair ever links.
-
-Four rounds, each between the groups that the ones before have linked: a spanning forest of what meets in FIRST fingerprints; a
-spanning forest over all; of each text that is outside a meeting's largest group, the likeliest pair with each other group;
-every pair of different groups. So large groups of near copies cost few comparisons, pairs well below 0.8 cost none, and none
-that could join two groups is left out.
+The sets that links join, in whatever meetings, are a cluster. Each set goes on once, with its cluster, however many meetings it
+shares with others. There sizes and the bits that differ among all of the sketch discard pairs (a share above FAR: over four
+standard deviations beyond 16.2 %; sets of fewer than SMALL shingles have SMALL_FAR); whatever is left is compared exactly, so no
+other pair ever links. A search from row to row leaves out pairs that are together already, so large groups of near copies cost
+few comparisons.
 
 Entries of meetings (fingerprint, check bits, number of the set) travel packed, 24 bytes each; a pivot table would take 16 more,
-so it is computed where they meet. Candidates in meetings of more than WIDE rows are compared in blocks, a task for each pair of
-blocks, so that no task holds a whole one.
+so it is computed where they meet. Clusters of more than WIDE sets or HELD shingles are compared in blocks, a task for each pair
+of blocks, so that no task holds a whole one.
 
 Defined results: a text shorter than WORDS words is one shingle; null and empty texts have the empty set, which is equal to
 itself only; words are split at ASCII white space, A-Z are lowered; rows without an id take part, behind all others; different
@@ -42,17 +39,17 @@ WORDS = 5
 NEAR, OUT_OF = 4, 5
 PRINTS, BITS, MAX_BITS = 32, 24, 2
 CHECK, CHECK_MAX = 128, 40
-FAR, FINE, FINE_FAR = 0.217, 4096, 0.185
+FAR = 0.217
 SMALL, SMALL_FAR = 6, 0.25
-FIRST = 2
-WIDE = 4096
+#: Sets and shingles in a block of a cluster, and unrelated sets that may share a meeting.
+WIDE, HELD, SHARED = 1 << 14, 1 << 22, 4096
 #: Meetings from here on are searched row by row, smaller ones all at once.
 LARGE = 256
 #: Entries that a task of the search holds, and sets that are dealt out at once.
 ENTRIES, SETS = 1 << 19, 2048
 SEED = 42
 SKETCH = (PRINTS * BITS + CHECK) // 64
-_SALTS = np.random.Generator(np.random.PCG64(SEED)).integers(0, 1 << 64, SKETCH + FINE // 64, np.uint64)
+_SALTS = np.random.Generator(np.random.PCG64(SEED)).integers(0, 1 << 64, SKETCH, np.uint64)
 _ENTRY = np.dtype([("check", "<u8", CHECK // 64), ("fp", "<u4"), ("local", "<u2"), ("slot", "<u2")])
 
 
@@ -68,10 +65,9 @@ def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
     return np.unique(np.fromiter((digest(g, SEED) for g in grams), np.uint64))
 
 
-def fingerprints(h: np.ndarray, fine: bool = False) -> np.ndarray:
-    """The set's SimHash bits, as words: PRINTS fingerprints and the check bits, or the fine ones. Each word has its own hash of the shingles (splitmix64)."""
-    salts = _SALTS[SKETCH:] if fine else _SALTS[:SKETCH]
-    z = h[:, None] + salts
+def fingerprints(h: np.ndarray) -> np.ndarray:
+    """The set's SimHash bits, as words: PRINTS fingerprints and the check bits. Each word has its own hash of the shingles (splitmix64)."""
+    z = h[:, None] + _SALTS
     z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return majority(z ^ (z >> np.uint64(31)))
@@ -195,98 +191,66 @@ def _searched(table: pa.Table, masks: np.ndarray) -> pa.Table:
     return pa.table({"meet": (num[root] * (PRINTS * len(masks)) + slot)[kept], "num": num[kept], "slot": slot[kept]})
 
 
-class Meeting:
-    """Rows that meet. block: rows of one block are not compared with each other where the meeting holds two blocks.
-
-    fine, in the last rounds: further bits; there a pair that links in an earlier slot is left to that one.
-    """
+class Cluster:
+    """Sets of a cluster (h: their shingles), or of two of its blocks; sets of one block are then not compared with each other."""
 
-    def __init__(self, slot: int, masks: np.ndarray, key: np.ndarray, n: np.ndarray, sketch: np.ndarray, group: np.ndarray, block: np.ndarray, fine: np.ndarray | None):
-        self.key, self.n, self.group = key, n, group
-        self.sketch, self.fine = (None if x is None else np.ascontiguousarray(x).view("<u8") for x in (sketch, fine))
-        self.print, self.before = slot // len(masks), masks[: slot % len(masks)]
-        self.prints = None if fine is None else _prints(sketch)
-        self.block = block if len(block) and block.min() != block.max() else None
+    def __init__(self, sketch: np.ndarray, block: np.ndarray, h: list[bytes]):
+        self.sketch = np.ascontiguousarray(sketch).view("<u8")
+        self.block = block if block.min() != block.max() else None
+        self.n = np.array([len(x) // 8 for x in h])
+        self.h, self.ids, self.own = h, None, None
 
-    def earlier(self, x: int, of: np.ndarray) -> np.ndarray:
-        fp, check = self.prints
-        differ = fp[of, : self.print + 1] ^ fp[x, : self.print + 1]
-        link = np.bitwise_count(differ) <= MAX_BITS
-        own = link[:, -1] & ((differ[:, -1:] & self.before) == 0).any(axis=1)
-        return (link[:, :-1].any(axis=1) | own) & (np.bitwise_count(check[of] ^ check[x]).sum(axis=1) <= CHECK_MAX)
-
-    def near(self, x: int, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Which of these rows may link with x, and the share of bits that agree."""
+    def near(self, x: int, of: np.ndarray) -> np.ndarray:
+        """Which of these rows may link with x."""
         if self.block is not None:
             of = of[self.block[of] != self.block[x]]
         of = of[OUT_OF * np.minimum(self.n[of], self.n[x]) >= NEAR * np.maximum(self.n[of], self.n[x])]
+        far = np.bitwise_count(self.sketch[of] ^ self.sketch[x]).sum(axis=1, dtype=np.int64) / (64 * SKETCH)
+        return of[far <= np.where(np.minimum(self.n[of], self.n[x]) < SMALL, SMALL_FAR, FAR)]
+
+    def linked(self, x: int, of: np.ndarray) -> np.ndarray:
+        """Which of these rows link with x: the sets themselves are compared."""
+        of = self.near(x, of)
         if not len(of):
-            return of, np.empty(0)
-        far = np.bitwise_count(self.sketch[of] ^ self.sketch[x]).mean(axis=1) / 64
-        small = np.minimum(self.n[of], self.n[x]) < SMALL
-        ok = far <= np.where(small, SMALL_FAR, FAR)
-        of, far, small = of[ok], far[ok], small[ok]
-        if self.fine is not None and len(of):
-            new = ~self.earlier(x, of)
-            of, small = of[new], small[new]
-            far = np.bitwise_count(self.fine[of] ^ self.fine[x]).mean(axis=1) / 64
-            ok = far <= np.where(small, SMALL_FAR, FINE_FAR)
-            of, far = of[ok], far[ok]
-        return of, 1 - far
-
-    def best(self, x: int, of: np.ndarray) -> np.ndarray:
-        """The likeliest of each group."""
-        of, share = self.near(x, of)
-        of = of[np.argsort(-share, kind="stable")]
-        return of[np.unique(self.group[of], return_index=True)[1]]
+            return of
+        if self.ids is None:  # shingles are numbered when the first pair needs it
+            names, ids = np.unique(np.frombuffer(b"".join(self.h), np.uint64), return_inverse=True)
+            self.ids, self.own = np.split(ids, np.cumsum(self.n)[:-1]), np.zeros(len(names), bool)
+        self.own[self.ids[x]] = True
+        starts = np.cumsum(self.n[of]) - self.n[of]
+        both = np.add.reduceat(self.own[np.concatenate([self.ids[y] for y in of.tolist()])], starts, dtype=np.int64)
+        self.own[self.ids[x]] = False
+        return of[OUT_OF * both >= NEAR * (self.n[of] + self.n[x] - both)]
 
     def forest(self) -> Iterator[tuple[int, np.ndarray]]:
-        left = np.arange(len(self.key))
+        """Links that join whatever links join."""
+        left = np.arange(len(self.n))
         while len(left):
-            mates = self.group[left] == self.group[left[0]]  # rows of one group are together already
-            queue, left = left[mates].tolist(), left[~mates]
+            queue, left = [int(left[0])], left[1:]
             while queue and len(left):
                 x = queue.pop()
-                hit = self.best(x, left)
+                hit = self.linked(x, left)
                 if len(hit):
                     yield x, hit
-                    mates = np.isin(self.group[left], self.group[hit])
-                    queue.extend(left[mates].tolist())
-                    left = left[~mates]
+                    queue.extend(hit.tolist())
+                    left = np.setdiff1d(left, hit, assume_unique=True)
 
-    def between(self, best: bool) -> Iterator[tuple[int, np.ndarray]]:
-        """Rows of all groups but the largest, with all rows of other groups or the likeliest of each."""
-        names, counts = np.unique(self.group, return_counts=True)
-        for x in np.flatnonzero(self.group != names[counts.argmax()]).tolist():
-            others = np.flatnonzero(self.group != self.group[x])
-            yield x, self.best(x, others) if best else self.near(x, others)[0]
 
-    def pairs(self, how: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        for x, hit in self.forest() if how == "forest" else self.between(how == "best"):
-            if len(hit):
-                yield np.full(len(hit), self.key[x]), self.key[hit]
-
-
-def _candidates(batches: Iterator[pa.RecordBatch], how: str, masks: np.ndarray) -> Iterator[dict]:
-    """Rows are sorted by meeting."""
+def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """Rows are sorted by meet: a cluster, or two of its blocks."""
     held: list[pa.RecordBatch] = []
 
     def search(table: pa.Table) -> dict:
-        if not table.num_rows:
-            return {"a": [], "b": []}
         table = table.combine_chunks()
-        meet, slot, key, n, group, block = (table.column(k).to_numpy() for k in ("meet", "slot", "key", "n", "group", "block"))
-        rows = lambda k: np.frombuffer(b"".join(table.column(k).to_pylist()), np.uint8).reshape(len(key), -1)
-        sketch, fine = rows("sketch"), rows("fine") if "fine" in table.column_names else None
+        meet, key, block = (table.column(k).to_numpy() for k in ("meet", "key", "block"))
+        sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(len(key), -1)
         edges = np.concatenate([[0], np.flatnonzero(meet[1:] != meet[:-1]) + 1, [len(meet)]])
-        part = lambda v, s, e: None if v is None else v[s:e]
-        cut = lambda s, e: Meeting(int(slot[s]), masks, *(part(v, s, e) for v in (key, n, sketch, group, block, fine)))
-        found = [p for s, e in zip(edges, edges[1:], strict=False) if e - s > 1 for p in cut(s, e).pairs(how)]
-        if not found:
-            return {"a": [], "b": []}
-        a, b = (np.concatenate(x) for x in zip(*found, strict=True))
-        pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
-        return {"a": pairs[:, 0], "b": pairs[:, 1]}
+        a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for s, e in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            for x, hit in Cluster(sketch[s:e], block[s:e], table.column("h").slice(s, e - s).to_pylist()).forest():
+                a.append(np.full(len(hit), key[s + x]))
+                b.append(key[s + hit])
+        return {"a": np.concatenate(a), "b": np.concatenate(b)}
 
     for batch in batches:
         if not batch.num_rows:
@@ -296,7 +260,7 @@ def _candidates(batches: Iterator[pa.RecordBatch], how: str, masks: np.ndarray)
         if held and held[-1].column("meet")[-1].as_py() != meet[0]:
             yield search(pa.Table.from_batches(held))
             held = []
-        if len(ends):  # the last meeting may go on in the next batch
+        if len(ends):  # the last cluster may go on in the next batch
             cut = int(ends[-1]) + 1
             yield search(pa.Table.from_batches([*held, batch.slice(0, cut)]))
             held = [batch.slice(cut)]
@@ -311,36 +275,22 @@ def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         yield {"key": batch.column("key"), "h": [shingles(t).tobytes() for t in batch.column("text").to_pylist()]}
 
 
-def _fine(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-    for batch in batches:
-        sets = [np.frombuffer(h, np.uint64) for h in batch.column("h").to_pylist()]
-        yield {"key": batch.column("key"), "fine": [fingerprints(h, True).tobytes() for h in sets]}
-
-
-def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-    for batch in batches:
-        ok = []
-        for x, y in zip(batch.column("ha").to_pylist(), batch.column("hb").to_pylist(), strict=True):
-            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            ok.append(OUT_OF * both >= NEAR * (len(x) + len(y) - both))
-        yield {"a": batch.column("a").filter(pa.array(ok, pa.bool_())), "b": batch.column("b").filter(pa.array(ok, pa.bool_()))}
-
-
 def _masks(n: int) -> np.ndarray:
-    """The choices of blocks for n sets: as few blocks as keep a meeting of unrelated sets below WIDE."""
+    """The choices of blocks for n sets: as few blocks as keep a meeting of unrelated sets below SHARED."""
     r = MAX_BITS + 2
-    while r < 6 and n > WIDE << (BITS * (r - MAX_BITS) // r):
+    while r < 6 and n > SHARED << (BITS * (r - MAX_BITS) // r):
         r += 1
     return np.array(block_masks((1 << BITS) - 1, r, MAX_BITS), np.uint32)
 
 
-def _met(numbered: DataFrame, n: int, masks: np.ndarray) -> DataFrame:
-    """key, slot, meet: the sets that links join in a meeting."""
-    buckets = max(int(numbered.sparkSession.conf.get("spark.sql.shuffle.partitions")), n * PRINTS * len(masks) // ENTRIES + 1)
+def _clusters(numbered: DataFrame, n: int, masks: np.ndarray) -> DataFrame:
+    """key, cluster: the sets that links join, over all meetings, each in one row."""
+    slots = PRINTS * len(masks)
+    buckets = max(int(numbered.sparkSession.conf.get("spark.sql.shuffle.partitions")), n * slots // ENTRIES + 1)
     entries = map_arrow(numbered.select("num", "sketch"), lambda b: _entries(b, masks, buckets), "bucket int, base long, rows binary")
     searched = dealt(entries, buckets).applyInArrow(lambda t: _searched(t, masks), "meet long, num long, slot long")
-    return searched.join(numbered.select("num", "key"), "num").select("key", "slot", "meet")
+    labels = components(searched.select(F.expr(f"meet div {slots}").alias("a"), F.col("num").alias("b")))
+    return labels.join(numbered, labels["node"] == numbered["num"]).select("key", F.col("label").alias("cluster"))
 
 
 def near_copies(documents: DataFrame) -> DataFrame:
@@ -353,45 +303,17 @@ def near_copies(documents: DataFrame) -> DataFrame:
     numbered = materialize(of_key.where("n > 0").select("key", "n", "sketch").dropDuplicates(["key"]).withColumn("num", F.monotonically_increasing_id()))
     n = numbered.count()
     masks = _masks(n)
-    met = materialize(_met(numbered, n, masks))
-    candidates = materialize(met.select("key").distinct())
-    sketches = materialize(numbered.join(candidates, "key", "left_semi").select("key", "n", "sketch"))
-    reps = distinct.join(candidates, "key", "left_semi").select("key", F.col("doc_id").alias("rep_id"), F.col("th").alias("rep_th"))
+    sketches = materialize(_clusters(numbered, n, masks).join(numbered, "key").select("key", "cluster", "n", "sketch"))
+    reps = distinct.join(sketches, "key", "left_semi").select("key", F.col("doc_id").alias("rep_id"), F.col("th").alias("rep_th"))
     texts = docs.join(reps, docs["doc_id"].eqNullSafe(reps["rep_id"]) & (docs["th"] == reps["rep_th"])).select("key", "text")
-    hashes = materialize(map_arrow(texts, _hashes, "key long, h binary").dropDuplicates(["key"]))
-
-    def compared(links: DataFrame | None, how: str) -> DataFrame:
-        """Links between the groups so far."""
-        of, rows = met, sketches.withColumn("group", F.col("key"))
-        if links is None:
-            of = met.where(F.col("slot") < FIRST * len(masks))
-        else:
-            groups = components(links)
-            rows = sketches.join(groups, sketches["key"] == groups["node"], "left").select("key", "n", "sketch", F.coalesce("label", "key").alias("group"))
-        of = of.join(rows.select("key", "group"), "key")
-        sizes = of.groupBy("meet").agg(F.count(F.lit(1)).alias("size"), F.min("group").alias("x"), F.max("group").alias("y")).where("x <> y")
-        of = of.join(sizes.select("meet", "size"), "meet")  # meetings of one group have nothing left to compare
-        if how != "forest":
-            of = materialize(of)
-            open_ = hashes.join(of.select("key").distinct(), "key", "left_semi")
-            fine = materialize(map_arrow(open_, _fine, "key long, fine binary"))
-        blocks = F.ceil(F.col("size") / WIDE).cast("long")
-        of = of.withColumn("block", F.pmod(F.xxhash64("key"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-        of = of.withColumn("meet", F.when(F.col("size") <= WIDE, F.col("meet")).otherwise(F.xxhash64("meet", F.least("block", "other"), F.greatest("block", "other"))))
-        meetings = of.select("meet", "slot", "key", "group", "block").join(sketches, "key")
-        if how != "forest":
-            meetings = meetings.join(fine, "key")
-        meetings = meetings.repartition("meet").sortWithinPartitions("meet", "slot", "key")
-        pairs = materialize(map_arrow(meetings, lambda b: _candidates(b, how, masks), "a long, b long").distinct())
-        a, b = (hashes.select(F.col("key").alias(f"k{x}"), F.col("h").alias(f"h{x}")) for x in "ab")
-        both = pairs.join(a, pairs["a"] == a["ka"]).join(b, pairs["b"] == b["kb"]).select("a", "b", "ha", "hb")
-        found = materialize(map_arrow(both, _verified, "a long, b long"))
-        return found if links is None else links.unionByName(found)
-
-    links = None
-    for how in ("forest", "forest", "best", "all"):
-        links = compared(links, how)
-    labels = components(links)
+    hashes = map_arrow(texts, _hashes, "key long, h binary").dropDuplicates(["key"])
+    blocks = F.ceil(F.greatest(F.count(F.lit(1)) / WIDE, F.sum("n") / HELD)).cast("long")
+    rows = sketches.join(sketches.groupBy("cluster").agg(blocks.alias("blocks")), "cluster")
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("key"), "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    pair = F.xxhash64("cluster", F.least("block", "other"), F.greatest("block", "other"))
+    rows = rows.select(F.when(F.col("blocks") == 1, F.col("cluster")).otherwise(pair).alias("meet"), "key", "block", "sketch")
+    met = hashes.join(rows, "key").repartition("meet").sortWithinPartitions("meet", "key")
+    labels = components(map_arrow(met, _links, "a long, b long"))
     labelled = distinct.join(labels, distinct["key"] == labels["node"], "left").select("key", distinct["doc_id"], distinct["th"], F.coalesce("label", "key").alias("label"))
     least = labelled.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("first"))
     least = least.select("label", F.col("first.doc_id").alias("component_id"), F.col("first.th").alias("component_th"))

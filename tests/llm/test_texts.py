@@ -422,6 +422,35 @@ def test_keep_one_at_jaccard(spark):
     assert kept == sorted(set(want.values())) and 60 < len(kept) < 120
 
 
+def test_near_copies_go_on_once(spark, monkeypatch):
+    """However many meetings texts share, each goes to the comparison once; a cluster of many shingles is compared in blocks, with the same groups."""
+    import random
+
+    from itemloom.llm import nearcopies as nc
+
+    r, rows = random.Random(9), []
+    base = prose(950, 200).split()
+    for k in range(60):
+        words = list(base)
+        for p in r.sample(range(200), r.randrange(1, 8)):
+            words[p] = f"w{k}x{p}"
+        rows.append((k, " ".join(words)))
+    compared, plain = [], nc.map_arrow
+
+    def counted(df, f, schema):
+        if "sketch" in df.columns and schema == "a long, b long":
+            compared.append(df.count())
+        return plain(df, f, schema)
+
+    monkeypatch.setattr(nc, "map_arrow", counted)
+    whole = sorted(map(tuple, nc.near_copies(documents(spark, rows)).collect()))
+    assert 0 < sum(compared) <= len(rows)
+    assert 1 < len({x[2] for x in whole}) < len(rows)
+    monkeypatch.setattr(nc, "HELD", 3000)
+    assert sorted(map(tuple, nc.near_copies(documents(spark, rows)).collect())) == whole
+    assert sum(compared) > 2 * len(rows)  # in blocks
+
+
 # ---------------------------------------------------------------- repeated passages
 
 
