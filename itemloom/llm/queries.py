@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, covertree, license, packing, pii, quality, simhash, suffix, tokenbin, urls
+from . import bpe, covertree, divergence, license, packing, pii, quality, simhash, suffix, tokenbin, urls, whitening
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,6 +27,8 @@ def queries() -> dict[str, Query]:
         "op8_dual_cover_trees": _over("embeddings", covertree.op8),
         "op9_best_fit_packing": _over("documents", packing.op9),
         "op10_packed_token_rows": _over("documents", tokenbin.op10),
+        "op11_embedding_whitening": _over("embeddings", whitening.op11),
+        "op13_source_divergence": _over("documents", divergence.op13),
     }
 
 
@@ -35,4 +37,5 @@ def oracle_sql() -> dict[str, str]:
         "op3_license_scan": license.op3_sql(),
         "op7_redirect_equivalence": urls.op7_sql(),
         "op8_dual_cover_trees": covertree.op8_sql(),
+        "op13_source_divergence": divergence.op13_sql(),
     }
