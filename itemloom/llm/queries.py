@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, covertree, divergence, license, packing, pii, quality, simhash, suffix, tokenbin, urls, whitening
+from . import bpe, covertree, divergence, license, ngramjoin, packing, pii, quality, simhash, suffix, tokenbin, urls, whitening
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -28,6 +28,7 @@ def queries() -> dict[str, Query]:
         "op9_best_fit_packing": _over("documents", packing.op9),
         "op10_packed_token_rows": _over("documents", tokenbin.op10),
         "op11_embedding_whitening": _over("embeddings", whitening.op11),
+        "op12_ngram_jaccard_join": _over("documents", ngramjoin.op12),
         "op13_source_divergence": _over("documents", divergence.op13),
     }
 
