@@ -91,8 +91,8 @@ UNKNOWN_BYTES = 1 << 50
 
 
 def dealt(df: DataFrame, buckets: int):
-    """df grouped by its bucket column, with as many tasks as buckets: both follow the input, not a fixed setting."""
-    return df.repartition(min(buckets, MOST_TASKS), "bucket").groupBy("bucket")
+    """df grouped by its bucket column, a task for each bucket: both follow the input, not a fixed setting."""
+    return df.repartitionById(min(buckets, MOST_TASKS), "bucket").groupBy("bucket")
 
 
 def bucket_count(df: DataFrame, bytes_each: int = 8 << 20) -> int:

@@ -1,25 +1,28 @@
 """Near copies: texts whose sets of WORDS-word shingles have a Jaccard similarity of 0.8 (NEAR / OUT_OF) or more, by SimHash and pivot tables.
 
-Equal sets become one row first, so copies cost nothing further. At similarity 0.8 fingerprints differ by 15 % of their bits on
-the average (sets of 14 or more shingles: 16.2 % at most), which no pivot bounds in one fingerprint of 64 bits. So each set has
-PRINTS independent fingerprints of BITS bits, and is searched in each as simhash does it: fingerprints meet where they agree on
-all but MAX_BITS of some blocks of bits, pivot distances discard pairs, survivors are verified bit by bit at MAX_BITS. A pair at
-0.8 links in one fingerprint with probability 0.27, in none with 4e-5 (2e-4 at 16.2 %; 7e-3 for five shingles with four of them,
-the one case beyond). CHECK further bits, at most CHECK_MAX of which may differ, leave unrelated sets out.
-
-The sets that links join, in whatever meetings, are a cluster. Each set goes on once, with its cluster, however many meetings it
-shares with others. There sizes and the bits that differ among all of the sketch discard pairs (a share above FAR: over four
-standard deviations beyond 16.2 %; sets of fewer than SMALL shingles have SMALL_FAR); whatever is left is compared exactly, so no
-other pair ever links. A search from row to row leaves out pairs that are together already, so large groups of near copies cost
-few comparisons.
-
-Entries of meetings (fingerprint, check bits, number of the set) travel packed, 24 bytes each; a pivot table would take 16 more,
+Equal sets (by 128 bits of hash) become one row first, so copies cost nothing further. At similarity 0.8 fingerprints differ by
+15 % of their bits on the average (sets of 14 or more shingles: 16.2 % at most), which no pivot bounds in one fingerprint of 64
+bits. So each set has PRINTS independent fingerprints of BITS bits, and is searched in each as simhash does it: fingerprints meet
+where they agree on all but MAX_BITS of some blocks of bits, pivot distances discard pairs, survivors are verified bit by bit at
+MAX_BITS. A pair at 0.8 links in one fingerprint with probability 0.27, in none with 4e-5 (2e-4 at 16.2 %; 7e-3 for five shingles
+with four of them, the one case beyond). CHECK further bits, at most CHECK_MAX of which may differ, leave unrelated sets out:
+they link with a probability of 1e-15.
+
+Fingerprints are searched in WAVES. What one wave links shares a label, and goes into the next wave by it, so a group of near
+copies adds hardly more edges than it has sets, however many meetings they share. The sets of one label are a cluster. Each set
+goes on once, with its cluster. There sizes and the bits that differ among all of the sketch discard pairs (a share above FAR:
+over four standard deviations beyond 16.2 %; sets of fewer than SMALL shingles have SMALL_FAR); whatever is left is compared
+exactly, so no other pair ever links. A search from row to row leaves out pairs that are together already, so large groups of
+near copies cost few comparisons.
+
+Entries of meetings (fingerprint, check bits, number of the set) travel packed, 40 bytes each; a pivot table would take 16 more,
 so it is computed where they meet. Clusters of more than WIDE sets or HELD shingles are compared in blocks, a task for each pair
 of blocks, so that no task holds a whole one.
 
 Defined results: a text shorter than WORDS words is one shingle; null and empty texts have the empty set, which is equal to
-itself only; words are split at ASCII white space, A-Z are lowered; rows without an id take part, behind all others; different
-texts of one id are told apart by their hash th.
+itself only; words are split at ASCII white space, A-Z are lowered; texts of any length are read whole; rows without an id take
+part, behind all others; equal texts and repeated rows share their group; different texts of one id are told apart by their hash
+th; of equal ids the least hash is first; an empty table gives no rows; further columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -38,7 +41,9 @@ from .simhash import block_masks, majority, pivots
 WORDS = 5
 NEAR, OUT_OF = 4, 5
 PRINTS, BITS, MAX_BITS = 32, 24, 2
-CHECK, CHECK_MAX = 128, 40
+#: Fingerprints that are searched before labels are found anew.
+WAVES = ((0, 1), (1, 4), (4, PRINTS))
+CHECK, CHECK_MAX = 256, 72
 FAR = 0.217
 SMALL, SMALL_FAR = 6, 0.25
 #: Sets and shingles in a block of a cluster, and unrelated sets that may share a meeting.
@@ -73,10 +78,10 @@ def fingerprints(h: np.ndarray) -> np.ndarray:
     return majority(z ^ (z >> np.uint64(31)))
 
 
-def _key(h: np.ndarray) -> int:
+def _key(h: np.ndarray) -> bytes:
     import xxhash
 
-    return xxhash.xxh64_intdigest(h.tobytes(), SEED)
+    return xxhash.xxh3_128_digest(h.tobytes(), SEED)
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -87,7 +92,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
             keys.append(_key(h))
             sizes.append(len(h))
             sketches.append(fingerprints(h).tobytes())
-        yield {"doc_id": batch.column("doc_id"), "th": batch.column("th"), "key": np.array(keys, np.uint64).view(np.int64), "n": np.array(sizes, np.int64), "sketch": sketches}
+        yield {"doc_id": batch.column("doc_id"), "th": batch.column("th"), "key": keys, "n": np.array(sizes, np.int64), "sketch": sketches}
 
 
 def _prints(sketch: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -96,9 +101,9 @@ def _prints(sketch: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (parts << np.arange(0, BITS, 8, dtype=np.uint32)).sum(axis=2, dtype=np.uint32), np.ascontiguousarray(sketch[:, PRINTS * BITS // 8 :]).view("<u8")
 
 
-def _entries(batches: Iterator[pa.RecordBatch], masks: np.ndarray, buckets: int) -> Iterator[dict]:
-    """Packed entries by bucket: a set has one for each slot, that is a fingerprint and a choice of blocks. Numbers of sets are base << 16 | local."""
-    slot = np.arange(PRINTS * len(masks))
+def _entries(batches: Iterator[pa.RecordBatch], masks: np.ndarray, buckets: int, prints: tuple[int, int] = (0, PRINTS)) -> Iterator[dict]:
+    """Packed entries by bucket: a set has one for each slot, that is a fingerprint of a wave and a choice of blocks. Numbers of sets are base << 16 | local."""
+    slot = np.arange(prints[0] * len(masks), prints[1] * len(masks))
     for batch in batches:
         for s in range(0, batch.num_rows, SETS):
             part = batch.slice(s, SETS)
@@ -108,6 +113,7 @@ def _entries(batches: Iterator[pa.RecordBatch], masks: np.ndarray, buckets: int)
             for high in np.unique(num >> 16).tolist():
                 own = np.flatnonzero(num >> 16 == high)
                 fp, check = _prints(sketch[own])
+                fp = fp[:, prints[0] : prints[1]]
                 entries = np.empty((len(own), len(slot)), _ENTRY)
                 entries["check"], entries["fp"], entries["slot"] = check[:, None], np.repeat(fp, len(masks), axis=1), slot
                 entries["local"] = (num[own] & 0xFFFF)[:, None]
@@ -143,7 +149,7 @@ def _linked(fp: np.ndarray, check: np.ndarray, ends: np.ndarray) -> np.ndarray:
             x = root[x]
         return x
 
-    starts = np.flatnonzero(np.concatenate([[True], ends[1:] != ends[:-1]]))
+    starts = np.flatnonzero(np.concatenate([[True], ends[1:] != ends[:-1]])[: len(ends)])
     large = ends[starts] - starts > LARGE
     for s in starts[large].tolist():
         left = np.arange(s, ends[s])
@@ -180,7 +186,7 @@ def _searched(table: pa.Table, masks: np.ndarray) -> pa.Table:
     num = np.repeat(table.column("base").to_numpy(), [len(x) // _ENTRY.itemsize for x in blobs]) << 16 | entries["local"]
     slot = entries["slot"].astype(np.int64)
     meeting = slot << BITS | entries["fp"] & masks[slot % len(masks)]
-    order = np.argsort(meeting, kind="stable")
+    order = np.lexsort((num, meeting))  # so the first set of a meeting doesn't hang on the order of arrival
     meeting = meeting[order]
     edges = np.flatnonzero(np.concatenate([[True], meeting[1:] != meeting[:-1], [True]]))
     sizes = np.diff(edges)
@@ -191,6 +197,13 @@ def _searched(table: pa.Table, masks: np.ndarray) -> pa.Table:
     return pa.table({"meet": (num[root] * (PRINTS * len(masks)) + slot)[kept], "num": num[kept], "slot": slot[kept]})
 
 
+def _edges(found: pa.Table, slots: int) -> pa.Table:
+    """a, b: numbers that a bucket's meetings join, each pair once."""
+    a, b = found.column("meet").to_numpy() // slots, found.column("num").to_numpy()
+    pairs = np.unique(np.stack([a, b])[:, a != b], axis=1)
+    return pa.table({"a": pairs[0], "b": pairs[1]})
+
+
 class Cluster:
     """Sets of a cluster (h: their shingles), or of two of its blocks; sets of one block are then not compared with each other."""
 
@@ -278,33 +291,45 @@ def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
 def _masks(n: int) -> np.ndarray:
     """The choices of blocks for n sets: as few blocks as keep a meeting of unrelated sets below SHARED."""
     r = MAX_BITS + 2
-    while r < 6 and n > SHARED << (BITS * (r - MAX_BITS) // r):
+    while r < 8 and n > SHARED << (BITS * (r - MAX_BITS) // r):
         r += 1
     return np.array(block_masks((1 << BITS) - 1, r, MAX_BITS), np.uint32)
 
 
 def _clusters(numbered: DataFrame, n: int, masks: np.ndarray) -> DataFrame:
-    """key, cluster: the sets that links join, over all meetings, each in one row."""
+    """num, cluster: the sets that links join, over all meetings, each in one row.
+
+    In each wave sets go by the label that they have so far, the least number that earlier links reach, so a meeting adds an
+    edge only where it joins labels.
+    """
     slots = PRINTS * len(masks)
-    buckets = max(int(numbered.sparkSession.conf.get("spark.sql.shuffle.partitions")), n * slots // ENTRIES + 1)
-    entries = map_arrow(numbered.select("num", "sketch"), lambda b: _entries(b, masks, buckets), "bucket int, base long, rows binary")
-    searched = dealt(entries, buckets).applyInArrow(lambda t: _searched(t, masks), "meet long, num long, slot long")
-    labels = components(searched.select(F.expr(f"meet div {slots}").alias("a"), F.col("num").alias("b")))
-    return labels.join(numbered, labels["node"] == numbered["num"]).select("key", F.col("label").alias("cluster"))
+    found, labels = None, None
+    for prints in WAVES:
+        own = numbered.select("num", "sketch")
+        if labels is not None:
+            own = own.join(labels, own["num"] == labels["node"], "left").select(F.coalesce("label", "num").alias("num"), "sketch")
+        buckets = max(int(numbered.sparkSession.conf.get("spark.sql.shuffle.partitions")), n * (prints[1] - prints[0]) * len(masks) // ENTRIES + 1)
+        entries = map_arrow(own, lambda b, w=prints, k=buckets: _entries(b, masks, k, w), "bucket int, base long, rows binary")
+        edges = materialize(dealt(entries, buckets).applyInArrow(lambda t: _edges(_searched(t, masks), slots), "a long, b long").distinct())
+        found = edges if found is None else found.unionByName(edges)
+        labels = components(found)
+    return labels.select(F.col("node").alias("num"), F.col("label").alias("cluster"))
 
 
 def near_copies(documents: DataFrame) -> DataFrame:
     """doc_id, th (the text's hash) and the first row that links reach: component_id, the least doc_id (null: all ids are null), and component_th."""
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
-    sets = materialize(map_arrow(docs, _sets, "doc_id long, th long, key long, n long, sketch binary"))
+    sets = materialize(map_arrow(docs, _sets, "doc_id long, th long, key binary, n long, sketch binary"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("first")
     distinct = materialize(sets.groupBy("key").agg(first).select("key", F.col("first.doc_id").alias("doc_id"), F.col("first.th").alias("th")))
     of_key = sets.join(distinct, (sets["key"] == distinct["key"]) & sets["doc_id"].eqNullSafe(distinct["doc_id"]) & (sets["th"] == distinct["th"]), "left_semi")
     numbered = materialize(of_key.where("n > 0").select("key", "n", "sketch").dropDuplicates(["key"]).withColumn("num", F.monotonically_increasing_id()))
     n = numbered.count()
     masks = _masks(n)
-    sketches = materialize(_clusters(numbered, n, masks).join(numbered, "key").select("key", "cluster", "n", "sketch"))
-    reps = distinct.join(sketches, "key", "left_semi").select("key", F.col("doc_id").alias("rep_id"), F.col("th").alias("rep_th"))
+    # from here on a set goes by its number
+    sketches = materialize(_clusters(numbered, n, masks).join(numbered, "num").select(F.col("num").alias("key"), "cluster", "n", "sketch"))
+    named = distinct.join(numbered.select("key", "num"), "key", "left").select(distinct["key"], "doc_id", "th", F.coalesce("num", F.lit(-1)).alias("num"))
+    reps = named.join(sketches, named["num"] == sketches["key"], "left_semi").select(F.col("num").alias("key"), F.col("doc_id").alias("rep_id"), F.col("th").alias("rep_th"))
     texts = docs.join(reps, docs["doc_id"].eqNullSafe(reps["rep_id"]) & (docs["th"] == reps["rep_th"])).select("key", "text")
     hashes = map_arrow(texts, _hashes, "key long, h binary").dropDuplicates(["key"])
     blocks = F.ceil(F.greatest(F.count(F.lit(1)) / WIDE, F.sum("n") / HELD)).cast("long")
@@ -314,7 +339,7 @@ def near_copies(documents: DataFrame) -> DataFrame:
     rows = rows.select(F.when(F.col("blocks") == 1, F.col("cluster")).otherwise(pair).alias("meet"), "key", "block", "sketch")
     met = hashes.join(rows, "key").repartition("meet").sortWithinPartitions("meet", "key")
     labels = components(map_arrow(met, _links, "a long, b long"))
-    labelled = distinct.join(labels, distinct["key"] == labels["node"], "left").select("key", distinct["doc_id"], distinct["th"], F.coalesce("label", "key").alias("label"))
+    labelled = materialize(named.join(labels, named["num"] == labels["node"], "left").select("key", "doc_id", "th", F.coalesce("label", "num").alias("label")))
     least = labelled.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("first"))
     least = least.select("label", F.col("first.doc_id").alias("component_id"), F.col("first.th").alias("component_th"))
     return sets.select("doc_id", "th", "key").join(labelled.select("key", "label"), "key").join(least, "label").select("doc_id", "th", "component_id", "component_th")

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucket_count, map_arrow, materialize, pack, unpack
+from .common import bucket_count, dealt, map_arrow, materialize, pack, unpack
 from .components import components
 
 WORDS = 4
@@ -232,7 +232,7 @@ def postings(numbered: DataFrame) -> DataFrame:
     """token, cell, block, num, n, level, own, held: sets meet in a cell, the whole list of a shingle or two of its blocks; held: how many shingles a set has here."""
     buckets = bucket_count(numbered)
     packed = map_arrow(numbered.select("num", "n", "level", "rare", "tokens"), lambda b: _entries(b, buckets), "bucket int, base long, rows binary")
-    met = materialize(packed.repartitionById(buckets, "bucket").groupBy("bucket").applyInArrow(_met, _MET))
+    met = materialize(dealt(packed, buckets).applyInArrow(_met, _MET))
     met = materialize(met.join(met.groupBy("num").agg(F.count(F.lit(1)).alias("held")), "num"), drop=met)
     wide = materialize(met.groupBy("token").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > WIDE))
     plain = ("token", "num", "n", "level", "own", "held")

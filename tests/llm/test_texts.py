@@ -553,3 +553,29 @@ def test_grams_and_windows():
         assert len(g) == 101 - n and len(set(g.tolist())) == min(7, 101 - n)
     rank = np.array([5, 3, 3, 9, 1, 7], np.uint64)
     assert suffix.least_in_window(rank, 3).tolist() == [1, 1, 4, 4]
+
+
+def test_near_copies_add_few_edges(spark, monkeypatch):
+    """A group of near copies adds some edges a set over all waves, not one for each set and meeting."""
+    import random
+
+    from itemloom.llm import nearcopies as nc
+
+    r, rows, edges = random.Random(10), [], []
+    base = prose(960, 200).split()
+    for k in range(1200):
+        words = list(base)
+        for p in r.sample(range(200), r.randrange(1, 5)):
+            words[p] = f"w{k}x{p}"
+        rows.append((k, " ".join(words)))
+    whole = nc.components
+
+    def counted(found):
+        edges.append(found.count())
+        return whole(found)
+
+    monkeypatch.setattr(nc, "components", counted)
+    got = {x.doc_id: x.component_id for x in nc.near_copies(documents(spark, rows)).collect()}
+    assert set(got.values()) == {0} and len(got) == 1200
+    assert len(edges) == len(nc.WAVES) + 1 and max(edges) < 10 * len(rows)
+    print(edges)
