@@ -30,6 +30,8 @@ from ..functions.extract import SECRETS
 from ..functions.vocab import MODEL_NAMES
 from ..operators.parse import merge_images, with_classification, with_ocr
 from .documents import MAX_BYTES, MODES, embedded_images, kinds_of, local_records, media_type, media_type_of, read_binaries
+from .ledger import Ledger, call_once
+from .paths import LOCAL, ArrowFiles, Files, found_paths, opened, records
 
 TIMEOUT_S = 120
 MAX_TOKENS = 2048
@@ -142,17 +144,22 @@ def call_model(images: DataFrame, make_backend: Callable[[], VisionBackend], pro
     return images.select(key, content, media_type).mapInArrow(run, schema)
 
 
-def read_images_by_model(images: DataFrame, make_backend: Callable[[], VisionBackend], mode: str = "full", max_words: int = 30, key: str = "path") -> DataFrame:
+def called(images: DataFrame, make_backend: Callable[[], VisionBackend], prompt: str, key: str, ledger: Ledger | None) -> DataFrame:
+    """key, response, error; through a ledger each call is made once, whatever runs and tasks end before their time."""
+    return call_model(images, make_backend, prompt, key) if ledger is None else call_once(images, make_backend, prompt, ledger, key)
+
+
+def read_images_by_model(images: DataFrame, make_backend: Callable[[], VisionBackend], mode: str = "full", max_words: int = 30, key: str = "path", ledger: Ledger | None = None) -> DataFrame:
     """key, ocr, error. Rows with an error have a null record; drop them with where("error is null")."""
     if mode not in MODES:
         raise ValueError(f"mode is one of {', '.join(MODES)}")
-    found = with_ocr(call_model(images, make_backend, PROMPTS[mode].replace("{max_words}", str(max_words)), key), "response")
+    found = with_ocr(called(images, make_backend, PROMPTS[mode].replace("{max_words}", str(max_words)), key, ledger), "response")
     return found.select(key, F.when(F.col("error").isNull(), F.col("ocr")).alias("ocr"), "error")
 
 
-def classify_images(images: DataFrame, make_backend: Callable[[], VisionBackend], key: str = "path") -> DataFrame:
+def classify_images(images: DataFrame, make_backend: Callable[[], VisionBackend], key: str = "path", ledger: Ledger | None = None) -> DataFrame:
     """key, models, error."""
-    found = with_classification(call_model(images, make_backend, PROMPTS["classify"], key), "response")
+    found = with_classification(called(images, make_backend, PROMPTS["classify"], key, ledger), "response")
     return found.select(key, F.when(F.col("error").isNull(), F.col("models")).alias("models"), "error")
 
 
@@ -256,3 +263,24 @@ def extract_any(spark: SparkSession, paths: list[str], make_backend: Callable[[]
         urls = spark.createDataFrame([(u,) for u in kinds["url"]], "path string").select("path", F.col("path").cast("binary").alias("content"), F.lit("").alias("media_type"))
         out = out.unionByName(read_images_by_model(urls, fetching(make_backend, fetch), mode, max_words))
     return out
+
+
+def extract_rows(paths: DataFrame, make_backend: Callable[[], VisionBackend], column: str = "path", mode: str = "full", max_words: int = 30, fetch: Callable[[str], tuple[bytes, str]] = fetch_https, files: Callable[[], Files] = ArrowFiles, ledger: Ledger | None = None) -> DataFrame:
+    """path, ocr, error like extract_any, of sources that a table's column names: executors look for the files and open them.
+
+    A row for each different path that exists; plain http is an error of its row.
+    """
+    if mode not in MODES:
+        raise ValueError(f"mode is one of {', '.join(MODES)}")
+    read = lambda images, backend=make_backend, key="path": read_images_by_model(images, backend, mode, max_words, key, ledger)
+    found = found_paths(paths, column, files)
+    documents = records(opened(found.where(F.col("kind").isin(*LOCAL)), files))
+    own = embedded_images(documents).select(F.struct("path", "seq").alias("at"), "content", media_type_of("content").alias("media_type"))
+    seen = read(own, key="at").where("error is null").select("at.path", "at.seq", "ocr")
+    out = merge_images(documents.select("path", "ocr", "error"), seen, "path").select("path", "ocr", "error")
+    images = opened(found.where("kind = 'image'"), files).select("path", "content", media_type("path").alias("media_type"), "error")
+    asked = read(images.where("error is null"))
+    urls = found.where("kind = 'url'").select("path", F.col("path").cast("binary").alias("content"), F.lit("").alias("media_type"))
+    none = F.lit(None).cast(out.schema["ocr"].dataType)
+    bad = images.where("error is not null").select("path", none.alias("ocr"), "error").unionByName(found.where("kind = 'rejected'").select("path", none.alias("ocr"), "error"))
+    return out.unionByName(asked).unionByName(read(urls, fetching(make_backend, fetch))).unionByName(bad)
