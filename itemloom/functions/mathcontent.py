@@ -77,10 +77,13 @@ def vocabulary_matches(texts: DataFrame, key: str, text: str) -> DataFrame:
     return words.unionByName(phrases).join(terms, "term").groupBy(key, "term").agg(F.count(F.lit(1)).alias("n"))
 
 
+#: Patterns of which any adds 1 to a domain's score.
+DOMAIN_BONUS = {"calculus": ("derivative", "integral"), "fractions": ("fraction",), "algebra": ("equation", "variable")}
+
+
 def domain_score(hits: Column | str, domain: str, patterns: dict[str, Column]) -> Column:
     score = F.size(F.filter(col(hits), lambda t: t.isin(DOMAINS[domain])))
-    bonus = {"calculus": ("derivative", "integral"), "fractions": ("fraction",), "algebra": ("equation", "variable")}.get(domain, ())
-    if bonus:
+    if bonus := DOMAIN_BONUS.get(domain, ()):
         score = score + reduce(lambda a, b: a | b, [patterns[p] > 0 for p in bonus]).cast("int")
     return score
 

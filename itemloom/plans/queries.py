@@ -8,12 +8,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import extract, mathcontent
-from ..functions.charclass import is_blank, quoted, sql_all, sql_blank, sql_count, sql_strip
+from ..functions.charclass import W, is_blank, quoted, sql_all, sql_blank, sql_count, sql_strip
 from ..functions.cognitive import FIELDS, keyword_count, with_cognitive_load
 from ..functions.readability import METRICS, with_readability
-from ..functions.vocab import DOMAINS, MODEL_NAMES, SYMBOLS, visual_model_dim
-from ..operators import agreement, parse, visual
-from ..sources import documents
+from ..functions.vocab import DOMAINS, MODEL_NAMES, SYMBOLS, domain_vocabulary, visual_model_dim
+from ..operators import agreement, parse, ranges, visual, vocabulary
+from ..sources import documents, ledger, paths, remote
+from ..storage import new_folder
 from . import oracle as sql
 from .item import collapse, text_features
 from .spread import spread
@@ -296,13 +297,13 @@ register(
 )
 
 
-def _merge(s: SparkSession, d: str) -> DataFrame:
+def _merge(s: SparkSession, d: str, merge: Callable[..., DataFrame] = parse.merge_images) -> DataFrame:
     """Conversations as documents: the first turn is the text, the later turns are its images."""
     turns = table(s, d, "conversations").select("conv_id", "turn", "role", "text")
     first = turns.where("turn = 0").select("conv_id", parse.record(parse.empty_ocr(confidence=0.95) | {"full_text": F.col("text"), "labels": F.array("role"), "numbers_found": F.array(F.lit("1"))}).alias("ocr"))
     later = turns.where("turn > 0").select("conv_id", "turn", parse.record(parse.empty_ocr(confidence=0.5) | {"labels": F.array("role"), "image_description": F.when(F.col("turn") % 2 == 1, F.col("role")).otherwise(""), "data_elements": F.array("role"), "extraction_confidence": F.when(F.col("turn") % 3 > 0, (F.col("turn") % 4) / 4.0)}).alias("ocr"))
     o = F.col("ocr")
-    return parse.merge_images(first, later, "conv_id", "turn").select("conv_id", o["content_type"].alias("content_type"), o["image_description"].alias("described"), joined(o["labels"]).alias("labels"), joined(o["data_elements"]).alias("elements"), joined(o["numbers_found"]).alias("numbers"), o["extraction_confidence"].alias("confidence"))
+    return merge(first, later, "conv_id", "turn").select("conv_id", o["content_type"].alias("content_type"), o["image_description"].alias("described"), joined(o["labels"]).alias("labels"), joined(o["data_elements"]).alias("elements"), joined(o["numbers_found"]).alias("numbers"), o["extraction_confidence"].alias("confidence"))
 
 
 register(
@@ -412,6 +413,76 @@ def item_features_full(s: SparkSession, d: str) -> DataFrame:
 
 register("item_features_full", item_features_full)
 
+# ---------------------------------------------------------------- vocabularies that are tables
+
+_terms = f"""select distinct term from (select lower(regexp_extract(text, '{W}+', 0)) as term from benchmark union all select lower(regexp_extract(text, '{W}+ {W}+', 0)) from benchmark) z where term <> '' and split_part(term, ' ', 1) <> split_part(term, ' ', 2)"""
+
+
+def _terms_matched(s: SparkSession, d: str) -> DataFrame:
+    """The words and word pairs with which benchmark items begin, looked for in the documents."""
+    text = F.col("text")
+    both = table(s, d, "benchmark").select(F.explode(F.array(*[F.lower(F.regexp_extract(text, p, 0)) for p in (f"{W}+", f"{W}+ {W}+")])).alias("term"))
+    terms = both.where((F.col("term") != "") & (F.split_part("term", F.lit(" "), F.lit(1)) != F.split_part("term", F.lit(" "), F.lit(2))))
+    return vocabulary.table_matches(spread(table(s, d, "documents").select("doc_id", "text")), "doc_id", "text", terms)
+
+
+register(
+    "vocabulary_table_matches",
+    _terms_matched,
+    f"""with v as ({_terms}), k as (select doc_id, {sql_all('lower(text)', f'{W}+')} as tok, string_split_regex(lower(text), {quoted(f'{W}+')}) as gap from documents),
+runs as (select doc_id, unnest(tok) as term from k union all select doc_id, unnest(list_transform(range(1, len(tok)), lambda i: tok[i] || gap[i + 1] || tok[i + 1])) as term from k)
+select doc_id, term, count(*) as n from runs join v using (term) group by doc_id, term""",
+)
+register(
+    "vocabulary_table_domains",
+    lambda s, d: vocabulary.table_domains(items(s, d), "item_id", "txt", domain_vocabulary(s)).select("item_id", "primary_domain", r6(F.col("confidence")).alias("confidence"), joined(F.col("secondary")).alias("secondary"), F.col("term_count").cast("long").alias("term_count"), F.col("unique_terms").cast("long").alias("unique_terms")),
+    f"with {source_sql('items')}, {sql.content('src')} select id as item_id, case when blank then 'unknown' else ranked[1] end as primary_domain, round({sql.per('best', 'greatest(total, 1)')}, 6) as confidence, case when blank then '' else array_to_string(ranked[2:3], '|') end as secondary, len(hits) + phrase_hits as term_count, len(list_distinct(hits)) + phrase_kinds as unique_terms from s3",
+)
+
+# ---------------------------------------------------------------- items of very many parts
+
+register("collapse_ranges", lambda s, d: ranges.collapse_ranges(table(s, d, "conversations"), "conv_id", "turn", rows=1000), ORACLES["collapse_texts"])
+register("ocr_merge_ranges", lambda s, d: _merge(s, d, lambda *x: ranges.merge_images_ranges(*x, rows=1000)), ORACLES["ocr_merge"])
+
+# ---------------------------------------------------------------- sources by rows, and calls that are made once
+
+
+def _by_path(s: SparkSession, d: str) -> DataFrame:
+    """A text file for each benchmark item, found again by a column of paths, half of which name no file."""
+    folder = new_folder(s)
+    own = table(s, d, "benchmark").select("item_id", "text", F.concat(F.lit(folder), F.lit("/"), F.pmod(F.xxhash64("item_id"), F.lit(64)).cast("string"), F.lit("/item_"), F.col("item_id").cast("string"), F.lit(".txt")).alias("path"))
+    paths.write_texts(own, "path", "text")
+    given = own.select("path").unionByName(own.select(F.concat("path", F.lit(".docx")).alias("path")))
+    found = paths.extract_paths(given).select("path", "ocr.*")
+    return own.select("item_id", "path").join(found, "path").select("item_id", F.col("question_text").alias("question"), F.length("full_text").alias("chars"), F.size("numbers_found").alias("numbers"), joined(F.col("variables_found")).alias("variables"), F.col("extraction_confidence").alias("confidence"))
+
+
+register("sources_by_path", _by_path, f"select item_id, string_split({sql_strip('text')}, chr(10))[1] as question, length(text) as chars, len({sql.number_list('text')}) as numbers, array_to_string({sql.variables('text')}, '|') as variables, cast(1.0 as double) as confidence from benchmark where text is not null")
+
+
+class Told:
+    """A stand-in for a model: what it was shown, and in which run."""
+
+    def __init__(self, run: str):
+        self.run = run
+
+    def __call__(self, image: bytes, media_type: str, prompt: str) -> str:
+        import json
+
+        return json.dumps({"full_text": image.decode()[:40], "image_description": self.run, "extraction_confidence": 0.5})
+
+
+def _ledger(s: SparkSession, d: str) -> DataFrame:
+    """Items of even number are read in a first run, all in a second one, through one ledger: each text is asked about once."""
+    images = table(s, d, "benchmark").select("item_id", F.encode("text", "UTF-8").alias("content"), F.lit("image/png").alias("media_type"))
+    book = ledger.Ledger(new_folder(s), model="told")
+    remote.read_images_by_model(images.where("item_id % 2 = 0"), lambda: Told("first"), key="item_id", ledger=book)
+    again = remote.read_images_by_model(images, lambda: Told("second"), key="item_id", ledger=book)
+    return again.select("item_id", F.col("ocr.full_text").alias("full_text"), F.col("ocr.image_description").alias("answered"), "error")
+
+
+register("call_ledger", _ledger, "select item_id, text[1:40] as full_text, case when text in (select text from benchmark where item_id % 2 = 0 and text is not null) then 'first' else 'second' end as answered, cast(null as varchar) as error from benchmark where text is not null")
+
 
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
