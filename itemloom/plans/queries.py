@@ -12,10 +12,11 @@ from ..functions.charclass import W, is_blank, quoted, sql_all, sql_blank, sql_c
 from ..functions.cognitive import FIELDS, keyword_count, with_cognitive_load
 from ..functions.readability import METRICS, with_readability
 from ..functions.vocab import DOMAINS, MODEL_NAMES, SYMBOLS, domain_vocabulary, visual_model_dim
-from ..operators import agreement, parse, ranges, visual, vocabulary
+from ..operators import agreement, parse, pixels, ranges, visual, vocabulary
 from ..sources import documents, ledger, paths, remote
 from ..storage import new_folder
 from . import oracle as sql
+from .changed import text_features_kept
 from .item import collapse, text_features
 from .spread import spread
 
@@ -483,6 +484,45 @@ def _ledger(s: SparkSession, d: str) -> DataFrame:
 
 register("call_ledger", _ledger, "select item_id, text[1:40] as full_text, case when text in (select text from benchmark where item_id % 2 = 0 and text is not null) then 'first' else 'second' end as answered, cast(null as varchar) as error from benchmark where text is not null")
 
+# ---------------------------------------------------------------- mergeable state, and rows for what changed
+
+
+def _native_pixels(s: SparkSession, d: str) -> DataFrame:
+    stats = {"mean": "mean", "std": "std", "low": "min", "high": "max", "middle": "median", "contrast": "contrast"}
+    return pixels.pixel_statistics(_image_rows(s, d), "vec_id").select("vec_id", "width", "height", "aspect_ratio", *[F.round(n, 5).alias(k) for k, n in stats.items()])
+
+
+register("pixel_histogram_stats", _native_pixels, sql.PIXELS)
+register(
+    "pixel_stats_by_label",
+    lambda s, d: pixels.item_statistics(_image_rows(s, d), "label").select("label", "images", *[F.round(c, 5).alias(k) for k, c in (("mean", "mean"), ("std", "std"), ("low", "min"), ("high", "max"), ("middle", "median"), ("contrast", "contrast"))]),
+    """with e as (select vec_id, label, embedding, list_min(embedding) as low, list_max(embedding) as high from embeddings where len(embedding) = 64),
+p as (select vec_id, label, list_transform(embedding, lambda x: cast(floor((x - low) / greatest(high - low, cast(1e-9 as double)) * 255) as double)) as px from e),
+u as (select label, unnest(px) as x from p where vec_id % 10 <> 9),
+s as (select label, round(avg(x), 5) as mean, round(stddev_pop(x), 5) as std, min(x) as low, max(x) as high, round(median(x), 5) as middle, max(x) - min(x) as contrast from u group by label),
+n as (select label, cast(sum(case when vec_id % 10 <> 9 then 1 else 0 end) as bigint) as images from p group by label)
+select n.label, images, mean, std, low, high, middle, contrast from n left join s on n.label = s.label""",
+)
+
+
+def _kappa_of_halves(s: SparkSession, d: str) -> DataFrame:
+    """Kappa from the contingency tables of two halves of the labels."""
+    half = lambda k: agreement.contingency(table(s, d, "labels").where(F.col("doc_id") % 2 == k), "quality", "toxic")
+    return agreement.kappa_of_counts(agreement.merged(half(0).unionByName(half(1))))
+
+
+register("kappa_merged", _kappa_of_halves, sql.kappa("labels"))
+
+
+def _kept_rows(s: SparkSession, d: str) -> DataFrame:
+    """The item row where the features of half the items were kept by an earlier run."""
+    rows, folder = items(s, d).select("item_id", F.col("txt").alias("text")), new_folder(s)
+    text_features_kept(rows.where("item_id % 2 = 0"), folder)
+    return _rounded(text_features_kept(rows, folder))
+
+
+register("item_features_kept", _kept_rows, sql.item_row())
+
 
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
