@@ -22,10 +22,17 @@ def _per(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0))
 
 
-def with_readability(df: DataFrame, text: str = "text", prefix: str = "r_", mode: str = "estimate", easy_words: list[str] | None = None, syllables: str | None = None) -> DataFrame:
+def bare_word(word: Column | str) -> Column:
+    """A word in lower case without what surrounds its letters and digits."""
+    return F.regexp_replace(F.lower(word), r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")
+
+
+def with_readability(df: DataFrame, text: str = "text", prefix: str = "r_", mode: str = "estimate", easy_words: list[str] | None = None, syllables: str | None = None, unfamiliar: str | None = None) -> DataFrame:
     """The frame with {prefix}{metric}, {prefix}low_confidence and {prefix}estimated.
 
-    syllables: a column with the text's number of syllables, as from with_syllables; by rule where it is null or not given.
+    syllables: a column with the text's number of syllables, as from with_syllables or with_word_tables; by rule where it is null or not given.
+    unfamiliar: a column with the number of its words that aren't easy, as from with_word_tables, which Dale and Chall's formula
+    takes; easy_words: a short list of easy words in its stead.
     Columns of the frame that have these names are replaced.
     """
     if mode not in ("estimate", "formula"):
@@ -49,12 +56,15 @@ def with_readability(df: DataFrame, text: str = "text", prefix: str = "r_", mode
         kincaid = 0.39 * c("asl") + 11.8 * c("asw") - 15.59
         fog = 0.4 * (c("asl") + 100.0 * _per(c("hard"), w))
         smog = 1.043 * F.sqrt(30.0 * _per(c("hard"), s)) + 3.1291
-        if easy_words is None:
+        if easy_words is None and unfamiliar is None:
             dale_chall = F.lit(None).cast("double")
         else:
-            easy = F.array(*[F.lit(x.lower()) for x in easy_words])
-            bare = F.transform(c("each"), lambda x: F.regexp_replace(F.lower(x), r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", ""))
-            share = 100.0 * _per(F.size(F.filter(bare, lambda x: ~F.array_contains(easy, x))), w)
+            if unfamiliar is None:
+                easy = F.array(*[F.lit(x.lower()) for x in easy_words])
+                rare = F.size(F.filter(F.transform(c("each"), bare_word), lambda x: ~F.array_contains(easy, x)))
+            else:
+                rare = F.coalesce(unfamiliar, F.lit(0))
+            share = 100.0 * _per(rare, w)
             dale_chall = 0.1579 * share + 0.0496 * c("asl") + F.when(share > 5, 3.6365).otherwise(0.0)
         found = {
             "flesch_reading_ease": 206.835 - 1.015 * c("asl") - 84.6 * c("asw"),
@@ -86,8 +96,38 @@ def with_syllables(df: DataFrame, table: DataFrame, key: str, text: str = "text"
     return df.drop(to).join(sums, F.col(key) == F.col("__k"), "left").drop("__k")
 
 
-def readability(df: DataFrame, text: str = "text", to: str = "readability", mode: str = "estimate", easy_words: list[str] | None = None, syllables: str | None = None) -> DataFrame:
+def with_word_tables(df: DataFrame, key: str, text: str = "text", easy: DataFrame | None = None, pronounced: DataFrame | None = None, syllables: str = "syllables", unfamiliar: str = "unfamiliar") -> DataFrame:
+    """The frame with the numbers of its normalised text's syllables and of its words that aren't easy, from tables of any size.
+
+    easy: word, the easy words in any case; pronounced: word and syllables, as for with_syllables. Without a table there is no such
+    column. The different words of all texts are joined with both tables once, whatever the number of texts, and the dictionary
+    that this gives is joined with each text's counts of words.
+
+    key: a column that names the row; rows with a null key or text have null, a blank text 0; rows of one key share the counts of
+    all their words; null words of the tables are left out, and of a word that a table lists twice the least number counts.
+    """
+    counts = df.where(F.col(key).isNotNull()).select(F.col(key).alias("__k"), F.explode(all_of(F.lower(extract.normalize_math_text(text)), f"{NOT_S}+")).alias("__w")).groupBy("__k", "__w").agg(F.count(F.lit(1)).alias("__n"))
+    words = counts.select("__w").distinct()
+    given = []
+    if pronounced is not None:
+        listed = pronounced.where("word is not null").select(F.lower("word").alias("__w"), F.col("syllables").cast("int").alias("__s")).groupBy("__w").agg(F.min("__s").alias("__s"))
+        words = words.join(listed, "__w", "left").withColumn("__s", F.coalesce("__s", extract.syllables_of_word("__w")))
+        given.append(F.sum(F.col("__n") * F.col("__s")).alias(syllables))
+    if easy is not None:
+        known = easy.where("word is not null").select(F.lower("word").alias("__b")).distinct().withColumn("__easy", F.lit(True))
+        words = words.withColumn("__b", bare_word("__w")).join(known, "__b", "left").drop("__b")
+        given.append(F.sum(F.when(F.col("__easy"), 0).otherwise(F.col("__n"))).alias(unfamiliar))
+    if not given:
+        return df
+    names = [n for n, t in ((syllables, pronounced), (unfamiliar, easy)) if t is not None]
+    sums = counts.join(words, "__w").groupBy("__k").agg(*given)
+    joined = df.drop(*names).join(sums, F.col(key) == F.col("__k"), "left")
+    there = F.col(key).isNotNull() & F.col(text).isNotNull()
+    return joined.withColumns({n: F.coalesce(n, F.when(there, F.lit(0))) for n in names}).drop("__k")
+
+
+def readability(df: DataFrame, text: str = "text", to: str = "readability", mode: str = "estimate", easy_words: list[str] | None = None, syllables: str | None = None, unfamiliar: str | None = None) -> DataFrame:
     """The frame with all metrics as a struct in column `to`."""
     p = "__r_"
-    staged = with_readability(df, text, p, mode, easy_words, syllables)
+    staged = with_readability(df, text, p, mode, easy_words, syllables, unfamiliar)
     return staged.select(*[F.col(x) for x in df.columns], F.struct(*[F.col(p + n).alias(n) for n in (*METRICS, "low_confidence", "estimated")]).alias(to))

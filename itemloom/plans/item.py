@@ -33,12 +33,16 @@ def collapse(parts: DataFrame, item: str, seq: str, text: str = "text", by: str
     return parts.groupBy(item).agg(F.array_join(F.transform(ordered, lambda x: x["t"]), by).alias(text))
 
 
-def text_features(items: DataFrame, text: str = "text", keep: list[str] | None = None, mode: str = "estimate") -> DataFrame:
-    """The kept columns (all but the text by default) and 34 feature columns, which replace kept ones of their names."""
-    keep = [c for c in items.columns if c != text] if keep is None else keep
-    df = items.select(*keep, F.col(text).alias("__t"))
+def text_features(items: DataFrame, text: str = "text", keep: list[str] | None = None, mode: str = "estimate", syllables: str | None = None, unfamiliar: str | None = None) -> DataFrame:
+    """The kept columns (all but the text by default) and 34 feature columns, which replace kept ones of their names.
+
+    syllables, unfamiliar: columns with what tables of words say of each text, as from functions.readability.with_word_tables.
+    """
+    given = [c for c in (syllables, unfamiliar) if c is not None]
+    keep = [c for c in items.columns if c != text and c not in given] if keep is None else keep
+    df = items.select(*keep, F.col(text).alias("__t"), *[F.col(c).alias(f"__given_{k}") for k, c in (("syllables", syllables), ("unfamiliar", unfamiliar)) if c is not None])
     df = with_math_content(df, "__t", "__m_")
-    df = with_readability(df, "__t", "__r_", mode)
+    df = with_readability(df, "__t", "__r_", mode, syllables="__given_syllables" if syllables else None, unfamiliar="__given_unfamiliar" if unfamiliar else None)
     m = lambda n: F.col(f"__m_{n}")
     blank = m("blank")
     df = df.withColumns({"__vars": F.size(variables(m("text"))), "__ops": operation_count(m("text")), "__sent": F.when(blank, 0).otherwise(sentence_count(m("text"))), "__uniq": F.size(F.array_distinct(m("hits"))), "__best": F.greatest(*[m(f"score_{d}") for d in DOMAINS])})
@@ -74,12 +78,12 @@ def text_features(items: DataFrame, text: str = "text", keep: list[str] | None =
     return df.select(*[k for k in keep if k.lower() not in names], *[c.alias(n) for n, c in features.items()])
 
 
-def item_features(items: DataFrame, images: DataFrame | None = None, item: str = "item_id", text: str = "text", mode: str = "estimate") -> DataFrame:
+def item_features(items: DataFrame, images: DataFrame | None = None, item: str = "item_id", text: str = "text", mode: str = "estimate", syllables: str | None = None, unfamiliar: str | None = None) -> DataFrame:
     """The full row of 45 features. images: item and the 11 flat features of each of its images (see operators.visual).
 
     Items without images have null visual features.
     """
-    found = text_features(items, text, mode=mode)
+    found = text_features(items, text, mode=mode, syllables=syllables, unfamiliar=unfamiliar)
     if images is None:
         return found.select("*", *[F.lit(None).cast("double").alias(n) for n in FLAT_FEATURES])
     return found.join(rollup(images, item), item, "left")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import extract, mathcontent
 from ..functions.charclass import W, is_blank, quoted, sql_all, sql_blank, sql_count, sql_strip
 from ..functions.cognitive import FIELDS, keyword_count, with_cognitive_load
-from ..functions.readability import METRICS, with_readability
+from ..functions.readability import METRICS, bare_word, with_readability, with_word_tables
 from ..functions.vocab import DOMAINS, MODEL_NAMES, SYMBOLS, domain_vocabulary, visual_model_dim
 from ..operators import agreement, parse, pixels, ranges, visual, vocabulary
 from ..sources import documents, ledger, paths, remote
@@ -484,6 +484,30 @@ def _ledger(s: SparkSession, d: str) -> DataFrame:
 
 register("call_ledger", _ledger, "select item_id, text[1:40] as full_text, case when text in (select text from benchmark where item_id % 2 = 0 and text is not null) then 'first' else 'second' end as answered, cast(null as varchar) as error from benchmark where text is not null")
 
+# ---------------------------------------------------------------- tables of words
+
+_bare_sql = lambda w: f"regexp_replace(regexp_replace(lower({w}), '^[^{chr(92)}p{{L}}{chr(92)}p{{N}}]+', ''), '[^{chr(92)}p{{L}}{chr(92)}p{{N}}]+$', '')"
+
+
+def _dale_chall(s: SparkSession, d: str) -> DataFrame:
+    """Dale and Chall's formula where the words of a third of the items are the easy ones."""
+    rows = items(s, d).select("item_id", F.col("txt").alias("text"))
+    easy = rows.where("item_id % 12 in (0, 2, 4, 7)").select(F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"([^\t-\r\x1c-\x20]+)"), F.lit(1)))).alias("w")).select(bare_word("w").alias("word")).distinct()
+    found = text_features(with_word_tables(rows, "item_id", easy=easy), mode="formula", unfamiliar="unfamiliar")
+    return found.select("item_id", r6(F.col("readability_dale_chall") + sql.NUDGE).alias("dale_chall"), r6(F.col("readability_flesch_kincaid_grade") + sql.NUDGE).alias("kincaid"))
+
+
+register(
+    "readability_dale_chall",
+    _dale_chall,
+    f"""with {source_sql('items')}, {_s0}, {sql.readability()},
+easy as (select distinct {_bare_sql('w')} as word from (select unnest(regexp_extract_all(txt, '[^{chr(92)}t-{chr(92)}r{chr(92)}x1c-{chr(92)}x20]+')) as w from src where id % 12 in (0, 2, 4, 7))),
+words as (select id, unnest({_each}) as w from r3),
+rare as (select id, sum(case when easy.word is null then 1 else 0 end) as n from words left join easy on {_bare_sql('w')} = easy.word group by id),
+f as (select r3.*, 100.0 * {sql.per('coalesce(rare.n, 0)', 'rw')} as share from r3 left join rare using (id))
+select id as item_id, {sql.rounded('case when blank then 8.0 else 0.1579 * share + 0.0496 * asl + case when share > 5 then 3.6365 else 0 end end')} as dale_chall, {sql.rounded(f'case when blank then 8.0 else {_kincaid} end')} as kincaid from f""",
+)
+
 # ---------------------------------------------------------------- mergeable state, and rows for what changed
 
 

@@ -82,3 +82,26 @@ def test_only_what_changed_is_computed(spark, tmp_path, mode):
     assert rows() == 406 and sorted_(got) == sorted_(want)
     assert changed.missing(first, folder, mode="estimate" if mode == "formula" else "formula").count() == 402
     assert changed.text_features_kept(first.where("false"), str(tmp_path / "none")).count() == 0
+
+
+def test_word_tables_in_the_item_row(spark):
+    """Easy words and a pronouncing table of 50,000 rows: the row's columns equal those by a list and by with_syllables."""
+    from itemloom.functions import readability as rd
+    from itemloom.plans.item import item_features
+
+    rows = [(1, "The area, area! is equal (to) 4 x 3. Where is it?"), (2, "No listed words: here"), (3, None), (4, " "), (5, "THE THE the"), (None, "the area")]
+    df = spark.createDataFrame(rows, "item_id int, text string")
+    easy = ["The", "is", "to", "it", "where", "area"]
+    table = spark.createDataFrame([(w,) for w in [*easy, "is", None, *(f"word{k}" for k in range(50_000))]], "word string")
+    said = spark.createDataFrame([("area,", 7), ("AREA,", 9), ("the", 2), (None, 5), ("gone", None), *((f"word{k}", 3) for k in range(50_000))], "word string, syllables int")
+    both = rd.with_word_tables(df, "item_id", easy=table, pronounced=said)
+    assert {r.item_id: r.unfamiliar for r in both.collect()} == {1: 4, 2: 4, 3: None, 4: 0, 5: 0, None: None}
+    want = {r.item_id: r.syllables for r in rd.with_syllables(df, said, "item_id").collect()}
+    assert {r.item_id: r.syllables for r in both.collect()} == want | {4: 0}
+    got = text_features(both, mode="formula", syllables="syllables", unfamiliar="unfamiliar")
+    assert got.columns == text_features(df, mode="formula").columns and len(got.columns) == 35
+    plain = {r.item_id: r for r in rd.with_readability(rd.with_syllables(df, said, "item_id"), "text", mode="formula", easy_words=easy, syllables="syllables").collect()}
+    for r in got.where("item_id is not null").collect():
+        assert r.readability_dale_chall == pytest.approx(plain[r.item_id].r_dale_chall_readability) and r.readability_flesch_kincaid_grade == pytest.approx(plain[r.item_id].r_flesch_kincaid_grade)
+    assert rd.with_word_tables(df, "item_id").columns == df.columns
+    assert len(item_features(both, mode="formula", syllables="syllables", unfamiliar="unfamiliar").columns) == 46
