@@ -9,7 +9,8 @@ many more of its shingles before the two sets are compared. A set's prefix of th
 level at which it comes in; of two sets that meet at a shingle the smaller one probes, at its own level, and the pair goes on if it
 meets that many times.
 
-Equal sets become one row first. Large groups of near copies would still meet in all pairs, so labels are found in waves: in the
+Equal sets become one row first. A set that meets others at fewer shingles of its longest prefix than any link takes is left out
+before sets are fetched. Large groups of near copies would still meet in all pairs, so labels are found in waves: in the
 first ones each set is compared with a few of those that it meets with (wave by wave others, and more), what links shares a label,
 and sets of one label need no comparison. The last wave is the whole join of what has different labels: no link is lost.
 
@@ -43,6 +44,8 @@ LINK, OUT_OF = 85, 100
 LEVELS, POSTING = 8, 16
 #: Counts of the sketch, those in one row of it, and how many tasks' counts are added at once.
 WIDTH, RANGE, FAN_IN = 1 << 22, 1 << 16, 64
+#: Hashes that a task counts at once.
+HELD = 1 << 20
 #: Shingles whose bucket holds so many times the mean are dealt out by set too (a power of two).
 HOT = 16
 WIDE, STAR = 4096, 256
@@ -100,12 +103,21 @@ def _tallies(batches: Iterator[pa.RecordBatch], hashes, width: int) -> Iterator[
     """This task's counts of hashes by place, a row for each range that has any."""
     from pyspark import TaskContext
 
-    counts = np.zeros(width, np.uint32)
+    counts, held, size = np.zeros(width, np.uint32), [], 0
+
+    def add() -> None:
+        at, n = np.unique(_places(np.concatenate(held), width), return_counts=True)
+        counts[at] += n.astype(np.uint32)
+
     for batch in batches:
         for h in hashes(batch):
-            counts += np.bincount(_places(h, width), minlength=width).astype(np.uint32) if len(h) > width // 16 else np.uint32(0)
-            if len(h) <= width // 16:
-                np.add.at(counts, _places(h, width), np.uint32(1))
+            held.append(h)
+            size += len(h)
+            if size >= HELD:
+                add()
+                held, size = [], 0
+    if held:
+        add()
     span = min(RANGE, width)
     rows = [(s // span, at, counts[s : s + span][at]) for s in range(0, width, span) if len(at := np.flatnonzero(counts[s : s + span]))]
     part = TaskContext.get().partitionId()
@@ -233,7 +245,10 @@ def postings(numbered: DataFrame) -> DataFrame:
     buckets = bucket_count(numbered)
     packed = map_arrow(numbered.select("num", "n", "level", "rare", "tokens"), lambda b: _entries(b, buckets), "bucket int, base long, rows binary")
     met = materialize(dealt(packed, buckets).applyInArrow(_met, _MET))
-    met = materialize(met.join(met.groupBy("num").agg(F.count(F.lit(1)).alias("held")), "num"), drop=met)
+    held = met.groupBy("num").agg(F.count(F.lit(1)).alias("held"))
+    # linked sets share so many shingles of their longest prefixes, so a set that meets others at fewer has no partner
+    enough = F.col("held") >= F.least(F.lit(LEVELS), F.ceil(F.col("n") * LINK / OUT_OF))
+    met = materialize(met.join(held, "num").where(enough), drop=met)
     wide = materialize(met.groupBy("token").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > WIDE))
     plain = ("token", "num", "n", "level", "own", "held")
     if wide.isEmpty():
