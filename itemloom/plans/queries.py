@@ -12,7 +12,7 @@ from ..functions.charclass import W, is_blank, quoted, sql_all, sql_blank, sql_c
 from ..functions.cognitive import FIELDS, keyword_count, with_cognitive_load
 from ..functions.readability import METRICS, bare_word, with_readability, with_word_tables
 from ..functions.vocab import DOMAINS, MODEL_NAMES, SYMBOLS, domain_vocabulary, visual_model_dim
-from ..operators import agreement, parse, pixels, ranges, visual, vocabulary
+from ..operators import agreement, large_texts, parse, pixels, ranges, visual, vocabulary
 from ..sources import documents, ledger, paths, remote
 from ..storage import new_folder
 from . import oracle as sql
@@ -445,6 +445,22 @@ register(
 register("collapse_ranges", lambda s, d: ranges.collapse_ranges(table(s, d, "conversations"), "conv_id", "turn", rows=1000), ORACLES["collapse_texts"])
 register("ocr_merge_ranges", lambda s, d: _merge(s, d, lambda *x: ranges.merge_images_ranges(*x, rows=1000)), ORACLES["ocr_merge"])
 
+# ---------------------------------------------------------------- texts in pieces
+
+
+def _by_pieces(s: SparkSession, d: str) -> DataFrame:
+    """The counts of whole documents from pieces of 1000 characters each."""
+    cut = F.expr("transform(sequence(0, (length(text) - 1) div 1000), i -> substring(text, cast(i * 1000 + 1 as int), 1000))")
+    pieces = table(s, d, "documents").where("length(text) > 0").select(F.col("doc_id").alias("id"), F.posexplode(cut).alias("at", "piece"))
+    return large_texts.counts(pieces, "id")
+
+
+register(
+    "counts_by_pieces",
+    _by_pieces,
+    f"with x as (select doc_id as id, text as t from documents where length(text) > 0) select id, {', '.join(f'{sql.pattern(p)} as {p}' for p in mathcontent.PATTERNS)}, len({_list}) as numbers, {sql.words()} as words, {sql.sentences()} as sentences from x",
+)
+
 # ---------------------------------------------------------------- sources by rows, and calls that are made once
 
 
