@@ -6,7 +6,9 @@ no fixed anchor string; runs of digits are theirs, and two capitals with two dig
 All parsers are linear in the text, however long it is, and none has a bound on what it finds.
 
 Kinds, in the order in which ties are listed: email, ip, card, phone (the base kinds), then url_user (name and password
-in a URL), account (a number behind a cue such as "account no."), iban (valid by its check digits).
+in a URL), account (a number behind a cue such as "account no."), iban (valid by its check digits), secret (a value that a cue
+such as "token" or "password" is given by a sign of assignment or in quotes, or that follows "bearer"), key (a key of a service
+by its own prefix and length).
 
 Defined results: a null text counts as empty; spans are in code points, ends exclusive; spans of different kinds may
 overlap and are all reported, those of one start and kind by their ends; texts of any length are read whole; repeated rows
@@ -28,11 +30,20 @@ from pyspark.sql import functions as F
 from .common import map_arrow
 
 # The kinds in their order, and the cues that stand before an identifier.
-KINDS = ("email", "ip", "card", "phone", "url_user", "account", "iban")
+KINDS = ("email", "ip", "card", "phone", "url_user", "account", "iban", "secret", "key")
 BASE = KINDS[:4]
 CUES = ("account number", "account no", "account", "acct no", "acct", "a/c no", "konto", "kontonummer", "compte", "cuenta", "iban", "passport no", "passport", "ssn", "tax id", "user id", "customer id")
 
-CUE_WORDS = frozenset(CUES)
+SECRET_CUES = ("token", "secret", "password", "passwd", "passphrase", "pwd", "api key", "api_key", "api-key", "apikey", "access key", "access_key", "secret key", "secret_key", "private key", "private_key", "bearer")
+KEY_HEADS = ("aiza", "sk-", "ghp_", "gho_", "ghs_", "ghu_", "ghr_", "github_pat_", "akia", "asia", "xoxb-", "xoxp-", "xoxa-", "glpat-")
+KEY_SHAPES = (r"AIza[A-Za-z0-9_-]{30,}", r"sk-(?:proj-|ant-)?[A-Za-z0-9_-]{20,}", r"gh[pousr]_[A-Za-z0-9]{20,}", r"github_pat_[A-Za-z0-9_]{20,}", r"A[KS]IA[A-Z0-9]{16}", r"xox[abp]-[A-Za-z0-9-]{10,}", r"glpat-[A-Za-z0-9_-]{20,}")
+
+CUE_WORDS, SECRET_WORDS, KEY_WORDS = frozenset(CUES), frozenset(SECRET_CUES), frozenset(KEY_HEADS)
+#: What stands between a cue and its secret: perhaps a quote that closes the name, then a sign and perhaps a quote.
+_GIVEN = re.compile(r"""["']?[ \t]*(?::=|=>|[:=])[ \t]*["']?|[ \t]+(?:is[ \t]+)?["']|(?<=[Rr])[ \t]+""")
+_QUOTED = re.compile(r"""[^"'\s]{6,}(?=["'])""")
+_VALUE = re.compile(r"[A-Za-z0-9+/=_.~$!#%^&*-]+")
+_KEY = re.compile("(?:" + "|".join(KEY_SHAPES) + ")")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 # A digit run that fails from its start fails from each later digit too, so only starts of runs are tried.
@@ -53,7 +64,7 @@ def automaton():
     import ahocorasick
 
     a = ahocorasick.Automaton()
-    for w in ("@", "://", "+", *CUES):
+    for w in ("@", "://", "+", *CUES, *SECRET_CUES, *KEY_HEADS):
         a.add_word(w, (len(w), w))
     a.make_automaton()
     return a
@@ -106,17 +117,49 @@ def _ibans(text: str) -> Iterator[tuple[int, int]]:
                 break
 
 
+def _secrets(text: str, folded: str, cues: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """Values behind cues: in quotes 6 characters or more, else 8 or more with a digit, and 16 or more behind "bearer"."""
+    done = 0
+    for at, n in cues:
+        if at < done or at > n and text[at - n - 1].isalnum() or at < len(text) and text[at].isalnum():
+            continue  # in a value, or the cue is a part of a longer word
+        given = _GIVEN.match(text, at)
+        bearer = folded.startswith("bearer", at - n)
+        if not given or given.end() < done or given[0].isspace() and not bearer:
+            continue
+        s = given.end()
+        if given[0][-1] in "\"'" and (m := _QUOTED.match(text, s)):
+            done = m.end()
+            yield s, done
+        elif m := _VALUE.match(text, s):
+            done, value = m.end(), m[0].rstrip(".!")
+            if len(value) >= (16 if bearer else 8) and _DIGIT.search(value):
+                yield s, s + len(value)
+
+
+def _keys(text: str, heads: list[int]) -> Iterator[tuple[int, int]]:
+    end = 0
+    for at in heads:
+        if at >= end and not (at and (text[at - 1].isalnum() or text[at - 1] == "_")) and (m := _KEY.match(text, at)):
+            end = m.end()
+            yield at, end
+
+
 def find_spans(text: str | None) -> list[tuple[int, int, str]]:
     """All spans as (start, end, kind), by start, then by kind."""
     if not text:
         return []
-    ats, pluses, schemes, cues = [], [], [], []
+    ats, pluses, schemes, cues, secrets, keys = [], [], [], [], [], []
     folded = text.lower()
     if len(folded) != len(text):  # some characters change length; A-Z suffice for the cues
         folded = "".join(c.lower() if c < "\x80" else c for c in text)
     for last, (n, w) in automaton().iter(folded):
         if w in CUE_WORDS:
             cues.append((last + 1, n))
+        elif w in SECRET_WORDS:
+            secrets.append((last + 1, n))
+        elif w in KEY_WORDS:
+            keys.append(last + 1 - n)
         else:
             (ats if w == "@" else pluses if w == "+" else schemes).append(last + 1 if n > 1 else last)
     found = [(s, e, "email") for s, e in _emails(text, ats)]
@@ -140,6 +183,8 @@ def find_spans(text: str | None) -> list[tuple[int, int, str]]:
             if s > at and (m := _ACCOUNT.match(text, s)) and len(_DIGIT.findall(m[0])) >= 5:
                 found.append((m.start(), m.end(), "account"))
                 done = m.end()
+    found += [(s, e, "secret") for s, e in _secrets(text, folded, sorted(secrets))]
+    found += [(s, e, "key") for s, e in _keys(text, sorted(keys))]
     for at in schemes:
         if m := _USERINFO.match(text, at):
             found.append((at, m.end() - 1, "url_user"))
