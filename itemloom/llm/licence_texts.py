@@ -29,6 +29,7 @@ STATEMENTS = [
     ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3."),
     ("MIT", "Released under the MIT License."),
     ("MIT", "This file is licensed under the MIT License, see LICENSE."),
+    ("MIT", "Licensed under the MIT License. See License.txt in the project root for license information."),
     ("MPL-2.0", "Licensed under the Mozilla Public License, Version 2.0."),
     ("Proprietary", "Copyright. All rights reserved."),
     ("Proprietary", "Copyright (c) 2020 Name. All rights reserved."),

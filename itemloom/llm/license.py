@@ -5,7 +5,7 @@ licences): every line that holds a cue word; every block, a run of lines without
 header comment or a paragraph; and all such blocks of the text together, which is what a licence file comes down to.
 Units are compared once for each distinct one: its words and the templates' words form sparse vectors of term frequency
 times inverse document frequency (over the templates), kept as integers so that sums are exact. A file's licence is that
-of its best unit at MIN_COSINE or more.
+of its best unit at MIN_COSINE or more; a bare copyright line (FALLBACK) counts only where there is no other.
 A licence file (by its name, or by a line that closes it) also licenses its directory. A file without a licence of its own
 takes that of its nearest ancestor directory; paths are joined a distinct directory at a time.
 
@@ -39,6 +39,8 @@ FILE_NAME = r"(?i)(^|/)(licen[cs]e|copying|unlicense)([.-][^/]*)?$"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 TEMPLATES = public_templates()
+#: What a copyright line says by itself. It stands in the notices of other licences too, so it counts only where no other template is near enough.
+FALLBACK = "Proprietary"
 
 
 def term_weights(templates: list[tuple[str, str]]) -> tuple[dict[str, int], int, list[tuple[int, str, dict[str, int]]]]:
@@ -64,7 +66,7 @@ def unit_licences(units: DataFrame, templates: list[tuple[str, str]] = TEMPLATES
     dot = weighted.join(F.broadcast(parts), "term").groupBy("key", "k").agg(F.sum(F.col("w") * F.col("tw")).cast("double").alias("dot"))
     cosine = F.col("dot") / F.sqrt(F.col("norm") * F.col("tnorm").cast("double"))
     scored = dot.join(norm, "key").join(F.broadcast(norms), "k").select("key", "licence", cosine.alias("cosine")).where(F.col("cosine") >= least)
-    best = scored.groupBy("key").agg(F.min(F.struct((-F.col("cosine")).alias("minus"), "licence")).alias("best"))
+    best = scored.groupBy("key").agg(F.min(F.struct((F.col("licence") == FALLBACK).alias("fallback"), (-F.col("cosine")).alias("minus"), "licence")).alias("best"))
     return best.select("key", F.col("best.licence").alias("licence"), (-F.col("best.minus")).alias("cosine"))
 
 
@@ -92,9 +94,10 @@ def scan(files: DataFrame, *, closing_line_governs: bool = False, templates: lis
     governs = F.col("path").rlike(FILE_NAME)
     if closing_line_governs:
         governs = governs | (F.col("at") == F.col("last"))
-    own = found.groupBy("file_id").agg(F.min(F.struct((-F.col("cosine")).alias("minus"), "licence", "at")).alias("own"))
+    fallback = (F.col("licence") == FALLBACK).alias("fallback")
+    own = found.groupBy("file_id").agg(F.min(F.struct(fallback, (-F.col("cosine")).alias("minus"), "licence", "at")).alias("own"))
     own = own.select("file_id", F.col("own.licence").alias("own_licence"), (-F.col("own.minus")).alias("own_cosine"))
-    of_directory = found.where(governs).groupBy(directory_of(F.col("path")).alias("from_directory")).agg(F.min(F.struct((-F.col("cosine")).alias("minus"), "licence")).alias("d"))
+    of_directory = found.where(governs).groupBy(directory_of(F.col("path")).alias("from_directory")).agg(F.min(F.struct(fallback, (-F.col("cosine")).alias("minus"), "licence")).alias("d"))
     of_directory = of_directory.select("from_directory", F.col("d.licence").alias("dir_licence"), (-F.col("d.minus")).alias("dir_cosine"))
     directories = files.where("path is not null").select(directory_of(F.col("path")).alias("directory")).distinct()
     steps = F.split("directory", "/", -1)
@@ -151,10 +154,10 @@ weighted as (select line, term, tf * coalesce(idf, {unknown}) as w from counts l
 norm as (select line, sum(w * w) as norm from weighted group by line),
 dot as (select line, k, sum(w * tw) as dot from weighted join parts using (term) group by line, k),
 scored as (select line, licence, cast(dot as double) / sqrt(cast(norm as double) * cast(tnorm as double)) as cosine from dot join norm using (line) join norms using (k)),
-best as (select line, licence, cosine from scored where cosine >= {MIN_COSINE} qualify row_number() over (partition by line order by cosine desc, licence) = 1),
+best as (select line, licence, cosine from scored where cosine >= {MIN_COSINE} qualify row_number() over (partition by line order by licence = '{FALLBACK}', cosine desc, licence) = 1),
 found as (select * from picked join best using (line)),
-own as (select doc_id, licence, cosine from found qualify row_number() over (partition by doc_id order by cosine desc, licence, line_no) = 1),
-dirs as (select directory as from_directory, licence, cosine from found where line_no = last_line qualify row_number() over (partition by directory order by cosine desc, licence) = 1),
+own as (select doc_id, licence, cosine from found qualify row_number() over (partition by doc_id order by licence = '{FALLBACK}', cosine desc, licence, line_no) = 1),
+dirs as (select directory as from_directory, licence, cosine from found where line_no = last_line qualify row_number() over (partition by directory order by licence = '{FALLBACK}', cosine desc, licence) = 1),
 up as (
   select directory, k as depth, array_to_string(string_split(directory, '/')[1:k], '/') as from_directory
   from (select directory, unnest(range(0, len(string_split(directory, '/')) + 1)) as k from (select distinct directory from files))),

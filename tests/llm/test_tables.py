@@ -305,6 +305,29 @@ def test_real_licences_are_found(spark):
     assert [(k, got[k], want, t[:60]) for k, (t, want) in enumerate(cases) if got[k] != want] == []
 
 
+#: Notices as files carry them, each with the words "All rights reserved".
+RESERVED = [
+    ("Copyright (c) 2020 Name. All rights reserved.\n\nLicensed under the MIT License. See License.txt in the project root for license information.", "MIT"),
+    ("// Copyright (c) Some Corporation. All rights reserved.\n// Licensed under the MIT License.", "MIT"),
+    ("# Copyright 2015 The Authors. All Rights Reserved.\n#\n# Licensed under the Apache License, Version 2.0 (the \"License\");\n# you may not use this file except in compliance with the License.\n# You may obtain a copy of the License at\n#\n#     http://www.apache.org/licenses/LICENSE-2.0\n", "Apache-2.0"),
+    ("/* Copyright (C) 2001 Jane Doe. All rights reserved.\n *\n * This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy of the MPL was not distributed with this\n * file, You can obtain one at http://mozilla.org/MPL/2.0/.\n */", "MPL-2.0"),
+    ("Copyright (c) 2009 The Go Authors. All rights reserved.\n\nSPDX-License-Identifier: BSD-3-Clause", "BSD-3-Clause"),
+    ("All rights reserved.\n\nSPDX-License-Identifier: GPL-2.0-only", "GPL-2.0"),
+    ("Copyright 2021 A. All rights reserved.\n\nThis work is licensed under the GNU General Public License, version 3.", "GPL-3.0"),
+    ("Copyright 2021 A. All rights reserved.\n\nReleased under the ISC License.", "ISC"),
+    ("Copyright 2021 A. All rights reserved.", "Proprietary"),
+]
+
+
+def test_a_copyright_line_gives_way(spark):
+    """In a file's own licence and in that of its directory."""
+    df = spark.createDataFrame([(k, f"d{k}/LICENSE", t) for k, (t, _) in enumerate(RESERVED)] + [(100 + k, f"d{k}/src/a.c", "x") for k in range(len(RESERVED))], "file_id long, path string, text string")
+    got = {x.file_id: x.licence for x in license.scan(df).collect()}
+    assert [(k, got[k], got[100 + k]) for k in range(len(RESERVED))] == [(k, w, w) for k, (_, w) in enumerate(RESERVED)]
+    docs = spark.createDataFrame([(64 * k, t, "en", "s") for k, (t, _) in enumerate(RESERVED)], "doc_id long, text string, lang string, source string")
+    assert rows_of(license.op3(docs)) == duck({"documents": docs.toArrow()}, license.op3_sql())
+
+
 def test_license_query_against_sql(spark):
     from itemloom.llm.licence_texts import TEXTS
 
