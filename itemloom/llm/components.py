@@ -36,7 +36,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """node, label: for each node that an edge touches, the least node of its component (the label's own row included).
 
-    edges: columns a and b, of one type with an order; direction, repeats and loops don't matter; rows with nulls are dropped.
+    edges: columns a and b, of one type with an order; direction, repeats and loops don't matter; rows with nulls are dropped; a table without edges gives no rows.
     """
     edges = edges.where("a is not null and b is not null and a <> b")
     edges = materialize(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())

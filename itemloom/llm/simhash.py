@@ -15,7 +15,7 @@ blocks of rows, a task for each pair of blocks, so no task holds a whole wide me
 Links (a spanning forest of each meeting) go to connected components.
 
 Defined results: a null or empty text has the fingerprint zero, which links like any other; texts of any length are read
-whole; repeated rows and equal texts share their component; null ids never name a component (one whose ids are all null has
+whole; repeated rows and equal texts share their component, of equal ids it makes no difference which one names it; null ids never name a component (one whose ids are all null has
 a null id); an empty table gives no rows; further columns are ignored.
 """
 
