@@ -15,7 +15,7 @@ over four standard deviations beyond 16.2 %; sets of fewer than SMALL shingles h
 exactly, so no other pair ever links. A search from row to row leaves out pairs that are together already, so large groups of
 near copies cost few comparisons.
 
-Entries of meetings (fingerprint, check bits, number of the set) travel packed, 40 bytes each; a pivot table would take 16 more,
+Entries of meetings (fingerprint, check bits, number of the set) travel packed, 44 bytes each; a pivot table would take 16 more,
 so it is computed where they meet. Clusters of more than WIDE sets or HELD shingles are compared in blocks, a task for each pair
 of blocks, so that no task holds a whole one.
 
@@ -31,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import dealt, map_arrow, materialize
@@ -55,7 +55,8 @@ ENTRIES, SETS = 1 << 19, 2048
 SEED = 42
 SKETCH = (PRINTS * BITS + CHECK) // 64
 _SALTS = np.random.Generator(np.random.PCG64(SEED)).integers(0, 1 << 64, SKETCH, np.uint64)
-_ENTRY = np.dtype([("check", "<u8", CHECK // 64), ("fp", "<u4"), ("local", "<u2"), ("slot", "<u2")])
+#: A set's number has 48 bits, in two fields.
+_ENTRY = np.dtype([("check", "<u8", CHECK // 64), ("fp", "<u4"), ("low", "<u4"), ("high", "<u2"), ("slot", "<u2")])
 
 
 def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
@@ -102,30 +103,23 @@ def _prints(sketch: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _entries(batches: Iterator[pa.RecordBatch], masks: np.ndarray, buckets: int, prints: tuple[int, int] = (0, PRINTS)) -> Iterator[dict]:
-    """Packed entries by bucket: a set has one for each slot, that is a fingerprint of a wave and a choice of blocks. Numbers of sets are base << 16 | local."""
+    """Packed entries by bucket: a set has one for each slot, that is a fingerprint of a wave and a choice of blocks."""
     slot = np.arange(prints[0] * len(masks), prints[1] * len(masks))
     for batch in batches:
         for s in range(0, batch.num_rows, SETS):
             part = batch.slice(s, SETS)
             num = part.column("num").to_numpy()
-            sketch = np.frombuffer(b"".join(part.column("sketch").to_pylist()), np.uint8).reshape(len(num), -1)
-            bucket, base, rows = [], [], []
-            for high in np.unique(num >> 16).tolist():
-                own = np.flatnonzero(num >> 16 == high)
-                fp, check = _prints(sketch[own])
-                fp = fp[:, prints[0] : prints[1]]
-                entries = np.empty((len(own), len(slot)), _ENTRY)
-                entries["check"], entries["fp"], entries["slot"] = check[:, None], np.repeat(fp, len(masks), axis=1), slot
-                entries["local"] = (num[own] & 0xFFFF)[:, None]
-                meeting = (fp[:, :, None] & masks).reshape(len(own), -1).astype(np.uint64) << np.uint64(16) | slot.astype(np.uint64)
-                to = ((meeting * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32).reshape(-1)
-                order = np.argsort(to, kind="stable")
-                to, entries = to[order], entries.reshape(-1)[order]
-                edges = np.concatenate([[0], np.flatnonzero(to[1:] != to[:-1]) + 1, [len(to)]])
-                bucket.extend(to[edges[:-1]].tolist())
-                base.extend([high] * (len(edges) - 1))
-                rows.extend(entries[x:y].tobytes() for x, y in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True))
-            yield {"bucket": bucket, "base": base, "rows": rows}
+            fp, check = _prints(np.frombuffer(b"".join(part.column("sketch").to_pylist()), np.uint8).reshape(len(num), -1))
+            fp = fp[:, prints[0] : prints[1]]
+            entries = np.empty((len(num), len(slot)), _ENTRY)
+            entries["check"], entries["fp"], entries["slot"] = check[:, None], np.repeat(fp, len(masks), axis=1), slot
+            entries["low"], entries["high"] = (num & 0xFFFFFFFF)[:, None], (num >> 32)[:, None]
+            meeting = (fp[:, :, None] & masks).reshape(len(num), -1).astype(np.uint64) << np.uint64(16) | slot.astype(np.uint64)
+            to = ((meeting * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32).reshape(-1)
+            order = np.argsort(to, kind="stable")
+            to, entries = to[order], entries.reshape(-1)[order]
+            edges = np.concatenate([[0], np.flatnonzero(to[1:] != to[:-1]) + 1, [len(to)]])
+            yield {"bucket": to[edges[:-1]], "rows": [entries[x:y].tobytes() for x, y in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]}
 
 
 def _linked(fp: np.ndarray, check: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -181,9 +175,8 @@ def _linked(fp: np.ndarray, check: np.ndarray, ends: np.ndarray) -> np.ndarray:
 
 def _searched(table: pa.Table, masks: np.ndarray) -> pa.Table:
     """Of a bucket's meetings, the sets that links join: meet names their first set and the slot."""
-    blobs = table.column("rows").to_pylist()
-    entries = np.frombuffer(b"".join(blobs), _ENTRY)
-    num = np.repeat(table.column("base").to_numpy(), [len(x) // _ENTRY.itemsize for x in blobs]) << 16 | entries["local"]
+    entries = np.frombuffer(b"".join(table.column("rows").to_pylist()), _ENTRY)
+    num = entries["high"].astype(np.int64) << 32 | entries["low"]
     slot = entries["slot"].astype(np.int64)
     meeting = slot << BITS | entries["fp"] & masks[slot % len(masks)]
     order = np.lexsort((num, meeting))  # so the first set of a meeting doesn't hang on the order of arrival
@@ -296,24 +289,41 @@ def _masks(n: int) -> np.ndarray:
     return np.array(block_masks((1 << BITS) - 1, r, MAX_BITS), np.uint32)
 
 
+def _labels(edges: DataFrame) -> DataFrame:
+    """node, label: for each second end of an edge the least first end, and that one's own. All of a label's sets are connected."""
+    one = edges.groupBy("b").agg(F.min("a").alias("a"))
+    up = one.select(F.col("b").alias("a"), F.col("a").alias("up"))
+    return one.join(up, "a", "left").select(F.col("b").alias("node"), F.coalesce("up", "a").alias("label"))
+
+
+def _numbered(sets: DataFrame) -> DataFrame:
+    """The sets with num, from 0 without gaps, so that it stays short. The counts that it takes are as many as there are tasks."""
+    found = materialize(sets.withColumn("__id", F.monotonically_increasing_id()))
+    task = F.shiftright("__id", 33)
+    sizes = found.groupBy(task.alias("__task")).agg(F.count(F.lit(1)).alias("__size"))
+    before = sizes.select("__task", (F.sum("__size").over(Window.orderBy("__task")) - F.col("__size")).alias("__before"))
+    at = F.col("__before") + F.col("__id").bitwiseAND(F.lit((1 << 33) - 1))
+    return materialize(found.join(F.broadcast(before), task == F.col("__task")).select(*sets.columns, at.alias("num")), drop=found)
+
+
 def _clusters(numbered: DataFrame, n: int, masks: np.ndarray) -> DataFrame:
     """num, cluster: the sets that links join, over all meetings, each in one row.
 
-    In each wave sets go by the label that they have so far, the least number that earlier links reach, so a meeting adds an
-    edge only where it joins labels.
+    In each wave sets go by the label that they have so far, a least number that earlier links reach, so a meeting adds an edge
+    only where it joins labels. Labels needn't be whole components yet; those are found once, from the edges of all waves.
     """
     slots = PRINTS * len(masks)
-    found, labels = None, None
+    found = None
     for prints in WAVES:
         own = numbered.select("num", "sketch")
-        if labels is not None:
+        if found is not None:
+            labels = _labels(found)
             own = own.join(labels, own["num"] == labels["node"], "left").select(F.coalesce("label", "num").alias("num"), "sketch")
         buckets = max(int(numbered.sparkSession.conf.get("spark.sql.shuffle.partitions")), n * (prints[1] - prints[0]) * len(masks) // ENTRIES + 1)
-        entries = map_arrow(own, lambda b, w=prints, k=buckets: _entries(b, masks, k, w), "bucket int, base long, rows binary")
+        entries = map_arrow(own, lambda b, w=prints, k=buckets: _entries(b, masks, k, w), "bucket int, rows binary")
         edges = materialize(dealt(entries, buckets).applyInArrow(lambda t: _edges(_searched(t, masks), slots), "a long, b long").distinct())
         found = edges if found is None else found.unionByName(edges)
-        labels = components(found)
-    return labels.select(F.col("node").alias("num"), F.col("label").alias("cluster"))
+    return components(found).select(F.col("node").alias("num"), F.col("label").alias("cluster"))
 
 
 def near_copies(documents: DataFrame) -> DataFrame:
@@ -323,7 +333,7 @@ def near_copies(documents: DataFrame) -> DataFrame:
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("first")
     distinct = materialize(sets.groupBy("key").agg(first).select("key", F.col("first.doc_id").alias("doc_id"), F.col("first.th").alias("th")))
     of_key = sets.join(distinct, (sets["key"] == distinct["key"]) & sets["doc_id"].eqNullSafe(distinct["doc_id"]) & (sets["th"] == distinct["th"]), "left_semi")
-    numbered = materialize(of_key.where("n > 0").select("key", "n", "sketch").dropDuplicates(["key"]).withColumn("num", F.monotonically_increasing_id()))
+    numbered = _numbered(of_key.where("n > 0").select("key", "n", "sketch").dropDuplicates(["key"]))
     n = numbered.count()
     masks = _masks(n)
     # from here on a set goes by its number
