@@ -7,7 +7,8 @@ any set that it links with, so of two linked sets the first n - o + m shingles o
 Each set chooses its level where the estimated cost is least: a longer prefix reads more postings, but a partner must share as
 many more of its shingles before the two sets are compared. A set's prefix of the highest level is indexed, each shingle with the
 level at which it comes in; of two sets that meet at a shingle the smaller one probes, at its own level, and the pair goes on if it
-meets that many times.
+meets that many times, and as many times more as their sizes ask for. Shingles of a prefix at which a set meets nobody bound what
+it may share with anyone.
 
 Equal sets become one row first. A set that meets others at fewer shingles of its longest prefix than any link takes is left out
 before sets are fetched. Large groups of near copies would still meet in all pairs, so labels are found in waves: in the
@@ -296,7 +297,12 @@ def _starts(columns: list[np.ndarray]) -> np.ndarray:
     return np.cumsum(new)
 
 
-_PAIRS = "a long, b long, own int"
+_PAIRS = "a long, b long, need long"
+
+
+def _may_link(n: np.ndarray, m: np.ndarray, most: np.ndarray, most_of_m: np.ndarray) -> np.ndarray:
+    """Whether sets of n and m shingles may link, if they share at most so many with anyone."""
+    return (LINK + OUT_OF) * np.minimum(most, most_of_m) >= LINK * (n + m)
 
 
 def _open(table: pa.Table) -> dict[str, np.ndarray]:
@@ -311,22 +317,29 @@ def _open(table: pa.Table) -> dict[str, np.ndarray]:
         return (low < high)[run]
 
     kept = mixed(c["label"])
-    return {k: v[kept] for k, v in (c | {"run": run, "one": ~mixed(c["block"])}).items()}
+    # the shingles of its longest prefix at which a set meets nobody are in no partner
+    most = c["n"] - (np.minimum(c["n"], c["n"] - -(-LINK * c["n"] // OUT_OF) + LEVELS) - c["held"])
+    return {k: v[kept] for k, v in (c | {"run": run, "one": ~mixed(c["block"]), "most": most}).items()}
 
 
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-    """Sets with different labels that meet, once for each shingle. a: the smaller set, which probes at its level, own."""
+    """Sets with different labels that meet, once for each shingle at which they do. a: the smaller set, which probes at its level.
+
+    need: of linked sets, the prefixes of a level share that many more than the level as their overlap exceeds the larger one's
+    least overlap.
+    """
     for table in _runs(batches, ["token", "cell"]):
         c = _open(table)
         order = np.lexsort((c["num"], c["n"], c["run"]))
-        num, n, run, own, level_, label, block, one = (c[k][order] for k in ("num", "n", "run", "own", "level", "label", "block", "one"))
+        num, n, run, own, level_, label, block, one, most = (c[k][order] for k in ("num", "n", "run", "own", "level", "label", "block", "one", "most"))
         at, d = np.arange(len(run)), 1
         while len(at := at[at + d < len(run)]):
             at = at[(run[at] == run[at + d]) & (LINK * n[at + d] <= OUT_OF * n[at])]  # sizes rise, so who has no partner at d has none beyond
             a, b = at, at + d
-            good = (label[a] != label[b]) & (np.maximum(level_[a], level_[b]) <= own[a]) & (one[a] | (block[a] != block[b]))
+            good = (label[a] != label[b]) & (np.maximum(level_[a], level_[b]) <= own[a]) & (one[a] | (block[a] != block[b])) & _may_link(n[a], n[b], most[a], most[b])
             if good.any():
-                yield {"a": num[a[good]], "b": num[b[good]], "own": own[a[good]].astype(np.int32)}
+                a, b = a[good], b[good]
+                yield {"a": num[a], "b": num[b], "need": own[a] + -(-LINK * (n[a] + n[b]) // (LINK + OUT_OF)) - -(-LINK * n[b] // OUT_OF)}
             d += 1
 
 
@@ -335,13 +348,13 @@ def _tried(batches: Iterator[pa.RecordBatch], wave: int) -> Iterator[dict]:
     for table in _runs(batches, ["token", "cell"]):
         c = _open(table)
         order = np.lexsort((c["num"], -c["held"], c["run"]))
-        num, n, run, label = (c[k][order] for k in ("num", "n", "run", "label"))
+        num, n, run, label, most = (c[k][order] for k in ("num", "n", "run", "label", "most"))
         at = np.arange(len(run))
         first = np.searchsorted(run, run)
         for to in (first + wave, at - 1):
             b = at[(to >= first) & (to < len(run))]
             a = to[b]
-            good = (run[a] == run[b]) & (label[a] != label[b]) & (LINK * np.maximum(n[a], n[b]) <= OUT_OF * np.minimum(n[a], n[b]))
+            good = (run[a] == run[b]) & (label[a] != label[b]) & _may_link(n[a], n[b], most[a], most[b])
             yield {"a": num[a[good]], "b": num[b[good]]}
 
 
@@ -419,8 +432,8 @@ def links(docs: DataFrame, numbered: DataFrame) -> DataFrame:
             labels = components(found)
         if FEW * (total - before) < tried or not tried:
             break
-    shared = map_arrow(_labelled(met, labels), _pairs, _PAIRS).groupBy("a", "b", "own").agg(F.count(F.lit(1)).alias("shared"))
-    last = verified(materialize(shared.where("shared >= own").select("a", "b")), sets)
+    shared = map_arrow(_labelled(met, labels), _pairs, _PAIRS).groupBy("a", "b", "need").agg(F.count(F.lit(1)).alias("shared"))
+    last = verified(materialize(shared.where("shared >= need").select("a", "b")), sets)
     return last if found is None else found.unionByName(last)
 
 
