@@ -5,10 +5,9 @@ buckets; how good it is decides the work, never the result), then by hash. A set
 any set that it links with, so of two linked sets the first n - o + m shingles of each (the prefixes of level m) share at least m.
 
 Each set chooses its level where the estimated cost is least: a longer prefix reads more postings, but a partner must share as
-many more of its shingles before the two sets are compared. A set's prefix of the highest level is indexed, each shingle with the
-level at which it comes in; of two sets that meet at a shingle the smaller one probes, at its own level, and the pair goes on if it
-meets that many times, and as many times more as their sizes ask for. Shingles of a prefix at which a set meets nobody bound what
-it may share with anyone.
+many more of its shingles before the two sets are compared. A set's prefix of the highest level is indexed, each shingle with its
+place. Of two sets that meet at a shingle the smaller one probes, at its own level, in the prefixes that the sizes of both ask for,
+and the pair goes on if it meets that many times. Shingles of a prefix at which a set meets nobody bound what it may share.
 
 Equal sets become one row first. A set that meets others at fewer shingles of its longest prefix than any link takes is left out
 before sets are fetched. Large groups of near copies would still meet in all pairs, so labels are found in waves: in the
@@ -54,7 +53,7 @@ WIDE, STAR = 4096, 256
 WAVES, FEW = 4, 8
 PIECE = 1 << 20
 _SPACE = re.compile(b"[ \t-\r]")
-_ENTRY = np.dtype([("token", "<u8"), ("n", "<u4"), ("local", "<u2"), ("level", "u1"), ("own", "u1")])
+_ENTRY = np.dtype([("token", "<u8"), ("n", "<u4"), ("place", "<u4"), ("local", "<u2"), ("own", "u1")])
 #: Sets that are dealt out at once.
 SETS = 2048
 
@@ -213,7 +212,7 @@ def _entries(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[dict]:
             row = np.repeat(np.arange(len(num)), sizes)
             entries = np.empty(len(row), _ENTRY)
             entries["token"], entries["n"], entries["local"] = np.concatenate(tokens), n[row], num[row] & 0xFFFF
-            entries["level"] = np.maximum(1, place + 1 - (n - -(-LINK * n // OUT_OF))[row])
+            entries["place"] = place
             hot = place >= rare[row]
             entries["own"] = own[row] | hot << 7
             to = (_mixed(entries["token"] + np.where(hot, num[row], 0).astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
@@ -224,7 +223,7 @@ def _entries(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[dict]:
             yield {"bucket": to[edges[:-1]].astype(np.int32), "base": base[edges[:-1]], "rows": [entries[x:y].tobytes() for x, y in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]}
 
 
-_MET = "token long, num long, n long, level int, own int"
+_MET = "token long, num long, n long, place long, own int"
 
 
 def _met(table: pa.Table) -> pa.Table:
@@ -238,11 +237,11 @@ def _met(table: pa.Table) -> pa.Table:
     near = (entries["token"][1:] == entries["token"][:-1]) & (LINK * n[1:] <= OUT_OF * n[:-1])
     kept = np.concatenate([near, [False]]) | np.concatenate([[False], near]) | (entries["own"] >> 7 > 0)
     entries = entries[kept]
-    return pa.table({"token": entries["token"].view(np.int64), "num": num[kept], "n": n[kept], "level": entries["level"].astype(np.int32), "own": (entries["own"] & 0x7F).astype(np.int32)})
+    return pa.table({"token": entries["token"].view(np.int64), "num": num[kept], "n": n[kept], "place": entries["place"].astype(np.int64), "own": (entries["own"] & 0x7F).astype(np.int32)})
 
 
 def postings(numbered: DataFrame) -> DataFrame:
-    """token, cell, block, num, n, level, own, held: sets meet in a cell, the whole list of a shingle or two of its blocks; held: how many shingles a set has here."""
+    """token, cell, block, num, n, place, own, held: sets meet in a cell, the whole list of a shingle or two of its blocks; held: how many shingles a set has here."""
     buckets = bucket_count(numbered)
     packed = map_arrow(numbered.select("num", "n", "level", "rare", "tokens"), lambda b: _entries(b, buckets), "bucket int, base long, rows binary")
     met = materialize(dealt(packed, buckets).applyInArrow(_met, _MET))
@@ -251,7 +250,7 @@ def postings(numbered: DataFrame) -> DataFrame:
     enough = F.col("held") >= F.least(F.lit(LEVELS), F.ceil(F.col("n") * LINK / OUT_OF))
     met = materialize(met.join(held, "num").where(enough), drop=met)
     wide = materialize(met.groupBy("token").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > WIDE))
-    plain = ("token", "num", "n", "level", "own", "held")
+    plain = ("token", "num", "n", "place", "own", "held")
     if wide.isEmpty():
         return met.select(*plain, F.lit(0).cast("long").alias("cell"), F.lit(0).cast("long").alias("block"))
     narrow = met.join(wide, "token", "left_anti").select(*plain, F.lit(0).cast("long").alias("cell"), F.lit(0).cast("long").alias("block"))
@@ -307,7 +306,7 @@ def _may_link(n: np.ndarray, m: np.ndarray, most: np.ndarray, most_of_m: np.ndar
 
 def _open(table: pa.Table) -> dict[str, np.ndarray]:
     """The rows of cells that hold more than one label. run: the cell's number; one: it isn't made of two blocks."""
-    c = {k: table.column(k).to_numpy() for k in ("token", "cell", "num", "n", "level", "own", "block", "label", "held")}
+    c = {k: table.column(k).to_numpy() for k in ("token", "cell", "num", "n", "place", "own", "block", "label", "held")}
     run = _starts([c["token"], c["cell"]])
 
     def mixed(x: np.ndarray) -> np.ndarray:
@@ -323,23 +322,24 @@ def _open(table: pa.Table) -> dict[str, np.ndarray]:
 
 
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-    """Sets with different labels that meet, once for each shingle at which they do. a: the smaller set, which probes at its level.
+    """Sets with different labels that meet, once for each shingle at which they do. a: the smaller set, which probes at its level, need.
 
-    need: of linked sets, the prefixes of a level share that many more than the level as their overlap exceeds the larger one's
-    least overlap.
+    Sets that link share `least` shingles or more, so the first `need` of these stand among the first n - least + need of each.
     """
     for table in _runs(batches, ["token", "cell"]):
         c = _open(table)
         order = np.lexsort((c["num"], c["n"], c["run"]))
-        num, n, run, own, level_, label, block, one, most = (c[k][order] for k in ("num", "n", "run", "own", "level", "label", "block", "one", "most"))
+        num, n, run, own, place, label, block, one, most = (c[k][order] for k in ("num", "n", "run", "own", "place", "label", "block", "one", "most"))
         at, d = np.arange(len(run)), 1
         while len(at := at[at + d < len(run)]):
             at = at[(run[at] == run[at + d]) & (LINK * n[at + d] <= OUT_OF * n[at])]  # sizes rise, so who has no partner at d has none beyond
             a, b = at, at + d
-            good = (label[a] != label[b]) & (np.maximum(level_[a], level_[b]) <= own[a]) & (one[a] | (block[a] != block[b])) & _may_link(n[a], n[b], most[a], most[b])
+            least = -(-LINK * (n[a] + n[b]) // (LINK + OUT_OF))
+            good = (label[a] != label[b]) & (np.minimum(most[a], most[b]) >= least) & (one[a] | (block[a] != block[b]))
+            good &= np.maximum(place[a] - n[a], place[b] - n[b]) < own[a] - least
             if good.any():
                 a, b = a[good], b[good]
-                yield {"a": num[a], "b": num[b], "need": own[a] + -(-LINK * (n[a] + n[b]) // (LINK + OUT_OF)) - -(-LINK * n[b] // OUT_OF)}
+                yield {"a": num[a], "b": num[b], "need": own[a].astype(np.int64)}
             d += 1
 
 
