@@ -122,7 +122,7 @@ def _words(buckets: int):
             own = order[s:e]
             spelled = [words[i] for i in own]
             rows.append((int(bucket[own[0]]), key[0].as_py(), pack(np.diff(own.astype(np.uint32), prepend=np.uint32(0))), pack(np.array(list(map(len, spelled)), np.uint32)), zstandard.ZstdCompressor(level=3).compress(b"".join(spelled))))
-        types = (("bucket", pa.int32()), ("chunk", pa.int64()), ("numbers", pa.binary()), ("lengths", pa.binary()), ("words", pa.binary()))
+        types = (("bucket", pa.int32()), ("chunk", pa.int32()), ("numbers", pa.binary()), ("lengths", pa.binary()), ("words", pa.binary()))
         return pa.table({name: pa.array([x[k] for x in rows], t) for k, (name, t) in enumerate(types)})
 
     return run
@@ -203,13 +203,13 @@ def encode_documents(documents: DataFrame, ranks_path: str, *, with_ids: bool =
     rows, chars = docs.agg(F.count(F.lit(1)), F.sum(F.length("text"))).first()
     cores = documents.sparkSession.sparkContext.defaultParallelism
     chunks = max(1, min(cores, rows), -(-(chars or 0) // CHUNK_CHARS), -(-rows // CHUNK_DOCUMENTS))
-    chunk = F.pmod(F.xxhash64("doc_id", "text", F.spark_partition_id()), F.lit(chunks)).alias("chunk")
-    rows = map_arrow(docs.select(chunk, "doc_id", "text"), _packed, "chunk long, doc_ids array<long>, sizes binary, texts binary")
-    dealt_docs = rows.repartition(min(chunks, MOST_TASKS), "chunk")
-    words = dealt_docs.groupBy("chunk").applyInArrow(_words(buckets), "bucket int, chunk long, numbers binary, lengths binary, words binary")
-    encoded = dealt(words, buckets).applyInArrow(_encode_bucket(ranks_path), "chunk long, numbers binary, lengths binary, ids binary")
+    chunk = F.pmod(F.xxhash64("doc_id", "text", F.spark_partition_id()), F.lit(chunks)).cast("int").alias("chunk")
+    rows = map_arrow(docs.select(chunk, "doc_id", "text"), _packed, "chunk int, doc_ids array<long>, sizes binary, texts binary")
+    dealt_docs = rows.repartitionById(min(chunks, MOST_TASKS), "chunk")
+    words = dealt_docs.groupBy("chunk").applyInArrow(_words(buckets), "bucket int, chunk int, numbers binary, lengths binary, words binary")
+    encoded = dealt(words, buckets).applyInArrow(_encode_bucket(ranks_path), "chunk int, numbers binary, lengths binary, ids binary")
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * with_ids
-    return dealt_docs.groupBy("chunk").cogroup(encoded.repartition(min(chunks, MOST_TASKS), "chunk").groupBy("chunk")).applyInArrow(_assemble(ranks_path, with_ids), schema)
+    return dealt_docs.groupBy("chunk").cogroup(encoded.repartitionById(min(chunks, MOST_TASKS), "chunk").groupBy("chunk")).applyInArrow(_assemble(ranks_path, with_ids), schema)
 
 
 def _positions(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
