@@ -141,7 +141,11 @@ class CoverTree:
 
 def bounds(centre: np.ndarray, norm: float, radius: float, centres: np.ndarray, norms: np.ndarray, radii: np.ndarray) -> np.ndarray:
     """Scores that no pair below a node and each of the others exceeds, rounded up."""
-    at = centres @ centre
+    return bounds_at(centres @ centre, norm, radius, norms, radii)
+
+
+def bounds_at(at: np.ndarray, norm: np.ndarray | float, radius: np.ndarray | float, norms: np.ndarray, radii: np.ndarray) -> np.ndarray:
+    """The same from the centres' products, for one node or for as many as there are others."""
     high = at + norm * radii + norms * radius + radius * radii
     return high + 1e-9 * (np.abs(at) + norm * norms + norm * radii + norms * radius + radius * radii) + 1e-3
 
@@ -293,12 +297,12 @@ def _with_bounds(pairs: DataFrame, prefix: str = "") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
-            col = {k: batch.column(k) for k in ("q_centre", "centre")}
-            num = {k: batch.column(k).to_numpy() for k in ("q_norm", "q_radius", "norm", "radius")}
-            high = []
-            for k, (q, c) in enumerate(zip(col["q_centre"].to_pylist(), col["centre"].to_pylist(), strict=True)):
-                q, c = np.frombuffer(q), np.frombuffer(c)
-                high.append(float(bounds(q, num["q_norm"][k], num["q_radius"][k], c[None, :], num["norm"][k : k + 1], num["radius"][k : k + 1])[0]))
+            num = {k: batch.column(k).to_numpy() for k in ("n", "q_norm", "q_radius", "norm", "radius")}
+            high = np.empty(batch.num_rows)
+            for n in np.unique(num["n"]).tolist():  # vectors of one length: all products at once
+                own = np.flatnonzero(num["n"] == n)
+                q, c = (np.frombuffer(b"".join(batch.column(k).take(pa.array(own)).to_pylist())).reshape(len(own), n) for k in ("q_centre", "centre"))
+                high[own] = bounds_at(np.einsum("ij,ij->i", q, c), *(num[k][own] for k in ("q_norm", "q_radius", "norm", "radius")))
             yield {"n": batch.column("n"), "q_name": batch.column("q_name"), "cell": batch.column("cell"), "name": batch.column("name"), "high": high}
 
     return map_arrow(pairs, run, "n int, q_name string, cell int, name string, high double")
