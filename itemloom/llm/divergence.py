@@ -36,7 +36,7 @@ TOP = 10
 #: Bits of a value, and bytes of a term, that one histogram tells apart. After SLOW rounds of bytes their number doubles.
 BITS, BYTES, SLOW = 16, 2, 8
 #: Terms that a task tallies before it passes them on, and bytes of a text that it splits at once.
-HELD, PIECE = 1 << 18, 1 << 20
+HELD, PIECE = 1 << 19, 1 << 20
 
 _LETTERS = bytes(range(65, 91)) + bytes(range(97, 123)) + bytes(range(128, 256))
 #: Everything but a term's bytes becomes a space; A-Z become a-z. Bytes of one character beyond ASCII stay together.
@@ -57,32 +57,29 @@ def pieces(text: bytes) -> Iterator[list[bytes]]:
 
 
 def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-    """lang, source, term, n, docs: what this task has counted. A row without a term says that its group occurs."""
+    """lang, source, term, n, docs: what this task has counted, a batch for each group. A row without a term says that its group occurs."""
     held: dict[tuple, tuple[Counter, Counter]] = {}
     size = 0
 
-    def out() -> dict:
-        rows = [(lang, source, None, 0, 0) for lang, source in held]
-        rows += [(*g, t, n, docs[t]) for g, (counts, docs) in held.items() for t, n in counts.items()]
-        held.clear()
-        return dict(zip(("lang", "source", "term", "n", "docs"), zip(*rows, strict=True), strict=True))
+    def out() -> Iterator[dict]:
+        for (lang, source), (counts, docs) in held.items():
+            terms, rows = list(counts), len(counts) + 1
+            yield {"lang": [lang] * rows, "source": [source] * rows, "term": [None, *terms], "n": [0, *counts.values()], "docs": [0, *map(docs.__getitem__, terms)]}
 
     for batch in batches:
         text = batch.column("text").cast(pa.binary())
         for k, group in enumerate(zip(batch.column("lang").to_pylist(), batch.column("source").to_pylist(), strict=True)):
             counts, docs = held.setdefault(group, (Counter(), Counter()))
-            before = len(counts)
-            own: Counter = Counter()
+            before, own = len(counts), set()
             for part in pieces(text[k].as_py()):
+                counts.update(part)
                 own.update(part)
-            counts.update(own)
-            docs.update(own.keys())
+            docs.update(own)
             size += len(counts) - before
             if size >= HELD:
-                yield out()
-                size = 0
-    if held:
-        yield out()
+                yield from out()
+                held, size = {}, 0
+    yield from out()
 
 
 def term_counts(documents: DataFrame) -> DataFrame:
