@@ -48,6 +48,8 @@ FAR = 0.217
 SMALL, SMALL_FAR = 6, 0.25
 #: Sets and shingles in a block of a cluster, and unrelated sets that may share a meeting.
 WIDE, HELD, SHARED = 1 << 14, 1 << 22, 4096
+#: Meetings wider than this meet once more by blocks of their other bits, since unrelated sets in a meeting grow with the input.
+SPLIT = 64
 #: Meetings from here on are searched row by row, smaller ones all at once.
 LARGE = 256
 #: Entries that a task of the search holds, and sets that are dealt out at once.
@@ -122,8 +124,12 @@ def _entries(batches: Iterator[pa.RecordBatch], masks: np.ndarray, buckets: int,
             yield {"bucket": to[edges[:-1]], "rows": [entries[x:y].tobytes() for x, y in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]}
 
 
-def _linked(fp: np.ndarray, check: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """For each row the first row of those that links join with it. Rows of a meeting are neighbours; ends: where each row's meeting ends."""
+def _linked(fp: np.ndarray, check: np.ndarray, ends: np.ndarray, mask: np.ndarray | None = None) -> np.ndarray:
+    """For each row the first row of those that links join with it. Rows of a meeting are neighbours; ends: where each row's meeting ends.
+
+    mask: the bits in which each row's meeting agrees. Wide meetings are then split by blocks of the other bits: MAX_BITS of them may
+    differ, so each linked pair agrees on all but MAX_BITS of the blocks, and links join what they join in the whole meeting.
+    """
     refs = pivots().astype(np.uint32) & np.uint32((1 << BITS) - 1)
     table = np.bitwise_count(fp[:, None] ^ refs).astype(np.int8)
     root = np.arange(len(fp))
@@ -143,8 +149,32 @@ def _linked(fp: np.ndarray, check: np.ndarray, ends: np.ndarray) -> np.ndarray:
             x = root[x]
         return x
 
+    def join(i: np.ndarray, j: np.ndarray) -> None:
+        """Links of rows i with rows j, none of which are joined yet."""
+        for x, y in zip(i.tolist(), j.tolist(), strict=True):
+            a, b = find(x), find(y)
+            root[max(a, b)] = min(a, b)
+        if len(i):
+            rows = np.concatenate([i, j])
+            root[rows] = [find(x) for x in rows.tolist()]
+
     starts = np.flatnonzero(np.concatenate([[True], ends[1:] != ends[:-1]])[: len(ends)])
-    large = ends[starts] - starts > LARGE
+    sizes = ends[starts] - starts
+    wide = sizes > SPLIT if mask is not None else np.zeros(len(starts), bool)
+    if wide.any():
+        at = np.flatnonzero(np.repeat(wide, sizes))
+        kinds, kind = np.unique(mask[at], return_inverse=True)
+        choices = np.array([block_masks(~int(m) & ((1 << BITS) - 1), MAX_BITS + 2, MAX_BITS) for m in kinds], np.int64)
+        for c in range(choices.shape[1]):
+            cell = np.repeat(np.arange(len(starts)), sizes)[at] << BITS | fp[at] & choices[kind, c]
+            order = np.argsort(cell, kind="stable")
+            edges = np.flatnonzero(np.concatenate([[True], cell[order][1:] != cell[order][:-1], [True]]))
+            own = np.diff(edges)
+            rows, own = at[order][np.repeat(own > 1, own)], own[own > 1]
+            first = rows[_linked(fp[rows], check[rows], np.repeat(np.cumsum(own), own))]
+            new = root[first] != root[rows]
+            join(first[new], rows[new])
+    large = (sizes > LARGE) & ~wide
     for s in starts[large].tolist():
         left = np.arange(s, ends[s])
         while len(left):
@@ -155,18 +185,13 @@ def _linked(fp: np.ndarray, check: np.ndarray, ends: np.ndarray) -> np.ndarray:
                 root[left[hit]] = first
                 queue.extend(left[hit].tolist())
                 left = np.delete(left, hit)
-    small = np.repeat(~large, ends[starts] - starts)
+    small = np.repeat(~large & ~wide, sizes)
     at, d = np.flatnonzero(small), 1
     while len(at := at[at + d < ends[at]]):
         hit = near(at, at + d)
         i = at[hit]
         i = i[root[i] != root[i + d]]
-        for x in i.tolist():
-            a, b = find(x), find(x + d)
-            root[max(a, b)] = min(a, b)
-        if len(i):
-            rows = np.concatenate([i, i + d])
-            root[rows] = [find(x) for x in rows.tolist()]
+        join(i, i + d)
         d += 1
     while (root != (up := root[root])).any():
         root = up
@@ -184,7 +209,7 @@ def _searched(table: pa.Table, masks: np.ndarray) -> pa.Table:
     edges = np.flatnonzero(np.concatenate([[True], meeting[1:] != meeting[:-1], [True]]))
     sizes = np.diff(edges)
     order, sizes = order[np.repeat(sizes > 1, sizes)], sizes[sizes > 1]
-    root = _linked(entries["fp"][order], entries["check"][order], np.repeat(np.cumsum(sizes), sizes))
+    root = _linked(entries["fp"][order], entries["check"][order], np.repeat(np.cumsum(sizes), sizes), masks[slot[order] % len(masks)])
     kept = np.bincount(root, minlength=len(root))[root] > 1
     num, slot = num[order], slot[order]
     return pa.table({"meet": (num[root] * (PRINTS * len(masks)) + slot)[kept], "num": num[kept], "slot": slot[kept]})

@@ -403,6 +403,42 @@ def test_near_copies_by_pivot_tables(monkeypatch, large):
     assert {(slot, frozenset(g)) for (slot, _), g in got.items()} == want and len(want) > nc.PRINTS
 
 
+def test_unrelated_sets_of_a_wide_meeting_are_not_searched_row_by_row(monkeypatch):
+    """Unrelated sets in a meeting grow with the input: it is split by its other bits, and joins what all of its pairs join."""
+    import pyarrow as pa
+
+    from itemloom.llm import nearcopies as nc
+
+    r = np.random.default_rng(8)
+    masks, sizes = nc._masks(1000), (700, 400, 90, 30)
+    n = sum(sizes)
+    entries = np.zeros(n, nc._ENTRY)
+    slot = np.repeat([3, 10, 3, 5], sizes)
+    mask = masks[slot % len(masks)].astype(np.int64)
+    entries["fp"] = r.integers(0, 1 << nc.BITS, n) & ~mask | np.repeat([0, 0, (1 << nc.BITS) - 1, 0], sizes) & mask
+    entries["check"], entries["low"], entries["slot"] = r.integers(0, 1 << 63, (n, 4), np.uint64), r.permutation(n), slot
+    for i in (*range(0, n - 2, 7), 701, 702, 703):  # pairs and a chain
+        entries["fp"][i + 1] = entries["fp"][i] ^ 1 << int(r.integers(nc.BITS)) & ~mask[i]
+        entries["check"][i + 1] = entries["check"][i]
+    rows = []
+    plain = np.delete
+    monkeypatch.setattr(np, "delete", lambda *x: rows.append(1) or plain(*x))
+    found = nc._searched(pa.table({"rows": [entries.tobytes()]}), masks).to_pylist()
+    got = {}
+    for x in found:
+        got.setdefault((x["slot"], x["meet"]), set()).add(x["num"])
+    fp, check, num, up = entries["fp"], entries["check"], entries["low"].tolist(), np.arange(n)
+    for i in range(n):
+        same = (slot == slot[i]) & ((fp & mask) == (fp[i] & mask[i])) & (np.bitwise_count(fp ^ fp[i]) <= nc.MAX_BITS)
+        for j in np.flatnonzero(same & (np.bitwise_count(check ^ check[i]).sum(axis=1) <= nc.CHECK_MAX)).tolist():
+            up[up == up[j]] = up[i]
+    want = {frozenset(num[k] for k in np.flatnonzero(up == u).tolist()) for u in np.unique(up).tolist()}
+    want = {g for g in want if len(g) > 1}
+    assert {frozenset(g) for g in got.values()} == want and len(want) > 100
+    assert all(min(g) == m // (nc.PRINTS * len(masks)) for (_, m), g in got.items())
+    assert len(rows) < 20
+
+
 def test_keep_one_at_jaccard(spark):
     """Pairs on both sides of similarity 0.8 on five-word shingles, and a group that hangs together by its middle only."""
     import random
