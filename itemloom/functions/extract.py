@@ -15,6 +15,7 @@ ASSIGNMENT = rf"(?<![^={S_IN}])[^={S_IN}]++{S}*={S}*[^={S_IN}]+"
 # The marks of LaTeX spans, opening and closing, shortest span first to close; commands; operators; the shapes of keys.
 LATEX = [r"\$\$[\s\S]*?\$\$", r"\$[\s\S]*?\$", r"\\\([\s\S]*?\\\)", r"\\\[[\s\S]*?\\\]", r"\\frac\{[\s\S]*?\}\{[\s\S]*?\}", r"\\sqrt\{[\s\S]*?\}", r"\\begin\{equation\}[\s\S]*?\\end\{equation\}"]
 COMMANDS = r"\\(?:int|sum|lim|log|ln|sin|cos|tan)"
+OPERATIONS = "+-*/^=<>"
 OPERATORS = r"[+\-−×*·÷/=<>≤≥≈^]"
 SECRETS = r"AIza[A-Za-z0-9_-]{30,}|sk-(?:proj-|ant-)?[A-Za-z0-9_-]{20,}|ghp_[A-Za-z0-9]{20,}"
 
@@ -23,13 +24,13 @@ def numbers(text: Column | str) -> Column:
     """All numbers in order, as doubles. A hyphen right before a digit is a sign; any script's digits count."""
     other, plain = digits_to_ascii()
     found = all_of(text, NUMBER)
-    as_double = lambda x: F.when(x.rlike(r"^[\x00-\x7f]*$"), x).otherwise(F.translate(x, other, plain)).try_cast("double")
+    as_double = lambda x: F.coalesce(x.try_cast("double"), F.translate(x, other, plain).try_cast("double"))
     return F.transform(found, as_double)
 
 
 def variables(text: Column | str) -> Column:
     """Distinct single letters that stand alone, but for I and a, sorted."""
-    return F.array_sort(F.array_distinct(all_of(text, VARIABLE)))
+    return F.sort_array(F.array_distinct(all_of(text, VARIABLE)))
 
 
 def math_expressions(text: Column | str) -> Column:
@@ -41,9 +42,10 @@ def math_expressions(text: Column | str) -> Column:
 def normalize_math_text(text: Column | str) -> Column:
     """Plain words for readability: LaTeX becomes MATH, operators and choice labels go, white space is single."""
     out = col(text)
-    for p in LATEX:
+    for p in (*LATEX, COMMANDS):
         out = F.regexp_replace(out, p, " MATH ")
-    out = F.regexp_replace(out, COMMANDS, " MATH ")
+    # a text without their marks has neither spans nor commands
+    out = F.when(F.contains(col(text), F.lit("$")) | F.contains(col(text), F.lit("\\")), out).otherwise(col(text))
     out = F.regexp_replace(out, OPERATORS, " ")
     out = F.regexp_replace(out, rf"(?<!{W})[A-D][.)]{S}*", "")
     return strip(F.regexp_replace(out, f"{S}+", " "))
@@ -89,7 +91,7 @@ def word_chars(text: Column | str) -> Column:
 
 
 def operation_count(text: Column | str) -> Column:
-    return F.coalesce(F.length(col(text)) - F.length(F.translate(col(text), "+-*/^=<>", "")), F.lit(0))
+    return F.coalesce(F.length(col(text)) - F.length(F.translate(col(text), OPERATIONS, "")), F.lit(0))
 
 
 def first_line(text: Column | str) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import extract
-from .charclass import D, S, W, col, count, is_blank
+from .charclass import D, S, W, all_of, col, count, is_blank
 from .vocab import DOMAINS, PHRASES, SINGLE_TERMS, SYMBOLS, domain_vocabulary
 
 #: A whole run of digits. A pattern that fails from a run's start fails from its later digits too, so only starts are tried.
@@ -40,8 +40,41 @@ PATTERNS: dict[str, str] = {
 }
 
 
-def pattern_count(text: Column | str, name: str) -> Column:
-    return count(text, PATTERNS[name])
+#: Of each pattern the signs without any of which a text has no match (variable: it needs none).
+NEEDS: dict[str, str] = {
+    "addition": "+",
+    "subtraction": "-−",
+    "multiplication": "×*·",
+    "division": "÷/",
+    "equation": "=",
+    "inequality": "<>≤≥",
+    "exponent": "^*",
+    "function": "(",
+    "polynomial": "+-",
+    "fraction": "/\\",
+    "decimal": ".",
+    "percentage": "%",
+    "ratio": ":",
+    "scientific_notation": "^",
+    "derivative": "/'\\",
+    "integral": "∫\\",
+    "limit": "\\_",
+    "summation": "∑\\",
+}
+_SIGNS = "".join(sorted({x for y in (*NEEDS.values(), *SYMBOLS.values(), extract.OPERATIONS) for x in y}))
+_NO_SIGNS = "[^" + "".join("\\" + x if x.isascii() and x != "_" and not x.isalnum() else x for x in _SIGNS) + "]+"
+
+
+def signs(text: Column | str) -> Column:
+    """A text's signs in order, all that symbols are counted by. Much shorter than the text, so that what follows is cheap."""
+    return F.regexp_replace(col(text), _NO_SIGNS, "")
+
+
+def pattern_count(text: Column | str, name: str, found: Column | str | None = None) -> Column:
+    """found: the text's signs; a text without the pattern's own is not searched."""
+    if found is None or name not in NEEDS:
+        return count(text, PATTERNS[name])
+    return F.when(reduce(lambda a, b: a | b, [F.contains(col(found), F.lit(x)) for x in NEEDS[name]]), count(text, PATTERNS[name])).otherwise(F.lit(0))
 
 
 def symbol_count(text: Column | str, name: str) -> Column:
@@ -59,11 +92,18 @@ def phrase_count(lower_text: Column | str, phrase: str) -> Column:
     return count(lower_text, f"(?<!{W}){phrase}(?!{W})")
 
 
+def single_hits(tokens: Column | str) -> Column:
+    return F.filter(col(tokens), lambda t: t.isin(SINGLE_TERMS))
+
+
 def term_hits(tokens: Column | str, lower_text: Column | str) -> Column:
     """All hits of terms in a text, with repeats: single words among the tokens, then phrases."""
-    single = F.filter(col(tokens), lambda t: t.isin(SINGLE_TERMS))
+    return with_phrases(single_hits(tokens), lower_text)
+
+
+def with_phrases(single: Column, lower_text: Column | str) -> Column:
     phrases = [F.array_repeat(F.lit(p), phrase_count(lower_text, p)) for p in PHRASES]
-    return F.when(col(lower_text).rlike("|".join(PHRASES)), F.concat(single, *phrases)).otherwise(single)
+    return F.when(reduce(lambda a, b: a | b, [F.contains(col(lower_text), F.lit(p)) for p in PHRASES]), F.concat(single, *phrases)).otherwise(single)
 
 
 def vocabulary_matches(texts: DataFrame, key: str, text: str) -> DataFrame:
@@ -91,7 +131,7 @@ def domain_score(hits: Column | str, domain: str, patterns: dict[str, Column]) -
 def ranked_domains(scores: dict[str, Column]) -> Column:
     """Domain names by score, highest first; ties in the domains' order."""
     entries = F.array(*[F.struct((-s).alias("minus"), F.lit(k).alias("ord"), F.lit(d).alias("name")) for k, (d, s) in enumerate(scores.items())])
-    return F.transform(F.array_sort(entries), lambda x: x["name"])
+    return F.transform(F.sort_array(entries), lambda x: x["name"])
 
 
 def total(columns: list[Column]) -> Column:
@@ -105,15 +145,17 @@ def ratio(a: Column, b: Column) -> Column:
 def with_math_content(df: DataFrame, text: str = "text", prefix: str = "m_") -> DataFrame:
     """The frame with the content of its text as flat columns, in stages, so that each text scan is made once.
 
-    Columns: {prefix}pat_*, sym_*, numbers, hits, score_*, ranked, total, blank, word_count. A blank text has none of anything.
+    Columns: {prefix}pat_*, sym_*, signs, letters (that stand alone), numbers, hits, score_*, ranked, total, blank, word_count. A blank text has none of anything.
     Columns of the frame that have these names are replaced.
     """
     p = prefix
     clean = F.when(~is_blank(text), F.col(text)).otherwise(F.lit(""))
     df = df.withColumn(f"{p}text", clean)
-    df = df.withColumns({f"{p}lower": F.lower(f"{p}text"), f"{p}blank": F.col(f"{p}text") == "", f"{p}numbers": extract.numbers(f"{p}text"), f"{p}word_count": extract.word_count(f"{p}text")})
-    df = df.withColumns({f"{p}tokens": extract.tokens(f"{p}lower")} | {f"{p}pat_{n}": pattern_count(f"{p}text", n) for n in PATTERNS} | {f"{p}sym_{n}": symbol_count(f"{p}text", n) for n in SYMBOLS})
-    df = df.withColumn(f"{p}hits", term_hits(f"{p}tokens", f"{p}lower"))
+    df = df.withColumns({f"{p}lower": F.lower(f"{p}text"), f"{p}blank": F.col(f"{p}text") == "", f"{p}numbers": extract.numbers(f"{p}text"), f"{p}word_count": extract.word_count(f"{p}text"), f"{p}signs": signs(f"{p}text"), f"{p}letters": all_of(f"{p}text", extract.VARIABLE)})
+    counts = {n: F.size(f"{p}letters") if n == "variable" else pattern_count(f"{p}text", n, f"{p}signs") for n in PATTERNS}
+    # the filter keeps this wide projection out of whole-stage code, whose one method would be too long for the JVM to compile
+    df = df.withColumns({f"{p}single": single_hits(all_of(f"{p}lower", f"{W}+"))} | {f"{p}pat_{n}": c for n, c in counts.items()} | {f"{p}sym_{n}": symbol_count(f"{p}signs", n) for n in SYMBOLS})
+    df = df.withColumn(f"{p}hits", with_phrases(F.col(f"{p}single"), f"{p}lower"))
     patterns = {n: F.col(f"{p}pat_{n}") for n in PATTERNS}
     df = df.withColumns({f"{p}score_{d}": domain_score(f"{p}hits", d, patterns) for d in DOMAINS})
     scores = {d: F.col(f"{p}score_{d}") for d in DOMAINS}

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.cognitive import with_cognitive_load
-from ..functions.extract import operation_count, sentence_count, variables
+from ..functions.extract import operation_count, sentence_count
 from ..functions.mathcontent import has_decimal, has_negative, number_range, ratio, total, with_math_content
 from ..functions.readability import with_readability
 from ..functions.vocab import DOMAINS, SYMBOLS
@@ -45,7 +45,7 @@ def text_features(items: DataFrame, text: str = "text", keep: list[str] | None =
     df = with_readability(df, "__t", "__r_", mode, syllables="__given_syllables" if syllables else None, unfamiliar="__given_unfamiliar" if unfamiliar else None)
     m = lambda n: F.col(f"__m_{n}")
     blank = m("blank")
-    df = df.withColumns({"__vars": F.size(variables(m("text"))), "__ops": operation_count(m("text")), "__sent": F.when(blank, 0).otherwise(sentence_count(m("text"))), "__uniq": F.size(F.array_distinct(m("hits"))), "__best": F.greatest(*[m(f"score_{d}") for d in DOMAINS])})
+    df = df.withColumns({"__vars": F.size(F.array_distinct(m("letters"))), "__ops": operation_count(m("signs")), "__sent": F.when(blank, 0).otherwise(sentence_count(m("text"))), "__uniq": F.size(F.array_distinct(m("hits"))), "__best": F.greatest(*[m(f"score_{d}") for d in DOMAINS])})
     symbols = [m(f"sym_{s}") for s in SYMBOLS]
     number_count = F.size(m("numbers"))
     features: dict[str, Column] = {k: F.col(f"__r_{v}") for k, v in READABILITY.items()}
