@@ -101,22 +101,23 @@ def with_word_tables(df: DataFrame, key: str, text: str = "text", easy: DataFram
 
     easy: word, the easy words in any case; pronounced: word and syllables, as for with_syllables. Without a table there is no such
     column. The different words of all texts are joined with both tables once, whatever the number of texts, and the dictionary
-    that this gives is joined with each text's counts of words.
+    that this gives is joined with each text's words.
 
     key: a column that names the row; rows with a null key or text have null, a blank text 0; rows of one key share the counts of
     all their words; null words of the tables are left out, and of a word that a table lists twice the least number counts.
     """
-    counts = df.where(F.col(key).isNotNull()).select(F.col(key).alias("__k"), F.explode(all_of(F.lower(extract.normalize_math_text(text)), f"{NOT_S}+")).alias("__w")).groupBy("__k", "__w").agg(F.count(F.lit(1)).alias("__n"))
+    # a row for each word: groups of (text, word) are nearly as many, and a task would hold all of its own
+    counts = df.where(F.col(key).isNotNull()).select(F.col(key).alias("__k"), F.explode(all_of(F.lower(extract.normalize_math_text(text)), f"{NOT_S}+")).alias("__w"))
     words = counts.select("__w").distinct()
     given = []
     if pronounced is not None:
         listed = pronounced.where("word is not null").select(F.lower("word").alias("__w"), F.col("syllables").cast("int").alias("__s")).groupBy("__w").agg(F.min("__s").alias("__s"))
         words = words.join(listed, "__w", "left").withColumn("__s", F.coalesce("__s", extract.syllables_of_word("__w")))
-        given.append(F.sum(F.col("__n") * F.col("__s")).alias(syllables))
+        given.append(F.sum("__s").alias(syllables))
     if easy is not None:
         known = easy.where("word is not null").select(F.lower("word").alias("__b")).distinct().withColumn("__easy", F.lit(True))
         words = words.withColumn("__b", bare_word("__w")).join(known, "__b", "left").drop("__b")
-        given.append(F.sum(F.when(F.col("__easy"), 0).otherwise(F.col("__n"))).alias(unfamiliar))
+        given.append(F.sum(F.when(F.col("__easy"), 0).otherwise(1)).alias(unfamiliar))
     if not given:
         return df
     names = [n for n, t in ((syllables, pronounced), (unfamiliar, easy)) if t is not None]

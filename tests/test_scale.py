@@ -1,9 +1,12 @@
 """What keeps the work of a row small, with the same counts."""
 
+import re
+
 import numpy as np
 import pytest
 
 from itemloom.functions import mathcontent
+from itemloom.functions.readability import with_word_tables
 from itemloom.operators import visual
 from itemloom.plans.item import text_features
 
@@ -60,3 +63,12 @@ def test_lines_and_circles_keep_their_counts(size):
     y, x = np.ogrid[:size, :size]
     disc = np.where((y - size // 2) ** 2 + (x - size // 2) ** 2 < (size // 4) ** 2, 220, 20).astype(np.uint8)
     assert visual.circle_count(disc) == 1
+
+
+def test_word_tables_hold_no_group_of_text_and_word(spark):
+    """Groups of (text, word) are nearly as many as words, so no aggregate holds them."""
+    rows = spark.range(3).selectExpr("id", "concat(id, ' one two two') as txt")
+    found = with_word_tables(rows, "id", "txt", easy=spark.range(1).selectExpr("'two' as word"))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert not re.search(r"Aggregate \[__k#\d+L?, __w#", plan) and "Aggregate [__k#" in plan
+    assert {r.unfamiliar for r in found.collect()} == {2}
