@@ -7,7 +7,11 @@ any set that it links with, so of two linked sets the first n - o + m shingles o
 Each set chooses its level where the estimated cost is least: a longer prefix reads more postings, but a partner must share as
 many more of its shingles before the two sets are compared. A set's prefix of the highest level is indexed, each shingle with its
 place. Of two sets that meet at a shingle the smaller one probes, at its own level, in the prefixes that the sizes of both ask for,
-and the pair goes on if it meets that many times. Shingles of a prefix at which a set meets nobody bound what it may share.
+and the pair goes on if it meets that many times. Shingles at the head of a prefix at which a set meets nobody bound what it may share.
+
+Each set also has SIGNATURE bits, the parity of its shingles on each. Bits that differ between two sets are at most as many as
+shingles that they don't share, so what can't link is known without the sets. Only meetings of sets that may link are kept as
+postings: neither chance meetings nor near texts that don't link reach the waves, where pairs are made.
 
 Equal sets become one row first. A set that meets others at fewer shingles of its longest prefix than any link takes is left out
 before sets are fetched. Large groups of near copies would still meet in all pairs, so labels are found in waves: in the
@@ -51,6 +55,9 @@ HOT = 16
 WIDE, STAR = 4096, 256
 #: Waves before the last, at most; they end when fewer than one comparison in FEW links.
 WAVES, FEW = 4, 8
+#: Bits of a signature, which is so many longs.
+SIGNATURE = 256
+SIGNS = tuple(f"s{k}" for k in range(SIGNATURE // 64))
 PIECE = 1 << 20
 _SPACE = re.compile(b"[ \t-\r]")
 _ENTRY = np.dtype([("token", "<u8"), ("n", "<u4"), ("place", "<u4"), ("local", "<u2"), ("own", "u1")])
@@ -184,6 +191,12 @@ def key_of(h: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(h.tobytes())
 
 
+def signature(h: np.ndarray) -> np.ndarray:
+    """Of each bit whether an odd number of the shingles falls on it, as longs."""
+    odd = np.bincount((h >> np.uint64(32)).astype(np.int64) % SIGNATURE, minlength=SIGNATURE) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _hashes(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
     text = batch.column("text").cast(pa.binary())
     return (shingles(text[k].as_py()) for k in range(batch.num_rows))
@@ -195,8 +208,9 @@ def _prefixes(batches: Iterator[pa.RecordBatch], packed: bytes) -> Iterator[dict
         rows = []
         for h in _hashes(batch):
             tokens, own, rare = prefix(h, rank_of) if len(h) else (h, 0, 0)
-            rows.append((key_of(h), len(h), own, rare, tokens.tobytes()))
-        found = dict(zip(("key", "n", "level", "rare", "tokens"), zip(*rows, strict=True) if rows else [[]] * 5, strict=True))
+            rows.append((key_of(h), len(h), own, rare, tokens.tobytes(), *signature(h).tolist()))
+        names = ("key", "n", "level", "rare", "tokens", *SIGNS)
+        found = dict(zip(names, zip(*rows, strict=True) if rows else [[]] * len(names), strict=True))
         yield {"doc_id": batch.column("doc_id"), "th": batch.column("th")} | found
 
 
@@ -240,25 +254,45 @@ def _met(table: pa.Table) -> pa.Table:
     return pa.table({"token": entries["token"].view(np.int64), "num": num[kept], "n": n[kept], "place": entries["place"].astype(np.int64), "own": (entries["own"] & 0x7F).astype(np.int32)})
 
 
+def _bounded(met: DataFrame) -> DataFrame:
+    """num, most: the sets that may have a partner, and how many shingles each may share with anyone.
+
+    Linked sets share LEVELS shingles of their longest prefixes (all that they share, if fewer), so a set that meets others at fewer
+    has no partner. Where a set holds fewer than LEVELS shingles before one that it shares with a partner, that one is also in the
+    partner's longest prefix; so of its shingles up to the LEVELS-th meeting those without a meeting are in no partner. Behind it
+    a shingle without a meeting may still be shared: it may stand behind the partner's prefix.
+    """
+    least = F.ceil(F.col("n") * LINK / OUT_OF)
+    whole = met.groupBy("num", "n").agg(F.sort_array(F.collect_set("place")).alias("at"))
+    held = F.size("at").cast("long")
+    alone = F.coalesce(F.get("at", F.lit(LEVELS - 1)) - (LEVELS - 1), F.least(F.col("n"), F.col("n") - least + LEVELS) - held)
+    return whole.withColumn("most", F.col("n") - alone).where((held >= F.least(F.lit(LEVELS), least)) & (F.col("most") >= least)).select("num", "most")
+
+
+_POSTING = ("token", "cell", "block", "num", "n", "place", "own", "most", *SIGNS)
+_POSTINGS = ", ".join(f"{c} {'int' if c == 'own' else 'long'}" for c in _POSTING)
+
+
 def postings(numbered: DataFrame) -> DataFrame:
-    """token, cell, block, num, n, place, own, held: sets meet in a cell, the whole list of a shingle or two of its blocks; held: how many shingles a set has here."""
+    """The columns of _POSTING. Sets meet in a cell, the whole list of a shingle or two of its blocks; each may link with another one there."""
     buckets = bucket_count(numbered)
     packed = map_arrow(numbered.select("num", "n", "level", "rare", "tokens"), lambda b: _entries(b, buckets), "bucket int, base long, rows binary")
     met = materialize(dealt(packed, buckets).applyInArrow(_met, _MET))
-    held = met.groupBy("num").agg(F.count(F.lit(1)).alias("held"))
-    # linked sets share so many shingles of their longest prefixes, so a set that meets others at fewer has no partner
-    enough = F.col("held") >= F.least(F.lit(LEVELS), F.ceil(F.col("n") * LINK / OUT_OF))
-    met = materialize(met.join(held, "num").where(enough), drop=met)
+    signed = _bounded(met).join(numbered.select("num", *SIGNS), "num")
+    met = materialize(met.join(signed, "num"), drop=met)
     wide = materialize(met.groupBy("token").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > WIDE))
-    plain = ("token", "num", "n", "place", "own", "held")
+    none = F.lit(0).cast("long")
     if wide.isEmpty():
-        return met.select(*plain, F.lit(0).cast("long").alias("cell"), F.lit(0).cast("long").alias("block"))
-    narrow = met.join(wide, "token", "left_anti").select(*plain, F.lit(0).cast("long").alias("cell"), F.lit(0).cast("long").alias("block"))
-    blocks = F.ceil(2 * F.col("size") / WIDE).cast("long")
-    parts = met.join(wide, "token").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("num"), "blocks"))
-    parts = parts.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    cell = F.least("block", "other") * F.col("blocks") + F.greatest("block", "other")
-    return materialize(narrow.unionByName(parts.select(*plain, cell.alias("cell"), "block")), drop=met)
+        cells = met.withColumns({"cell": none, "block": none})
+    else:
+        narrow = met.join(wide, "token", "left_anti").withColumns({"cell": none, "block": none})
+        blocks = F.ceil(2 * F.col("size") / WIDE).cast("long")
+        parts = met.join(wide, "token").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("num"), "blocks"))
+        parts = parts.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+        parts = parts.withColumn("cell", F.least("block", "other") * F.col("blocks") + F.greatest("block", "other"))
+        cells = narrow.select(*_POSTING).unionByName(parts.select(*_POSTING))
+    near = materialize(map_arrow(_together(cells.select(*_POSTING)), _near, _POSTINGS), drop=met)
+    return materialize(near.drop("most").join(_bounded(near), "num").select(*_POSTING), drop=near)
 
 
 # ---------------------------------------------------------------- pairs
@@ -299,14 +333,20 @@ def _starts(columns: list[np.ndarray]) -> np.ndarray:
 _PAIRS = "a long, b long, need long"
 
 
-def _may_link(n: np.ndarray, m: np.ndarray, most: np.ndarray, most_of_m: np.ndarray) -> np.ndarray:
-    """Whether sets of n and m shingles may link, if they share at most so many with anyone."""
-    return (LINK + OUT_OF) * np.minimum(most, most_of_m) >= LINK * (n + m)
+def _may_link(c: dict[str, np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether the sets of rows a and b may link, by what they can share with anyone and by their signatures."""
+    n = c["n"][a] + c["n"][b]
+    least = -(-LINK * n // (LINK + OUT_OF))
+    good = (np.minimum(c["most"][a], c["most"][b]) >= least) & (c["one"][a] | (c["block"][a] != c["block"][b]))
+    at = np.flatnonzero(good)
+    differ = sum(np.bitwise_count((c[s][a[at]] ^ c[s][b[at]]).view(np.uint64)).astype(np.int64) for s in SIGNS)
+    good[at] = n[at] - differ >= 2 * least[at]
+    return good
 
 
-def _open(table: pa.Table) -> dict[str, np.ndarray]:
-    """The rows of cells that hold more than one label. run: the cell's number; one: it isn't made of two blocks."""
-    c = {k: table.column(k).to_numpy() for k in ("token", "cell", "num", "n", "place", "own", "block", "label", "held")}
+def _open(table: pa.Table, label: str) -> dict[str, np.ndarray]:
+    """The rows of cells that hold more than one label, in the order of set sizes. row: in the table; run: the cell's number; one: it isn't made of two blocks."""
+    c = {k: table.column(k).to_numpy() for k in table.column_names}
     run = _starts([c["token"], c["cell"]])
 
     def mixed(x: np.ndarray) -> np.ndarray:
@@ -315,10 +355,32 @@ def _open(table: pa.Table) -> dict[str, np.ndarray]:
         np.maximum.at(high, run, x)
         return (low < high)[run]
 
-    kept = mixed(c["label"])
-    # the shingles of its longest prefix at which a set meets nobody are in no partner
-    most = c["n"] - (np.minimum(c["n"], c["n"] - -(-LINK * c["n"] // OUT_OF) + LEVELS) - c["held"])
-    return {k: v[kept] for k, v in (c | {"run": run, "one": ~mixed(c["block"]), "most": most}).items()}
+    kept = np.flatnonzero(mixed(c[label]))
+    kept = kept[np.lexsort((c["num"][kept], c["n"][kept], run[kept]))]
+    return {k: v[kept] for k, v in (c | {"run": run, "one": ~mixed(c["block"]), "row": np.arange(len(run))}).items()}
+
+
+def _meetings(c: dict[str, np.ndarray], other) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows a, b of one cell whose sets may link, a's the smaller one. other: which of such pairs are asked for."""
+    n, run = c["n"], c["run"]
+    at, d = np.arange(len(run)), 1
+    while len(at := at[at + d < len(run)]):
+        at = at[(run[at] == run[at + d]) & (LINK * n[at + d] <= OUT_OF * n[at])]  # sizes rise, so who has no partner at d has none beyond
+        a = at[other(at, at + d)]
+        a = a[_may_link(c, a, a + d)]
+        if len(a):
+            yield a, a + d
+        d += 1
+
+
+def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """The postings that meet one with whose set theirs may link."""
+    for table in _runs(batches, ["token", "cell"]):
+        c = _open(table, "num")
+        kept = np.zeros(len(c["num"]), bool)
+        for a, b in _meetings(c, lambda a, b, kept=kept: ~(kept[a] & kept[b])):
+            kept[a] = kept[b] = True
+        yield {k: c[k][kept] for k in _POSTING}
 
 
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -327,34 +389,32 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
     Sets that link share `least` shingles or more, so the first `need` of these stand among the first n - least + need of each.
     """
     for table in _runs(batches, ["token", "cell"]):
-        c = _open(table)
-        order = np.lexsort((c["num"], c["n"], c["run"]))
-        num, n, run, own, place, label, block, one, most = (c[k][order] for k in ("num", "n", "run", "own", "place", "label", "block", "one", "most"))
-        at, d = np.arange(len(run)), 1
-        while len(at := at[at + d < len(run)]):
-            at = at[(run[at] == run[at + d]) & (LINK * n[at + d] <= OUT_OF * n[at])]  # sizes rise, so who has no partner at d has none beyond
-            a, b = at, at + d
-            least = -(-LINK * (n[a] + n[b]) // (LINK + OUT_OF))
-            good = (label[a] != label[b]) & (np.minimum(most[a], most[b]) >= least) & (one[a] | (block[a] != block[b]))
-            good &= np.maximum(place[a] - n[a], place[b] - n[b]) < own[a] - least
-            if good.any():
-                a, b = a[good], b[good]
-                yield {"a": num[a], "b": num[b], "need": own[a].astype(np.int64)}
-            d += 1
+        c = _open(table, "label")
+        n, num, own, place, label = (c[k] for k in ("n", "num", "own", "place", "label"))
+
+        def other(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+            least = -(-LINK * (n[a] + n[b]) // (LINK + OUT_OF))  # noqa: B023
+            return (label[a] != label[b]) & (np.maximum(place[a] - n[a], place[b] - n[b]) < own[a] - least)  # noqa: B023
+
+        for a, b in _meetings(c, other):
+            yield {"a": num[a], "b": num[b], "need": own[a].astype(np.int64)}
 
 
 def _tried(batches: Iterator[pa.RecordBatch], wave: int) -> Iterator[dict]:
-    """For each set (b) two sets (a) of other labels that it meets at a shingle: one of those that share most with others (the next ones in each wave), and its neighbour in that order."""
+    """For each set (b) two sets (a) of other labels that it meets at a shingle: one of those that may share most with others (the next ones in each wave), and its neighbour in that order."""
     for table in _runs(batches, ["token", "cell"]):
-        c = _open(table)
-        order = np.lexsort((c["num"], -c["held"], c["run"]))
-        num, n, run, label, most = (c[k][order] for k in ("num", "n", "run", "label", "most"))
+        c = _open(table, "label")
+        order = np.lexsort((c["num"], c["n"] - c["most"], c["run"]))
+        c = {k: v[order] for k, v in c.items()}
+        num, run, label = (c[k] for k in ("num", "run", "label"))
         at = np.arange(len(run))
         first = np.searchsorted(run, run)
         for to in (first + wave, at - 1):
             b = at[(to >= first) & (to < len(run))]
             a = to[b]
-            good = (run[a] == run[b]) & (label[a] != label[b]) & _may_link(n[a], n[b], most[a], most[b])
+            good = (run[a] == run[b]) & (label[a] != label[b])
+            a, b = a[good], b[good]
+            good = _may_link(c, a, b)
             yield {"a": num[a[good]], "b": num[b[good]]}
 
 
@@ -404,16 +464,16 @@ def _sets(docs: DataFrame, needed: DataFrame) -> DataFrame:
     return found.join(needed.select("num", "key", "th", "n"), ["key", "th"]).groupBy("num", "n").agg(F.first("h").alias("h"))
 
 
-def _labelled(met: DataFrame, labels: DataFrame | None) -> DataFrame:
-    if labels is None:
-        return met.withColumn("label", F.col("num"))
-    return met.join(labels, met["num"] == labels["node"], "left").select(met["*"], F.coalesce("label", "num").alias("label"))
+def _together(postings: DataFrame) -> DataFrame:
+    """The postings of a cell together."""
+    return postings.repartition("token", "cell").sortWithinPartitions("token", "cell")
 
 
 def _labelled(met: DataFrame, labels: DataFrame | None) -> DataFrame:
     """The postings with their sets' labels, those of a cell together."""
-    own = met.withColumn("label", F.col("num")) if labels is None else met.join(labels, met["num"] == labels["node"], "left").select(met["*"], F.coalesce("label", "num").alias("label"))
-    return own.repartition("token", "cell").sortWithinPartitions("token", "cell")
+    if labels is None:
+        return _together(met.withColumn("label", F.col("num")))
+    return _together(met.join(labels, met["num"] == labels["node"], "left").select(met["*"], F.coalesce("label", "num").alias("label")))
 
 
 def links(docs: DataFrame, numbered: DataFrame) -> DataFrame:
@@ -441,8 +501,8 @@ def linked(documents: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id: the least doc_id that links reach."""
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
     rank_of = pack(ranks(sketch(docs.select("text"), _hashes, WIDTH)))
-    sets = materialize(map_arrow(docs, lambda b: _prefixes(b, rank_of), "doc_id long, th long, key binary, n long, level int, rare int, tokens binary"))
-    distinct = sets.where("n > 0").select("key", "th", "n", "level", "rare", "tokens").dropDuplicates(["key"])
+    sets = materialize(map_arrow(docs, lambda b: _prefixes(b, rank_of), f"doc_id long, th long, key binary, n long, level int, rare int, tokens binary, {', '.join(f'{c} long' for c in SIGNS)}"))
+    distinct = sets.where("n > 0").select("key", "th", "n", "level", "rare", "tokens", *SIGNS).dropDuplicates(["key"])
     numbered = materialize(distinct.withColumn("num", F.monotonically_increasing_id()))
     labels = components(links(docs, numbered))
     first = sets.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("first_id"))

@@ -122,3 +122,39 @@ def test_a_large_group_makes_few_pairs(spark, monkeypatch):
     got = nj.op12(documents(spark, rows)).collect()
     assert sorted(map(tuple, got), key=repr) == plain(rows)
     assert sum(tried) < 8 * len(rows)
+
+
+@pytest.mark.parametrize("own", [15, 9])
+def test_shingles_behind_a_partners_prefix_are_still_shared(spark, own):
+    """A set whose prefix begins with rare shingles of its own indexes few of those that it shares; the other one meets nobody at the rest."""
+    words = [f"w{k}" for k in range(103)]
+    rows = [(1, " ".join(words)), (2, " ".join(words + [f"r{k}" for k in range(own)])), (3, prose(40, 90))]
+    assert sorted(map(tuple, nj.op12(documents(spark, rows)).collect())) == plain(rows) == [(1, 100, 1), (2, 100 + own, 1), (3, 87, 3)]
+
+
+def test_signatures_bound_what_sets_share():
+    r = np.random.default_rng(6)
+    for _ in range(300):
+        a = np.unique(r.integers(0, 1 << 63, int(r.integers(1, 400)), dtype=np.uint64))
+        b = np.unique(np.concatenate([a[r.random(len(a)) > r.random() * 0.3], r.integers(0, 1 << 63, int(r.integers(1, 40)), dtype=np.uint64)]))
+        differ = int(np.bitwise_count((nj.signature(a) ^ nj.signature(b)).view(np.uint64)).sum())
+        assert differ <= len(np.setxor1d(a, b))
+        assert (len(np.setxor1d(a, b)) - differ) % 2 == 0
+
+
+def test_near_texts_that_do_not_link_make_no_pairs(spark, monkeypatch):
+    """300 texts near one text, but not each other: hardly any pair is made, where all but a few met before."""
+    r, base, made = random.Random(12), prose(801, 150).split(), []
+    rows = [(k, edited(r, base, r.randrange(2, 12))) for k in range(300)]
+    whole = nj.map_arrow
+
+    def counted(df, f, schema):
+        out = whole(df, f, schema)
+        if schema == nj._PAIRS:
+            made.append(out.count())
+        return out
+
+    monkeypatch.setattr(nj, "map_arrow", counted)
+    got = nj.op12(documents(spark, rows)).collect()
+    assert sorted(map(tuple, got), key=repr) == plain(rows)
+    assert sum(made) < len(rows)
