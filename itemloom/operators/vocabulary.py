@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.charclass import W, all_of, is_blank
-from ..functions.mathcontent import DOMAIN_BONUS, pattern_count
+from ..functions.mathcontent import DOMAIN_BONUS, pattern_count, signs
 
 
 def terms_of(vocabulary: DataFrame) -> DataFrame:
@@ -26,30 +26,34 @@ def terms_of(vocabulary: DataFrame) -> DataFrame:
     return term.select("term", F.size(all_of("term", f"{W}+")).alias("words"))
 
 
+def _run(words: int):
+    """From a place the run of so many tokens, with the gaps inside it."""
+    return lambda i: F.struct(F.lit(words).alias("words"), i.alias("pos"), F.concat(*[x for k in range(words) for x in ([F.element_at("__gap", i + k)] if k else []) + [F.element_at("__tok", i + k)]]).alias("term"))
+
+
 def table_matches(texts: DataFrame, key: str, text: str, vocabulary: DataFrame) -> DataFrame:
     """key, term, n: how often each term of the table stands in each text. key names a text; rows of one key are one text's parts."""
     terms = terms_of(vocabulary)
     lengths = sorted(r.words for r in terms.select("words").distinct().collect())  # a few numbers
     low = texts.select(F.col(key).alias("__key"), F.lower(F.coalesce(F.col(text), F.lit(""))).alias("__t")).where(~is_blank("__t"))
     split = low.select("__key", F.monotonically_increasing_id().alias("__row"), all_of("__t", f"{W}+").alias("__tok"), F.split("__t", f"{W}+", -1).alias("__gap"))
-    found = None
+    if not lengths:
+        return low.select(F.col("__key").alias(key), F.lit("").alias("term"), F.lit(0).cast("long").alias("n")).where("false")
+    kinds = []
     for words in lengths:
-        own = terms.where(F.col("words") == words).select("term")
         size = F.size("__tok") - (words - 1)
         at = F.when(size > 0, F.sequence(F.lit(1), size)).otherwise(F.array().cast("array<int>"))
-        whole = lambda i, w=words: F.concat(*[x for k in range(w) for x in ([F.element_at("__gap", i + k)] if k else []) + [F.element_at("__tok", i + k)]])
-        runs = split.select("__key", "__row", F.explode(F.transform(at, lambda i: F.struct(i.alias("pos"), whole(i).alias("run")))).alias("x")).select("__key", "__row", F.col("x.pos").alias("pos"), F.col("x.run").alias("term"))
-        hits = runs.join(own, "term")
-        if words == 1:
-            counted = hits.groupBy("__key", "term").agg(F.count(F.lit(1)).alias("n"))
-        else:
-            places = hits.groupBy("__key", "__row", "term").agg(F.array_sort(F.collect_list("pos")).alias("at"))
-            start = F.struct(F.lit(0).alias("free"), F.lit(0).cast("long").alias("n"))
-            left = F.aggregate("at", start, lambda a, p: F.when(p >= a["free"], F.struct((p + words).alias("free"), (a["n"] + 1).alias("n"))).otherwise(a), lambda a: a["n"])  # noqa: B023
-            counted = places.select("__key", "term", left.alias("n")).groupBy("__key", "term").agg(F.sum("n").alias("n"))
-        found = counted if found is None else found.unionByName(counted)
-    if found is None:
-        found = low.select("__key", F.lit("").alias("term"), F.lit(0).cast("long").alias("n")).where("false")
+        kinds.append(F.transform(at, _run(words)))
+    # texts are read and split once for all lengths
+    hits = split.select("__key", "__row", F.explode(F.concat(*kinds)).alias("x")).select("__key", "__row", "x.*").join(terms.select("term"), "term")
+    if lengths == [1]:
+        found = hits.groupBy("__key", "term").agg(F.count(F.lit(1)).alias("n"))
+    else:
+        words = F.col("words")
+        places = hits.groupBy("__key", "__row", "term", "words").agg(F.count(F.lit(1)).alias("all"), F.array_sort(F.collect_list(F.when(words > 1, F.col("pos")))).alias("at"))
+        start = F.struct(F.lit(0).alias("free"), F.lit(0).cast("long").alias("n"))
+        left = F.aggregate("at", start, lambda a, p: F.when(p >= a["free"], F.struct((p + words).alias("free"), (a["n"] + 1).alias("n"))).otherwise(a), lambda a: a["n"])
+        found = places.select("__key", "term", F.when(words == 1, F.col("all")).otherwise(left).alias("n")).groupBy("__key", "term").agg(F.sum("n").alias("n"))
     return found.select(F.col("__key").alias(key), "term", "n")
 
 
@@ -71,7 +75,7 @@ def table_domains(texts: DataFrame, key: str, text: str, vocabulary: DataFrame,
     matches = table_matches(texts, key, text, vocabulary)
     scores = matches.join(table.select("domain", "term"), "term").groupBy(key, "domain").agg(F.sum("n").alias("score"))
     if bonus:
-        plain = texts.select(F.col(key), F.col(text).alias("__t")).where(~is_blank("__t"))
+        plain = texts.select(F.col(key), F.col(text).alias("__t")).where(~is_blank("__t")).withColumn("__signs", signs("__t"))
         each = F.array(*[F.struct(F.lit(d).alias("domain"), _any(ps).cast("long").alias("score")) for d, ps in DOMAIN_BONUS.items()])
         more = plain.select(key, F.explode(each).alias("x")).select(key, "x.domain", "x.score").where("score > 0")
         scores = scores.unionByName(more.join(F.broadcast(order.where(F.col("domain").isin(*DOMAIN_BONUS))).select("domain"), "domain").select(key, "domain", "score"))
@@ -103,5 +107,5 @@ def table_domains(texts: DataFrame, key: str, text: str, vocabulary: DataFrame,
 def _any(patterns: tuple[str, ...]) -> Column:
     out = F.lit(False)
     for p in patterns:
-        out = out | (pattern_count("__t", p) > 0)
+        out = out | (pattern_count("__t", p, "__signs") > 0)
     return out

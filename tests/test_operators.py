@@ -429,3 +429,13 @@ def test_passing_trouble_is_tried_again(monkeypatch):
     with pytest.raises(urllib.error.HTTPError):
         b(b"x", "image/png", "p")
     assert len(codes) == 5
+
+
+def test_a_vocabulary_of_several_lengths_splits_texts_once(spark):
+    from itemloom.operators import vocabulary
+
+    texts = spark.createDataFrame([(1, "a b a b, a"), (1, "c  d"), (2, "b b b")], "id long, txt string")
+    terms = spark.createDataFrame([("a",), ("a b",), ("b b",), ("b a b",)], "term string")
+    found = vocabulary.table_matches(texts, "id", "txt", terms)
+    assert sorted(map(tuple, found.collect())) == [(1, "a", 3), (1, "a b", 2), (1, "b a b", 1), (2, "b b", 1)]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Generate") == 1
