@@ -11,8 +11,8 @@ MOST_TASKS = 20_000
 UNKNOWN_BYTES = 1 << 50
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Deals the rows out by their hash, for work that costs much more than moving its rows: a task for each TASK_BYTES, at least two a core.
+def spread(df: DataFrame, *by: str) -> DataFrame:
+    """Deals the rows out by the hash of their columns, or of those of `by`, for work that costs much more than moving its rows: a task for each TASK_BYTES, at least two a core.
 
     A file may be one row group whatever its size, which one task would read and work on. An input of that many files stays as
     its scan splits it, and so does one of unknown size.
@@ -20,4 +20,4 @@ def spread(df: DataFrame) -> DataFrame:
     cores = df.sparkSession.sparkContext.defaultParallelism
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     tasks = max(2 * cores, min(MOST_TASKS, -(-size // TASK_BYTES)))
-    return df if size >= UNKNOWN_BYTES or len(df.inputFiles()) >= tasks else df.repartition(tasks, *df.columns)
+    return df if size >= UNKNOWN_BYTES or len(df.inputFiles()) >= tasks else df.repartition(tasks, *(by or df.columns))
