@@ -93,7 +93,7 @@ def with_syllables(df: DataFrame, table: DataFrame, key: str, text: str = "text"
     words = df.where(F.col(key).isNotNull()).select(F.col(key).alias("__k"), F.explode(all_of(F.lower(extract.normalize_math_text(text)), f"{NOT_S}+")).alias("__w"))
     each = words.groupBy("__k", "__w").count().join(listed, "__w", "left")
     sums = each.groupBy("__k").agg(F.sum(F.col("count") * F.coalesce("__n", extract.syllables_of_word("__w"))).alias(to))
-    return df.drop(to).join(sums, F.col(key) == F.col("__k"), "left").drop("__k")
+    return df.drop(to).join(sums.hint("merge"), F.col(key) == F.col("__k"), "left").drop("__k")  # a row for each text: not for the driver
 
 
 def with_word_tables(df: DataFrame, key: str, text: str = "text", easy: DataFrame | None = None, pronounced: DataFrame | None = None, syllables: str = "syllables", unfamiliar: str = "unfamiliar") -> DataFrame:
@@ -101,7 +101,8 @@ def with_word_tables(df: DataFrame, key: str, text: str = "text", easy: DataFram
 
     easy: word, the easy words in any case; pronounced: word and syllables, as for with_syllables. Without a table there is no such
     column. The different words of all texts are joined with both tables once, whatever the number of texts, and the dictionary
-    that this gives is joined with each text's words.
+    that this gives is joined with each text's words. All joins are merge joins: these tables grow with the texts, and the driver would
+    hold one that Spark finds small enough to broadcast.
 
     key: a column that names the row; rows with a null key or text have null, a blank text 0; rows of one key share the counts of
     all their words; null words of the tables are left out, and of a word that a table lists twice the least number counts.
@@ -112,17 +113,17 @@ def with_word_tables(df: DataFrame, key: str, text: str = "text", easy: DataFram
     given = []
     if pronounced is not None:
         listed = pronounced.where("word is not null").select(F.lower("word").alias("__w"), F.col("syllables").cast("int").alias("__s")).groupBy("__w").agg(F.min("__s").alias("__s"))
-        words = words.join(listed, "__w", "left").withColumn("__s", F.coalesce("__s", extract.syllables_of_word("__w")))
+        words = words.join(listed.hint("merge"), "__w", "left").withColumn("__s", F.coalesce("__s", extract.syllables_of_word("__w")))
         given.append(F.sum("__s").alias(syllables))
     if easy is not None:
         known = easy.where("word is not null").select(F.lower("word").alias("__b")).distinct().withColumn("__easy", F.lit(True))
-        words = words.withColumn("__b", bare_word("__w")).join(known, "__b", "left").drop("__b")
+        words = words.withColumn("__b", bare_word("__w")).join(known.hint("merge"), "__b", "left").drop("__b")
         given.append(F.sum(F.when(F.col("__easy"), 0).otherwise(1)).alias(unfamiliar))
     if not given:
         return df
     names = [n for n, t in ((syllables, pronounced), (unfamiliar, easy)) if t is not None]
-    sums = counts.join(words, "__w").groupBy("__k").agg(*given)
-    joined = df.drop(*names).join(sums, F.col(key) == F.col("__k"), "left")
+    sums = counts.join(words.hint("merge"), "__w").groupBy("__k").agg(*given)
+    joined = df.drop(*names).join(sums.hint("merge"), F.col(key) == F.col("__k"), "left")
     there = F.col(key).isNotNull() & F.col(text).isNotNull()
     return joined.withColumns({n: F.coalesce(n, F.when(there, F.lit(0))) for n in names}).drop("__k")
 

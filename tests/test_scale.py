@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from itemloom.functions import mathcontent
-from itemloom.functions.readability import with_word_tables
+from itemloom.functions.readability import with_syllables, with_word_tables
 from itemloom.operators import visual
 from itemloom.plans.item import text_features
 
@@ -72,3 +72,17 @@ def test_word_tables_hold_no_group_of_text_and_word(spark):
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert not re.search(r"Aggregate \[__k#\d+L?, __w#", plan) and "Aggregate [__k#" in plan
     assert {r.unfamiliar for r in found.collect()} == {2}
+
+
+def test_word_tables_send_nothing_to_the_driver(spark):
+    """Rows for each text or each word can pass Spark's size check and still be too many for a small driver."""
+    rows = spark.range(50).selectExpr("id", "concat(id, ' one two two word', id) as txt")
+    easy = spark.range(5).selectExpr("concat('word', id) as word")
+    said = easy.selectExpr("word", "3 as syllables")
+    ran = lambda df: (df.collect(), df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0])
+    got, plan = ran(with_word_tables(rows, "id", "txt", easy=easy, pronounced=said))
+    assert "isFinalPlan=true" in plan and plan.count("SortMergeJoin") == 4 and "Broadcast" not in plan
+    assert {r.id: r.unfamiliar for r in got} == {k: 4 if k < 5 else 5 for k in range(50)}
+    ruled, plan = ran(with_syllables(rows, said, "id", "txt"))
+    assert "isFinalPlan=true" in plan and "SortMergeJoin [id#" in plan
+    assert {r.id: r.syllables for r in ruled} == {r.id: r.syllables for r in got}
